@@ -3,20 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it from there: lost executors cost no
-    recomputation.  Only a session that names no folder (a local test) gets a temporary one."""
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark) -> str:
+    """The cluster's checkpoint folder.  Only a session that names none (a local test) gets a temporary one."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there: lost executors cost no recomputation."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table in the shared folder, for what is too large for a checkpoint's plain rows.  It is
+    deleted when the session ends."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _state(edges: DataFrame) -> tuple:
     # The sum is of 31-bit hashes: a bigint can't overflow.
     return tuple(edges.agg(F.count("*"), F.sum(F.abs(F.hash("a", "b")).cast("long"))).first())

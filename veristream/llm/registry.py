@@ -1,10 +1,18 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import quality, simhash
+import corpus_pipeline
+
+from . import bpe, mixing, quality, simhash, spotsigs, substrings, suffix_tree
 
 QUERIES = {
+    "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
     "op2_quality_repetition": quality.op2_quality_repetition,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op4_spotsigs": spotsigs.op4_spotsigs,
+    "op5_suffix_tree_scores": suffix_tree.op5_suffix_tree_scores,
+    "op6_pivotal_mixing": mixing.op6_pivotal_mixing,
     "op9_simhash_groups": simhash.op9_simhash_groups,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op2_quality_repetition": quality.ORACLE_SQL}
+ORACLE_SQL = {"op2_quality_repetition": quality.ORACLE_SQL, "op3_substring_dedup": substrings.ORACLE_SQL}
