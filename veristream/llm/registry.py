@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import bpe, mixing, quality, simhash, spotsigs, substrings, suffix_tree
+from . import bpe, compression, mixing, notices, quality, simhash, spotsigs, substrings, suffix_tree, unigram
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -11,7 +11,10 @@ QUERIES = {
     "op4_spotsigs": spotsigs.op4_spotsigs,
     "op5_suffix_tree_scores": suffix_tree.op5_suffix_tree_scores,
     "op6_pivotal_mixing": mixing.op6_pivotal_mixing,
+    "op7_compression_quality": compression.op7_compression_quality,
+    "op8_license_notices": notices.op8_license_notices,
     "op9_simhash_groups": simhash.op9_simhash_groups,
+    "op10_unigram_counts": unigram.op10_unigram_counts,
     "pipeline": corpus_pipeline.run,
 }
 
