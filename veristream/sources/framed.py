@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 #: The wire format.
-HEADER = struct.Struct("<4sBII")
+HEADER, HEADER_BYTES = "<4sBII", 13
 VERSION = 1
 KINDS = {"hot": ("cam_latents.bin", b"AXLF", b"AXLR", 256), "cold": ("cam_residuals.bin", b"", b"AXRR", 10 << 20), "frames": ("frames.bin", b"AXFF", b"AXFR", 32 << 20)}
 HOT_PAYLOAD = 256
-HOT_RECORD = HEADER.size + HOT_PAYLOAD
+HOT_RECORD = HEADER_BYTES + HOT_PAYLOAD
 RESYNC_CHUNK, RESYNC_MOST = 64 << 10, 64 << 20
 #: Records of a hot file that one task reads.
 HOT_SPLIT = 100_000
@@ -102,13 +102,13 @@ class FramedReader(DataSourceReader):
         for number in range(split.first, split.first + split.count):
             offset = len(self.file_magic) + number * HOT_RECORD
             f.seek(offset)
-            head = f.read(HEADER.size)
+            head = f.read(HEADER_BYTES)
             if not head:
                 return
-            if len(head) < HEADER.size:
+            if len(head) < HEADER_BYTES:
                 yield _row(_session(split.path), offset, status="EOF")
                 return
-            magic, ver, frame_id, dlen = HEADER.unpack(head)
+            magic, ver, frame_id, dlen = struct.unpack(HEADER, head)
             payload = f.read(HOT_PAYLOAD)
             status = "BAD_MAGIC" if magic != self.magic else "BAD_VERSION" if ver != VERSION else "DRIFT" if frame_id != number else "BAD_DIM" if dlen != HOT_PAYLOAD else "TORN_WRITE" if len(payload) < dlen else "VERIFIED"
             yield _row(_session(split.path), offset, magic, ver, frame_id, dlen, hashlib.sha256(payload).hexdigest(), payload=payload, status=status)
@@ -117,13 +117,13 @@ class FramedReader(DataSourceReader):
         extra = 64 if self.kind == "frames" else 0
         while True:
             offset = f.tell()
-            head = f.read(HEADER.size)
+            head = f.read(HEADER_BYTES)
             if not head:
                 return
-            if len(head) < HEADER.size:
+            if len(head) < HEADER_BYTES:
                 yield _row(session, offset, status="TRUNCATED_HEADER")
                 return
-            magic, ver, frame_id, dlen = HEADER.unpack(head)
+            magic, ver, frame_id, dlen = struct.unpack(HEADER, head)
             if magic != self.magic:
                 following = _next_magic(f, self.magic, offset + 1) if self.kind == "cold" else -1
                 yield _row(session, offset, magic, status="BAD_MAGIC" if following < 0 else "RESYNC", garbage=max(0, following - offset))
@@ -205,13 +205,13 @@ def write_hot(df: DataFrame, folder: str) -> DataFrame:
     def record(session, frame_id, payload, at):
         if len(payload) != HOT_PAYLOAD or frame_id != (at or 0):
             raise ValueError(f"hot records are {HOT_PAYLOAD} bytes each, without gaps from frame 0")
-        return HEADER.pack(KINDS["hot"][2], VERSION, frame_id, len(payload)) + payload, frame_id + 1
+        return struct.pack(HEADER, KINDS["hot"][2], VERSION, frame_id, len(payload)) + payload, frame_id + 1
 
     return _write(df, folder, "hot", record)
 
 
 def write_cold(df: DataFrame, folder: str) -> DataFrame:
-    return _write(df, folder, "cold", lambda s, n, p, _: (HEADER.pack(KINDS["cold"][2], VERSION, n, len(p)) + p, None))
+    return _write(df, folder, "cold", lambda s, n, p, _: (struct.pack(HEADER, KINDS["cold"][2], VERSION, n, len(p)) + p, None))
 
 
 def write_frames(df: DataFrame, folder: str, domain: str = "frames@1:") -> DataFrame:
@@ -219,7 +219,7 @@ def write_frames(df: DataFrame, folder: str, domain: str = "frames@1:") -> DataF
         chain = chain or hashlib.sha256(f"{domain}{session}".encode()).digest()
         digest = hashlib.sha256(payload).digest()
         chain = hashlib.sha256(chain + digest + struct.pack("<I", frame_id)).digest()
-        return HEADER.pack(KINDS["frames"][2], VERSION, frame_id, len(payload)) + digest + chain + payload, chain
+        return struct.pack(HEADER, KINDS["frames"][2], VERSION, frame_id, len(payload)) + digest + chain + payload, chain
 
     return _write(df, folder, "frames", record)
 
