@@ -1,5 +1,7 @@
 """Compare a DataFrame with the rows of DuckDB SQL over the same tables."""
 
+import os
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ def connect(sf_dir, **own):
     for name in TABLES:
         if name in own:
             con.register(name, own[name])
-        else:
+        elif os.path.exists(f"{sf_dir}/{name}.parquet"):
             con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return con
 
