@@ -18,8 +18,11 @@ def breach_reason(norm: Column, bound: Column) -> Column:
 
 def with_bounds(frames: DataFrame, envelope: DataFrame) -> DataFrame:
     bounds = envelope.select("action", "bound")
-    # take() reads one row more than would be broadcast, no more.
-    return frames.join(F.broadcast(bounds) if len(bounds.take(SMALL + 1)) <= SMALL else bounds, "action", "left")
+    # At most one row more than would be broadcast reaches the driver; the envelope is computed once.
+    rows = bounds.take(SMALL + 1)
+    if len(rows) <= SMALL:
+        bounds = F.broadcast(frames.sparkSession.createDataFrame(rows, bounds.schema))
+    return frames.join(bounds, "action", "left")
 
 
 def decide(frames: DataFrame, envelope: DataFrame) -> DataFrame:
