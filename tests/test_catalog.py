@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from veristream.plans import catalog
+from veristream.plans import catalog, evidence
 
 from . import oracle
 
@@ -18,8 +18,12 @@ def test_entry(spark):
 
 
 def test_stream_equals_batch(spark, sf_dir):
-    stream, batch = (catalog.QUERIES[n](spark, sf_dir) for n in ("streaming_guard", "guard_decisions"))
-    assert oracle.rows(stream.toPandas()) == oracle.rows(batch.toPandas())
+    run = lambda name: catalog.QUERIES[name](spark, sf_dir)
+    same = lambda a, b: oracle.rows(a.toPandas()) == oracle.rows(b.toPandas())
+    assert same(run("streaming_guard"), run("guard_decisions"))
+    assert same(run("streaming_keep_window"), run("keep_window_extend").where("kept").drop("kept"))
+    assert same(run("streaming_chain"), evidence.chain(spark, sf_dir))
+    assert evidence.V.chain_breaks(run("streaming_chain")).where("first_break IS NOT NULL").count() == 0
 
 
 def test_literals_are_as_python_writes_them(spark):

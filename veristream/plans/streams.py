@@ -46,14 +46,34 @@ def framed_roundtrip(spark, d):
     return found.withColumn("in_place", F.col("offset") == V.record_offset(F.col("frame_id")))
 
 
+def ended_stream(spark, rows, make):
+    """``make(stream)`` over rows as a stream that ends; its output is a table in the session's
+    shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    at = f"{base}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{at}/frames")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{at}/frames")
+    make(stream).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
 @query("streaming_guard")
 def streaming_guard(spark, d):
-    """The guard over events as a stream that ends; the same rows as ``guard_decisions``."""
+    """The guard over events as a stream; the same rows as ``guard_decisions``."""
     envelope, flown = telemetry.flight(spark, d)
     bounds = {r.action: r.bound for r in envelope.collect()}  # one number for each action
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
-    flown.write.parquet(f"{at}/frames")
-    stream = spark.readStream.schema(flown.schema).parquet(f"{at}/frames")
-    S.guard(stream, bounds).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    return ended_stream(spark, flown, lambda s: S.guard(s, bounds))
+
+
+@query("streaming_keep_window")
+def streaming_keep_window(spark, d):
+    """The kept frames of ``keep_window_extend``, from a stream."""
+    frames = telemetry.frames(spark, d).select("session", "frame_id", (F.col("action") == "error").alias("trigger"))
+    return ended_stream(spark, frames, lambda s: S.keep_extending(s, telemetry.PRE, telemetry.POST))
+
+
+@query("streaming_chain")
+def streaming_chain(spark, d):
+    """All links of the chains that ``hash_chain_fold`` ends, from a stream."""
+    frames = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("frame_id"), F.sha2("text", 256).alias("payload_sha256"))
+    return ended_stream(spark, frames, S.chain)

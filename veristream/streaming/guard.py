@@ -1,10 +1,11 @@
-"""The guard and the keep window on a stream of frames, one state for each session.
+"""The guard, the keep window and the hash chain on a stream of frames, one state for each session.
 
 Frames of a session must arrive in order of frame_id from batch to batch; within a batch they are sorted.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,3 +59,19 @@ def keep_extending(frames: DataFrame, pre: int, post: int) -> DataFrame:
 
     keyed = frames.select("session", "frame_id", "trigger").groupBy("session")
     return keyed.applyInPandasWithState(step, KEPT, "buffer array<long>, left int", "append", GroupStateTimeout.NoTimeout)
+
+
+def chain(frames: DataFrame, domain: str = "frames@1:") -> DataFrame:
+    """Links for a stream of ``session, frame_id, payload_sha256``.  State: the last link."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        link = state.get[0] if state.exists else hashlib.sha256(f"{domain}{key[0]}".encode()).hexdigest()
+        rows, links = pd.concat(batches).sort_values("frame_id"), []
+        for frame, payload in zip(rows["frame_id"].tolist(), rows["payload_sha256"].tolist(), strict=True):
+            link = hashlib.sha256(bytes.fromhex(link) + bytes.fromhex(payload) + frame.to_bytes(4, "little")).hexdigest()
+            links.append(link)
+        state.update((link,))
+        yield pd.DataFrame({"session": key[0], "frame_id": rows["frame_id"], "payload_sha256": rows["payload_sha256"], "chain": links})
+
+    keyed = frames.select("session", "frame_id", "payload_sha256").groupBy("session")
+    return keyed.applyInPandasWithState(step, "session long, frame_id long, payload_sha256 string, chain string", "link string", "append", GroupStateTimeout.NoTimeout)
