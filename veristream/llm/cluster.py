@@ -61,4 +61,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).join(roots.select("node"), "node", "left_anti").distinct())
+    # Distinct before the join: a large component's root stands in most edges.
+    tops = edges.select(F.col("b").alias("node")).distinct().join(roots.select("node"), "node", "left_anti")
+    return roots.union(tops.select("node", F.col("node").alias("root")))
