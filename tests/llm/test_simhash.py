@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from veristream.llm import simhash
@@ -78,17 +79,21 @@ def test_links_lose_nothing(spark):
     assert all(len(s) == 1 for s in mine.values()) and len(mine) == len(groups)
 
 
-def test_a_large_bucket_gives_a_forest():
+@pytest.mark.parametrize("dense", [200, 10**9])
+def test_a_large_bucket_gives_a_forest(monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
     draw = np.random.default_rng(1)
     base = np.uint64(draw.integers(0, 2**63))
-    fp = np.unique(np.array([base ^ np.uint64(sum(1 << int(b) for b in draw.choice(32, 2, replace=False))) for _ in range(5000)], np.uint64))
+    flips = lambda n: np.uint64(sum(1 << int(b) for b in draw.choice(32, n, replace=False)))
+    fp = np.unique(np.array([base ^ flips(draw.integers(0, 3)) for _ in range(300)] + [base ^ flips(draw.integers(8, 14)) for _ in range(900)], np.uint64))
     key = np.zeros(len(fp), np.int64)
     order = np.argsort(np.bitwise_count(fp ^ simhash.PIVOTS[0]), kind="stable")
     i, j = simhash.bucket_links(key, fp[order])
     assert len(i) < len(fp) and len(simhash.forest(len(fp), i, j)) == len(fp)
     ranked = fp[order]
-    assert (np.bitwise_count(ranked[i] ^ ranked[j]) <= 64).all()
-    assert len(set(simhash.forest(len(fp), i, j).tolist())) == len(set(classes(fp.tolist()).values()))
+    root, want = simhash.forest(len(fp), i, j), classes(fp.tolist())
+    pairs = {(int(r), want[int(f)]) for r, f in zip(root, ranked, strict=True)}
+    assert len(pairs) == len({r for r, _ in pairs}) == len({w for _, w in pairs})
 
 
 def test_components(spark):

@@ -32,8 +32,11 @@ N_PIVOTS = 16
 #: (lowest bit, number of bits) of six blocks; two fingerprints within three bits agree in three of them.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 PIVOTS = np.random.default_rng(20240229).integers(0, 2**64, N_PIVOTS, dtype=np.uint64)
-#: Buckets beyond this many nodes are compared in tiles of this many, to bound memory.
+#: Nodes compared at once, to bound memory.
 TILE = 4096
+#: In a bucket beyond this many nodes, which only near-copies in great number make, all lie so close that pivots discard nothing;
+#: there every node's neighbours are looked up bit flip by bit flip, in time linear in the nodes.
+DENSE = 4096
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -99,6 +102,31 @@ def _verified(fp, table, i, j):
     return i[near], j[near]
 
 
+def dense_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of distinct fingerprints, from all flips of up to RADIUS of the bits in which they differ."""
+    order = np.argsort(fp)
+    ranked, root = fp[order], np.arange(len(fp))
+    varying = int(np.bitwise_or.reduce(ranked ^ ranked[0]))
+    bits = [1 << b for b in range(64) if varying >> b & 1]
+    left, right, held = [], [], 0
+    for flips in range(1, RADIUS + 1):
+        for chosen in combinations(bits, flips):
+            mask = np.uint64(sum(chosen))
+            low = np.flatnonzero(ranked & np.uint64(max(chosen)) == 0)  # a pair from its smaller side only
+            other = ranked[low] ^ mask
+            at = np.minimum(np.searchsorted(ranked, other), len(ranked) - 1)
+            met = ranked[at] == other
+            left.append(low[met])
+            right.append(at[met])
+            held += len(left[-1])
+            if held > 4 * len(fp):
+                root = forest(len(fp), np.concatenate([*left, np.arange(len(fp))]), np.concatenate([*right, root]))
+                left, right, held = [], [], 0
+    root = forest(len(fp), np.concatenate([*left, np.arange(len(fp))]), np.concatenate([*right, root]))
+    apart = np.flatnonzero(root != np.arange(len(fp)))
+    return order[apart], order[root[apart]]
+
+
 def bucket_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of rows sorted by key and then by the first pivot's distance."""
     n = len(fp)
@@ -108,9 +136,14 @@ def bucket_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     place = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])[:n] * 256 + table[:, 0]
     reach = np.minimum(np.searchsorted(place, place + RADIUS, "right"), end)
     left, right = [], []
+    begin = np.searchsorted(key, key, "left")
+    for at in np.unique(begin[end - begin > DENSE]).tolist():
+        i, j = dense_links(fp[at : end[at]])
+        left.append(at + i)
+        right.append(at + j)
     for at in range(0, n, TILE):
         rows = np.arange(at, min(at + TILE, n))
-        todo = rows[reach[rows] > rows + 1]
+        todo = rows[(reach[rows] > rows + 1) & (end[rows] - begin[rows] <= DENSE)]
         step = 1
         while len(todo):
             width = max(1, (1 << 20) // len(todo))
