@@ -56,7 +56,7 @@ def deterministic_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), *letters)
 
 
-def chain_genesis(session: Column, domain: str = "frames@1:") -> Column:
+def chain_start(session: Column, domain: str = "frames@1:") -> Column:
     """First link of a session's chain (hex); ``domain`` separates kinds of chains."""
     return F.sha2(F.concat(F.lit(domain), session.cast("string")), 256)
 

@@ -57,7 +57,7 @@ def chained(records: DataFrame, session: str, number: str, payload_sha256: Colum
     session is folded in one row; sessions are spread over tasks."""
     entry = F.struct(F.col(number).cast("long").alias("frame_id"), payload_sha256.alias("payload_sha256"))
     folded = records.groupBy(F.col(session).alias("session")).agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    start = F.struct(X.chain_genesis(F.col("session")).alias("chain"), F.array().cast("array<string>").alias("links"))
+    start = F.struct(X.chain_start(F.col("session")).alias("chain"), F.array().cast("array<string>").alias("links"))
 
     def step(acc, e):
         link = X.chain_next(acc["chain"], e["payload_sha256"], e["frame_id"])
@@ -76,7 +76,7 @@ def chain_breaks(chain: DataFrame) -> DataFrame:
     """``session, records, first_break``: every link recomputed from the claimed link before it, all rows at once.  If all agree
     the whole chain holds, by induction; else the first that differs is where a sequential reader would stop."""
     w = Window.partitionBy("session").orderBy("frame_id")
-    again = X.chain_next(F.coalesce(F.lag("chain").over(w), X.chain_genesis(F.col("session"))), F.col("payload_sha256"), F.col("frame_id"))
+    again = X.chain_next(F.coalesce(F.lag("chain").over(w), X.chain_start(F.col("session"))), F.col("payload_sha256"), F.col("frame_id"))
     rows = chain.withColumn("ok", again == F.col("chain"))
     return rows.groupBy("session").agg(F.count("*").alias("records"), F.min(F.when(~F.col("ok"), F.col("frame_id"))).alias("first_break"))
 
