@@ -64,6 +64,18 @@ def test_a_long_repeat_is_rejected_without_many_windows():
     assert got["kept"].tolist() == [False, True]
 
 
+def test_the_limits_bind_below_the_base_rule(spark):
+    fresh = [f"u{k}" for k in range(2000)]
+    passage = " ".join([*fresh[:180], *fresh[180:1820], *fresh[:180]])
+    short = " ".join([*fresh[:51], *fresh[51:1949], *fresh[:51]])
+    many = " ".join([*fresh[:1600], *(w for k in range(160, 0, -40) for w in fresh[k - 40 : k])])
+    got = quality.assess(pa.array([passage, short, many, " ".join(fresh)]))
+    assert not got["base_failed"].any()
+    assert got["kept"].tolist() == [False, False, False, True]
+    rows = spark.createDataFrame([(0, passage), (1, " ".join(fresh))], "doc_id long, text string")
+    assert [r.doc_id for r in quality.quality_filter(rows).collect()] == [1]
+
+
 def test_odd_rows(odd, empty, as_table, spark):
     folder = as_table(odd)
     con = oracle.connect(folder, documents=odd.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))

@@ -4,8 +4,11 @@ For a slice of documents the suffix array is built by prefix doubling over words
 unique leave the loop, so clean prose costs about two sorts.  Longest-common-prefix intervals of neighbouring
 suffixes give, for each word, the longest repeat that starts there.  Spans of maximal repeats of at least
 ``MIN_REPEAT`` words are united.  A document is rejected when more than ``MAX_COVERED`` of its words lie in
-such spans, or when one repeat is longer than ``MAX_REPEAT`` words and longer than ``MAX_REPEAT_SHARE`` of
-the document.  Everything is local to a document: no shuffle.
+such spans, or when one repeat is longer than ``MAX_REPEAT`` words.  Both limits bind below the base rule's
+``BASE_MAX_PERCENT``.  Everything is local to a document: no shuffle.
+
+The query op2 is held to its SQL, whose limits (``SQL_LIMITS``) reject nothing that the base rule keeps: a covered share of
+over 0.3, or a repeat of over a fifth of the document, implies that the base rule fails.
 
 Defined results: a null text is an empty one (no words, so the base rule rejects it); repeated rows and ties are
 judged one by one; an empty table gives an empty result; other columns are kept by :func:`quality_filter` and
@@ -22,9 +25,11 @@ import pyarrow as pa
 from . import textops as tx
 
 MIN_REPEAT = 8
-MAX_COVERED = 0.3
+MAX_COVERED = 0.15
 MAX_REPEAT = 50
-MAX_REPEAT_SHARE = 0.2
+#: A repeat must also be longer than this share of the document.
+MAX_REPEAT_SHARE = 0.0
+SQL_LIMITS = {"max_covered": 0.3, "max_repeat": 50, "max_repeat_share": 0.2}
 BASE_MIN_WORDS = 10
 BASE_WINDOW = 5
 BASE_MAX_PERCENT = 20
@@ -107,7 +112,7 @@ def duplicate_lines(data: np.ndarray, offsets: np.ndarray, words: tx.Words) -> n
     return np.bincount(row, minlength=rows) - np.bincount(row[first], minlength=rows)
 
 
-def assess(texts: pa.Array, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> dict[str, np.ndarray]:
+def assess(texts: pa.Array, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT, max_repeat_share: float = MAX_REPEAT_SHARE) -> dict[str, np.ndarray]:
     """All figures and the verdict for the texts of one slice."""
     data, offsets = tx.utf8(texts)
     rows = len(offsets) - 1
@@ -129,7 +134,7 @@ def assess(texts: pa.Array, min_repeat: int = MIN_REPEAT, max_covered: float = M
     }
     n = out["n_words"]
     out["base_failed"] = (n < BASE_MIN_WORDS) | (100 * out["n_repeat_words"] > BASE_MAX_PERCENT * n)
-    too_long = (longest > max_repeat) & (longest > MAX_REPEAT_SHARE * n)
+    too_long = (longest > max_repeat) & (longest > max_repeat_share * n)
     out["kept"] = ~(out["base_failed"] | (out["n_covered_words"] > max_covered * n) | too_long)
     return out
 
@@ -156,7 +161,7 @@ def quality_filter(docs, **limits):
 
 
 def op2_quality_repetition(spark, sf_dir):
-    return quality_report(tx.read_documents(spark, sf_dir)).drop("longest_repeat")
+    return quality_report(tx.read_documents(spark, sf_dir), **SQL_LIMITS).drop("longest_repeat")
 
 
 ORACLE_SQL = r"""
