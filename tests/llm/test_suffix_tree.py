@@ -1,9 +1,11 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veristream.llm import suffix_tree as st
@@ -65,3 +67,48 @@ def test_probabilities_sum_to_one(spark, texts, monkeypatch):
         before = draw.integers(0, len(hashes) + 1, 3)
         total = sum(tree.probabilities(np.array([*before, s]), np.arange(4))[-1] for s in range(len(hashes) + 1))
         assert total == pytest.approx(1.0)
+
+
+def word_states_by_hand(tokens_, n_tokens, order=3, least=2):
+    """Every state of words and the shares of the words after it, by plain dictionaries."""
+    grams = {m: Counter(tuple(t[i : i + m]) for t in tokens_ for i in range(len(t) - m + 1)) for m in range(1, order + 2)}
+    states = {}
+    for m in range(2, order + 2):
+        after = {}
+        for g, c in grams[m].items():
+            if c >= least:
+                after.setdefault(g[:-1], []).append((g, c))
+        for context, held_ in after.items():
+            n, sn = grams[m - 1][context], grams[m - 2][context[1:]] if m > 2 else n_tokens
+            q = [grams[m - 1][g[1:]] / sn for g, _ in held_]
+            gain = sum(2 * c * math.log(c / (n * x)) for (_, c), x in zip(held_, q, strict=True))
+            rest = n - sum(c for _, c in held_)
+            if rest > 0:
+                gain += 2 * rest * math.log(rest / (n * max(1 - sum(q), 1e-12)))
+            if gain > len(held_) + st.DEVIATIONS * math.sqrt(2 * len(held_)):
+                states[context] = {g[-1]: c / (n + st.PRIOR) for g, c in held_}
+    return states
+
+
+def test_contexts_of_rare_words_are_learned(spark):
+    draw = random.Random(4)
+    words = [f"w{k}" for k in range(3000)]
+    passage = " ".join(draw.choices(words, k=40))
+    rows = [(d, " ".join(draw.choices(words, k=60))) for d in range(200)]
+    ids = [d for d in range(1000, 2000) if not held(d)]
+    rows += [(ids[0], passage), (ids[1], passage)]
+    test_id = next(d for d in range(1000, 2000) if held(d))
+    rows.append((test_id, passage))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in st.score(df).collect()}
+    fresh = [r for d, r in got.items() if d < 200 and r.held_out]
+    gap = lambda r: (r.score - r.base_score) / r.n_tokens
+    assert gap(got[test_id]) > max(map(gap, fresh)) + 1.0
+
+    training = [tokens(t) for d, t in rows if not held(d)]
+    want = word_states_by_hand(training, sum(map(len, training)))
+    count = Counter(w for t in training for w in t)
+    counts = spark.createDataFrame([(int(h), c) for h, c in ((st.Tokens(pa.array([w or ""])).hash[0], c) for w, c in count.items())], "h long, c long")
+    states, entries = st.word_states(df.where(f"doc_id IN ({', '.join(str(d) for d, _ in rows if not held(d))})"), counts, sum(map(len, training)))
+    assert states.count() == len(want) > 0
+    assert entries.count() == sum(map(len, want.values()))

@@ -8,7 +8,14 @@ exceeds the chi-square's mean by ``DEVIATIONS`` standard deviations.  Its distri
 ``PRIOR`` times the longest suffix that stays (the root is add-one smoothed).  A token is scored in the longest
 suffix of what precedes it that is a state of the tree.
 
-All counts are over all training documents; the floors are shares of the corpus, so they act alike at every size and
+On top of that tree stand contexts of up to ``DEPTH`` whole words, rare ones too (:func:`word_states`).  Their floor is absolute: every
+context and next word seen ``LEAST`` times in training is counted, and a context stays by the same divergence test, in
+which next words seen less often are one cell and only the others count as degrees of freedom.  A word's probability
+there is its share of the context's counts, smoothed by ``PRIOR`` times that of the longest suffix that
+stays, at last the tree's.  These states are a distributed table that grows with the corpus: positions meet it in joins by hash.
+Bit maps of fixed size keep positions that can't match out of the joins; they decide nothing.
+
+All counts are over all training documents; the floors of the tree below are shares of the corpus, which
 prove the size of what is broadcast: at most 1 / SYMBOL symbols, 1 / CONTEXT contexts and 1 / ENTRY next symbols for
 each length, and 1 / LOOKUP words with their counts.  The counts of all other words stay distributed: a
 document's rare words meet them in a join by hash.
@@ -20,7 +27,7 @@ gives an empty result; other columns are ignored.  Words are told apart by 64-bi
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +42,10 @@ SYMBOL, CONTEXT, ENTRY, LOOKUP = 1e-3, 1e-4, 1e-6, 2e-6
 DEPTH = 3
 DEVIATIONS = 4.0
 PRIOR = 20.0
+#: Contexts of words, and words after them, are counted from this many occurrences on.
+LEAST = 2
+#: Bits of a map that keeps positions out of joins, as a power of two.
+MAP_BITS = 25
 
 #: Bits of a symbol: 1 / SYMBOL words, the end and the others fit.
 BITS = 11
@@ -46,6 +57,8 @@ _COUNTS = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 _GRAMS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 _RARE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
 _PART = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_other", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("other", pa.float64()), ("symbols", pa.float64())])
+_WORD_GRAMS = pa.schema([("context", pa.int64()), ("suffix", pa.int64()), ("n", pa.int64())])
+_PLACES = pa.schema([("text_hash", pa.int64()), ("place", pa.int64()), ("k", pa.int64()), ("key", pa.int64()), ("base", pa.float64()), ("near", pa.float64()), ("rare", pa.bool_())])
 _KINDS = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
 
 
@@ -126,6 +139,145 @@ def _rare_words(batches, lookup):
         yield tx.batch_of(_RARE, part.column("doc_id").cast(pa.int64()).take(rows), part.column("text_hash").take(rows), h[first], np.diff(first, append=len(h)))
 
 
+def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The hash of a gram from those of its words without the last and without the first."""
+    return tx.mix(context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + suffix.view(np.uint64)).view(np.int64)
+
+
+def word_grams(hashes: np.ndarray, length: int) -> np.ndarray:
+    """At each position the hash of the ``length`` tokens that end there; the first positions of a row are for the caller to mask."""
+    for _ in range(length - 1):
+        hashes = joined(np.concatenate([hashes[:1], hashes[:-1]]), hashes)
+    return hashes
+
+
+def _named(batches):
+    for batch in batches:
+        gram = joined(*(batch.column(n).to_numpy() for n in ("context", "suffix")))
+        yield pa.RecordBatch.from_arrays([pa.array(gram), *batch.columns], names=["gram", *batch.schema.names])
+
+
+def _map_place(h: np.ndarray) -> np.ndarray:
+    return h.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
+
+
+def _on_map(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = _map_place(h)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """A map of fixed size with the bits of all hashes ``h`` set."""
+    low = F.col("h").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    found = hashes.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("b")).toArrow()  # rows of objects would be ten times the map
+    bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    bits[found["at"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _count_word_grams(batches, length, bits):
+    for part in tx.slices(batches):
+        tokens = Tokens(part.column("text"))
+        shorter, gram = word_grams(tokens.hash, length - 1), word_grams(tokens.hash, length)
+        at = np.flatnonzero(tokens.place >= length - 1)
+        # What occurs LEAST times has a context and a suffix that do.
+        at = at[_on_map(shorter[at], bits.value)]
+        at = at[_on_map(shorter[at - 1], bits.value)]
+        _, first, n = np.unique(gram[at], return_index=True, return_counts=True)
+        yield tx.batch_of(_WORD_GRAMS, shorter[at[first] - 1], shorter[at[first]], n)
+
+
+def word_states(training: DataFrame, counts: DataFrame, n_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """``context, weight`` of all states of words and ``gram, own, last`` of the words seen after them, last being the word's count."""
+    context = training.sparkSession.sparkContext
+    total = F.lit(float(n_tokens))
+    shorter = counts.where(F.col("c") >= LEAST).select(F.col("h").alias("gram"), "c", total.alias("n"), F.col("c").alias("last"))
+    states, entries = [], []
+    for length in range(2, DEPTH + 2):
+        bits = context.broadcast(bit_map(shorter.select(F.col("gram").alias("h"))))
+        found = training.select("text").mapInArrow(partial(_count_word_grams, length=length, bits=bits), _ddl(_WORD_GRAMS))
+        grams_ = found.groupBy("context", "suffix").agg(F.sum("n").alias("c")).where(F.col("c") >= LEAST).mapInArrow(_named, "gram long, context long, suffix long, c long")
+        # A context occurs as often as the gram of its words: an end is never followed by anything.
+        of_context = shorter.select(F.col("gram").alias("context"), F.col("c").cast("double").alias("n"))
+        of_suffix = shorter.select(F.col("gram").alias("suffix"), F.col("c").alias("sc"), F.col("n").alias("sn"), "last")
+        table = stored(grams_.join(of_context, "context").join(of_suffix, "suffix"))
+        c, q = F.col("c"), F.col("sc") / F.col("sn")
+        own = table.groupBy("context").agg(F.first("n").alias("n"), F.sum(c).alias("seen"), F.sum(q).alias("share"), F.count("*").alias("free"), F.sum(2 * c * F.log(c / (F.col("n") * q))).alias("gain"))
+        rest = F.col("n") - F.col("seen")
+        rest_gain = F.when(rest > 0, 2 * rest * F.log(rest / (F.col("n") * F.greatest(1 - F.col("share"), F.lit(1e-12))))).otherwise(0.0)
+        tested = own.where(F.col("gain") + rest_gain > F.col("free") + DEVIATIONS * F.sqrt(2.0 * F.col("free")))
+        stay = stored(tested.select("context", (1 - F.col("seen") / (F.col("n") + PRIOR)).alias("weight")))
+        states.append(stay)
+        entries.append(table.join(stay, "context", "left_semi").select("gram", (c / (F.col("n") + PRIOR)).alias("own"), "last"))
+        shorter = table.select("gram", "c", "n", "last")
+    return reduce(DataFrame.union, states), stored(reduce(DataFrame.union, entries))
+
+
+class Model:
+    """What tasks need of the states of words: maps of their contexts and grams, and the log weights of the single words of
+    ``lookup`` (zero where a word isn't a state)."""
+
+    def __init__(self, contexts: np.ndarray, grams: np.ndarray, near: np.ndarray):
+        self.contexts, self.grams, self.near = contexts, grams, near
+
+    def places(self, tokens: Tokens, lookup: np.ndarray):
+        """For each length: positions, contexts and grams of what may be a state, and whether its weight is at hand; then
+        which positions may have a gram, and the log weight at hand of each position."""
+        near, held, met = np.zeros(len(tokens.hash)), np.zeros(len(tokens.hash), bool), []
+        for k in range(1, DEPTH + 1):
+            context, gram = word_grams(tokens.hash, k), word_grams(tokens.hash, k + 1)
+            p = np.flatnonzero(tokens.place >= k)
+            p = p[_on_map(context[p - 1], self.contexts)]
+            at_hand = np.zeros(len(p), bool)
+            if k == 1:
+                at = _found(context[p - 1], lookup)
+                near[p[at >= 0]] = self.near[at[at >= 0]]
+                at_hand = at >= 0
+            hit = _on_map(gram[p], self.grams)
+            held[p[hit]] = True
+            met.append((k, p, context[p - 1], gram[p], at_hand, hit))
+        return met, held, near
+
+
+def _word_places(batches, common, lookup, counts, tree, model, log_others):
+    """A row for each state that may stand before a position (k > 0) and for each gram that may end there (k < 0, its hash
+    inverted, as a gram is also the context of the next word), with the word's probability in the tree.  A word whose count isn't at hand (``rare``) still lacks the log of it."""
+    for part in tx.slices(batches):
+        tokens = Tokens(part.column("text"))
+        symbols = _symbols(tokens.hash, common)
+        at = _found(tokens.hash, lookup)
+        c = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
+        base = np.log10(tree.probabilities(symbols, tokens.place)) + np.where(symbols == 0, np.log10(c + 1.0) - log_others, 0.0)
+        text = part.column("text_hash")
+        met, held, near = model.value.places(tokens, lookup)
+        for k, p, context, gram, at_hand, hit in met:
+            q, g = p[hit], gram[hit]
+            yield tx.batch_of(_PLACES, text.take(pa.array(tokens.row[q])), tokens.place[q], np.full(len(q), -k), ~g, base[q], near[q], at[q] < 0)
+            q, none = p[~at_hand], np.ones((~at_hand).sum(), bool)
+            empty = pa.array(np.zeros(len(q)), mask=none)
+            yield tx.batch_of(_PLACES, text.take(pa.array(tokens.row[q])), tokens.place[q], np.full(len(q), k), context[~at_hand], empty, empty, none & False)
+
+
+def word_gains(docs: DataFrame, states: DataFrame, entries: DataFrame, known: dict) -> DataFrame:
+    """``t, gain``: by how much the states of words change the log probability of each text, but for the weights at hand of
+    positions without a gram."""
+    places = docs.select("text", "text_hash").mapInArrow(partial(_word_places, **known), _ddl(_PLACES))
+    table = states.select("context", "weight", F.lit(0).cast("long")).union(entries.select(F.bitwise_not("gram"), "own", "last")).toDF("key", "value", "last")
+    # A gram that isn't in the table keeps its row, for the weights at hand; a context that isn't goes.
+    met = places.join(table, "key", "left").where("k < 0 OR value IS NOT NULL")
+    of = lambda k, name: F.max(F.when(F.col("k") == k, F.col("value"))).alias(name)
+    # Rows of equal texts fall together here; each has the same gain.
+    every = [of(k, f"weight{k}") for k in range(1, DEPTH + 1)] + [of(-k, f"own{k}") for k in range(1, DEPTH + 1)]
+    # A rare word's count comes with the gram that holds it: without one the word's probability cancels.
+    at = met.groupBy("text_hash", "place").agg(F.max("base").alias("base"), F.max("near").alias("near"), F.max("rare").alias("rare"), F.max("last").alias("last"), *every)
+    base = F.pow(F.lit(10.0), F.coalesce("base", F.lit(0.0))) * F.when(F.col("rare"), F.coalesce("last", F.lit(0)) + 1.0).otherwise(1.0)
+    p = base
+    for k in range(1, DEPTH + 1):
+        weight = F.col(f"weight{k}") if k > 1 else F.coalesce("weight1", F.pow(F.lit(10.0), F.col("near")))
+        p = F.when(weight.isNull(), p).otherwise(F.coalesce(f"own{k}", F.lit(0.0)) + weight * p)
+    return at.groupBy(F.col("text_hash").alias("gt")).agg(F.sum(F.log10(p / base)).alias("gain"))
+
+
 class Tree:
     """The states: sorted context numbers with their weight for the next shorter state, and sorted grams with their own
     share; the root's distribution by symbol."""
@@ -145,19 +297,20 @@ class Tree:
         return p
 
 
-def _score(batches, common, lookup, counts, tree):
+def _score(batches, common, lookup, counts, tree, model):
     for part in tx.slices(batches):
         tokens = Tokens(part.column("text"))
         rows = len(tokens.counts)
         symbols = _symbols(tokens.hash, common)
         at = _found(tokens.hash, lookup)
         c = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
+        _, held, near = model.value.places(tokens, lookup)
         logs = np.log10(c + 1.0)  # 0 for the rare: their part comes from the join
         total = lambda values: np.bincount(tokens.row, values, rows)
         yield tx.batch_of(
             _PART, part.column("doc_id").cast(pa.int64()), part.column("text_hash"), part.column("held_out"), tokens.counts,
             total(symbols == 0).astype(np.int64), total(c > 0).astype(np.int64), total(logs), total(np.where(symbols == 0, logs, 0.0)),
-            total(np.log10(tree.probabilities(symbols, tokens.place))),
+            total(np.log10(tree.probabilities(symbols, tokens.place)) + np.where(held, 0.0, near)),
         )
 
 
@@ -204,19 +357,28 @@ def score(docs: DataFrame) -> DataFrame:
     common = common if END_HASH in common or not n else np.sort(np.append(common, END_HASH))
     others = n - int(lookup_counts[is_common].sum()), v - len(common)
     tree = grow(training, common, n)
+    states, entries = word_states(training, counts, n)
+    log_others = float(np.log10(sum(others) + 1))
+    light = states.join(counts.where(F.col("c") >= LOOKUP * n), F.col("context") == F.col("h")).select("context", "weight").toArrow()
+    near = np.zeros(len(lookup))
+    near[_found(light["context"].to_numpy(), lookup)] = np.log10(light["weight"].to_numpy())
+    model = spark.sparkContext.broadcast(Model(bit_map(states.select(F.col("context").alias("h"))), bit_map(entries.select(F.col("gram").alias("h"))), near))
+    known = {"common": common, "lookup": lookup, "counts": lookup_counts, "tree": tree, "model": model}
+    gains = word_gains(docs, states, entries, known | {"log_others": log_others})
     rare = docs.select("doc_id", "text", "text_hash").mapInArrow(partial(_rare_words, lookup=lookup), _ddl(_RARE))
     met = rare.join(counts, "h", "left")
     key = ["doc_id", "text_hash"]
     by_doc = met.groupBy(key).agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
     by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "rare", "rare_known")
-    parts = docs.mapInArrow(partial(_score, common=common, lookup=lookup, counts=lookup_counts, tree=tree), _ddl(_PART))
+    parts = docs.mapInArrow(partial(_score, **known), _ddl(_PART))
     same = F.count("*").over(Window.partitionBy(key))  # repeated rows: the join's sums are of all of them
     rows = parts.withColumn("same", same).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
-    rare, known = F.coalesce(F.col("rare") / F.col("same"), F.lit(0.0)), F.coalesce(F.col("rare_known") / F.col("same"), F.lit(0)).cast("long")
+    rows = rows.join(gains, F.col("text_hash") == F.col("gt"), "left")
+    rare, rare_known = F.coalesce(F.col("rare") / F.col("same"), F.lit(0.0)), F.coalesce(F.col("rare_known") / F.col("same"), F.lit(0)).cast("long")
     return rows.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + rare_known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + rare - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-        (F.col("symbols") + F.col("other") + rare - F.col("n_other") * float(np.log10(sum(others) + 1))).alias("score"),
+        (F.col("symbols") + F.col("other") + rare - F.col("n_other") * log_others + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
 
 
