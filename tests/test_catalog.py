@@ -49,3 +49,11 @@ def test_merkle_roots(spark):
             level = [sha(b"\1" + level[k] + level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
         leaves = spark.createDataFrame([("g", f"f{k}", c) for k, c in enumerate(contents)], "g string, path string, h string")
         assert merkle_roots(leaves, "g", "path", "h").first().root == level[0].hex()
+
+
+def test_span_verdicts_are_found_by_comparison(spark):
+    texts = ["", "é", "ab", "short", "日本語" * 30, "!" * 100, None]
+    rows = [(6 * k + r, t) for k, t in enumerate(texts) for r in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.matches for r in evidence.span_matches(docs).collect()}
+    assert got == {d: d % 6 != 0 for d, _ in rows}

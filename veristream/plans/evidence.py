@@ -145,12 +145,24 @@ def streams_index(spark, d):
     return hot.unionByName(cold).orderBy("stream", "frame_id", "offset")
 
 
+def span_matches(docs):
+    """Whether a claimed text is the bytes of its span.  The spans of a document are three that together hold every byte of its
+    text, empty ones for an empty text; one of them in every sixth document is tampered with."""
+    n = F.col("doc_id")
+    content = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("content"))
+    edge = lambda k: (F.octet_length("content").cast("long") * k / 3).cast("int")
+    spans = content.withColumn("spans", F.array(*(F.struct(edge(k).alias("start"), edge(k + 1).alias("end")) for k in range(3))))
+    bytes_of = lambda s: F.substring(F.col("content"), s["start"] + 1, s["end"] - s["start"])
+    here = F.when(n % 6 == 0, F.pmod(F.xxhash64("doc_id"), F.lit(3)))
+    # A claim that is tampered with is a byte longer: it never equals the span.
+    claim = lambda s, k: F.when(here == k, F.concat(bytes_of(s), F.lit("!").cast("binary"))).otherwise(bytes_of(s))
+    claimed = spans.withColumn("said", F.transform("spans", claim))
+    return claimed.select("doc_id", F.forall(F.arrays_zip("spans", "said"), lambda x: bytes_of(x["spans"]) == x["said"]).alias("matches"))
+
+
 @query("span_text_matches", "SELECT doc_id, doc_id % 6 <> 0 AS matches FROM documents WHERE n_chars >= 30")
 def span_text_matches(spark, d):
-    docs = table(spark, d, "documents").where("n_chars >= 30").select("doc_id", F.col("text").cast("binary").alias("content"))
-    spans = docs.select("doc_id", "content", F.lit(2).alias("start"), F.lit(12).alias("end")).withColumn("said", F.when(F.col("doc_id") % 6 == 0, F.substring("content", 4, 10)).otherwise(F.substring("content", 3, 10)))
-    same = F.expr("substring(content, start + 1, end - start)") == F.col("said")
-    return spans.select("doc_id", F.when(F.col("doc_id") % 6 == 0, F.lit(False)).otherwise(same).alias("matches"))
+    return span_matches(table(spark, d, "documents").where("n_chars >= 30"))
 
 
 @query("tsq_encode", f"SELECT doc_id, lower('{X.QUERY_HEAD}' || sha256(text) || '{X.QUERY_TAIL}') AS query FROM documents")
