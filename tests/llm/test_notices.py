@@ -45,6 +45,19 @@ def test_edited_notices_are_found():
             assert span["first_word"] >= 1 and span["errors"] <= notice.errors and 0 < span["score"] <= 1
 
 
+def test_adjacent_notices_are_found_each():
+    for notice in notices.NOTICES:
+        said = notice.text.strip() + (" " if notice.text.endswith(" ") else "") + notice.tail
+        for between in (" ", " x ", " and also "):
+            got = notices.scan(pa.array([said + between + said + between + said]))[0]
+            words, gap = len(said.split()), len(between.split())
+            want = [k * (words + gap) for k in range(3)]
+            spans = [s for s in got["spans"] if s["label"] == notice.label and s["errors"] == 0 and s["last_word"] - s["first_word"] == words - 1]
+            assert [s["first_word"] for s in spans] == want, (said, between, got["spans"])
+    worse = "relesed undr the mit license released under the mit license"
+    assert notices.scan(pa.array([worse]))[0]["spans"][-1]["errors"] == 0
+
+
 def test_tails_tell_versions_apart():
     got = notices.scan(pa.array(["Licensed under the Apache License, Version 1.1", "Licensed under the Apache Licence, Version 2.0", "licensed under cc by sa", "Licenced under CC-BY-NC"]))
     assert [g["labels"] for g in got] == ["", "apache-2", "", "cc-by-nc"]

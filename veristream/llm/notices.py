@@ -111,11 +111,13 @@ def scan(texts: pa.Array) -> list[dict]:
         for row, begins in windows.items():
             line, at = buffer[lines[row] : lines[row + 1] - 1], -1
             for begin in sorted(begins):
-                # Every character before the place may be of four bytes; the window ends at word ends.
-                a = max(0, begin - int(lines[row]) - notice.errors - 4)
-                b = begin - int(lines[row]) + len(notice.text) + 4 * notice.errors + len(notice.tail) + 4
-                if a < at:  # within the last match
+                # Every character put in before the place may be of four bytes; the window ends at word ends.
+                begin -= int(lines[row])
+                a = max(0, begin - 4 * notice.errors - 4)
+                b = begin + len(notice.text) + 4 * notice.errors + len(notice.tail) + 4
+                if begin + len(notice.text) <= at:  # within the last match
                     continue
+                a = max(a, at)  # what follows a match begins at its end
                 a, b = line.rfind(b" ", 0, a + 1), line.find(b" ", max(b, 0))
                 a, b = max(a, 0), b if b >= 0 else len(line)
                 window = line[a : b + 1].decode("utf-8", "replace")
