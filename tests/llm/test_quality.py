@@ -83,3 +83,26 @@ def test_odd_rows(odd, empty, as_table, spark):
     kept = quality.quality_filter(odd)
     assert kept.schema == odd.schema and kept.columns == odd.columns and 0 < kept.count() < odd.count()
     assert quality.quality_filter(empty).count() == quality.quality_report(empty).count() == 0
+
+
+def test_words_that_a_polynomial_confuses():
+    """Long words that a polynomial modulo 2^64 can't tell apart are different words, and different lines."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    text = " ".join(f"{a if k < 9 else b} u{k % 9}" for k in range(18)) + f"\n{a}\n{b}"
+    got = quality.assess(pa.array([text]))
+    words = text.split()
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    assert got["n_repeat_words"].tolist() == [len({i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(5)})]
+    assert got["n_dup_lines"].tolist() == [0] and got["longest_repeat"].tolist() == [max(longest_by_hand(words))]
+
+
+def test_kept_is_decided_below_the_base_rule(spark, as_table):
+    """The query's verdict differs from the base rule's, as its SQL's does."""
+    fresh = [f"u{k}" for k in range(700)]
+    rows = [(0, " ".join([*fresh, *fresh[:51]])), (1, " ".join([*fresh, *fresh[:50]])), (2, " ".join(fresh)), (3, None)]
+    folder = as_table(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.op2_quality_repetition(spark, folder).collect()}
+    assert got == {0: (False, False), 1: (False, True), 2: (False, True), 3: (True, False)}
+    con = oracle.connect(folder)
+    oracle.same(quality.op2_quality_repetition(spark, folder), con, quality.ORACLE_SQL)

@@ -61,3 +61,35 @@ def test_odd_rows(odd, empty):
 
 def test_query_equals_its_sql(spark, sf_dir):
     oracle.same(substrings.op3_substring_dedup(spark, sf_dir), oracle.connect(sf_dir), substrings.ORACLE_SQL)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Two long words that a polynomial modulo 2^64 can't tell apart."""
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{head} {a}"), (2, f"{head} {b}"), (3, f"{head} {a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = result(substrings.deduplicate(df))
+    assert got == by_hand(rows, 20) and [r[2] for r in got] == [0, 0, 20]
+
+
+def test_what_is_left_keeps_its_lines(spark):
+    passage = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, passage), (2, f"title  line\n\n{passage}\nnext\tline\n"), (3, f"{passage}\n\nend "), (4, f" é {passage}"), (5, None), (6, "a\n b ")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) AS n_chars")).collect()}
+    want = {1: passage, 2: "title  line\n\nnext\tline\n", 3: "end ", 4: " é ", 5: None, 6: "a\n b "}
+    assert got == {d: (t, None if t is None else len(t)) for d, t in want.items()}
+
+
+def test_many_rows_without_id_or_words(spark):
+    draw = random.Random(7)
+    passage = " ".join(f"w{k}" for k in range(25))
+    rows = [(None, None)] * 300 + [(None, "few words")] * 300 + [(None, f"{passage} {draw.random()}") for _ in range(50)] + [(4, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = result(substrings.deduplicate(df, group_bytes=500, bucket_keys=50))
+    assert got == by_hand(rows, 20)

@@ -90,7 +90,7 @@ def scan(texts: pa.Array) -> list[dict]:
     place = np.concatenate([[0], np.cumsum(lengths + 1)])
     start = place[:-1] + 2 * words.row + 1
     buffer = np.full(int(place[-1]) + 2 * rows, 0x20, np.uint8)
-    buffer[tx.ranges(start, lengths)] = words.data[words.inside]
+    tx.put(buffer, start, lengths, words.data[words.inside])
     lines = place[words.bounds[1:]] + 2 * np.arange(1, rows + 1)
     buffer[lines - 1] = 0x0A
     buffer, lines = buffer.tobytes(), np.concatenate([[0], lines])

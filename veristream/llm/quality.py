@@ -5,10 +5,8 @@ unique leave the loop, so clean prose costs about two sorts.  Longest-common-pre
 suffixes give, for each word, the longest repeat that starts there.  Spans of maximal repeats of at least
 ``MIN_REPEAT`` words are united.  A document is rejected when more than ``MAX_COVERED`` of its words lie in
 such spans, or when one repeat is longer than ``MAX_REPEAT`` words.  Both limits bind below the base rule's
-``BASE_MAX_PERCENT``.  Everything is local to a document: no shuffle.
-
-The query op2 is held to its SQL, whose limits (``SQL_LIMITS``) reject nothing that the base rule keeps: a covered share of
-over 0.3, or a repeat of over a fifth of the document, implies that the base rule fails.
+``BASE_MAX_PERCENT``.  Words are told apart by their bytes.  Everything is local to a document: no shuffle, and memory
+grows with the longest document.
 
 Defined results: a null text is an empty one (no words, so the base rule rejects it); repeated rows and ties are
 judged one by one; an empty table gives an empty result; other columns are kept by :func:`quality_filter` and
@@ -27,9 +25,8 @@ from . import textops as tx
 MIN_REPEAT = 8
 MAX_COVERED = 0.15
 MAX_REPEAT = 50
-#: A repeat must also be longer than this share of the document.
-MAX_REPEAT_SHARE = 0.0
-SQL_LIMITS = {"max_covered": 0.3, "max_repeat": 50, "max_repeat_share": 0.2}
+#: Pairs of neighbouring suffixes that are compared at once.
+PAIRS = 1 << 20
 BASE_MIN_WORDS = 10
 BASE_WINDOW = 5
 BASE_MAX_PERCENT = 20
@@ -51,6 +48,7 @@ def longest_repeats(symbols: np.ndarray, row_end: np.ndarray) -> np.ndarray:
 
     ``symbols`` differ between rows; ``row_end`` is the index after the last position of a row."""
     n = len(symbols)
+    row_end = row_end.astype(np.int32)
     order = np.argsort(symbols, kind="stable")
     fresh = np.ones(n, bool)
     fresh[1:] = symbols[order[1:]] != symbols[order[:-1]]
@@ -73,30 +71,32 @@ def longest_repeats(symbols: np.ndarray, row_end: np.ndarray) -> np.ndarray:
         levels.append(rank.copy())
         active = at[np.bincount(part_at, minlength=len(at))[part_at] > 1]
         width *= 2
-    suffixes = np.empty(n, np.int64)
-    suffixes[rank] = np.arange(n)
-    left, right = suffixes[:-1], suffixes[1:]
-    same = np.flatnonzero(levels[0][left] == levels[0][right])
-    left, right = left[same], right[same]
-    end, common = row_end[left], np.zeros(len(left), np.int64)
-    for k in reversed(range(len(levels))):
-        a, b = left + common, right + common
-        fits = np.maximum(a, b) + (1 << k) <= end
-        equal = levels[k][np.minimum(a, n - 1)] == levels[k][np.minimum(b, n - 1)]
-        common += (fits & equal) * (1 << k)
-    best = np.zeros(n, np.int64)
-    np.maximum.at(best, left, common)
-    np.maximum.at(best, right, common)
+    suffixes = np.empty(n, np.int32)
+    suffixes[rank] = np.arange(n, dtype=np.int32)
+    best = np.zeros(n, np.int32)
+    for at in range(0, n - 1, PAIRS):
+        left, right = suffixes[at : at + PAIRS], suffixes[at + 1 : at + PAIRS + 1]
+        left = left[: len(right)]
+        same = np.flatnonzero(levels[0][left] == levels[0][right])
+        left, right = left[same], right[same]
+        end, common = row_end[left], np.zeros(len(left), np.int32)
+        for k in reversed(range(len(levels))):
+            a, b = left + common, right + common
+            fits = np.maximum(a, b) + (1 << k) <= end
+            equal = levels[k][np.minimum(a, n - 1)] == levels[k][np.minimum(b, n - 1)]
+            common += (fits & equal) * np.int32(1 << k)
+        np.maximum.at(best, left, common)
+        np.maximum.at(best, right, common)
     return best
 
 
 def covered(best: np.ndarray, least: int) -> np.ndarray:
     """Which positions lie in the union of all repeats of at least ``least`` words."""
     at = np.flatnonzero(best >= least)
-    edge = np.zeros(len(best) + 1, np.int64)
+    edge = np.zeros(len(best) + 1, np.int32)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + best[at], -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def duplicate_lines(data: np.ndarray, offsets: np.ndarray, words: tx.Words) -> np.ndarray:
@@ -106,27 +106,28 @@ def duplicate_lines(data: np.ndarray, offsets: np.ndarray, words: tx.Words) -> n
     if not len(lines):
         return np.zeros(rows, np.int64)
     has_word = np.searchsorted(words.starts, lines.ends) > np.searchsorted(words.starts, lines.starts)
-    keys = lines.hashes()[has_word] ^ tx.mix(lines.row[has_word].astype(np.uint64) + np.uint64(1))
+    codes, distinct = lines.codes()
     row = lines.row[has_word]
-    _, first = np.unique(keys, return_index=True)
+    _, first = np.unique(row.astype(np.int64) * len(distinct) + codes[has_word], return_index=True)
     return np.bincount(row, minlength=rows) - np.bincount(row[first], minlength=rows)
 
 
-def assess(texts: pa.Array, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT, max_repeat_share: float = MAX_REPEAT_SHARE) -> dict[str, np.ndarray]:
+def assess(texts: pa.Array, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> dict[str, np.ndarray]:
     """All figures and the verdict for the texts of one slice."""
     data, offsets = tx.utf8(texts)
     rows = len(offsets) - 1
     words = tx.Words(data, offsets)
     per_row = lambda mask: np.bincount(words.row[mask], minlength=rows)
-    points = np.concatenate([[0], np.cumsum(words.inside & ((data & 0xC0) != 0x80))])
-    symbols = np.concatenate([[0], np.cumsum(_IS_SYMBOL[data])])
-    best = longest_repeats(words.hashes() ^ tx.mix(words.row.astype(np.uint64) + np.uint64(1)), words.row_end()) if len(words) else np.zeros(0, np.int64)
+    best = np.zeros(0, np.int32)
+    if len(words):
+        codes, distinct = words.codes()
+        best = longest_repeats(words.row.astype(np.int64) * len(distinct) + codes, words.row_end())
     longest = np.zeros(rows, np.int64)
     np.maximum.at(longest, words.row, best)
     out = {
         "n_words": words.counts,
-        "word_chars": points[offsets[1:]] - points[offsets[:-1]],
-        "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]],
+        "word_chars": tx.row_sums(words.inside & ((data & 0xC0) != 0x80), offsets),
+        "n_symbols": tx.row_sums(_IS_SYMBOL[data], offsets),
         "n_dup_lines": duplicate_lines(data, offsets, words),
         "n_repeat_words": per_row(covered(best, BASE_WINDOW)),
         "n_covered_words": per_row(covered(best, min_repeat)),
@@ -134,8 +135,7 @@ def assess(texts: pa.Array, min_repeat: int = MIN_REPEAT, max_covered: float = M
     }
     n = out["n_words"]
     out["base_failed"] = (n < BASE_MIN_WORDS) | (100 * out["n_repeat_words"] > BASE_MAX_PERCENT * n)
-    too_long = (longest > max_repeat) & (longest > max_repeat_share * n)
-    out["kept"] = ~(out["base_failed"] | (out["n_covered_words"] > max_covered * n) | too_long)
+    out["kept"] = ~(out["base_failed"] | (out["n_covered_words"] > max_covered * n) | (longest > max_repeat))
     return out
 
 
@@ -161,7 +161,7 @@ def quality_filter(docs, **limits):
 
 
 def op2_quality_repetition(spark, sf_dir):
-    return quality_report(tx.read_documents(spark, sf_dir), **SQL_LIMITS).drop("longest_repeat")
+    return quality_report(tx.read_documents(spark, sf_dir)).drop("longest_repeat")
 
 
 ORACLE_SQL = r"""
@@ -176,14 +176,10 @@ c AS (SELECT r, n, i,
         g5 IS NOT NULL AND count(g5) OVER (PARTITION BY r, g5) > 1 AS r5,
         g8 IS NOT NULL AND count(g8) OVER (PARTITION BY r, g8) > 1 AS r8,
         g51 IS NOT NULL AND count(g51) OVER (PARTITION BY r, g51) > 1 AS r51 FROM g),
-v AS (SELECT r, i, n, max(r5::int) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS v5,
-        max(r8::int) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS v8, r51 FROM c),
-runs AS (SELECT r, i - row_number() OVER (PARTITION BY r ORDER BY i) AS run, i, n FROM c WHERE r51),
-s AS (SELECT r, sum(v5) AS n_repeat_words, sum(v8) AS n_covered_words FROM v GROUP BY r),
--- A repeat of over 50 words that is longer than a fifth of the document: a window of that many words found twice.
-big AS (SELECT DISTINCT r FROM (
-        SELECT q.r, q.i, md5(list_aggregate(w.ws[q.i:q.i + greatest(50, floor(q.n / 5)::bigint)], 'string_agg', ' ')) AS g
-        FROM runs q JOIN w ON w.r = q.r WHERE q.i + greatest(50, floor(q.n / 5)::bigint) <= q.n) GROUP BY r, g HAVING count(*) > 1),
+v AS (SELECT r, r51, max(r5::int) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS v5,
+        max(r8::int) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS v8 FROM c),
+-- A repeat of over 50 words is a window of 51 words found twice.
+s AS (SELECT r, sum(v5) AS n_repeat_words, sum(v8) AS n_covered_words, bool_or(r51) AS too_long FROM v GROUP BY r),
 l AS (SELECT r, line, count(*) AS c FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
       WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line),
 dl AS (SELECT r, sum(c - 1) AS n_dup_lines FROM l GROUP BY r),
@@ -191,11 +187,11 @@ f AS (SELECT w.r, w.doc_id, len(ws)::bigint AS n_words,
         coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint AS word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols,
         coalesce(n_dup_lines, 0)::bigint AS n_dup_lines, coalesce(n_repeat_words, 0)::bigint AS n_repeat_words,
-        coalesce(n_covered_words, 0)::bigint AS n_covered_words, big.r IS NOT NULL AS too_long
-      FROM w LEFT JOIN s USING (r) LEFT JOIN dl USING (r) LEFT JOIN big ON big.r = w.r)
+        coalesce(n_covered_words, 0)::bigint AS n_covered_words, coalesce(too_long, false) AS too_long
+      FROM w LEFT JOIN s USING (r) LEFT JOIN dl USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_covered_words > 0.3 * n_words OR too_long) AS kept,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_covered_words > 0.15 * n_words OR too_long) AS kept,
   n_covered_words
 FROM f
 """

@@ -12,6 +12,7 @@ starts.  So:
    earlier elsewhere.
 3. *Remove.*  Windows that start earlier elsewhere, or earlier in the group, are united to maximal repeats and cut.
 
+Words are told apart by 128-bit BLAKE2b digests, windows by 64 finalised bits of either half (96 of them between groups).
 The first step only filters (its 32-bit keys may let chance hits through, which the second step refutes).  A text
 passes one shuffle, which all three steps share.  A passage found in many documents is one entry a group, so no
 key is hot; no pair of documents is ever formed.
@@ -40,7 +41,6 @@ BUCKET_KEYS = 1 << 20
 WORD_BYTES = 6
 
 _NO_ID = np.iinfo(np.int64).max
-_SECOND_BASE = 0x9FB21C651E98DF25
 _MASK = np.uint64(0xFFFFFFFF)
 
 
@@ -76,16 +76,19 @@ class Group:
         join = lambda of: np.concatenate(of) if of else np.zeros(0, np.int64)
         self.counts = join([p.counts for p in parts])
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
-        self.hash = join([p.hashes() for p in parts]).astype(np.uint64)
-        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.place = np.arange(len(self.hash)) - np.repeat(self.bounds[:-1], self.counts)
-        self.left = np.repeat(self.bounds[1:], self.counts) - np.arange(len(self.hash))
+        digests = [p.digests() for p in parts]
+        self.halves = [join([d[k] for d in digests]).astype(np.uint64) for k in range(2)]
+        self.size = len(self.halves[0])
+        self.row = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+        here = np.arange(self.size, dtype=np.int64)
+        self.place = (here - np.repeat(self.bounds[:-1], self.counts)).astype(np.int32)
+        self.left = (np.repeat(self.bounds[1:], self.counts) - here).astype(np.int32)
         self.parts = parts
 
-    def windows(self, width: int, *bases: int) -> list[np.ndarray]:
-        """The first positions of all windows and their hashes, one array for each base."""
+    def windows(self, width: int, halves: int = 1) -> list[np.ndarray]:
+        """The first positions of all windows and their hashes, one array for each half of the words' digests."""
         at = np.flatnonzero(self.left >= width)
-        return [at, *(tx.rolling(self.hash, width, *([b] if b else []))[at] for b in bases or (0,))]
+        return [at, *(tx.windows(half, width)[at] for half in self.halves[:halves])]
 
     def joined(self, keep: np.ndarray) -> pa.Array:
         """For each document its kept words, joined by one space."""
@@ -98,7 +101,7 @@ class Group:
             size = lengths + 1
             begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0, np.int64)
             buffer = np.full(int(size.sum()), 0x20, np.uint8)
-            buffer[tx.ranges(begin, lengths)] = p.data[p.inside][np.repeat(kept, p.ends - p.starts)]
+            tx.put(buffer, begin, lengths, p.data[p.inside][np.repeat(kept, p.ends - p.starts)])
             ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
             # The space after a row's last word goes.
             drop = np.zeros(len(buffer), bool)
@@ -107,6 +110,24 @@ class Group:
             out.append(pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(buffer[~drop].tobytes())).cast(pa.string()))
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
+    def spliced(self, keep: np.ndarray) -> pa.Array:
+        """The texts without the words that aren't kept and the white space behind each; all else stays as it is."""
+        out, word = [], 0
+        for p in self.parts:
+            gone = ~keep[word : word + len(p)]
+            word += len(p)
+            edge = np.zeros(len(p.data) + 1, np.int8)
+            # A word's stretch goes on to the next word of its row, or to the row's end.
+            ends = np.append(p.starts[1:], len(p.data)).astype(np.int64)
+            last = p.bounds[1:][p.counts > 0] - 1
+            ends[last] = p.offsets[1:][p.counts > 0]
+            np.add.at(edge, p.starts[gone], 1)
+            np.add.at(edge, ends[gone], -1)
+            stay = np.cumsum(edge[:-1], dtype=np.int8) == 0
+            offsets = np.concatenate([[0], np.cumsum(tx.row_sums(stay, p.offsets))]).astype(np.int64)
+            out.append(pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(p.data[stay]))).cast(pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
 
 def _by_bucket(bucket: np.ndarray):
     """Runs of equal values of a sorted array: value, begin, end."""
@@ -138,8 +159,8 @@ def _ddl(schema: pa.Schema) -> str:
 class Steps:
     """The functions that run inside tasks."""
 
-    def __init__(self, window: int, buckets: int):
-        self.window, self.block, self.buckets = window, window // 2, buckets
+    def __init__(self, window: int, buckets: int, spliced: bool):
+        self.window, self.block, self.buckets, self.spliced = window, window // 2, buckets, spliced
 
     def probe(self, key, table):
         group = Group(table)
@@ -182,11 +203,11 @@ class Steps:
         if not rows:
             return _table(_CANDIDATES, [])
         known = np.concatenate([unpack_sorted(b, np.uint32).astype(np.uint64) | np.uint64(bucket << 32) for bucket, b in rows])
-        hit = np.zeros(len(group.hash) + 1, np.int64)
+        hit = np.zeros(group.size + 1, np.int32)
         k = _key(h, self.buckets)
         hit[1:][at[known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k]] = 1
-        hit = np.cumsum(hit)
-        at, h, check = group.windows(self.window, 0, _SECOND_BASE)
+        hit = np.cumsum(hit, dtype=np.int32)
+        at, h, check = group.windows(self.window, 2)
         some = hit[at + self.window - self.block + 1] > hit[at]
         at, h, check = at[some], h[some], (check[some] & _MASK).astype(np.uint32)
         bucket = ((h >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
@@ -217,24 +238,24 @@ class Steps:
     def removed(self, group: Group, right) -> np.ndarray:
         """Which words of the group lie in a window that starts earlier."""
         at, h = group.windows(self.window)
-        gone = np.zeros(len(group.hash), bool)
+        gone = np.zeros(group.size, bool)
         if not len(at):
             return gone
         lost = [unpack_sorted(b, np.uint64) for b in right.column("hash").to_pylist()]
         lost = np.sort(np.concatenate(lost)) if lost else np.zeros(0, np.uint64)
         later = lost[np.minimum(np.searchsorted(lost, h), len(lost) - 1)] == h if len(lost) else np.zeros(len(h), bool)
         _, rank = np.unique(group.ids, return_inverse=True)
-        start = (rank[group.row[at]] << 32) + group.place[at]
+        start = (rank[group.row[at]].astype(np.int64) << 32) + group.place[at]
         order = np.argsort(h)
         ranked = h[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         least = np.empty(len(h), np.int64)
         least[order] = np.repeat(np.minimum.reduceat(start[order], first), np.diff(first, append=len(h)))
-        edge = np.zeros(len(gone) + 1, np.int64)
+        edge = np.zeros(len(gone) + 1, np.int32)
         cut = at[later | (start > least)]
         np.add.at(edge, cut, 1)
         np.add.at(edge, cut + self.window, -1)
-        return np.cumsum(edge[:-1]) > 0
+        return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
     def cut(self, key, left, right):
         group = Group(left)
@@ -244,31 +265,42 @@ class Steps:
         ends = gone & ((group.left == 1) | ~np.concatenate([gone[1:], [False]])[: len(gone)])
         at = np.concatenate([[0], np.cumsum(np.bincount(group.row[begins], minlength=rows))]).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v.astype(np.int32))) for v in (group.place[begins], group.place[ends] + 1)]
-        return pa.table({"doc": group.docs, "n_words": group.counts.astype(np.int64), "n_removed": np.bincount(group.row[gone], minlength=rows).astype(np.int64), "kept": group.joined(~gone), "removed_from": lists[0], "removed_to": lists[1]})
+        return pa.table({"doc": group.docs, "n_words": group.counts.astype(np.int64), "n_removed": np.bincount(group.row[gone], minlength=rows).astype(np.int64), "kept": group.spliced(~gone) if self.spliced else group.joined(~gone), "removed_from": lists[0], "removed_to": lists[1]})
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """For each document: ``doc`` (its row), ``n_words``, ``n_removed``, ``kept`` (the words left, joined by one space) and
-    ``removed_from``, ``removed_to``: the maximal repeats that were cut, as ranges of words."""
+def deduplicate(
+    docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, bucket_keys: int = BUCKET_KEYS, spliced: bool = False
+) -> DataFrame:
+    """For each document: ``doc`` (its row), ``n_words``, ``n_removed``, ``kept`` (the words left, joined by one space; or, if
+    ``spliced``, the text with the repeats cut out and all else as it was) and ``removed_from``, ``removed_to``: the maximal
+    repeats that were cut, as ranges of words."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    steps = Steps(window, 1 + total // (WORD_BYTES * bucket_keys))
-    dealt = docs.select(F.pmod(F.hash("doc_id"), F.lit(1 + total // group_bytes)).cast("long").alias("g"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    steps = Steps(window, 1 + total // (WORD_BYTES * bucket_keys), spliced)
+    n_groups = F.lit(1 + total // group_bytes)
+    # What is too short to hold a window may lie in any group: no text or id that many such rows share makes a hot one.
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < 2 * window - 1
+    g = F.when(short, F.pmod(F.monotonically_increasing_id(), n_groups)).otherwise(F.pmod(F.xxhash64("doc_id", "text"), n_groups))
+    dealt = docs.select(g.cast("long").alias("g"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
     by_group = dealt.groupBy("g")
-    hits = by_group.applyInArrow(lambda k, t: steps.probe(k, t), _ddl(_PROBES)).groupBy("bucket").applyInArrow(lambda k, t: steps.hits(k, t), _ddl(_HITS))
+    probes = by_group.applyInArrow(lambda k, t: steps.probe(k, t), _ddl(_PROBES))
+    hits = probes.groupBy("bucket").applyInArrow(lambda k, t: steps.hits(k, t), _ddl(_HITS))
     candidates = by_group.cogroup(hits.groupBy("g")).applyInArrow(lambda k, a, b: steps.candidates(k, a, b), _ddl(_CANDIDATES))
     lost = candidates.groupBy("bucket").applyInArrow(lambda k, t: steps.lost(k, t), _ddl(_LOST))
     numbers = T.ArrayType(T.IntegerType())
-    out = T.StructType().add("doc", dealt.schema["doc"].dataType).add("n_words", "long").add("n_removed", "long").add("kept", "string").add("removed_from", numbers).add("removed_to", numbers)
+    out = T.StructType().add("doc", dealt.schema["doc"].dataType).add("n_words", "long").add("n_removed", "long")
+    out = out.add("kept", "string").add("removed_from", numbers).add("removed_to", numbers)
     return by_group.cogroup(lost.groupBy("g")).applyInArrow(lambda k, a, b: steps.cut(k, a, b), out)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their repeats cut out of ``text`` (and ``n_chars``, where there is one, brought up to date);
-    texts with nothing to cut stay as they are."""
-    found = deduplicate(docs)
+    what is left keeps its lines and spaces, and a null text stays null."""
+    found = deduplicate(docs, spliced=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("doc.text"))
-    chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None
-    return found.select(*(text.alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("doc.n_chars"))
+    return found.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op3_substring_dedup(spark, sf_dir):

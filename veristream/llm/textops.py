@@ -6,6 +6,8 @@ All functions work on one slice of an Arrow batch at a time, so a task's memory
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,10 +22,6 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_POWERS = np.ones(1, np.uint64)
-
-
 def read_documents(spark, sf_dir: str):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -64,65 +62,83 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        base = np.full(max(n, 2 * len(_POWERS)), _BYTE_BASE, np.uint64)
-        base[0] = 1
-        _POWERS = np.multiply.accumulate(base)
-    return _POWERS
-
-
 class Words:
     """The words of a slice: byte positions, the row of each, and the range of words of each row."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, is_break: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
-        inside = ~is_break[data]
-        first = np.zeros(len(data) + 1, bool)
-        first[offsets] = True
-        before = first[:-1].copy()
-        before[1:] |= ~inside[:-1]
-        after = first[1:].copy()
-        after[-1:] = True
-        after[:-1] |= ~inside[1:]
-        self.inside = inside
-        self.starts = np.flatnonzero(inside & before)
-        self.ends = np.flatnonzero(inside & after) + 1
-        self.row = np.searchsorted(offsets, self.starts, "right") - 1
-        self.counts = np.bincount(self.row, minlength=len(offsets) - 1)
-        self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
+        self.inside = inside = ~is_break[data]
+        # A word begins, or ends, where its row or a run of break bytes does.
+        edge = np.empty(len(data) + 1, bool)
+        edge[:-1], edge[-1:] = inside, False
+        edge[1:-1] &= ~inside[:-1]
+        rows = offsets[:-1][offsets[1:] > offsets[:-1]]
+        edge[rows] = inside[rows]
+        narrow = np.int32 if len(data) < 1 << 30 else np.int64
+        self.starts = np.flatnonzero(edge[:-1]).astype(narrow)
+        edge[1:], edge[0] = inside, False
+        edge[1:-1] &= ~inside[1:]
+        last = offsets[1:][offsets[1:] > offsets[:-1]]
+        edge[last] = inside[last - 1]
+        self.ends = np.flatnonzero(edge).astype(narrow)
+        self.bounds = np.searchsorted(self.starts, offsets).astype(np.int64)
+        self.counts = np.diff(self.bounds)
+        self.row = np.repeat(np.arange(len(offsets) - 1, dtype=narrow), self.counts)
 
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hashes of the words' bytes, the same in every task; ``data`` may be a lower-cased copy."""
-        return span_hashes((self.data if data is None else data)[self.inside], self.ends - self.starts)
+    def codes(self, data: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array]:
+        """A number for each word, equal for equal bytes only, and the distinct words that the numbers stand for;
+        ``data`` may be a lower-cased copy."""
+        return span_codes((self.data if data is None else data)[self.inside], self.ends - self.starts)
+
+    def digests(self, data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of a 128-bit digest of each word, the same in every task."""
+        codes, distinct = self.codes(data)
+        halves = span_digests(distinct)
+        return halves[codes, 0], halves[codes, 1]
 
     def row_end(self) -> np.ndarray:
         """For each word, the index after the last word of its row."""
         return self.bounds[self.row + 1]
 
 
-def span_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of consecutive non-empty byte spans that together make up ``data``."""
-    if not len(lengths):
-        return np.zeros(0, np.uint64)
-    at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(len(data)) - np.repeat(at, lengths)
-    terms = (data.astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(terms, at) ^ (lengths.astype(np.uint64) << np.uint64(48)))
+def span_codes(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of consecutive byte spans that together make up ``data``, by comparison of their bytes."""
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def span_digests(spans: pa.Array) -> np.ndarray:
+    """128-bit BLAKE2b digests of byte strings, as rows of two 64-bit numbers.  Nobody can choose strings that collide."""
+    digest = hashlib.blake2b
+    joined = b"".join(digest(s, digest_size=16).digest() for s in spans.to_pylist())
+    return np.frombuffer(joined, "<u8").reshape(-1, 2)
 
 
-def rolling(h: np.ndarray, width: int, base: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:
-    """Hashes of all windows of ``width`` items; windows that cross rows are for the caller to mask."""
+def windows(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of ``width`` items; windows that cross rows are for the caller to mask.
+
+    Windows of powers of two are put together from two halves, each step finalised, so that no order of items
+    cancels out as it would in a polynomial."""
     n = max(0, len(h) - width + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out *= np.uint64(base)
-        out += h[k : k + n]
-    return mix(out)
+    part, size, out, done = h, 1, None, 0
+    while n:
+        if width & size:
+            at = part[done : done + n]
+            out, done = (at.copy() if out is None else _pair(out, at)), done + size
+        if done == width:
+            return out
+        part, size = _pair(part[: len(part) - size], part[size:]), 2 * size
+    return np.zeros(0, np.uint64)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -132,5 +148,24 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(at, lengths) + np.repeat(starts, lengths)
 
 
+def put(buffer: np.ndarray, begin: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> None:
+    """Write consecutive spans of ``data`` to their places in ``buffer``, some megabytes at a time."""
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < len(lengths):
+        done = int(ends[at] - lengths[at])
+        upto = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+        buffer[ranges(begin[at:upto], lengths[at:upto])] = data[done : int(ends[upto - 1])]
+        at = upto
+
+
+def row_sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each row the mask holds."""
+    out, filled = np.zeros(len(offsets) - 1, np.int64), offsets[1:] > offsets[:-1]
+    if filled.any():
+        out[filled] = np.add.reduceat(mask, offsets[:-1][filled], dtype=np.int64)
+    return out
+
+
 def batch_of(schema: pa.Schema, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(arrays, schema.types, strict=True)], schema=schema)

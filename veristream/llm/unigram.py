@@ -31,8 +31,8 @@ VOCABULARY = "piece_bpe_32k.model"
 SPACE_MARK = "▁"
 #: Fixed value: how far below the lowest score an unknown character lies.
 UNKNOWN_PENALTY = 10.0
-#: Segments a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Bytes of distinct segments that a task remembers before it starts anew.
+REMEMBERED = 8 << 20
 
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_segments", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
 _ONLY_SPACE = np.zeros(256, bool)
@@ -57,6 +57,7 @@ class Counter:
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.has_bytes = {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in pieces}
         self.known: dict[bytes, tuple[int, float]] = {}
+        self.known_bytes = 0
 
     def count(self, segment: str) -> tuple[int, float]:
         """Tokens and score of the best path.  The automaton reports ends in order, and for each the longest piece, which
@@ -91,9 +92,11 @@ class Counter:
 
     def remembered(self, segment: bytes) -> tuple[int, float]:
         if (found := self.known.get(segment)) is None:
-            if len(self.known) >= REMEMBERED:
-                self.known = {}
-            found = self.known[segment] = self.count(SPACE_MARK + segment.decode())
+            found = self.count(SPACE_MARK + segment.decode())
+            self.known_bytes += len(segment)
+            if self.known_bytes > REMEMBERED:
+                self.known, self.known_bytes = {}, len(segment)
+            self.known[segment] = found
         return found
 
 
@@ -109,13 +112,11 @@ def count_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
     rows = len(offsets) - 1
     segments = tx.Words(data, offsets, _ONLY_SPACE)
     # A mark within a text splits like a space; such texts are rare and are counted one by one.
-    h = segments.hashes()
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    which, distinct = segments.codes()
     buffer, of = data.tobytes(), counter(path)
     mark = SPACE_MARK.encode()
     found = []
-    for a, b in zip(segments.starts[first].tolist(), segments.ends[first].tolist(), strict=True):
-        segment = buffer[a:b]
+    for segment in distinct.to_pylist():
         parts = segment.split(mark)
         each = [of.remembered(p) for p in parts]
         found.append((sum(e[0] for e in each), sum(e[1] for e in each), len(parts)))
