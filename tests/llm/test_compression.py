@@ -1,6 +1,10 @@
+import math
+import random
 import zlib
 
 import numpy as np
+import pytest
+import zstandard
 
 from veristream.llm import compression
 
@@ -26,15 +30,73 @@ def test_held_out_labels_are_not_used(spark):
     assert (a.good, a.bad, a.weights.tolist()) == (b.good, b.bad, b.weights.tolist())
 
 
+def by_hand(model, text):
+    """The score of a text from the two dictionaries and the weights, one block after the other."""
+    raw, sizes = (text or "").encode(), []
+    for data in (model.good, model.bad):
+        of = zstandard.ZstdCompressionDict(data)
+        whole = 0
+        for at in range(0, len(raw), 512):
+            whole += len(zstandard.ZstdCompressor(level=3, dict_data=of, write_content_size=False, write_dict_id=False).compress(raw[at : at + 512]))
+        sizes.append(whole)
+    good, bad = sizes
+    x = [1.0, (bad - good) / (bad + good), (bad + good) / 2 / len(raw)] if raw else [1.0, 0.0, 0.0]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+
+def test_scores_by_brute_force(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = compression.train(docs, labels)
+    rows = {r.doc_id: r.score for r in compression.classify(docs, model).collect()}
+    for r in docs.collect():
+        assert rows[r.doc_id] == pytest.approx(by_hand(model, r.text))
+
+
+def test_sample_is_bounded_and_whole(spark, monkeypatch):
+    """Long texts aren't drawn but don't empty the sample; repeated rows neither widen it nor move the shares."""
+    monkeypatch.setattr(compression, "SAMPLE", 5)
+    draw = random.Random(3)
+    words = {0: [f"bad{k}" for k in range(50)], 1: [f"good{k}" for k in range(50)]}
+    rows, labels = [], []
+    for d in range(200):
+        q = int(d % 5 > 0)
+        text = " ".join(draw.choices(words[q], k=60))
+        rows += [(d, text)] * (3 if d % 7 == 0 else 1) + ([(d, "long " * 10000)] if d % 3 == 0 else [])
+        labels.append((d, q))
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(compression, "dictionary", lambda texts: seen.append(texts) or b"".join(t.encode() for t in texts))
+    model = compression.train(df, known)
+    assert [len(t) for t in seen] == [5, 5] and all(len(set(t)) == 5 and "long" not in "".join(t) for t in seen)
+    scores = [(r.score, r.predicted, int(r.doc_id % 5 > 0)) for r in compression.classify(df.where("text not like 'long%'").dropDuplicates(), model).collect()]
+    assert np.mean([p == q for _, p, q in scores]) > 0.95
+    assert abs(np.mean([s for s, _, _ in scores]) - 0.8) < 0.1
+
+
+def test_scores_are_calibrated_at_any_sample(spark, monkeypatch):
+    """The mean held-out score stays near the true share of good labels however few are sampled."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    share = np.mean([r.quality for r in labels.collect()])
+    for size in (1000, 25):
+        monkeypatch.setattr(compression, "SAMPLE", size)
+        held = compression.classify(docs, compression.train(docs, labels)).join(labels, "doc_id").collect()
+        assert abs(np.mean([r.score for r in held]) - share) < 0.05
+
+
 def test_odd_rows(spark, odd, empty):
-    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(16)] + [(3, 0, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(16)] + [(3, 0, 0), (None, 1, 0), (4, None, 0), (5, 7, 0)], "doc_id long, quality int, toxic int")
     model = compression.train(odd, labels)
-    assert compression.classify(odd, model).count() == odd.count()
+    got = compression.classify(odd, model).collect()
+    assert len(got) == odd.count()
+    want = sorted((str(r.doc_id), zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 5 == 0, round(by_hand(model, r.text), 9)) for r in odd.collect())
+    assert sorted((str(r.doc_id), r.held_out, round(r.score, 9)) for r in got) == want
     assert compression.classify(empty, model).count() == 0
     only_good = compression.train(odd, labels.where("quality = 1"))
     assert {r.score for r in compression.classify(odd, only_good).collect()} == {1.0}
     none = compression.train(odd, labels.where("false"))
     assert {r.score for r in compression.classify(odd, none).collect()} == {0.5}
+    learned = [k % 2 for k in range(16) if zlib.crc32(str(k).encode()) % 5]
+    assert {r.score for r in compression.classify(odd, compression.train(empty, labels)).collect()} == {np.mean(learned)}
 
 
 def test_logistic():

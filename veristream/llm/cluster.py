@@ -5,15 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Tasks over which the rows of one key are dealt in :func:`spread_join`.
+SALTS = 16
+
+
 def _shared_folder(spark) -> str:
-    """The cluster's checkpoint folder.  Only a session that names none (a local test) gets a temporary one."""
+    """The cluster's checkpoint folder.  Only a local session that names none (a test) gets a temporary one."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -34,27 +41,46 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: Column | None = None) -> DataFrame:
+    """Inner join with a side that has one row a key, where many rows of the other side may share a key: these are dealt
+    over ``SALTS`` tasks (by ``by``, or by their place in a checkpointed table), to each of which the one row goes."""
+    by = F.monotonically_increasing_id() if by is None else F.xxhash64(by)
+    many = many.withColumn("_salt", F.pmod(by, F.lit(SALTS)).cast("int"))
+    one = one.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return many.join(one, [*on, "_salt"]).drop("_salt")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add column ``name``, a number from 0 in the given order over all rows: sorted by ranges, numbered within each, and moved
+    on by the sizes of the ranges before (one row a partition)."""
+    dealt = checkpointed(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn("_at", within).join(sizes.select("_part", before.alias("_before")), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
 def _state(edges: DataFrame) -> tuple:
     # The sum is of 31-bit hashes: a bigint can't overflow.
     return tuple(edges.agg(F.count("*"), F.sum(F.abs(F.hash("a", "b")).cast("long"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected edges ``a, b`` (longs): rows ``node, root`` for every node of an
-    edge, root being the smallest node reachable.
+    """Connected components of undirected edges ``a, b`` (of one type that has an order): rows ``node, root`` for every node
+    of an edge, root being the smallest node reachable.
 
     Alternating large-star and small-star rounds: each is a map-side combined minimum and one join, edges never
     grow in number, and the rounds needed grow with the logarithm of the longest path.  Every round is cut off
-    by a checkpoint.  Only two numbers a round reach the driver."""
+    by a checkpoint.  Only two numbers a round reach the driver.  A node with very many edges is dealt over several tasks."""
     down = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = checkpointed(down(edges))
     before = _state(edges)
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = down(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = down(spread_join(both, least, ["a"], F.col("b")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = spread_join(large, least, ["a"], F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpointed(down(small.union(least.select("a", "m"))))
         after = _state(edges)
         if after == before:

@@ -5,19 +5,22 @@ blocks of ``BLOCK`` bytes, each compressed with either dictionary (in whole text
 dictionary's part).  ``(bad - good) / (bad + good)`` of the summed sizes, and their mean against the text's size (repetition
 shrinks both alike), go through a logistic fit, which gives the score.
 
-Training sees a bounded sample, ``SAMPLE`` labelled documents for each label and purpose (dictionary, calibration) in
-order of a hash, of at most ``SAMPLE_BYTES`` of text each (longer texts aren't drawn); rows whose crc32(doc_id as text) mod
-``FOLDS`` is 0 are never in it.  Every document is scored whole, in one pass without shuffle.
+Training sees a bounded sample: of the labelled documents whose text has at most ``SAMPLE_BYTES``, in order of a hash, the
+first ``SAMPLE`` for each label and purpose (dictionary, calibration), that is at most 4 * SAMPLE * SAMPLE_BYTES on the driver.
+Rows whose crc32(doc_id as text) mod ``FOLDS`` is 0 are never in it.  The fit's intercept is moved from the sample's shares of
+labels to those of all labelled documents outside that fold, which are counted.  Every document is scored whole, in one
+pass without shuffle.
 
 Defined results: a null or empty text scores the fit's intercept; a document labelled twice counts as good if any label
-says so; a null doc_id counts as the empty text for the fold; without labels of one kind every score is the share of
-good labels (0.5 without any); rows repeated under one doc_id are scored each; an empty table gives an empty
-result; other columns are ignored.
+says so; labels other than 0 and 1 count as none; a null doc_id counts as the empty text for the fold and is never
+sampled; of rows repeated under one doc_id equal texts are sampled once, different ones each; without sampled documents of
+both labels every score is the share of good labels (0.5 without any); rows repeated under one doc_id are scored each;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
+from .cluster import checkpointed
 
 FOLDS = 5
 THRESHOLD = 0.3
-SAMPLE, SAMPLE_BYTES = 1000, 1 << 16
+SAMPLE, SAMPLE_BYTES = 1000, 1 << 15
 DICTIONARY_BYTES, BLOCK, LEVEL = 112 << 10, 512, 3
 #: Bytes of a segment and of a fragment that the dictionary builder weighs.
 SEGMENT, FRAGMENT = 200, 8
@@ -102,22 +106,25 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the bounded sample of labelled documents outside the held-out fold."""
-    known = labels.where((fold(F.col("doc_id")) != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("rank", F.xxhash64("doc_id"))
-    sample = None
-    for quality in (0, 1):
-        some = known.where(F.col("quality") == quality).orderBy("rank", "doc_id").limit(2 * SAMPLE)
-        sample = some if sample is None else sample.union(some)
-    # At most 4 * SAMPLE ids: small enough to broadcast at any size of the tables.
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = sorted({(r.quality, r.rank, r.doc_id, r.text) for r in texts.collect()})
+    """Fit on the bounded sample of labelled documents outside the held-out fold, for the shares of all their labels."""
+    known = labels.where((fold(F.col("doc_id")) != 0) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", F.xxhash64("text").alias("text_hash"))
+    drawn = checkpointed(short.distinct().join(known, "doc_id").withColumn("rank", F.xxhash64("doc_id", "text_hash")))
+    order = ["rank", "doc_id", "text_hash"]
+    sample = reduce(DataFrame.union, (drawn.where(F.col("quality") == q).orderBy(*order).limit(2 * SAMPLE) for q in (0, 1)))
+    # At most 4 * SAMPLE rows of numbers: small enough to broadcast at any size of the tables.
+    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    texts = named.join(F.broadcast(sample), ["doc_id", "text_hash"]).dropDuplicates(order)
+    rows = sorted((r.quality, r.rank, r.doc_id, r.text) for r in texts.collect())
+    n = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     split = {(q, half): [t for k, t in enumerate(r[3] for r in rows if r[0] == q) if k % 2 == half] for q in (0, 1) for half in (0, 1)}
     if not all(split[q, 0] and split[q, 1] for q in (0, 1)):
-        good = sum(r[0] for r in rows)
-        return Model(b"", b"", share=good / len(rows) if rows else 0.5)
+        return Model(b"", b"", share=n.get(1, 0) / sum(n.values()) if n else 0.5)
     model = Model(dictionary(split[1, 0]), dictionary(split[0, 0]))
     model.weights = logistic(model.features(split[1, 1] + split[0, 1]), np.repeat([1.0, 0.0], [len(split[1, 1]), len(split[0, 1])]))
+    # The sample holds as many of either label as there are, up to its bound; the scores are for all labelled documents.
+    model.weights[0] += np.log(n[1] / n[0]) - np.log(len(split[1, 1]) / len(split[0, 1]))
     return model
 
 
