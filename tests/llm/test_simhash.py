@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
-import pytest
+import pyarrow as pa
 import xxhash
 
 from veristream.llm import simhash
@@ -12,12 +12,20 @@ from veristream.llm.cluster import components
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def print_of(text):
+def shingles(text, size=3):
     words = WORD.findall(re.sub("[A-Z]", lambda c: c[0].lower(), text or ""))
-    if not words:
-        return 0
-    h = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3]).encode(), 42) for k in range(max(1, len(words) - 2))]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return [" ".join(words[k : k + size]).encode() for k in range(max(1, len(words) - size + 1))] if words else []
+
+
+def print_of(text):
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles(text)]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def similar_print_of(text):
+    """128 bits, as the lanes are laid out: digests are big-endian, bits are numbered from their first byte."""
+    h = [int.from_bytes(xxhash.xxh3_128_digest(s, 42), "little") for s in shingles(text, 5)]
+    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
 def classes(prints, radius=3):
@@ -67,7 +75,7 @@ def test_links_lose_nothing(spark):
     for _ in range(60):
         chain.append(flip(chain[-1], 3))
     prints |= {*chain, *(draw.getrandbits(64) for _ in range(500))}
-    nodes = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long")
+    nodes = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp0 long")
     got = {r.node: r.root for r in components(simhash.links(nodes)).collect()}
     want = classes(prints)
     signed = lambda p: int(np.uint64(p).astype(np.int64))
@@ -79,23 +87,35 @@ def test_links_lose_nothing(spark):
     assert all(len(s) == 1 for s in mine.values()) and len(mine) == len(groups)
 
 
-@pytest.mark.parametrize("dense", [200, 10**9])
-def test_a_large_bucket_gives_a_forest(monkeypatch, dense):
-    monkeypatch.setattr(simhash, "DENSE", dense)
+def test_a_large_bucket_gives_a_forest():
     draw = np.random.default_rng(1)
     base = np.uint64(draw.integers(0, 2**63))
     flips = lambda n: np.uint64(sum(1 << int(b) for b in draw.choice(32, n, replace=False)))
     fp = np.unique(np.array([base ^ flips(draw.integers(0, 3)) for _ in range(300)] + [base ^ flips(draw.integers(8, 14)) for _ in range(900)], np.uint64))
-    key = np.zeros(len(fp), np.int64)
-    order = np.argsort(np.bitwise_count(fp ^ simhash.PIVOTS[0]), kind="stable")
-    i, j = simhash.bucket_links(key, fp[order])
-    assert len(i) < len(fp) and len(simhash.forest(len(fp), i, j)) == len(fp)
-    ranked = fp[order]
+    other = np.unique(draw.integers(0, 2**63, 500).astype(np.uint64))
+    fp, key = np.concatenate([fp, other]), np.repeat([7, 9], [len(fp), len(other)])
+    order = np.lexsort((np.bitwise_count(fp ^ simhash.EXACT.pivots[0, 0]), key))
+    i, j = simhash.bucket_links(key[order], fp[order, None])
+    assert len(i) < len(fp)
     root, want = simhash.forest(len(fp), i, j), classes(fp.tolist())
-    pairs = {(int(r), want[int(f)]) for r, f in zip(root, ranked, strict=True)}
+    pairs = {(int(r), want[int(f)]) for r, f in zip(root, fp[order], strict=True)}
     assert len(pairs) == len({r for r, _ in pairs}) == len({w for _, w in pairs})
 
 
+def test_buckets_across_batches_are_put_together():
+    draw = np.random.default_rng(3)
+    fp = np.unique(draw.integers(0, 2**63, 40) & ~np.int64(7))
+    fp = np.sort(np.concatenate([fp, fp | 1, fp | 3])).astype(np.int64)
+    key = np.repeat(np.arange(4), len(fp))
+    fp = np.tile(fp, 4)
+    order = np.lexsort((np.bitwise_count(fp.view(np.uint64) ^ simhash.EXACT.pivots[0, 0]), key))
+    table = pa.table({"key": key[order], "fp0": fp[order]})
+    whole = {(a, b) for t in simhash._partition_links(table.to_batches(), simhash.EXACT) for a, b in zip(*t.to_pydict().values(), strict=True)}
+    for size in (1, 7, 100, 130):
+        parts = {(a, b) for t in simhash._partition_links(table.to_batches(size), simhash.EXACT) for a, b in zip(*t.to_pydict().values(), strict=True)}
+        assert parts == whole and len(whole) > 60
+
+
 def test_components(spark):
     draw = random.Random(2)
     edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(250)] + [(1000 + k, 1001 + k) for k in range(100)] + [(7, 7), (2000, 3000)] + [(5000, 5000 + k) for k in range(1, 300)]
@@ -114,9 +134,62 @@ def test_components(spark):
     assert got == {n: find(n) for n in linked}
 
 
-def test_near_dedup_keeps_one_of_each(odd, empty):
+def kept_by_hand(rows):
+    """The row kept of each group, (doc_id, text), by comparing all pairs of 128-bit prints."""
+    prints = {t: similar_print_of(t) for _, t in rows}
+    root = classes(prints.values(), simhash.SIMILAR.radius)
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(root[prints[t]], []).append((d, t))
+    return groups
+
+
+def check_kept(kept, rows):
+    groups = kept_by_hand(rows)
+    assert len(kept) == len(groups)
+    left = {}
+    for d, t in kept:
+        left.setdefault(similar_print_of(t), []).append((d, t))
+    for group in groups.values():
+        mine = [r for r in kept if r in group]
+        assert len(mine) == 1
+        named = [d for d, _ in group if d is not None]
+        assert mine[0][0] == (min(named) if named else None)
+
+
+def test_near_dedup_keeps_one_row_of_each(odd, empty):
     kept = simhash.near_dedup(odd)
     assert kept.columns == odd.columns
-    want = {r.component_id for r in simhash.groups(odd).collect()}
-    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == want - {None}
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    check_kept([(r.doc_id, r.text) for r in kept.collect()], rows)
     assert simhash.near_dedup(empty).count() == 0
+
+
+def test_near_dedup_works_by_row(spark):
+    draw = random.Random(11)
+    text = lambda: " ".join(draw.choices([f"w{k}" for k in range(500)], k=80))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, a), (None, text()), (None, None), (None, "")]
+    got = [(r.doc_id, r.text) for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, a), (2, b), (3, c), rows[6], next(r for r in got if not r[1])]))
+
+
+def test_similar_texts_meet_and_others_dont(spark):
+    """Of pairs with a shingle similarity of 0.9 nearly all are found, of pairs at 0.8 half or more, of unlike ones none."""
+    draw = random.Random(12)
+    words = [f"w{k}" for k in range(5000)]
+    rows, kinds = [], {}
+    for k in range(400):
+        text = draw.choices(words, k=400)
+        other = list(text)
+        edits, kind = (4, 0.9) if k % 2 else (9, 0.8)
+        for at in range(edits):
+            other[at * 40 + 5] = draw.choice(words)
+        a, b = set(shingles(" ".join(text), 5)), set(shingles(" ".join(other), 5))
+        assert len(a & b) / len(a | b) >= kind - 0.01
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+        kinds[2 * k + 1] = kind
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * k for k in range(400)} <= kept
+    gone = lambda kind: sum(d not in kept for d, x in kinds.items() if x == kind) / 200
+    assert gone(0.9) > 0.95 and gone(0.8) > 0.5

@@ -1,82 +1,127 @@
 """SimHash near-duplicate groups, searched with pivot distance tables.
 
-Equal fingerprints are one node from the start, so copies cost nothing.  Two nodes within ``RADIUS`` = 3 bits agree
-in at least three of six bit blocks; rows are dealt by (which three blocks, their 32 or so bits), which spreads random
-fingerprints over 2^32 buckets for each of the 20 choices and so keeps buckets small at any size.  Within a bucket rows
-come sorted by the distance to the first of ``N_PIVOTS`` reference fingerprints; the distance table to all of them
-is computed once per row, a pair is discarded when any coordinate differs by more than the radius (triangle
-inequality, so no link is lost), and survivors are verified by their Hamming distance.  A bucket returns a
-spanning forest of its links, never all pairs.
+Equal fingerprints are one node from the start, so copies cost nothing.  Nodes meet in buckets of equal keys.  For
+:data:`EXACT` (the groups of op9: 64 bits, 3-word shingles, at most 3 differing bits) two nodes within the radius agree in at
+least three of six bit blocks, so the 20 choices of three blocks are keys that lose no link; they are some 32 bits long, which
+spreads random fingerprints over 2^32 buckets for each choice.  For :data:`SIMILAR` (near-duplicates: 128 bits, 5-word
+shingles, at most 20 differing bits, which is where a shingle similarity of 0.8 lies) no such choice exists; keys are samples of
+bits there, as long as the logarithm of the number of nodes, and as many of them as find a pair at the very radius with
+probability ``RECALL`` (closer pairs more surely).
+
+Within a bucket, rows come sorted by the distance to the first of ``N_PIVOTS`` reference fingerprints; the distance
+table to all of them is computed once per row, a pair is discarded when any coordinate differs by more than the radius
+(triangle inequality, so no link is lost), and survivors are verified by their Hamming distance.  Rows that are joined
+already needn't be compared: first every row meets ``LEADERS`` rows of its bucket, then what the bucket's largest
+component doesn't hold meets all rows.  A family of near-copies costs about one comparison a row and leader.  A bucket
+returns a spanning forest of its links, never all pairs.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; rows repeated under one doc_id
 share a component; a null doc_id takes part but is never the id of a component unless no member has one.
+:func:`near_dedup` works by row: of each group it keeps one, the smallest by (doc_id, hash of the text), nulls last, and
+of equal rows one; an empty table gives an empty result; other columns are carried unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
+from math import ceil, log, log2
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .cluster import checkpointed, components
+from .cluster import checkpointed, components, spread_join
 
-SHINGLE = 3
 SEED = 42
-RADIUS = 3
 N_PIVOTS = 16
+LEADERS = 8
+RECALL = 0.95
+#: Pairs compared, and shingles hashed, at once, to bound memory.
+PAIRS, SHINGLES = 1 << 20, 1 << 18
 #: (lowest bit, number of bits) of six blocks; two fingerprints within three bits agree in three of them.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
-PIVOTS = np.random.default_rng(20240229).integers(0, 2**64, N_PIVOTS, dtype=np.uint64)
-#: Nodes compared at once, to bound memory.
-TILE = 4096
-#: In a bucket beyond this many nodes, which only near-copies in great number make, all lie so close that pivots discard nothing;
-#: there every node's neighbours are looked up bit flip by bit flip, in time linear in the nodes.
-DENSE = 4096
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+class Space(NamedTuple):
+    """What is fingerprinted, in how many 64-bit lanes, and how many differing bits link."""
 
-def simhashes(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit fingerprints of the texts of one slice."""
+    shingle: int
+    lanes: int
+    radius: int
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"fp{k}" for k in range(self.lanes)]
+
+    @property
+    def pivots(self) -> np.ndarray:
+        return np.random.default_rng(20240229).integers(0, 2**64, (N_PIVOTS, self.lanes), dtype=np.uint64)
+
+
+EXACT = Space(shingle=3, lanes=1, radius=3)
+SIMILAR = Space(shingle=5, lanes=2, radius=20)
+
+
+def shingle_hashes(buffer: bytes, begin: np.ndarray, end: np.ndarray, lanes: int) -> np.ndarray:
+    """Little-endian bytes of the hash of each span: XXH64, or the 128 bits of XXH3 for two lanes."""
+    spans = zip(begin.tolist(), end.tolist(), strict=True)
+    if lanes == 1:
+        digest = xxhash.xxh64_intdigest
+        return np.fromiter((digest(buffer[a:b], SEED) for a, b in spans), "<u8", len(begin)).view(np.uint8).reshape(-1, 8)
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join(digest(buffer[a:b], SEED) for a, b in spans), np.uint8).reshape(-1, 16)
+
+
+def simhashes(texts: pa.Array, space: Space = EXACT) -> np.ndarray:
+    """Fingerprints of the texts of one slice, a row of lanes each."""
     data, offsets = tx.utf8(texts)
     words = tx.Words(data, offsets)
-    out = np.zeros(len(offsets) - 1, np.uint64)
+    out = np.zeros((len(offsets) - 1, space.lanes), np.uint64)
     if not len(words):
         return out
     lengths = words.ends - words.starts
-    begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    joined = np.full(int((lengths + 1).sum()), 0x20, np.uint8)
-    joined[tx.ranges(begin, lengths)] = tx.LOWER[data[words.inside]]
-    end = begin + lengths
+    end = np.cumsum(lengths + 1, dtype=np.int64) - 1
+    begin = end - lengths
+    joined = np.full(int(end[-1]) + 1, 0x20, np.uint8)
+    tx.put(joined, begin, lengths, tx.LOWER[data[words.inside]])
     rows = np.flatnonzero(words.counts)
-    n = np.maximum(words.counts[rows] - shingle + 1, 1)
-    first = tx.ranges(words.bounds[rows], n)
-    last = np.minimum(first + shingle, np.repeat(words.bounds[rows + 1], n)) - 1
-    buffer, digest = joined.tobytes(), xxhash.xxh64_intdigest
-    h = np.fromiter((digest(buffer[a:b], SEED) for a, b in zip(begin[first].tolist(), end[last].tolist(), strict=True)), np.uint64, len(first))
-    at = np.concatenate([[0], np.cumsum(n)[:-1]])
-    ones = np.empty((len(rows), 64), np.int64)
-    little = h.astype("<u8").view(np.uint8).reshape(-1, 8)
-    for k in range(8):
-        ones[:, 8 * k : 8 * k + 8] = np.add.reduceat(np.unpackbits(little[:, k : k + 1], axis=1, bitorder="little"), at, axis=0, dtype=np.int64)
-    out[rows] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    n = np.maximum(words.counts[rows] - space.shingle + 1, 1)
+    until = np.cumsum(n)
+    ones, buffer = np.zeros((len(rows), 64 * space.lanes), np.int64), joined.tobytes()
+    for at in range(0, int(until[-1]), SHINGLES):
+        number = np.arange(at, min(at + SHINGLES, int(until[-1])))
+        row = np.searchsorted(until, number, "right")
+        first = words.bounds[rows[row]] + number - (until - n)[row]
+        last = np.minimum(first + space.shingle, words.bounds[rows[row] + 1]) - 1
+        h = shingle_hashes(buffer, begin[first], end[last], space.lanes)
+        fresh = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        for k in range(8 * space.lanes):
+            bits = np.unpackbits(h[:, k : k + 1], axis=1, bitorder="little")
+            ones[row[fresh], 8 * k : 8 * k + 8] += np.add.reduceat(bits, fresh, axis=0, dtype=np.int64)
+    out[rows] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8")
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` of all documents."""
+def fingerprints(docs: DataFrame, space: Space = EXACT) -> DataFrame:
+    """``doc_id, text_hash`` and the fingerprint's lanes of all documents."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", *space.columns)])
 
     def run(batches):
         for part in tx.slices(batches):
-            yield tx.batch_of(_PRINTS, part.column("doc_id").cast(pa.int64()), simhashes(part.column("text")).view(np.int64))
+            found = simhashes(part.column("text"), space).view(np.int64)
+            lanes = (np.ascontiguousarray(found[:, k]) for k in range(space.lanes))
+            yield tx.batch_of(schema, part.column("doc_id").cast(pa.int64()), part.column("text_hash"), *lanes)
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, _longs(schema.names))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+
+def _longs(names) -> str:
+    return ", ".join(f"{n} long" for n in names)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,127 +138,177 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _verified(fp, table, i, j):
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+def _verified(fp, table, i, j, radius):
     """Of the pairs i, j those within the radius: by pivot coordinates first, then by the distance itself."""
     for p in range(table.shape[1]):
-        near = np.abs(table[i, p] - table[j, p]) <= RADIUS
+        near = np.abs(table[i, p] - table[j, p]) <= radius
         i, j = i[near], j[near]
-    near = np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS
+    near = distances(fp[i], fp[j]) <= radius
     return i[near], j[near]
 
 
-def dense_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of distinct fingerprints, from all flips of up to RADIUS of the bits in which they differ."""
-    order = np.argsort(fp)
-    ranked, root = fp[order], np.arange(len(fp))
-    varying = int(np.bitwise_or.reduce(ranked ^ ranked[0]))
-    bits = [1 << b for b in range(64) if varying >> b & 1]
-    left, right, held = [], [], 0
-    for flips in range(1, RADIUS + 1):
-        for chosen in combinations(bits, flips):
-            mask = np.uint64(sum(chosen))
-            low = np.flatnonzero(ranked & np.uint64(max(chosen)) == 0)  # a pair from its smaller side only
-            other = ranked[low] ^ mask
-            at = np.minimum(np.searchsorted(ranked, other), len(ranked) - 1)
-            met = ranked[at] == other
-            left.append(low[met])
-            right.append(at[met])
-            held += len(left[-1])
-            if held > 4 * len(fp):
-                root = forest(len(fp), np.concatenate([*left, np.arange(len(fp))]), np.concatenate([*right, root]))
-                left, right, held = [], [], 0
-    root = forest(len(fp), np.concatenate([*left, np.arange(len(fp))]), np.concatenate([*right, root]))
-    apart = np.flatnonzero(root != np.arange(len(fp)))
-    return order[apart], order[root[apart]]
-
-
-def bucket_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(key: np.ndarray, fp: np.ndarray, space: Space = EXACT) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of rows sorted by key and then by the first pivot's distance."""
-    n = len(fp)
-    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int16)
-    end = np.searchsorted(key, key, "right")
-    # The rows after a row that its first coordinate doesn't discard: to the end of its bucket at most.
-    place = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])[:n] * 256 + table[:, 0]
-    reach = np.minimum(np.searchsorted(place, place + RADIUS, "right"), end)
+    n, radius = len(fp), space.radius
+    here = np.arange(n)
+    table = np.stack([distances(fp, pivot) for pivot in space.pivots], axis=1)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(first, append=n)
+    bucket = np.repeat(np.arange(len(first)), size)
     left, right = [], []
-    begin = np.searchsorted(key, key, "left")
-    for at in np.unique(begin[end - begin > DENSE]).tolist():
-        i, j = dense_links(fp[at : end[at]])
-        left.append(at + i)
-        right.append(at + j)
-    for at in range(0, n, TILE):
-        rows = np.arange(at, min(at + TILE, n))
-        todo = rows[(reach[rows] > rows + 1) & (end[rows] - begin[rows] <= DENSE)]
-        step = 1
-        while len(todo):
-            width = max(1, (1 << 20) // len(todo))
-            lengths = np.minimum(reach[todo] - todo - step, width)
-            i, j = _verified(fp, table, np.repeat(todo, lengths), tx.ranges(todo + step, lengths))
-            if len(i) > 4 * len(rows):
-                r = np.unique(np.concatenate([i, j]))
-                root = r[forest(len(r), np.searchsorted(r, i), np.searchsorted(r, j))]
-                i, j = r[r != root], root[r != root]
+    for k in range(LEADERS):
+        lead = (first + k * size // LEADERS)[bucket]
+        near = (distances(fp, fp[lead]) <= radius) & (lead != here)
+        left.append(lead[near])
+        right.append(here[near])
+    root = forest(n, np.concatenate(left), np.concatenate(right))
+    # What the largest component of a bucket doesn't hold meets every row that the first coordinate leaves.
+    members = np.bincount(root, minlength=n)[root]
+    largest = np.minimum.reduceat(np.where(members == np.maximum.reduceat(members, first)[bucket], root, n), first)
+    todo = np.flatnonzero(root != largest[bucket])
+    place = bucket * 1024 + table[:, 0]
+    low, high = np.searchsorted(place, place[todo] - radius), np.searchsorted(place, place[todo] + radius, "right")
+    left, right, held = [here], [root], 0
+    while len(todo):
+        lengths = np.minimum(high - low, max(1, PAIRS // len(todo)))
+        for at in range(0, len(todo), PAIRS):
+            i, j = np.repeat(todo[at : at + PAIRS], lengths[at : at + PAIRS]), tx.ranges(low[at : at + PAIRS], lengths[at : at + PAIRS])
+            apart = root[i] != root[j]
+            i, j = _verified(fp, table, i[apart], j[apart], radius)
             left.append(i)
             right.append(j)
-            step += width
-            todo = todo[reach[todo] > todo + step]
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(left), np.concatenate(right)
-    nodes = np.unique(np.concatenate([i, j]))
-    root = nodes[forest(len(nodes), np.searchsorted(nodes, i), np.searchsorted(nodes, j))]
-    return nodes[nodes != root], root[nodes != root]
-
-
-def _partition_links(batches):
-    key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-    def links(until):
-        i, j = bucket_links(key[:until], fp[:until])
-        return tx.batch_of(_LINKS, fp[i].view(np.int64), fp[j].view(np.int64))
-
+            held += len(i)
+        if held > n:
+            root = forest(n, np.concatenate(left), np.concatenate(right))
+            left, right, held = [here], [root], 0
+        low = low + lengths
+        more = low < high
+        todo, low, high = todo[more], low[more], high[more]
+    root = forest(n, np.concatenate(left), np.concatenate(right))
+    joined = np.flatnonzero(root != here)
+    return joined, root[joined]
+
+
+def _partition_links(batches, space):
+    """The links of a partition's buckets, which come one after the other; a bucket is put together once."""
+    schema = pa.schema([(f"{side}{k}", pa.int64()) for side in "ab" for k in range(space.lanes)])
+
+    def links(parts):
+        key, fp = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        i, j = bucket_links(key, fp, space)
+        return tx.batch_of(schema, *(np.ascontiguousarray(fp[side, k]).view(np.int64) for side in (i, j) for k in range(space.lanes)))
+
+    held: list = []
     for batch in batches:
-        key = np.concatenate([key, batch.column("key").to_numpy()])
-        fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
-        if cut:
-            yield links(cut)
-            key, fp = key[cut:], fp[cut:]
-    if len(key):
-        yield links(len(key))
-
-
-def links(nodes: DataFrame) -> DataFrame:
-    """Spanning links ``a, b`` of all pairs of distinct fingerprints ``fp`` within the radius."""
+        key = batch.column("key").to_numpy()
+        if not len(key):
+            continue
+        fp = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in space.columns], axis=1)
+        cut = int(np.searchsorted(key, key[-1])) if not (held and key[-1] == held[-1][0][-1]) else 0
+        if cut or (held and key[0] != held[-1][0][-1]):
+            done = [*held, (key[:cut], fp[:cut])]
+            held = []
+            if sum(len(p[0]) for p in done):
+                yield links(done)
+        held.append((key[cut:], fp[cut:]))
+    if held:
+        yield links(held)
+
+
+def _block_keys(space: Space) -> Column:
     keys = []
     for number, chosen in enumerate(combinations(BLOCKS, 3)):
         key = F.lit(number).cast("long")
         for low, size in chosen:
-            key = F.shiftleft(key, size).bitwiseOR(F.shiftrightunsigned(F.col("fp"), low).bitwiseAND(F.lit((1 << size) - 1).cast("long")))
+            key = F.shiftleft(key, size).bitwiseOR(F.shiftrightunsigned(F.col("fp0"), low).bitwiseAND(F.lit((1 << size) - 1).cast("long")))
         keys.append(key)
-    dealt = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    first = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(PIVOTS[:1].view(np.int64)[0]))))
-    return dealt.repartition("key").sortWithinPartitions("key", first).mapInArrow(_partition_links, "a long, b long")
+    return F.array(*keys)
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` of all documents."""
-    prints = checkpointed(fingerprints(docs))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = checkpointed(rooted)
-    ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+def samples(n: int, space: Space) -> np.ndarray:
+    """Bits of each key: as many as spread n nodes, in as many keys as find pairs at the radius with ``RECALL``."""
+    width = 64 * space.lanes
+    bits = max(12, ceil(log2(max(n, 2))))
+    keys = ceil(log(1 - RECALL) / log(1 - (1 - space.radius / width) ** bits))
+    draw = np.random.default_rng(20240301)
+    return np.array([draw.choice(width, min(bits, width), replace=False) for _ in range(keys)])
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group: the one with the smallest doc_id.  Rows without doc_id stay, as
-    nothing can name them."""
-    gone = groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def _sampled(batches, space, chosen):
+    schema = pa.schema([(c, pa.int64()) for c in ("key", *space.columns)])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            fp = np.stack([part.column(c).to_numpy() for c in space.columns], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+            for number, sample in enumerate(chosen):
+                wide = np.zeros((len(fp), 64 * -(-len(sample) // 64)), np.uint8)
+                wide[:, : len(sample)] = bits[:, sample]
+                key = np.full(len(fp), number + 1, np.uint64)
+                for word in np.packbits(wide, axis=1, bitorder="little").view("<u8").T:
+                    key = tx.mix(key ^ word)
+                yield tx.batch_of(schema, key.view(np.int64), *(part.column(c) for c in space.columns))
+
+
+def links(nodes: DataFrame, space: Space = EXACT) -> DataFrame:
+    """Spanning links ``a, b`` of pairs of distinct fingerprints within the radius; ``a`` and ``b`` are :func:`node` values."""
+    if space == EXACT:
+        dealt = nodes.select(F.explode(_block_keys(space)).alias("key"), *space.columns)
+    else:
+        chosen = samples(nodes.count(), space)
+        dealt = nodes.select(*space.columns).mapInArrow(partial(_sampled, space=space, chosen=chosen), _longs(["key", *space.columns]))
+    pivot = space.pivots[:1].view(np.int64)[0]
+    first = sum(F.bit_count(F.col(c).bitwiseXOR(F.lit(int(p)))) for c, p in zip(space.columns, pivot, strict=True))
+    sides = [f"{side}{k}" for side in "ab" for k in range(space.lanes)]
+    found = dealt.repartition("key").sortWithinPartitions("key", first).mapInArrow(partial(_partition_links, space=space), _longs(sides))
+    return found.select(*(node(sides[k : k + space.lanes]).alias(s) for s, k in (("a", 0), ("b", space.lanes))))
+
+
+def node(lanes: list[str]) -> Column:
+    """A fingerprint as one value."""
+    return F.col(lanes[0]) if len(lanes) == 1 else F.struct(*(F.col(c).alias(f"fp{k}") for k, c in enumerate(lanes)))
+
+
+def rooted(prints: DataFrame, space: Space) -> DataFrame:
+    """``fp, least, root``: each fingerprint, the smallest row that has it (doc_id and hash of the text, nulls last) and its
+    component's root."""
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    nodes = checkpointed(prints.groupBy(*space.columns).agg(F.min(row).alias("least")))
+    roots = components(links(nodes.select(*space.columns), space)).select(F.col("node").alias("fp"), "root")
+    return nodes.select(node(space.columns).alias("fp"), "least").join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def groups(docs: DataFrame, space: Space = EXACT) -> DataFrame:
+    """``doc_id``, the fingerprint's lanes and ``component_id`` of all documents."""
+    prints = checkpointed(fingerprints(docs, space).select("doc_id", "text_hash", *space.columns))
+    found = checkpointed(rooted(prints, space))
+    ids = found.groupBy("root").agg(F.min("least").getField("doc_id").alias("component_id"))
+    # A root's nodes, and a fingerprint's documents, may be a third of all.
+    ids = spread_join(found, ids, ["root"]).select("fp", "component_id")
+    return spread_join(prints.withColumn("fp", node(space.columns)), ids, ["fp"]).select("doc_id", *space.columns, "component_id")
+
+
+def near_dedup(docs: DataFrame, space: Space = SIMILAR) -> DataFrame:
+    """The documents with one row of each group of near-duplicates."""
+    prints = checkpointed(fingerprints(docs, space))
+    first = rooted(prints, space).groupBy("root").agg(F.min("least").alias("least"))
+    # Keys without nulls: rows of one doc_id and text fall together for the join and for the number alike.
+    named = lambda c: (F.coalesce(c, F.lit(0)), c.isNull())
+    key = ["_id", "_unnamed", "_hash"]
+    id_, unnamed = named(F.col("least.doc_id"))
+    first = first.select(id_.alias("_id"), unnamed.alias("_unnamed"), F.col("least.text_hash").alias("_hash"))
+    id_, unnamed = named(docs["doc_id"].cast("long"))
+    every = F.struct(*(docs[c] for c in docs.columns))
+    rows = docs.select(every.alias("_doc"), id_.alias("_id"), unnamed.alias("_unnamed"), F.xxhash64(docs["text"]).alias("_hash"), F.xxhash64(every).alias("_order"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("_order"))
+    kept = rows.join(first, key).withColumn("_n", number).where("_n = 1")
+    return kept.select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def op9_simhash_groups(spark, sf_dir):
     found = groups(tx.read_documents(spark, sf_dir))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
