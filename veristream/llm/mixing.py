@@ -4,7 +4,7 @@ Every source has a target number of words.  A document should be taken target /
 is certain, the fraction is a probability.  Pivotal rounding makes the fractions integral: of two documents, a random
 choice moves words from one to the other until one of them is at 0 or 1; the odds keep every document's
 expectation, and the words a pair takes stay the same, so a source's total can't drift.  A source is split into
-buckets of about ``BUCKET_DOCS`` documents by hash of the doc_id.  Each leaves at most one undecided document; these
+buckets of about ``BUCKET_DOCS`` documents by hash of the doc_id and the text.  Each leaves at most one undecided document; these
 meet, ``FAN_IN`` buckets at a time, in the next round of the reduction tree, up to one document a source,
 which a last draw decides.  A source misses its target by less than one document.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .cluster import checkpointed
+from .cluster import checkpointed, numbered
 
 #: Weights of the sources in order, repeating; the mix as a share of all words; most copies of a source.
 WEIGHTS = (5, 2, 1)
@@ -55,9 +55,9 @@ def sizes(docs: DataFrame) -> DataFrame:
 def targets(sized: DataFrame) -> DataFrame:
     """``source, source_size, n_docs, target`` of each source.  Only totals reach the driver."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    # One row a source, not a document, is numbered here.
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = checkpointed(per.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int")).cast("double")))
+    per = numbered(per, [F.col("source").asc_nulls_last()], "place")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
+    per = checkpointed(per.select("source", "source_size", "n_docs", weight.cast("double").alias("weight")))
     words, weight = per.agg(F.sum("source_size"), F.sum("weight")).first()
     words, level = SHARE * (words or 0), 0.0
     left, open_weight = words, weight or 0.0
@@ -128,17 +128,19 @@ def mixture(docs: DataFrame) -> DataFrame:
     units = salted.join(per, F.col("source").eqNullSafe(F.col("name")) & (salted["salt"] == per["salt"]))
     units = units.select(
         "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"),
-        F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.ceil(F.col("n_docs") / BUCKET_DOCS)).alias("bucket"),
+        F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text_hash"), F.ceil(F.col("n_docs") / BUCKET_DOCS)).alias("bucket"),
         "doc_id", "text_hash", "size", "source_size", "target",
         F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rest"), F.lit(None).cast("long").alias("copies"),
     )
-    buckets = 1 + sized.groupBy("source").count().agg(F.max("count")).first()[0] // BUCKET_DOCS if sized.take(1) else 1
-    level, done = 0, None
+    buckets = 1 + (sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0) // BUCKET_DOCS
+    # A document without words has nothing to round; there may be very many of them, all alike.
+    level, done = 0, units.where("size = 0").withColumn("copies", F.floor("rest").cast("long"))
+    units = units.where("size > 0")
     while True:
         last = buckets <= 1
         decided = checkpointed(units.groupBy("source_key", "bucket").applyInArrow(_decider(level, last), _UNITS))
         ready = decided.where("copies IS NOT NULL")
-        done = ready if done is None else done.union(ready)
+        done = done.union(ready)
         if last:
             break
         units = decided.where("copies IS NULL").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
@@ -147,12 +149,18 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents, each as often as the mix takes it."""
-    number = F.row_number().over(Window.partitionBy("_id").orderBy("_hash"))
-    mine = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_hash")).withColumn("_n", number)
-    taken = mixture(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "copies").withColumn("_n", number).select(F.col("_id").alias("_i"), F.col("_n").alias("_m"), "copies").where("copies > 0")
-    rows = mine.join(taken, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_n") == F.col("_m")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
+    """The documents, each as often as the mix takes it.  The texts are shuffled once: rows of one doc_id and text fall
+    together, and the n-th of them takes the n-th of their copies."""
+    key = ["_id", "_unnamed", "_hash"]
+    named = lambda c: [F.coalesce(c, F.lit(0)).alias("_id"), c.isNull().alias("_unnamed")]
+    every = F.struct(*(docs[c] for c in docs.columns))
+    mine = docs.select(every.alias("_doc"), *named(docs["doc_id"].cast("long")), F.xxhash64(docs["text"]).alias("_hash"))
+    taken = mixture(docs).select(*named(F.col("doc_id")), F.col("text_hash").alias("_hash"), "copies")
+    # A list for each doc_id and text: one entry but for repeated rows.
+    taken = taken.groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("_doc")))
+    rows = mine.join(taken, key).withColumn("_n", number).withColumn("_copies", F.get("_copies", F.col("_n") - 1)).where("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def op6_pivotal_mixing(spark, sf_dir):
