@@ -4,8 +4,6 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
-import pyarrow as pa
 import pytest
 
 from veristream.llm import suffix_tree as st
@@ -31,63 +29,95 @@ def check_base(rows, docs):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == sorted(want)
 
 
+class ByHand:
+    """The whole tree by plain dictionaries."""
+
+    def __init__(self, texts):
+        self.grams = Counter(g for t in texts for m in range(1, st.DEPTH + 2) for g in zip(*(t[k:] for k in range(m)), strict=False))
+        self.n, self.v = sum(map(len, texts)), sum(len(g) == 1 for g in self.grams)
+        after = {}
+        for g, c in self.grams.items():
+            if len(g) > 1 and c >= st.LEAST:
+                after.setdefault(g[:-1], {})[g[-1]] = c
+        self.states = {s: following for s, following in after.items() if self.stays(s, following)}
+
+    def stays(self, s, following):
+        n, before = self.grams[s], self.grams[s[1:]] if len(s) > 1 else self.n
+        q = {w: self.grams[(*s[1:], w)] / before for w in following}
+        gain = sum(round(2 * c * math.log(c / (n * q[w])) * st.GAIN_PARTS) for w, c in following.items()) / st.GAIN_PARTS
+        if rest := n - sum(following.values()):
+            gain += 2 * rest * math.log(rest / (n * max(1 - sum(round(x * st.SHARE_PARTS) for x in q.values()) / st.SHARE_PARTS, 1e-12)))
+        return gain > len(following) + st.DEVIATIONS * math.sqrt(2 * len(following))
+
+    def probability(self, before, w):
+        p = (self.grams[(w,)] + 1) / (self.n + self.v + 1)
+        for k in range(1, min(st.DEPTH, len(before)) + 1):
+            s = tuple(before[-k:])
+            if s in self.states:
+                n, following = self.grams[s], self.states[s]
+                rest = n - sum(following.values())
+                types = len(following) + rest
+                p = (following.get(w, 0) + (types + rest) * p) / (n + types)
+        return p
+
+    def score(self, t):
+        return sum(math.log10(self.probability(t[:k], w)) for k, w in enumerate(t))
+
+
+def scores_by_hand(docs):
+    model = ByHand([tokens(r.text) for r in docs if not held(r.doc_id)])
+    return model, sorted((str(r.doc_id), round(model.score(tokens(r.text)), 6)) for r in docs)
+
+
 def test_base(docs, odd, empty):
     for df in (docs, odd):
         check_base(st.score(df).collect(), df.select("doc_id", "text").collect())
     assert st.score(empty).count() == 0
 
 
-def test_tree_beats_the_base_where_words_depend(spark, monkeypatch):
-    draw = np.random.default_rng(0)
-    following = {a: draw.choice(26, 3, replace=False) for a in range(26)}
-    rows = []
-    for d in range(300):
-        words, at = [], int(draw.integers(26))
-        for _ in range(80):
-            at = int(draw.choice(following[at]))
-            words.append(chr(97 + at))
-        rows.append((d, " ".join(words)))
-    got = [r for r in st.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
-    assert sum(r.score for r in got) > 0.6 * sum(r.base_score for r in got)
-
-
-@pytest.mark.parametrize("texts", [["a b a c a b", "b a b a", "c"], ["a a a a a b b b"]])
-def test_probabilities_sum_to_one(spark, texts, monkeypatch):
-    """Over all symbols, after any context."""
-    monkeypatch.setattr(st, "DEVIATIONS", -10.0)  # keep every context
-    training = spark.createDataFrame([(t,) for t in texts * 20], "text string")
-    import pyarrow as pa
-
-    hashes = np.unique(st.Tokens(pa.array(texts)).hash)
-    n = 20 * sum(len(tokens(t)) for t in texts)
-    tree = st.grow(training, hashes, n)
-    assert len(tree.states) and len(tree.entries)
-    draw = np.random.default_rng(1)
+@pytest.mark.parametrize("group_bytes, bucket_keys", [(8 << 20, 2 << 20), (1000, 300)])
+def test_scores_by_brute_force(docs, odd, group_bytes, bucket_keys):
+    """In one group, and in many groups and buckets with long texts in pieces."""
+    for df in (docs, odd):
+        rows = df.select("doc_id", "text").collect()
+        model, want = scores_by_hand(rows)
+        found = st.score(df, group_bytes=group_bytes, bucket_keys=bucket_keys).collect()
+        assert len(model.states) > 20
+        got = sorted((str(r.doc_id), round(r.score, 6)) for r in found)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-4)
+        check_base(found, rows)
+
+
+def test_no_training_documents(spark):
+    ids = [d for d in range(100) if held(d)][:3]
+    rows = st.score(spark.createDataFrame([(d, "a b a") for d in ids], "doc_id long, text string")).collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows] == [(4, 0, 0, 0.0, 0.0)] * 3
+
+
+def test_probabilities_sum_to_one():
+    """Over all words of the training texts and one unknown, after any words."""
+    draw = random.Random(1)
+    texts = [[*"".join(draw.choices(["abc", "dca", "b"], k=12)), None] for _ in range(20)]
+    model = ByHand(texts)
+    assert len(model.states) > 5
     for _ in range(50):
-        before = draw.integers(0, len(hashes) + 1, 3)
-        total = sum(tree.probabilities(np.array([*before, s]), np.arange(4))[-1] for s in range(len(hashes) + 1))
-        assert total == pytest.approx(1.0)
+        before = draw.choices("abcdx", k=3)
+        assert sum(model.probability(before, w) for w in [*"abcd", None, "unknown"]) == pytest.approx(1.0)
 
 
-def word_states_by_hand(tokens_, n_tokens, order=3, least=2):
-    """Every state of words and the shares of the words after it, by plain dictionaries."""
-    grams = {m: Counter(tuple(t[i : i + m]) for t in tokens_ for i in range(len(t) - m + 1)) for m in range(1, order + 2)}
-    states = {}
-    for m in range(2, order + 2):
-        after = {}
-        for g, c in grams[m].items():
-            if c >= least:
-                after.setdefault(g[:-1], []).append((g, c))
-        for context, held_ in after.items():
-            n, sn = grams[m - 1][context], grams[m - 2][context[1:]] if m > 2 else n_tokens
-            q = [grams[m - 1][g[1:]] / sn for g, _ in held_]
-            gain = sum(2 * c * math.log(c / (n * x)) for (_, c), x in zip(held_, q, strict=True))
-            rest = n - sum(c for _, c in held_)
-            if rest > 0:
-                gain += 2 * rest * math.log(rest / (n * max(1 - sum(q), 1e-12)))
-            if gain > len(held_) + st.DEVIATIONS * math.sqrt(2 * len(held_)):
-                states[context] = {g[-1]: c / (n + st.PRIOR) for g, c in held_}
-    return states
+def test_pieces_hold_every_word_once():
+    draw = random.Random(2)
+    for _ in range(200):
+        text = "".join(draw.choice("ab \n\t") if draw.random() < 0.8 else "long" * draw.randint(1, 9) for _ in range(draw.randint(0, 60))).encode()
+        words, lasts = [], []
+        for lead, piece, last in st.pieces(text, draw.randint(1, 20)):
+            mine = piece.split()
+            assert mine[:lead] == words[len(words) - lead :]
+            assert lead == min(st.DEPTH, len(words))
+            words += mine[lead:]
+            lasts.append(last)
+        assert words == text.split() and lasts == [False] * (len(lasts) - 1) + [True]
 
 
 def test_contexts_of_rare_words_are_learned(spark):
@@ -99,16 +129,13 @@ def test_contexts_of_rare_words_are_learned(spark):
     rows += [(ids[0], passage), (ids[1], passage)]
     test_id = next(d for d in range(1000, 2000) if held(d))
     rows.append((test_id, passage))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in st.score(df).collect()}
+    got = {r.doc_id: r for r in st.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     fresh = [r for d, r in got.items() if d < 200 and r.held_out]
     gap = lambda r: (r.score - r.base_score) / r.n_tokens
     assert gap(got[test_id]) > max(map(gap, fresh)) + 1.0
 
-    training = [tokens(t) for d, t in rows if not held(d)]
-    want = word_states_by_hand(training, sum(map(len, training)))
-    count = Counter(w for t in training for w in t)
-    counts = spark.createDataFrame([(int(h), c) for h, c in ((st.Tokens(pa.array([w or ""])).hash[0], c) for w, c in count.items())], "h long, c long")
-    states, entries = st.word_states(df.where(f"doc_id IN ({', '.join(str(d) for d, _ in rows if not held(d))})"), counts, sum(map(len, training)))
-    assert states.count() == len(want) > 0
-    assert entries.count() == sum(map(len, want.values()))
+
+def test_tree_beats_the_base_on_held_out_texts(spark):
+    rows = [r for r in st.op5_suffix_tree_scores(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    per_token = lambda name: sum(r[name] for r in rows) / sum(r.n_tokens for r in rows)
+    assert per_token("score") > per_token("base_score") + 0.2

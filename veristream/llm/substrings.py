@@ -27,12 +27,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
+from .packed import by_bucket, ddl, pack, pack_sorted, table_of, unpack, unpack_sorted
 
 WINDOW = 20
 GROUP_BYTES = 8 << 20
@@ -44,25 +44,6 @@ _NO_ID = np.iinfo(np.int64).max
 _MASK = np.uint64(0xFFFFFFFF)
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Byte planes, compressed: constant and slowly varying bytes cost nearly nothing."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
-
-
-def unpack(b: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
-
-
-def pack_sorted(a: np.ndarray) -> bytes:
-    return pack(np.diff(a, prepend=a.dtype.type(0)))
-
-
-def unpack_sorted(b: bytes, dtype) -> np.ndarray:
-    return np.cumsum(unpack(b, dtype), dtype=dtype)
-
-
 class Group:
     """The words of a group's documents, ordered by doc_id."""
 
@@ -129,18 +110,6 @@ class Group:
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
-def _by_bucket(bucket: np.ndarray):
-    """Runs of equal values of a sorted array: value, begin, end."""
-    if len(bucket):
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        yield from zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True)
-
-
-def _table(schema, rows):
-    columns = list(zip(*rows, strict=True)) or [[] for _ in schema.names]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-
-
 def _key(h: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket above, 32 bits of hash below."""
     return (((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (h & _MASK)
@@ -152,10 +121,6 @@ _CANDIDATES = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("hash", pa.
 _LOST = pa.schema([("g", pa.int64()), ("hash", pa.binary())])
 
 
-def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
-
-
 class Steps:
     """The functions that run inside tasks."""
 
@@ -170,11 +135,11 @@ class Steps:
         k, aligned = k[order], (group.place[at] % self.block == 0)[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         if not len(first):
-            return _table(_PROBES, [])
+            return table_of(_PROBES, [])
         flags = np.logical_or.reduceat(aligned, first).astype(np.uint8) | (np.diff(first, append=len(k)) > 1).astype(np.uint8) << 1
         k = k[first]
         g = key[0].as_py()
-        return _table(_PROBES, [(b, g, pack_sorted((k[i:j] & _MASK).astype(np.uint32)), pack(flags[i:j])) for b, i, j in _by_bucket((k >> np.uint64(32)).astype(np.int64))])
+        return table_of(_PROBES, [(b, g, pack_sorted((k[i:j] & _MASK).astype(np.uint32)), pack(flags[i:j])) for b, i, j in by_bucket((k >> np.uint64(32)).astype(np.int64))])
 
     def hits(self, key, table):
         gs, bucket = table.column("g").to_pylist(), key[0].as_py()
@@ -194,14 +159,14 @@ class Steps:
             at += len(k)
             if len(mine):
                 rows.append((g, bucket, pack_sorted(mine)))
-        return _table(_HITS, rows)
+        return table_of(_HITS, rows)
 
     def candidates(self, key, left, right):
         group = Group(left)
         at, h = group.windows(self.block)
         rows = sorted(zip(right.column("bucket").to_pylist(), right.column("keys").to_pylist(), strict=True))
         if not rows:
-            return _table(_CANDIDATES, [])
+            return table_of(_CANDIDATES, [])
         known = np.concatenate([unpack_sorted(b, np.uint32).astype(np.uint64) | np.uint64(bucket << 32) for bucket, b in rows])
         hit = np.zeros(group.size + 1, np.int32)
         k = _key(h, self.buckets)
@@ -217,7 +182,7 @@ class Steps:
         first[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
         at, h, check, bucket = at[first], h[first], check[first], bucket[first]
         ids, g = group.ids[group.row[at]], key[0].as_py()
-        return _table(_CANDIDATES, [(b, g, pack_sorted(h[i:j]), pack(check[i:j]), pack(ids[i:j])) for b, i, j in _by_bucket(bucket)])
+        return table_of(_CANDIDATES, [(b, g, pack_sorted(h[i:j]), pack(check[i:j]), pack(ids[i:j])) for b, i, j in by_bucket(bucket)])
 
     def lost(self, key, table):
         h = [unpack_sorted(b, np.uint64) for b in table.column("hash").to_pylist()]
@@ -233,7 +198,7 @@ class Steps:
             at += len(k)
             if len(mine):
                 rows.append((g, pack_sorted(mine)))
-        return _table(_LOST, rows)
+        return table_of(_LOST, rows)
 
     def removed(self, group: Group, right) -> np.ndarray:
         """Which words of the group lie in a window that starts earlier."""
@@ -282,10 +247,10 @@ def deduplicate(
     g = F.when(short, F.pmod(F.monotonically_increasing_id(), n_groups)).otherwise(F.pmod(F.xxhash64("doc_id", "text"), n_groups))
     dealt = docs.select(g.cast("long").alias("g"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
     by_group = dealt.groupBy("g")
-    probes = by_group.applyInArrow(lambda k, t: steps.probe(k, t), _ddl(_PROBES))
-    hits = probes.groupBy("bucket").applyInArrow(lambda k, t: steps.hits(k, t), _ddl(_HITS))
-    candidates = by_group.cogroup(hits.groupBy("g")).applyInArrow(lambda k, a, b: steps.candidates(k, a, b), _ddl(_CANDIDATES))
-    lost = candidates.groupBy("bucket").applyInArrow(lambda k, t: steps.lost(k, t), _ddl(_LOST))
+    probes = by_group.applyInArrow(lambda k, t: steps.probe(k, t), ddl(_PROBES))
+    hits = probes.groupBy("bucket").applyInArrow(lambda k, t: steps.hits(k, t), ddl(_HITS))
+    candidates = by_group.cogroup(hits.groupBy("g")).applyInArrow(lambda k, a, b: steps.candidates(k, a, b), ddl(_CANDIDATES))
+    lost = candidates.groupBy("bucket").applyInArrow(lambda k, t: steps.lost(k, t), ddl(_LOST))
     numbers = T.ArrayType(T.IntegerType())
     out = T.StructType().add("doc", dealt.schema["doc"].dataType).add("n_words", "long").add("n_removed", "long")
     out = out.add("kept", "string").add("removed_from", numbers).add("removed_to", numbers)

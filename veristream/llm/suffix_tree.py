@@ -1,385 +1,339 @@
 """Language-model scores from a probabilistic suffix tree.
 
-Tokens are lower-cased words and one end a text.  The tree's symbols are the words that make up at least ``SYMBOL`` of the
-training tokens, the end, and one symbol for all other words; below that symbol a word has its add-one share.  Contexts
-are up to ``DEPTH`` symbols long.  A context stays if it makes up at least ``CONTEXT`` of the training tokens and passes a
-divergence test: twice the log-likelihood ratio of its next-symbol distribution against that of its suffix
-exceeds the chi-square's mean by ``DEVIATIONS`` standard deviations.  Its distribution is its counts, smoothed by
-``PRIOR`` times the longest suffix that stays (the root is add-one smoothed).  A token is scored in the longest
-suffix of what precedes it that is a state of the tree.
-
-On top of that tree stand contexts of up to ``DEPTH`` whole words, rare ones too (:func:`word_states`).  Their floor is absolute: every
-context and next word seen ``LEAST`` times in training is counted, and a context stays by the same divergence test, in
-which next words seen less often are one cell and only the others count as degrees of freedom.  A word's probability
-there is its share of the context's counts, smoothed by ``PRIOR`` times that of the longest suffix that
-stays, at last the tree's.  These states are a distributed table that grows with the corpus: positions meet it in joins by hash.
-Bit maps of fixed size keep positions that can't match out of the joins; they decide nothing.
-
-All counts are over all training documents; the floors of the tree below are shares of the corpus, which
-prove the size of what is broadcast: at most 1 / SYMBOL symbols, 1 / CONTEXT contexts and 1 / ENTRY next symbols for
-each length, and 1 / LOOKUP words with their counts.  The counts of all other words stay distributed: a
-document's rare words meet them in a join by hash.
+Tokens are lower-cased words and one end a text.  Contexts are up to ``DEPTH`` words long, rare ones too: every context and
+every next word that occur ``LEAST`` times in training are counted, at any size of the corpus.  A context stays as a state
+if it passes a divergence test: twice the log-likelihood ratio of its next-word distribution against that of its suffix
+exceeds the chi-square's mean by ``DEVIATIONS`` standard deviations (next words that occur less often are one cell, and
+only the others count as degrees of freedom).  A state's distribution is its counts, smoothed: the share of types
+among what followed it (Witten and Bell) goes to the longest suffix that stays; the root is add-one smoothed.  A token
+is scored in the longest suffix of what precedes it that is a state.
+
+The tree is never in one place.  Documents are packed into groups of about ``GROUP_BYTES`` of text, longer texts in
+several pieces that overlap by ``DEPTH`` words, and the groups are written to the shared folder.  A *gram* is a run of words by
+its 64-bit hash; its last word is the next word, those before are the context.
+
+1. *Count.*  A group sends its distinct grams of each length with their counts, as sorted, delta-coded, compressed arrays, to
+   buckets by hash.  A bucket adds up and tells each group the totals of its grams, and one group for each gram that it owns it.
+2. *Test.*  A group knows the counts that a gram's divergence needs, as all parts of a gram that it holds are in the group too.
+   The owner of a gram adds it to its context's sums; groups send these sums, or only the question, to buckets by context,
+   which test the context and tell each group that asked.  A context that is always followed by one word needs no question
+   where that word is seen.
+3. *Score.*  A group scores its documents with the totals and states that it was told.
+
+A word or context that occurs everywhere is one entry a group, so no key is hot.  Sums are whole numbers, so the order in
+which they are added changes nothing.
 
 Defined results: a null text has no words, only its end; a null doc_id counts as the empty text for the fold; rows repeated
 under one doc_id are scored each; without training documents every probability of the base is 1; an empty table
-gives an empty result; other columns are ignored.  Words are told apart by 64 bits of a BLAKE2b digest.
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import partial, reduce
+import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
 from .cluster import stored
+from .packed import by_bucket, ddl, pack, pack_sorted, table_of, unpack, unpack_sorted
 
 FOLDS, HELD_OUT = 7, 2
-SYMBOL, CONTEXT, ENTRY, LOOKUP = 1e-3, 1e-4, 1e-6, 2e-6
-DEPTH = 3
+DEPTH = 2
 DEVIATIONS = 4.0
-PRIOR = 20.0
-#: Contexts of words, and words after them, are counted from this many occurrences on.
+#: Contexts, and words after them, are counted from this many occurrences on.
 LEAST = 2
-#: Bits of a map that keeps positions out of joins, as a power of two.
-MAP_BITS = 25
-
-#: Bits of a symbol: 1 / SYMBOL words, the end and the others fit.
-BITS = 11
-_TAG = 58
-#: The end's hash stands for no word: hashes of words are finalised, and this is checked nowhere else.
-END_HASH = np.int64(-7046029254386353131)
-
-_COUNTS = pa.schema([("h", pa.int64()), ("n", pa.int64())])
-_GRAMS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
-_RARE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
-_PART = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_other", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("other", pa.float64()), ("symbols", pa.float64())])
-_WORD_GRAMS = pa.schema([("context", pa.int64()), ("suffix", pa.int64()), ("n", pa.int64())])
-_PLACES = pa.schema([("text_hash", pa.int64()), ("place", pa.int64()), ("k", pa.int64()), ("key", pa.int64()), ("base", pa.float64()), ("near", pa.float64()), ("rare", pa.bool_())])
-_KINDS = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
-
-
-def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {_KINDS[f.type]}" for f in schema)
-
-
-class Tokens:
-    """The token hashes of a slice: the words of each row, then its end."""
-
-    def __init__(self, texts: pa.Array):
-        data, offsets = tx.utf8(texts)
-        data = tx.LOWER[data]
-        words = tx.Words(data, offsets)
-        rows = len(offsets) - 1
-        self.counts = words.counts + 1
-        self.hash = np.full(len(words) + rows, END_HASH)
-        self.hash[np.arange(len(words)) + words.row] = words.digests()[0].view(np.int64)
-        self.row = np.repeat(np.arange(rows), self.counts)
-        self.place = np.arange(len(self.hash)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
-
-
-def _found(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Places of values in the sorted array known, -1 where they aren't."""
-    if not len(known):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    return np.where(known[at] == values, at, -1)
+#: Text of a group, grams of a bucket.
+GROUP_BYTES = 8 << 20
+BUCKET_KEYS = 2 << 20
+#: Words are about this many bytes; only sizes of buckets depend on it.
+WORD_BYTES = 6
+#: Gains and shares are added as whole numbers of these parts.
+GAIN_PARTS, SHARE_PARTS = 256, 1 << 30
+#: The end's hash stands for no word.
+END_HASH = np.uint64(0x9E3779B97F4A7C15)
+
+_GROUPS = pa.schema([("g", pa.int64()), ("docs", pa.binary())])
+_DOCS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lead", pa.int64()), ("last", pa.bool_()), ("text", pa.large_string())])
+_ASKED = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_TOTALS = pa.schema([("g", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary()), ("mine", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
+_SUMS = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()), ("sums", pa.binary())])
+_STATES = pa.schema([("g", pa.int64()), ("bucket", pa.int64()), ("seen", pa.binary()), ("kinds", pa.binary())])
+_SCORES = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def pieces(text: bytes, size: int):
+    """Cut a text at white space: how many words of the piece before come first, the text of these and the piece, and
+    whether it is the last."""
+    at, before = 0, []
+    while True:
+        space = _SPACE.search(text, at + size) if len(text) - at > size else None
+        end = space.start() if space else len(text)
+        yield len(before), b" ".join([*before, text[at:end]]) if before else text[at:end], space is None
+        if space is None:
+            return
+        before = [*before, *text[at:end].rsplit(None, DEPTH)[-DEPTH:]][-DEPTH:]
+        at = end
+
+
+def _pack_groups(batches, size):
+    """Documents as groups: one row each, of a compressed table."""
+    number = TaskContext.get().partitionId() << 40
+    press = zstandard.ZstdCompressor(level=3)
+
+    def group(rows):
+        nonlocal number
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _DOCS) as out:
+            out.write_batch(tx.batch_of(_DOCS, *rows))
+        number += 1
+        return tx.batch_of(_GROUPS, [number], [press.compress(sink.getvalue())])
+
+    uid = number
+    for part in tx.slices(batches, limit=size):
+        ids, held, texts = part.column("doc_id").cast(pa.int64()), part.column("held_out"), part.column("text")
+        uids = pa.array(np.arange(uid, uid + part.num_rows))
+        uid += part.num_rows
+        if part.num_rows == 1 and texts[0].is_valid and len(raw := texts[0].as_buffer().to_pybytes()) > size:
+            for lead, piece, last in pieces(raw, size):
+                yield group([uids, ids, held, [lead], [last], pa.array([piece.decode()], pa.large_string())])
+        else:
+            n = part.num_rows
+            yield group([uids, ids, held, np.zeros(n, np.int64), np.ones(n, bool), texts.cast(pa.large_string())])
+
+
+class Group:
+    """The tokens of a group's documents and its distinct grams."""
+
+    def __init__(self, table: pa.Table):
+        raw = zstandard.ZstdDecompressor().decompress(table.column("docs")[0].as_py())
+        self.docs = pa.ipc.open_stream(raw).read_all().combine_chunks()
+        data, offsets = tx.utf8(self.docs.column("text"))
+        words = tx.Words(tx.LOWER[data], offsets)
+        lead, last, held = (self.docs.column(n).to_numpy() for n in ("lead", "last", "held_out"))
+        counts = words.counts + last
+        self.row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        first = np.cumsum(counts) - counts
+        self.place = (np.arange(len(self.row)) - first[self.row]).astype(np.int32)
+        token = np.full(len(self.row), END_HASH)
+        token[first[words.row] + np.arange(len(words)) - words.bounds[words.row]] = words.digests()[0]
+        #: Tokens of the piece itself, and those of them that are learned from.
+        self.own = self.place >= lead[self.row]
+        learned = self.own & ~held[self.row]
+        #: For each length, the sorted distinct grams, at each position the number of the one that ends there (-1: none), and counts.
+        self.grams, self.at, self.counts = [], [], []
+        for length in range(1, DEPTH + 2):
+            if length > 1:
+                token = tx.mix(np.concatenate([token[:1], token[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + token)
+            where = np.flatnonzero(self.place >= length - 1)
+            grams, number = np.unique(token[where], return_inverse=True)
+            at = np.full(len(token), -1, np.int32)
+            at[where] = number
+            self.grams.append(grams)
+            self.at.append(at)
+            self.counts.append(np.bincount(number[learned[where]], minlength=len(grams)))
+
+    def follows(self, length: int) -> tuple[np.ndarray, ...]:
+        """For each distinct gram of ``length`` + 1 words: the numbers of its context, its suffix, and the suffix's context
+        (0 where that is empty)."""
+        where = np.flatnonzero(self.at[length] >= 0)
+        one = np.zeros(len(self.grams[length]), np.int64)
+        one[self.at[length][where]] = where
+        inner = self.at[length - 2][one - 1] if length > 1 else np.zeros(len(one), np.int32)
+        return self.at[length - 1][one - 1], self.at[length - 1][one], inner
+
+
+def bucket_of(keys: np.ndarray, buckets: int, length: int) -> np.ndarray:
+    """Ranges of hashes, so that sorted keys lie in buckets one after the other."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) + length * buckets
+
+
+def stays(n, seen, kinds, gain, share) -> np.ndarray:
+    """The divergence test of contexts: occurrences, those followed by counted words, the number of these words, their gains
+    and the share that the suffix gives them."""
+    rest = n - seen
+    other = np.maximum(1 - share / SHARE_PARTS, 1e-12)
+    more = np.where(rest > 0, 2 * rest * np.log(np.maximum(rest, 1) / (np.maximum(n, 1) * other)), 0.0)
+    return (kinds > 0) & (gain / GAIN_PARTS + more > kinds + DEVIATIONS * np.sqrt(2.0 * kinds))
+
+
+class Steps:
+    """The functions that run inside tasks."""
+
+    def __init__(self, buckets: int, n_tokens: int = 0, n_kinds: int = 0):
+        self.buckets, self.n_tokens, self.n_kinds = buckets, n_tokens, n_kinds
+
+    def _asked(self, number: int, length: int, keys: np.ndarray):
+        for b, i, j in by_bucket(bucket_of(keys, self.buckets, length)):
+            yield b, number, pack_sorted(keys[i:j]), slice(i, j)
+
+    def ask(self, key, table):
+        group, rows = Group(table), []
+        for length, (grams, counts) in enumerate(zip(group.grams, group.counts, strict=True)):
+            for *row, part in self._asked(key[0].as_py(), length, grams):
+                rows.append((*row, pack(counts[part].astype(np.uint32))))
+        return table_of(_ASKED, rows)
+
+    def count(self, key, table):
+        """The totals of a bucket's grams, told to each group in the order of its own; the first group that sent a gram owns it."""
+        keys = [unpack_sorted(b, np.uint64) for b in table.column("keys").to_pylist()]
+        counts = np.concatenate([unpack(b, np.uint32) for b in table.column("counts").to_pylist()])
+        gs, bucket = table.column("g").to_pylist(), key[0].as_py()
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        ranked = every[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        sums = np.add.reduceat(counts[order].astype(np.uint64), first)
+        least = 1 if bucket < self.buckets else LEAST
+        total = np.empty(len(every), np.uint64)
+        total[order] = np.repeat(np.where(sums >= least, sums, 0), np.diff(first, append=len(every)))
+        mine = np.zeros(len(every), bool)
+        mine[order[first]] = True
+        rows, at = [], 0
+        for g, k in zip(gs, keys, strict=True):
+            part = slice(at, at + len(k))
+            at += len(k)
+            rows.append((g, bucket, pack(total[part]), pack(np.packbits(mine[part])), None, None))
+        if bucket < self.buckets:
+            rows.append((-1, bucket, None, None, int(sums.sum()), int(np.count_nonzero(sums))))
+        return table_of(_TOTALS, rows)
+
+    def _told(self, group: Group, table) -> tuple[list, list]:
+        """The totals of the group's grams of each length, and which of them it owns."""
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "totals", "mine")), strict=True))
+        totals, mine = ([[] for _ in group.grams] for _ in range(2))
+        for bucket, total, own in rows:
+            found = unpack(total, np.uint64).astype(np.int64)
+            totals[bucket // self.buckets].append(found)
+            mine[bucket // self.buckets].append(np.unpackbits(unpack(own, np.uint8), count=len(found)).astype(bool))
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return [join(t, np.int64) for t in totals], [join(m, bool) for m in mine]
+
+    def _sums(self, group: Group, totals, mine, length: int):
+        """For each context of ``length`` words: what the group adds to its sums (words, kinds, gain, share), which contexts
+        it must ask for, and the states among those that it needn't."""
+        context, suffix, inner = group.follows(length)
+        c, n = totals[length], totals[length - 1][context]
+        before = totals[length - 2][inner] if length > 1 else np.full(len(c), self.n_tokens)
+        counted = np.flatnonzero(c >= LEAST)
+        q = totals[length - 1][suffix[counted]] / before[counted]
+        gain = np.rint(2 * c[counted] * np.log(c[counted] / (n[counted] * q)) * GAIN_PARTS)
+        share = np.rint(q * SHARE_PARTS)
+        size = len(group.grams[length - 1])
+        owned = mine[length][counted]
+        add = lambda values: np.bincount(context[counted[owned]], values[owned], size)
+        sums = [add(v).astype(np.int64) for v in (c[counted].astype(float), np.ones(len(counted)), gain, share)]
+        # A context that one word always follows: its sums are that word's.
+        sole = c[counted] == n[counted]
+        known = np.zeros(size, bool)
+        known[context[counted[sole]]] = True
+        alone = np.zeros(size, bool)
+        ones = np.ones(sole.sum())
+        alone[context[counted[sole]]] = stays(n[counted[sole]], c[counted[sole]], ones, gain[sole], share[sole])
+        open_ = np.zeros(size, bool)
+        open_[context] = totals[length - 1][context] >= LEAST
+        return sums, np.flatnonzero((open_ & ~known) | (sums[1] > 0)), alone
+
+    def test(self, key, left, right):
+        if not left.num_rows:
+            return table_of(_SUMS, [])
+        group, rows = Group(left), []
+        totals, mine = self._told(group, right)
+        for length in range(1, DEPTH + 1):
+            sums, asked, _ = self._sums(group, totals, mine, length)
+            n = totals[length - 1][asked]
+            values = np.stack([n, *(s[asked] for s in sums)])
+            for *row, part in self._asked(key[0].as_py(), length, group.grams[length - 1][asked]):
+                rows.append((*row, pack(values[:, part])))
+        return table_of(_SUMS, rows)
+
+    def decide(self, key, table):
+        """The states among a bucket's contexts, told to each group in the order of its own: the occurrences that counted words
+        follow, and the number of these words; zero for no state."""
+        keys = [unpack_sorted(b, np.uint64) for b in table.column("keys").to_pylist()]
+        n, *sums = np.concatenate([unpack(b, np.int64).reshape(5, -1) for b in table.column("sums").to_pylist()], axis=1)
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        ranked = every[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        seen, kinds, gain, share = (np.add.reduceat(s[order], first) for s in sums)
+        kept = stays(n[order[first]], seen, kinds, gain, share)
+        sizes = np.diff(first, append=len(every))
+        out = np.zeros((2, len(every)), np.int64)
+        for k, values in enumerate((seen, kinds)):
+            out[k, order] = np.repeat(np.where(kept, values, 0), sizes)
+        rows, at = [], 0
+        for g, k in zip(table.column("g").to_pylist(), keys, strict=True):
+            rows.append((g, key[0].as_py(), pack(out[0, at : at + len(k)]), pack(out[1, at : at + len(k)])))
+            at += len(k)
+        return table_of(_STATES, rows)
+
+    def score(self, key, left, right):
+        if not left.num_rows:
+            return table_of(_SCORES, [])
+        group = Group(left)
+        is_total = pc.is_valid(right.column("totals"))
+        totals, mine = self._told(group, right.filter(is_total))
+        told = right.filter(pc.invert(is_total))
+        told = sorted(zip(*(told.column(c).to_pylist() for c in ("bucket", "seen", "kinds")), strict=True))
+        c = totals[0][group.at[0]]
+        all_ = self.n_tokens + self.n_kinds + 1
+        p = (c + 1) / all_
+        for length in range(1, DEPTH + 1):
+            _, asked, alone = self._sums(group, totals, mine, length)
+            n = totals[length - 1]
+            seen, kinds = np.where(alone, n, 0), alone.astype(np.int64)
+            for at, values in ((1, seen), (2, kinds)):
+                parts = [unpack(row[at], np.int64) for row in told if row[0] // self.buckets == length]
+                if parts:
+                    values[asked] = np.concatenate(parts)
+            at = np.flatnonzero(group.place >= length)
+            context = group.at[length - 1][at - 1]
+            state = seen[context] > 0
+            at, context = at[state], context[state]
+            types = (kinds + n - seen)[context]
+            p[at] = (totals[length][group.at[length][at]] + (types + (n - seen)[context]) * p[at]) / (n[context] + types)
+        rows = len(group.docs)
+        total = lambda values: np.bincount(group.row[group.own], values[group.own], rows)
+        ids = [group.docs.column(n) for n in ("uid", "doc_id", "held_out")]
+        found = [np.bincount(group.row[group.own], minlength=rows), total((c > 0).astype(float)).astype(np.int64), total(np.log10(c + 1.0)), total(np.log10(p))]
+        return pa.table(dict(zip(_SCORES.names, [*ids, *found], strict=True)), schema=_SCORES)
+
+
+def packed_groups(docs: DataFrame, size: int) -> DataFrame:
+    """``g, docs``: the documents in groups, stored, so that a group stays what it is whenever it is read."""
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
+    named = docs.select("doc_id", "text", (fold == HELD_OUT).alias("held_out"))
+    return stored(named.mapInArrow(lambda batches: _pack_groups(batches, size), ddl(_GROUPS)))
 
 
-def contexts(symbols: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions with at least ``length`` tokens before them, and these as one number, the nearest lowest."""
-    at = np.flatnonzero(place >= length)
-    key = np.full(len(at), length << _TAG, np.int64)
-    for k in range(length):
-        key |= symbols[at - 1 - k] << (BITS * k)
-    return at, key
-
-
-def grams(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """A context and the symbol after it as one number."""
-    length = key >> _TAG
-    return (length << _TAG) | ((key & ((1 << _TAG) - 1)) << BITS) | symbol
-
-
-def _count_words(batches):
-    for part in tx.slices(batches):
-        h, n = np.unique(Tokens(part.column("text")).hash, return_counts=True)
-        yield tx.batch_of(_COUNTS, h, n)
-
-
-def _symbols(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """1 and up: common words; 0: all others."""
-    return _found(hashes, common) + 1
-
-
-def _count_grams(batches, common):
-    for part in tx.slices(batches):
-        tokens = Tokens(part.column("text"))
-        symbols = _symbols(tokens.hash, common)
-        every = []
-        for length in range(DEPTH + 1):
-            at, key = contexts(symbols, tokens.place, length)
-            every.append(grams(key, symbols[at]))
-        g, n = np.unique(np.concatenate(every), return_counts=True)
-        yield tx.batch_of(_GRAMS, g, n)
-
-
-def _rare_words(batches, lookup):
-    for part in tx.slices(batches):
-        tokens = Tokens(part.column("text"))
-        rare = _found(tokens.hash, lookup) < 0
-        h, row = tokens.hash[rare], tokens.row[rare]
-        by = np.lexsort((h, row))
-        h, row = h[by], row[by]
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
-        rows = pa.array(row[first])
-        yield tx.batch_of(_RARE, part.column("doc_id").cast(pa.int64()).take(rows), part.column("text_hash").take(rows), h[first], np.diff(first, append=len(h)))
-
-
-def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """The hash of a gram from those of its words without the last and without the first."""
-    return tx.mix(context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + suffix.view(np.uint64)).view(np.int64)
-
-
-def word_grams(hashes: np.ndarray, length: int) -> np.ndarray:
-    """At each position the hash of the ``length`` tokens that end there; the first positions of a row are for the caller to mask."""
-    for _ in range(length - 1):
-        hashes = joined(np.concatenate([hashes[:1], hashes[:-1]]), hashes)
-    return hashes
-
-
-def _named(batches):
-    for batch in batches:
-        gram = joined(*(batch.column(n).to_numpy() for n in ("context", "suffix")))
-        yield pa.RecordBatch.from_arrays([pa.array(gram), *batch.columns], names=["gram", *batch.schema.names])
-
-
-def _map_place(h: np.ndarray) -> np.ndarray:
-    return h.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
-
-
-def _on_map(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = _map_place(h)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
-def bit_map(hashes: DataFrame) -> np.ndarray:
-    """A map of fixed size with the bits of all hashes ``h`` set."""
-    low = F.col("h").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    found = hashes.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("b")).toArrow()  # rows of objects would be ten times the map
-    bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    bits[found["at"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
-    return bits
-
-
-def _count_word_grams(batches, length, bits):
-    for part in tx.slices(batches):
-        tokens = Tokens(part.column("text"))
-        shorter, gram = word_grams(tokens.hash, length - 1), word_grams(tokens.hash, length)
-        at = np.flatnonzero(tokens.place >= length - 1)
-        # What occurs LEAST times has a context and a suffix that do.
-        at = at[_on_map(shorter[at], bits.value)]
-        at = at[_on_map(shorter[at - 1], bits.value)]
-        _, first, n = np.unique(gram[at], return_index=True, return_counts=True)
-        yield tx.batch_of(_WORD_GRAMS, shorter[at[first] - 1], shorter[at[first]], n)
-
-
-def word_states(training: DataFrame, counts: DataFrame, n_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """``context, weight`` of all states of words and ``gram, own, last`` of the words seen after them, last being the word's count."""
-    context = training.sparkSession.sparkContext
-    total = F.lit(float(n_tokens))
-    shorter = counts.where(F.col("c") >= LEAST).select(F.col("h").alias("gram"), "c", total.alias("n"), F.col("c").alias("last"))
-    states, entries = [], []
-    for length in range(2, DEPTH + 2):
-        bits = context.broadcast(bit_map(shorter.select(F.col("gram").alias("h"))))
-        found = training.select("text").mapInArrow(partial(_count_word_grams, length=length, bits=bits), _ddl(_WORD_GRAMS))
-        grams_ = found.groupBy("context", "suffix").agg(F.sum("n").alias("c")).where(F.col("c") >= LEAST).mapInArrow(_named, "gram long, context long, suffix long, c long")
-        # A context occurs as often as the gram of its words: an end is never followed by anything.
-        of_context = shorter.select(F.col("gram").alias("context"), F.col("c").cast("double").alias("n"))
-        of_suffix = shorter.select(F.col("gram").alias("suffix"), F.col("c").alias("sc"), F.col("n").alias("sn"), "last")
-        table = stored(grams_.join(of_context, "context").join(of_suffix, "suffix"))
-        c, q = F.col("c"), F.col("sc") / F.col("sn")
-        own = table.groupBy("context").agg(F.first("n").alias("n"), F.sum(c).alias("seen"), F.sum(q).alias("share"), F.count("*").alias("free"), F.sum(2 * c * F.log(c / (F.col("n") * q))).alias("gain"))
-        rest = F.col("n") - F.col("seen")
-        rest_gain = F.when(rest > 0, 2 * rest * F.log(rest / (F.col("n") * F.greatest(1 - F.col("share"), F.lit(1e-12))))).otherwise(0.0)
-        tested = own.where(F.col("gain") + rest_gain > F.col("free") + DEVIATIONS * F.sqrt(2.0 * F.col("free")))
-        stay = stored(tested.select("context", (1 - F.col("seen") / (F.col("n") + PRIOR)).alias("weight")))
-        states.append(stay)
-        entries.append(table.join(stay, "context", "left_semi").select("gram", (c / (F.col("n") + PRIOR)).alias("own"), "last"))
-        shorter = table.select("gram", "c", "n", "last")
-    return reduce(DataFrame.union, states), stored(reduce(DataFrame.union, entries))
-
-
-class Model:
-    """What tasks need of the states of words: maps of their contexts and grams, and the log weights of the single words of
-    ``lookup`` (zero where a word isn't a state)."""
-
-    def __init__(self, contexts: np.ndarray, grams: np.ndarray, near: np.ndarray):
-        self.contexts, self.grams, self.near = contexts, grams, near
-
-    def places(self, tokens: Tokens, lookup: np.ndarray):
-        """For each length: positions, contexts and grams of what may be a state, and whether its weight is at hand; then
-        which positions may have a gram, and the log weight at hand of each position."""
-        near, held, met = np.zeros(len(tokens.hash)), np.zeros(len(tokens.hash), bool), []
-        for k in range(1, DEPTH + 1):
-            context, gram = word_grams(tokens.hash, k), word_grams(tokens.hash, k + 1)
-            p = np.flatnonzero(tokens.place >= k)
-            p = p[_on_map(context[p - 1], self.contexts)]
-            at_hand = np.zeros(len(p), bool)
-            if k == 1:
-                at = _found(context[p - 1], lookup)
-                near[p[at >= 0]] = self.near[at[at >= 0]]
-                at_hand = at >= 0
-            hit = _on_map(gram[p], self.grams)
-            held[p[hit]] = True
-            met.append((k, p, context[p - 1], gram[p], at_hand, hit))
-        return met, held, near
-
-
-def _word_places(batches, common, lookup, counts, tree, model, log_others):
-    """A row for each state that may stand before a position (k > 0) and for each gram that may end there (k < 0, its hash
-    inverted, as a gram is also the context of the next word), with the word's probability in the tree.  A word whose count isn't at hand (``rare``) still lacks the log of it."""
-    for part in tx.slices(batches):
-        tokens = Tokens(part.column("text"))
-        symbols = _symbols(tokens.hash, common)
-        at = _found(tokens.hash, lookup)
-        c = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
-        base = np.log10(tree.probabilities(symbols, tokens.place)) + np.where(symbols == 0, np.log10(c + 1.0) - log_others, 0.0)
-        text = part.column("text_hash")
-        met, held, near = model.value.places(tokens, lookup)
-        for k, p, context, gram, at_hand, hit in met:
-            q, g = p[hit], gram[hit]
-            yield tx.batch_of(_PLACES, text.take(pa.array(tokens.row[q])), tokens.place[q], np.full(len(q), -k), ~g, base[q], near[q], at[q] < 0)
-            q, none = p[~at_hand], np.ones((~at_hand).sum(), bool)
-            empty = pa.array(np.zeros(len(q)), mask=none)
-            yield tx.batch_of(_PLACES, text.take(pa.array(tokens.row[q])), tokens.place[q], np.full(len(q), k), context[~at_hand], empty, empty, none & False)
-
-
-def word_gains(docs: DataFrame, states: DataFrame, entries: DataFrame, known: dict) -> DataFrame:
-    """``t, gain``: by how much the states of words change the log probability of each text, but for the weights at hand of
-    positions without a gram."""
-    places = docs.select("text", "text_hash").mapInArrow(partial(_word_places, **known), _ddl(_PLACES))
-    table = states.select("context", "weight", F.lit(0).cast("long")).union(entries.select(F.bitwise_not("gram"), "own", "last")).toDF("key", "value", "last")
-    # A gram that isn't in the table keeps its row, for the weights at hand; a context that isn't goes.
-    met = places.join(table, "key", "left").where("k < 0 OR value IS NOT NULL")
-    of = lambda k, name: F.max(F.when(F.col("k") == k, F.col("value"))).alias(name)
-    # Rows of equal texts fall together here; each has the same gain.
-    every = [of(k, f"weight{k}") for k in range(1, DEPTH + 1)] + [of(-k, f"own{k}") for k in range(1, DEPTH + 1)]
-    # A rare word's count comes with the gram that holds it: without one the word's probability cancels.
-    at = met.groupBy("text_hash", "place").agg(F.max("base").alias("base"), F.max("near").alias("near"), F.max("rare").alias("rare"), F.max("last").alias("last"), *every)
-    base = F.pow(F.lit(10.0), F.coalesce("base", F.lit(0.0))) * F.when(F.col("rare"), F.coalesce("last", F.lit(0)) + 1.0).otherwise(1.0)
-    p = base
-    for k in range(1, DEPTH + 1):
-        weight = F.col(f"weight{k}") if k > 1 else F.coalesce("weight1", F.pow(F.lit(10.0), F.col("near")))
-        p = F.when(weight.isNull(), p).otherwise(F.coalesce(f"own{k}", F.lit(0.0)) + weight * p)
-    return at.groupBy(F.col("text_hash").alias("gt")).agg(F.sum(F.log10(p / base)).alias("gain"))
-
-
-class Tree:
-    """The states: sorted context numbers with their weight for the next shorter state, and sorted grams with their own
-    share; the root's distribution by symbol."""
-
-    def __init__(self, root, states, weights, entries, own):
-        self.root, self.states, self.weights, self.entries, self.own = root, states, weights, entries, own
-
-    def probabilities(self, symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Of each symbol in the longest state that what precedes it ends with."""
-        p = self.root[symbols]
-        for length in range(1, DEPTH + 1):
-            at, key = contexts(symbols, place, length)
-            state = _found(key, self.states)
-            at, key, state = at[state >= 0], key[state >= 0], state[state >= 0]
-            entry = _found(grams(key, symbols[at]), self.entries)
-            p[at] = np.where(entry >= 0, self.own[entry] if len(self.own) else 0.0, 0.0) + self.weights[state] * p[at]
-        return p
-
-
-def _score(batches, common, lookup, counts, tree, model):
-    for part in tx.slices(batches):
-        tokens = Tokens(part.column("text"))
-        rows = len(tokens.counts)
-        symbols = _symbols(tokens.hash, common)
-        at = _found(tokens.hash, lookup)
-        c = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
-        _, held, near = model.value.places(tokens, lookup)
-        logs = np.log10(c + 1.0)  # 0 for the rare: their part comes from the join
-        total = lambda values: np.bincount(tokens.row, values, rows)
-        yield tx.batch_of(
-            _PART, part.column("doc_id").cast(pa.int64()), part.column("text_hash"), part.column("held_out"), tokens.counts,
-            total(symbols == 0).astype(np.int64), total(c > 0).astype(np.int64), total(logs), total(np.where(symbols == 0, logs, 0.0)),
-            total(np.log10(tree.probabilities(symbols, tokens.place)) + np.where(held, 0.0, near)),
-        )
-
-
-def grow(training: DataFrame, common: np.ndarray, n_tokens: int) -> Tree:
-    """Count contexts of the training texts, test them, and bring the tree to the driver (its size is bounded, see above)."""
-    low = (1 << BITS) - 1
-    counted = training.select("text").mapInArrow(partial(_count_grams, common=common), _ddl(_GRAMS)).groupBy("gram").agg(F.sum("n").alias("c"))
-    body = F.col("gram").bitwiseAND(F.lit((1 << _TAG) - 1))
-    table = counted.select(F.shiftright("gram", _TAG).alias("k"), F.shiftright(body, BITS).alias("context"), body.bitwiseAND(F.lit(low)).alias("symbol"), "c")
-    totals = table.groupBy("k", "context").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).where(F.col("n") >= CONTEXT * n_tokens)
-    table = stored(table.join(totals, ["k", "context"]))
-    mask = F.element_at(F.array(*(F.lit((1 << BITS * k) - 1).cast("long") for k in range(DEPTH))), F.col("k").cast("int"))
-    shorter = table.select((F.col("k") + 1).alias("k"), F.col("context").alias("suffix"), "symbol", F.col("c").alias("sc"), F.col("n").alias("sn"), F.col("kinds").alias("sk"))
-    longer = table.where("k > 0").withColumn("suffix", F.col("context").bitwiseAND(mask))
-    gain = F.sum(2 * F.col("c") * F.log(F.col("c") * F.col("sn") / (F.col("n") * F.col("sc"))))
-    tested = longer.join(shorter, ["k", "suffix", "symbol"]).groupBy("k", "context").agg(gain.alias("gain"), F.first("n").alias("n"), (F.first("sk") - 1).alias("free"))
-    states = tested.where(F.col("gain") > F.col("free") + DEVIATIONS * F.sqrt(2 * F.col("free"))).select("k", "context", "n")
-    kept = table.where("k > 0").join(states.select("k", "context"), ["k", "context"]).where(F.col("c") >= ENTRY * n_tokens)
-    states, kept, root = states.toPandas(), kept.select("k", "context", "symbol", "c", "n").toPandas(), table.where("k = 0").select("symbol", "c").toPandas()
-    base = np.ones(len(common) + 1)
-    base[root["symbol"].to_numpy(np.int64)] += root["c"].to_numpy(np.int64)
-    number = lambda f: (f["k"].to_numpy(np.int64) << _TAG) | f["context"].to_numpy(np.int64)
-    key, gram = number(states), grams(number(kept), kept["symbol"].to_numpy(np.int64))
-    own = kept["c"].to_numpy(float) / (kept["n"].to_numpy(float) + PRIOR)
-    order, by = np.argsort(key), np.argsort(gram)
-    key = key[order]
-    weights = 1.0 - np.bincount(_found(number(kept), key), own, len(key)) if len(kept) else np.ones(len(key))
-    return Tree(base / base.sum(), key, weights, gram[by], own[by])
-
-
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, group_bytes: int = GROUP_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of all documents."""
-    spark = docs.sparkSession
-    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
-    docs = docs.select("doc_id", "text", (fold == HELD_OUT).alias("held_out"), F.xxhash64("text").alias("text_hash"))
-    training = docs.where("NOT held_out")
-    counts = stored(training.select("text").mapInArrow(_count_words, _ddl(_COUNTS)).groupBy("h").agg(F.sum("n").alias("c")))
-    n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    frequent = counts.where(F.col("c") >= LOOKUP * n).toPandas().sort_values("h")
-    lookup, lookup_counts = frequent["h"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)
-    is_common = (lookup_counts >= SYMBOL * n) | (lookup == END_HASH)
-    common = lookup[is_common]
-    # An end that is rarer than any symbol (texts of thousands of words each) is still one.
-    common = common if END_HASH in common or not n else np.sort(np.append(common, END_HASH))
-    others = n - int(lookup_counts[is_common].sum()), v - len(common)
-    tree = grow(training, common, n)
-    states, entries = word_states(training, counts, n)
-    log_others = float(np.log10(sum(others) + 1))
-    light = states.join(counts.where(F.col("c") >= LOOKUP * n), F.col("context") == F.col("h")).select("context", "weight").toArrow()
-    near = np.zeros(len(lookup))
-    near[_found(light["context"].to_numpy(), lookup)] = np.log10(light["weight"].to_numpy())
-    model = spark.sparkContext.broadcast(Model(bit_map(states.select(F.col("context").alias("h"))), bit_map(entries.select(F.col("gram").alias("h"))), near))
-    known = {"common": common, "lookup": lookup, "counts": lookup_counts, "tree": tree, "model": model}
-    gains = word_gains(docs, states, entries, known | {"log_others": log_others})
-    rare = docs.select("doc_id", "text", "text_hash").mapInArrow(partial(_rare_words, lookup=lookup), _ddl(_RARE))
-    met = rare.join(counts, "h", "left")
-    key = ["doc_id", "text_hash"]
-    by_doc = met.groupBy(key).agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "rare", "rare_known")
-    parts = docs.mapInArrow(partial(_score, **known), _ddl(_PART))
-    same = F.count("*").over(Window.partitionBy(key))  # repeated rows: the join's sums are of all of them
-    rows = parts.withColumn("same", same).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
-    rows = rows.join(gains, F.col("text_hash") == F.col("gt"), "left")
-    rare, rare_known = F.coalesce(F.col("rare") / F.col("same"), F.lit(0.0)), F.coalesce(F.col("rare_known") / F.col("same"), F.lit(0)).cast("long")
-    return rows.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + rare_known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + rare - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-        (F.col("symbols") + F.col("other") + rare - F.col("n_other") * log_others + F.coalesce("gain", F.lit(0.0))).alias("score"),
-    )
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + total // (WORD_BYTES * bucket_keys)
+    groups = packed_groups(docs, group_bytes).groupBy("g")
+    steps = Steps(buckets)
+    asked = groups.applyInArrow(lambda k, t: steps.ask(k, t), ddl(_ASKED))
+    totals = stored(asked.groupBy("bucket").applyInArrow(lambda k, t: steps.count(k, t), ddl(_TOTALS)))
+    n, v = (x or 0 for x in totals.agg(F.sum("tokens"), F.sum("kinds")).first())
+    known = Steps(buckets, n, v)
+    totals = totals.where("g >= 0").select("g", "bucket", "totals", "mine")
+    sums = groups.cogroup(totals.groupBy("g")).applyInArrow(lambda k, a, b: known.test(k, a, b), ddl(_SUMS))
+    states = sums.groupBy("bucket").applyInArrow(lambda k, t: known.decide(k, t), ddl(_STATES))
+    none = F.lit(None).cast("binary")
+    told = totals.withColumns({"seen": none, "kinds": none}).unionByName(states.withColumns({"totals": none, "mine": none}))
+    parts = groups.cogroup(told.groupBy("g")).applyInArrow(lambda k, a, b: known.score(k, a, b), ddl(_SCORES))
+    # A long text's pieces come together.
+    whole = parts.groupBy("uid", "doc_id", "held_out").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    base = F.col("base") - F.col("n_tokens") * float(np.log10(n + v + 1))
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op5_suffix_tree_scores(spark, sf_dir):
