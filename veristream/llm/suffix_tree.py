@@ -10,7 +10,8 @@ is scored in the longest suffix of what precedes it that is a state.
 
 The tree is never in one place.  Documents are packed into groups of about ``GROUP_BYTES`` of text, longer texts in
 several pieces that overlap by ``DEPTH`` words, and the groups are written to the shared folder.  A *gram* is a run of words by
-its 64-bit hash; its last word is the next word, those before are the context.
+its hash; its last word is the next word, those before are the context.  Words have 64 bits of hash, longer grams
+``SPARE_BITS`` more than the corpus needs to number its words, so at any size a gram meets another's hash once in 2^SPARE_BITS.
 
 1. *Count.*  A group sends its distinct grams of each length with their counts, as sorted, delta-coded, compressed arrays, to
    buckets by hash.  A bucket adds up and tells each group the totals of its grams, and one group for each gram that it owns it.
@@ -54,8 +55,9 @@ GROUP_BYTES = 8 << 20
 BUCKET_KEYS = 2 << 20
 #: Words are about this many bytes; only sizes of buckets depend on it.
 WORD_BYTES = 6
+SPARE_BITS = 20
 #: Gains and shares are added as whole numbers of these parts.
-GAIN_PARTS, SHARE_PARTS = 256, 1 << 30
+GAIN_PARTS, SHARE_PARTS = 16, 1 << 24
 #: The end's hash stands for no word.
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,7 +114,7 @@ def _pack_groups(batches, size):
 class Group:
     """The tokens of a group's documents and its distinct grams."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, bits: int):
         raw = zstandard.ZstdDecompressor().decompress(table.column("docs")[0].as_py())
         self.docs = pa.ipc.open_stream(raw).read_all().combine_chunks()
         data, offsets = tx.utf8(self.docs.column("text"))
@@ -122,8 +124,9 @@ class Group:
         self.row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         first = np.cumsum(counts) - counts
         self.place = (np.arange(len(self.row)) - first[self.row]).astype(np.int32)
+        codes, distinct = words.codes()
         token = np.full(len(self.row), END_HASH)
-        token[first[words.row] + np.arange(len(words)) - words.bounds[words.row]] = words.digests()[0]
+        token[first[words.row] + np.arange(len(words)) - words.bounds[words.row]] = tx.span_hashes(distinct)[codes]
         #: Tokens of the piece itself, and those of them that are learned from.
         self.own = self.place >= lead[self.row]
         learned = self.own & ~held[self.row]
@@ -133,7 +136,7 @@ class Group:
             if length > 1:
                 token = tx.mix(np.concatenate([token[:1], token[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + token)
             where = np.flatnonzero(self.place >= length - 1)
-            grams, number = np.unique(token[where], return_inverse=True)
+            grams, number = np.unique(token[where] >> np.uint64(64 - bits if length > 1 else 0), return_inverse=True)
             at = np.full(len(token), -1, np.int32)
             at[where] = number
             self.grams.append(grams)
@@ -150,11 +153,6 @@ class Group:
         return self.at[length - 1][one - 1], self.at[length - 1][one], inner
 
 
-def bucket_of(keys: np.ndarray, buckets: int, length: int) -> np.ndarray:
-    """Ranges of hashes, so that sorted keys lie in buckets one after the other."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) + length * buckets
-
-
 def stays(n, seen, kinds, gain, share) -> np.ndarray:
     """The divergence test of contexts: occurrences, those followed by counted words, the number of these words, their gains
     and the share that the suffix gives them."""
@@ -167,17 +165,20 @@ def stays(n, seen, kinds, gain, share) -> np.ndarray:
 class Steps:
     """The functions that run inside tasks."""
 
-    def __init__(self, buckets: int, n_tokens: int = 0, n_kinds: int = 0):
-        self.buckets, self.n_tokens, self.n_kinds = buckets, n_tokens, n_kinds
+    def __init__(self, buckets: int, bits: int, n_tokens: int = 0, n_kinds: int = 0):
+        self.buckets, self.bits, self.n_tokens, self.n_kinds = buckets, bits, n_tokens, n_kinds
 
-    def _asked(self, number: int, length: int, keys: np.ndarray):
-        for b, i, j in by_bucket(bucket_of(keys, self.buckets, length)):
+    def _asked(self, number: int, length: int, words: int, keys: np.ndarray):
+        """Sorted keys by bucket: buckets are ranges of hashes."""
+        high = keys >> np.uint64((self.bits if words > 1 else 64) - 32)
+        bucket = (high * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64) + length * self.buckets
+        for b, i, j in by_bucket(bucket):
             yield b, number, pack_sorted(keys[i:j]), slice(i, j)
 
     def ask(self, key, table):
-        group, rows = Group(table), []
+        group, rows = Group(table, self.bits), []
         for length, (grams, counts) in enumerate(zip(group.grams, group.counts, strict=True)):
-            for *row, part in self._asked(key[0].as_py(), length, grams):
+            for *row, part in self._asked(key[0].as_py(), length, length + 1, grams):
                 rows.append((*row, pack(counts[part].astype(np.uint32))))
         return table_of(_ASKED, rows)
 
@@ -244,13 +245,14 @@ class Steps:
     def test(self, key, left, right):
         if not left.num_rows:
             return table_of(_SUMS, [])
-        group, rows = Group(left), []
+        group, rows = Group(left, self.bits), []
         totals, mine = self._told(group, right)
         for length in range(1, DEPTH + 1):
             sums, asked, _ = self._sums(group, totals, mine, length)
-            n = totals[length - 1][asked]
+            # Who adds nothing needn't tell the context's occurrences either.
+            n = np.where(sums[1][asked] > 0, totals[length - 1][asked], 0)
             values = np.stack([n, *(s[asked] for s in sums)])
-            for *row, part in self._asked(key[0].as_py(), length, group.grams[length - 1][asked]):
+            for *row, part in self._asked(key[0].as_py(), length, length, group.grams[length - 1][asked]):
                 rows.append((*row, pack(values[:, part])))
         return table_of(_SUMS, rows)
 
@@ -264,7 +266,7 @@ class Steps:
         ranked = every[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         seen, kinds, gain, share = (np.add.reduceat(s[order], first) for s in sums)
-        kept = stays(n[order[first]], seen, kinds, gain, share)
+        kept = stays(np.maximum.reduceat(n[order], first), seen, kinds, gain, share)
         sizes = np.diff(first, append=len(every))
         out = np.zeros((2, len(every)), np.int64)
         for k, values in enumerate((seen, kinds)):
@@ -278,7 +280,7 @@ class Steps:
     def score(self, key, left, right):
         if not left.num_rows:
             return table_of(_SCORES, [])
-        group = Group(left)
+        group = Group(left, self.bits)
         is_total = pc.is_valid(right.column("totals"))
         totals, mine = self._told(group, right.filter(is_total))
         told = right.filter(pc.invert(is_total))
@@ -319,11 +321,12 @@ def score(docs: DataFrame, group_bytes: int = GROUP_BYTES, bucket_keys: int = BU
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + total // (WORD_BYTES * bucket_keys)
     groups = packed_groups(docs, group_bytes).groupBy("g")
-    steps = Steps(buckets)
+    bits = min(64, SPARE_BITS + max(20, (total // WORD_BYTES).bit_length()))
+    steps = Steps(buckets, bits)
     asked = groups.applyInArrow(lambda k, t: steps.ask(k, t), ddl(_ASKED))
     totals = stored(asked.groupBy("bucket").applyInArrow(lambda k, t: steps.count(k, t), ddl(_TOTALS)))
     n, v = (x or 0 for x in totals.agg(F.sum("tokens"), F.sum("kinds")).first())
-    known = Steps(buckets, n, v)
+    known = Steps(buckets, bits, n, v)
     totals = totals.where("g >= 0").select("g", "bucket", "totals", "mine")
     sums = groups.cogroup(totals.groupBy("g")).applyInArrow(lambda k, a, b: known.test(k, a, b), ddl(_SUMS))
     states = sums.groupBy("bucket").applyInArrow(lambda k, t: known.decide(k, t), ddl(_STATES))

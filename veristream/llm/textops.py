@@ -11,6 +11,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 4 << 20
 
@@ -116,10 +117,15 @@ def span_codes(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Ar
 def span_digests(spans: pa.Array) -> np.ndarray:
     """128-bit BLAKE2b digests of byte strings, as rows of two 64-bit numbers.  Nobody can choose strings that collide."""
     digest = hashlib.blake2b
-    joined = b"".join(digest(s, digest_size=16).digest() for s in spans.to_pylist())
+    joined = b"".join([digest(s, digest_size=16).digest() for s in spans.to_pylist()])
     return np.frombuffer(joined, "<u8").reshape(-1, 2)
 
 
+def span_hashes(spans: pa.Array) -> np.ndarray:
+    """64-bit XXH3 hashes of byte strings: faster, for counts where words chosen to collide do no harm."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, spans.to_pylist())), ">u8").astype(np.uint64)
+
+
 def windows(h: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all windows of ``width`` items; windows that cross rows are for the caller to mask.
 
