@@ -51,11 +51,11 @@ DEVIATIONS = 4.0
 #: Contexts, and words after them, are counted from this many occurrences on.
 LEAST = 2
 #: Text of a group, grams of a bucket.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
 BUCKET_KEYS = 2 << 20
 #: Words are about this many bytes; only sizes of buckets depend on it.
 WORD_BYTES = 6
-SPARE_BITS = 20
+SPARE_BITS = 16
 #: Gains and shares are added as whole numbers of these parts.
 GAIN_PARTS, SHARE_PARTS = 16, 1 << 24
 #: The end's hash stands for no word.
@@ -217,30 +217,30 @@ class Steps:
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return [join(t, np.int64) for t in totals], [join(m, bool) for m in mine]
 
-    def _sums(self, group: Group, totals, mine, length: int):
-        """For each context of ``length`` words: what the group adds to its sums (words, kinds, gain, share), which contexts
-        it must ask for, and the states among those that it needn't."""
+    def _contexts(self, group: Group, totals, mine, length: int):
+        """What a group knows of its contexts of ``length`` words: a function for the figures of given grams (context, words,
+        gain, share), the counted grams that it owns, which contexts it must ask for, and the states among those that it
+        needn't."""
         context, suffix, inner = group.follows(length)
-        c, n = totals[length], totals[length - 1][context]
-        before = totals[length - 2][inner] if length > 1 else np.full(len(c), self.n_tokens)
-        counted = np.flatnonzero(c >= LEAST)
-        q = totals[length - 1][suffix[counted]] / before[counted]
-        gain = np.rint(2 * c[counted] * np.log(c[counted] / (n[counted] * q)) * GAIN_PARTS)
-        share = np.rint(q * SHARE_PARTS)
+        c, of_context = totals[length], totals[length - 1]
+
+        def figures(grams):
+            n, words = of_context[context[grams]], c[grams]
+            q = of_context[suffix[grams]] / (totals[length - 2][inner[grams]] if length > 1 else self.n_tokens)
+            return context[grams], words, np.rint(2 * words * np.log(words / (n * q)) * GAIN_PARTS), np.rint(q * SHARE_PARTS)
+
         size = len(group.grams[length - 1])
-        owned = mine[length][counted]
-        add = lambda values: np.bincount(context[counted[owned]], values[owned], size)
-        sums = [add(v).astype(np.int64) for v in (c[counted].astype(float), np.ones(len(counted)), gain, share)]
+        owned = np.flatnonzero((c >= LEAST) & mine[length])
         # A context that one word always follows: its sums are that word's.
-        sole = c[counted] == n[counted]
-        known = np.zeros(size, bool)
-        known[context[counted[sole]]] = True
-        alone = np.zeros(size, bool)
-        ones = np.ones(sole.sum())
-        alone[context[counted[sole]]] = stays(n[counted[sole]], c[counted[sole]], ones, gain[sole], share[sole])
-        open_ = np.zeros(size, bool)
-        open_[context] = totals[length - 1][context] >= LEAST
-        return sums, np.flatnonzero((open_ & ~known) | (sums[1] > 0)), alone
+        sole = np.flatnonzero((c >= LEAST) & (c == of_context[context]))
+        at, words, gain, share = figures(sole)
+        known, alone, open_ = np.zeros((3, size), bool)
+        known[at] = True
+        alone[at] = stays(words, words, np.ones(len(at)), gain, share)
+        open_[context] = of_context[context] >= LEAST
+        open_ &= ~known
+        open_[context[owned]] = True
+        return figures, owned, np.flatnonzero(open_), alone
 
     def test(self, key, left, right):
         if not left.num_rows:
@@ -248,10 +248,14 @@ class Steps:
         group, rows = Group(left, self.bits), []
         totals, mine = self._told(group, right)
         for length in range(1, DEPTH + 1):
-            sums, asked, _ = self._sums(group, totals, mine, length)
+            figures, owned, asked, _ = self._contexts(group, totals, mine, length)
+            at, words, gain, share = figures(owned)
+            size = len(group.grams[length - 1])
+            kinds = np.bincount(at, minlength=size)
             # Who adds nothing needn't tell the context's occurrences either.
-            n = np.where(sums[1][asked] > 0, totals[length - 1][asked], 0)
-            values = np.stack([n, *(s[asked] for s in sums)])
+            n = np.where(kinds > 0, totals[length - 1], 0)
+            sums = [n, *(np.bincount(at, v, size) for v in (words, None, gain, share))]
+            values = np.stack([v[asked].astype(np.int64) for v in sums])
             for *row, part in self._asked(key[0].as_py(), length, length, group.grams[length - 1][asked]):
                 rows.append((*row, pack(values[:, part])))
         return table_of(_SUMS, rows)
@@ -289,7 +293,7 @@ class Steps:
         all_ = self.n_tokens + self.n_kinds + 1
         p = (c + 1) / all_
         for length in range(1, DEPTH + 1):
-            _, asked, alone = self._sums(group, totals, mine, length)
+            _, _, asked, alone = self._contexts(group, totals, mine, length)
             n = totals[length - 1]
             seen, kinds = np.where(alone, n, 0), alone.astype(np.int64)
             for at, values in ((1, seen), (2, kinds)):
@@ -321,7 +325,7 @@ def score(docs: DataFrame, group_bytes: int = GROUP_BYTES, bucket_keys: int = BU
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + total // (WORD_BYTES * bucket_keys)
     groups = packed_groups(docs, group_bytes).groupBy("g")
-    bits = min(64, SPARE_BITS + max(20, (total // WORD_BYTES).bit_length()))
+    bits = min(64, SPARE_BITS + max(24, (total // WORD_BYTES).bit_length()))
     steps = Steps(buckets, bits)
     asked = groups.applyInArrow(lambda k, t: steps.ask(k, t), ddl(_ASKED))
     totals = stored(asked.groupBy("bucket").applyInArrow(lambda k, t: steps.count(k, t), ddl(_TOTALS)))
