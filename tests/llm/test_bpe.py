@@ -53,6 +53,38 @@ def test_chunks_are_found_again():
         assert ends[-1] == len(t) and ends == sorted(set(ends)) and max(b - a for a, b in zip([0, *ends], ends, strict=False)) <= bpe.MOST + bpe.LEAST
 
 
+def test_text_without_spaces_is_encoded_once():
+    draw = random.Random(5)
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    plain = "".join(draw.choices(letters, k=50000))
+    marked = "".join(draw.choice(letters) + ("\u3002" if k % 20 == 0 else "") for k in range(50000))
+    for text, most in ((plain, 1.0), (marked, 1.3)):
+        code = bpe.Codec(PATH)
+        assert code.encode(text) == library().encode(text, add_special_tokens=False).ids
+        assert code.encoded_chars <= most * len(text)
+        code.encode(text)
+    assert code.reused_chars > 0.9 * len(marked)
+
+
+def test_repair_widens_until_the_tokens_agree(monkeypatch):
+    """With anchors that don't hold (inside words), joins disagree and the text is encoded as a whole."""
+    monkeypatch.setattr(bpe, "_ANCHOR", bpe.regex.compile(r"(?<=\w)(?=o)"))
+    draw = random.Random(6)
+    for _ in range(20):
+        text = " ".join("".join(draw.choices(["lo", "go", "tion", "ing", "foo"], k=3)) for _ in range(800))
+        assert bpe.Codec(PATH).encode(text) == library().encode(text, add_special_tokens=False).ids
+
+
+def test_reuse_across_documents(docs):
+    code = bpe.Codec(PATH)
+    texts = [r.text for r in docs.collect() if r.text]
+    for text in texts * 2:
+        code.encode(text)
+    whole = sum(map(len, texts))
+    assert code.reused_chars > 0.8 * sum(len(t) for t in texts if len(t) > 2000)
+    assert code.encoded_chars + code.reused_chars < 3 * whole
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5000)
     code = bpe.Codec(PATH)

@@ -4,10 +4,11 @@ A rolling hash over the code points cuts a text where the hash of the last ``WIN
 passage that two documents share falls into the same chunks in both.  A task encodes each distinct chunk once
 and keeps it in a bounded dictionary.  A chunk's tokens are right in its inside, not at its ends, where a token or
 the pattern that splits words may reach over the cut.  Joins are repaired: from the last *anchor* of the chunk before
-to the first anchor of the chunk after, the text is encoded anew.  An anchor is a single space between two
-characters that aren't white space: every branch of the split pattern begins a new piece there, so the tokens on both
-sides agree exactly with the encoding of the whole text.  A chunk without anchor joins the stretch that is encoded anew,
-which then grows until it meets one.  Special tokens' strings are cut out first, as the tokenizers library does.
+to the first anchor of the chunk after, the text is encoded anew, and one anchor farther on either side, where the tokens must
+agree exactly with the chunks' own; should they not, the repair widens to the whole text.  An anchor is a place where every
+branch of the split pattern begins a new piece (:data:`_ANCHOR`).  A chunk with few anchors, as in text without spaces or
+marks, isn't encoded by itself: it joins the stretch that is encoded anew, so no character of it is encoded
+twice.  Special tokens' strings are cut out first, as the tokenizers library does.
 
 The ranks come from the vocabulary file; the merge loop is tiktoken's, four times as fast here as that of tokenizers with
 the same ids (tests compare them).  Decoding looks up the bytes of tokens.  There is no shuffle.
@@ -70,46 +71,74 @@ class Codec:
         self.plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, tuple] = {}
         self.known_chars = 0
+        #: What was asked for and what was done, in characters.
+        self.encoded_chars = self.reused_chars = 0
 
-    def chunk(self, text: str) -> tuple:
-        """Tokens of a chunk, and its first and last anchor as (character, token), or None."""
+    def chunk(self, text: str) -> tuple | None:
+        """Tokens of a chunk, and its two first and two last anchors as (character, token); None for a chunk with fewer than
+        three, whose tokens can't be checked against its neighbours'."""
         if (found := self.known.get(text)) is None:
+            if (at := anchors(text)) is None:
+                return None
             ids = self.plain(text)
-            first, last = _anchor(text, False), _anchor(text, True)
-            if first is not None:
-                ends = np.cumsum(self.length_of[ids])
-                first, last = ((at, int(np.searchsorted(ends, len(text[:at].encode()))) + 1) for at in (first, last))
-            found = (np.array(ids, np.uint32), first, last)
+            ends = np.cumsum(self.length_of[ids])
+            marks = [(c, int(np.searchsorted(ends, len(text[:c].encode()))) + 1) for c in at]
+            found = (ids, *marks)
+            self.encoded_chars += len(text)
             self.known_chars += len(text)
             if self.known_chars > REMEMBERED:
                 self.known, self.known_chars = {}, len(text)
             self.known[text] = found
+        else:
+            self.reused_chars += len(text)
         return found
 
+    def _joined(self, before: tuple | None, between: list[str], after: tuple | None) -> list[int] | None:
+        """The tokens from the last anchor of ``before`` (text and chunk; None: from the beginning) to the first of ``after`` (None:
+        to the end), encoded anew.  The stretch goes one anchor farther on either side, and there its tokens must agree
+        with the chunks' own."""
+        parts, head, tail = [], [], []
+        if before:
+            text, (ids, _, _, inner, outer) = before
+            head = ids[inner[1] : outer[1]]
+            parts.append(text[inner[0] :])
+        parts += between
+        if after:
+            text, (ids, outer, inner, _, _) = after
+            tail = ids[outer[1] : inner[1]]
+            parts.append(text[: inner[0]])
+        found = self.plain("".join(parts))
+        self.encoded_chars += sum(map(len, parts))
+        end = len(found) - len(tail)
+        return found[len(head) : end] if found[: len(head)] == head and found[end:] == tail else None
+
     def _stretch(self, text: str, out: list) -> None:
         """Append the tokens of a text without special tokens."""
-        cuts = chunk_ends(text)
-        if len(cuts) == 1:
-            out.extend(self.chunk(text)[0].tolist() if len(text) >= LEAST else self.plain(text))
-            return
-        begin, anew, first_chunk = 0, "", True
-        for end in cuts:
+        found, begin, between, before = [], 0, [], None
+        for end in chunk_ends(text):
             piece = text[begin:end]
             begin = end
-            ids, first, last = self.chunk(piece)
-            if first is None:
-                anew, first_chunk = anew + piece, False
+            chunk = self.chunk(piece) if len(piece) >= LEAST else None
+            if chunk is None:
+                between.append(piece)
                 continue
-            start = 0
-            if not first_chunk:
-                out.extend(self.plain(anew + piece[: first[0]]))
-                start = first[1]
-            if end == len(text):
-                out.extend(ids[start:].tolist())
+            ids, first, _, _, last = chunk
+            if before or between:
+                repaired = self._joined(before, between, (piece, chunk))
+                if repaired is None:
+                    break
+                found += repaired + ids[first[1] : last[1]]
+            else:
+                found += ids[: last[1]]
+            before, between = (piece, chunk), []
+        else:
+            rest = self._joined(before, between, None) if between else before[1][0][before[1][4][1] :]
+            if rest is not None:
+                out += found + rest
                 return
-            out.extend(ids[start : last[1]].tolist())
-            anew, first_chunk = piece[last[0] :], False
-        out.extend(self.plain(anew))
+        # The chunks' tokens don't agree with what lies between them: the widest repair is the whole text.
+        self.encoded_chars += len(text)
+        out += self.plain(text)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -124,15 +153,23 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _anchor(text: str, last: bool) -> int | None:
-    """The first or last single space between characters that aren't white space."""
-    at = len(text) if last else -1
+#: Where a new piece of the split pattern begins whatever else the text holds: at a single space between two characters that
+#: aren't white space, and at these marks behind a letter.
+_ANCHOR = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])|(?<=\p{L})(?=[.,;:!?\u3002\uff0c\u3001\uff1b\uff1a\uff1f\uff01])")
+
+
+def anchors(text: str) -> tuple[int, int, int, int] | None:
+    """The places of the two first and the two last anchors; None if there are fewer than three."""
+    first = [m.start() for m, _ in zip(_ANCHOR.finditer(text), range(3), strict=False)]
+    if len(first) < 3:
+        return None
+    last, width = first, 64
     while True:
-        at = text.rfind(" ", 0, at) if last else text.find(" ", at + 1)
-        if at < 0:
-            return None
-        if 0 < at < len(text) - 1 and not text[at - 1].isspace() and not text[at + 1].isspace():
-            return at
+        at = max(0, len(text) - width)
+        last = [m.start() for m in _ANCHOR.finditer(text, at)]
+        if len(last) >= 2 or not at:
+            return first[0], first[1], last[-2], last[-1]
+        width *= 4
 
 
 def chunk_ends(text: str) -> list[int]:
