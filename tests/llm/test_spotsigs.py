@@ -36,9 +36,9 @@ def order(rows):
     return sorted(rows, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), (r.text or "").encode()))
 
 
-@pytest.mark.parametrize("bucket_rows", [3, 50, 4096])
-def test_against_brute_force(docs, odd, monkeypatch, bucket_rows):
-    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", bucket_rows)
+@pytest.mark.parametrize("buckets", [0, 4, 80])
+def test_against_brute_force(docs, odd, monkeypatch, buckets):
+    monkeypatch.setattr(spotsigs, "isqrt", lambda n: buckets)
     for df in (docs, odd):
         rows = order(df.select("doc_id", "text").collect())
         common = set(spotsigs.anchors(df))
@@ -65,20 +65,42 @@ def test_one_row_and_none(spark, docs, empty):
     assert spotsigs.edited(empty).count() == 0
 
 
-def test_near_duplicates(docs):
-    classes, pairs = spotsigs.near_duplicates(docs, 0.6)
-    common = set(spotsigs.anchors(docs))
-    sets = {r.doc_id: frozenset(signatures_by_hand(r.text or "", common)) for r in docs.collect()}
+def links_by_hand(rows, common, threshold):
+    """Class of each document (by its place), smallest ids of classes, and pairs of classes."""
+    sets = [frozenset(signatures_by_hand(t or "", common)) for _, t in rows]
     least = {}
-    for d in sorted(sets):
-        least.setdefault(sets[d], d)
-    assert {r.doc_id: r.class_id for r in classes.collect()} == {d: least[s] for d, s in sets.items()}
-    reps = sorted(set(least.values()))
-    want = {(a, b) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
-    assert {tuple(sorted((r.a, r.b))) for r in pairs.collect()} == want and pairs.count() == len(want)
+    for (d, _), s in zip(rows, sets, strict=True):
+        least[s] = min((x for x in (d, least.get(s)) if x is not None), default=None)
+    each = list(least)
+    pairs = [(x, y) for k, x in enumerate(each) for y in each[:k] if len(x & y) >= threshold * len(x | y)]
+    return sets, least, pairs
+
+
+def test_near_duplicates(docs, odd, empty):
+    for df in (docs, odd):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        sets, least, pairs = links_by_hand(rows, set(spotsigs.anchors(df)), 0.6)
+        links = {s: sum(s in p for p in pairs) for s in least}
+        want = sorted(str((d, least[s], links[s])) for (d, _), s in zip(rows, sets, strict=True))
+        assert sorted(str(tuple(r)) for r in spotsigs.linked(df, 0.6).collect()) == want
+        found = spotsigs.near_duplicates(df, 0.6)[1].collect()
+        assert len(found) == len({frozenset((r.a, r.b)) for r in found}) == len(pairs)
+        assert pairs or df is odd
+    assert spotsigs.linked(empty).count() == 0
 
 
 def test_only_dataframe_functions(docs):
-    plan = spotsigs.edited(docs)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow|InArrow", plan)
+    for df in (spotsigs.edited(docs), spotsigs.linked(docs)):
+        assert not re.search("Python|Pandas|Arrow|InArrow", df._jdf.queryExecution().toString())
+
+
+def test_bounds_are_one_constant(docs):
+    """The plan doesn't grow with the buckets."""
+    size = lambda n: len(docs.select(spotsigs._bucket([float(k) for k in range(n)]))._jdf.queryExecution().optimizedPlan().treeString().splitlines())
+    assert size(9) == size(10000)
+    got = docs.select("doc_id", spotsigs._bucket([k * 1.5 for k in range(100)]).alias("b")).collect()
+    assert all(r.b == sum(k * 1.5 <= r.doc_id for k in range(100)) for r in got)
+
+
+def test_words(docs):
     assert docs.select(spotsigs.words_of(F.lit(" A\tb\n"))).first()[0] == ["a", "b"]

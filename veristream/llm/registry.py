@@ -1,6 +1,4 @@
-"""The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
-
-import corpus_pipeline
+"""The queries of this subpackage, and DuckDB SQL for those that SQL can express.  The pipeline is at the repository's top."""
 
 from . import bpe, compression, mixing, notices, quality, simhash, spotsigs, substrings, suffix_tree, unigram
 
@@ -9,13 +7,13 @@ QUERIES = {
     "op2_quality_repetition": quality.op2_quality_repetition,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_spotsigs": spotsigs.op4_spotsigs,
+    "spotsigs_near_duplicates": spotsigs.spotsigs_near_duplicates,
     "op5_suffix_tree_scores": suffix_tree.op5_suffix_tree_scores,
     "op6_pivotal_mixing": mixing.op6_pivotal_mixing,
     "op7_compression_quality": compression.op7_compression_quality,
     "op8_license_notices": notices.op8_license_notices,
     "op9_simhash_groups": simhash.op9_simhash_groups,
     "op10_unigram_counts": unigram.op10_unigram_counts,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {"op2_quality_repetition": quality.ORACLE_SQL, "op3_substring_dedup": substrings.ORACLE_SQL}

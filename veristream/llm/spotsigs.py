@@ -17,19 +17,19 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from math import ceil, sqrt
+import json
+from math import ceil, isqrt, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as tx
+from .cluster import checkpointed, spread_join
 
 N_ANCHORS = 64
 ANCHOR_LETTERS = 4
 CHAIN = 2
 THRESHOLD = 0.8
-#: Documents of a bucket of neighbouring ids, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 4096, 1 << 16
 
 
 def words_of(text: Column) -> Column:
@@ -71,14 +71,14 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _bucket(bounds: list[float]) -> Column:
-    """How many of the sorted bounds a doc_id reaches, in two steps of a square root of them each; -1 without doc_id."""
+    """How many of the sorted bounds a doc_id reaches, in two steps of a square root of them each; -1 without doc_id.  The
+    bounds are one constant of the plan, however many they are."""
     step = max(1, ceil(sqrt(len(bounds))))
     rows = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), kind)
     count = lambda values: F.size(F.filter(values, lambda b: b <= F.col("doc_id")))
-    if not rows:
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
-    row = count(F.array(*(F.lit(r[0]) for r in rows)))
-    within = count(F.get(F.array(*(F.array(*map(F.lit, r)) for r in rows)), row - 1))
+    row = count(constant([r[0] for r in rows], "array<double>"))
+    within = count(F.get(constant(rows, "array<array<double>>"), row - 1))
     return F.when(F.col("doc_id").isNull(), -1).when(row == 0, 0).otherwise((row - 1) * step + within)
 
 
@@ -86,20 +86,22 @@ def with_next(docs: DataFrame, make) -> DataFrame:
     """``make(rows)`` with ``next_<c>`` for its columns ``text`` and ``sigs``: those of the next document by descending doc_id; after
     the last comes the first.
 
-    Documents are dealt into buckets of neighbouring ids, so no task sees the whole order.  A bucket's last
-    document finds its next one, the first of the bucket below, in a copy sent along: one row a bucket."""
+    Documents are dealt into buckets of neighbouring ids, as many as a square root of the documents, so no task sees the whole
+    order.  A bucket's last document finds its next one, the first of the bucket below, in a copy sent along: one row
+    a bucket."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = min(MOST_BUCKETS, 1 + docs.count() // BUCKET_ROWS)
-    bounds = sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
+    n = 1 + isqrt(docs.count())
+    bounds = sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.5 / n))) if n > 1 else []
     dealt = docs.withColumn("bucket", _bucket(bounds))
-    heads = sorted(((r.bucket, r.head) for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()), reverse=True)
-    if not heads:
-        return make(dealt.withColumn("copy", F.lit(True))).withColumns({"next_text": F.lit(""), "next_sigs": F.col("sigs")})
-    above = {heads[(k + 1) % len(heads)][0]: heads[k][0] for k in range(len(heads))}  # whose last row needs this bucket's first
-    first = dealt.where(F.col("doc_id").isin([h for _, h in heads if h is not None]) | F.col("doc_id").isNull())
-    first = first.groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
-    goes_to = F.get(F.array(*(F.lit(above.get(b, -2)) for b in range(-1, heads[0][0] + 1))), F.col("bucket") + 1)
-    copies = first.select("doc_id", "text", goes_to.alias("bucket"), F.lit(True).alias("copy"))
+    down = Window.orderBy(F.desc("bucket"))
+    heads = dealt.groupBy("bucket").agg(F.max("doc_id").alias("head"))
+    # Whose last row needs this bucket's first: the bucket above, and for the topmost the lowest.
+    lowest = F.min("bucket").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = checkpointed(heads.select(F.col("bucket").alias("of"), "head", F.coalesce(F.lag("bucket").over(down), lowest).alias("goes_to")))
+    # At most n + 1 rows of three numbers.
+    first = dealt.join(F.broadcast(heads), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head")))
+    first = first.groupBy("goes_to", "doc_id").agg(F.min("text").alias("text"))
+    copies = first.select("doc_id", "text", F.col("goes_to").alias("bucket"), F.lit(True).alias("copy"))
     every = make(dealt.withColumn("copy", F.lit(False)).unionByName(copies).repartition("bucket"))
     order = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
     return every.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "sigs")})
@@ -121,25 +123,41 @@ def edited(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Classes ``doc_id, class_id`` (documents with equal sets; the id is the smallest), and pairs ``a, b, likeness`` of class ids whose
-    likeness reaches the threshold."""
-    signed = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sigs", anchors(docs)).drop("text")
-    sets = signed.groupBy("sigs").agg(F.min("doc_id").alias("class_id"))
-    classes = signed.join(sets, "sigs").select("doc_id", "class_id")
-    each = sets.select("class_id", F.explode("sigs").alias("sig"))
-    ranked = each.join(each.groupBy("sig").count(), "sig").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("ranked"))
+    """Classes ``doc_id, key, class_id`` (documents with equal sets; the id is the smallest, null if no member has one), and pairs
+    ``a, b, likeness`` of class keys whose likeness reaches the threshold.  A key is 96 bits of hash of the set."""
+    signed = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sigs", anchors(docs))
+    signed = signed.select("doc_id", F.struct(F.xxhash64("sigs").alias("h"), F.hash("sigs").alias("i")).alias("key"), "sigs")
+    sets = checkpointed(signed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")))
+    classes = spread_join(checkpointed(signed.select("doc_id", "key")), sets.select("key", "class_id"), ["key"])
+    each = sets.select("key", F.explode("sigs").alias("sig"))
+    ranked = spread_join(each, each.groupBy("sig").count(), ["sig"], F.col("key"))
+    ranked = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("ranked"))
     n = F.size("ranked")
     prefix = F.slice("ranked", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))
     part = F.floor(F.log(n) / F.log(F.lit(1 / threshold)))
-    probes = ranked.select("class_id", n.alias("n"), part.alias("part"), F.explode(F.transform(prefix, lambda x: x["sig"])).alias("sig"))
-    shorter = probes.select(F.col("class_id").alias("a"), F.col("n").alias("m"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    longer = probes.withColumnRenamed("class_id", "b")
+    probes = ranked.select("key", n.alias("n"), part.alias("part"), F.explode(F.transform(prefix, lambda x: x["sig"])).alias("sig"))
+    shorter = probes.select(F.col("key").alias("a"), F.col("n").alias("m"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    longer = probes.withColumnRenamed("key", "b")
     met = shorter.join(longer, ["sig", "part"]).where("a <> b AND (m < n OR (m = n AND a < b))").where(F.col("m") >= threshold * F.col("n"))
     met = met.select("a", "b").distinct()
-    met = met.join(sets.select(F.col("class_id").alias("a"), F.col("sigs").alias("x")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("sigs").alias("y")), "b")
+    side = lambda name, sigs: sets.select(F.col("key").alias(name), F.col("sigs").alias(sigs))
+    met = met.join(side("a", "x"), "a").join(side("b", "y"), "b")
     pairs = met.select("a", "b", likeness("x", "y").alias("likeness")).where(F.col("likeness") >= threshold)
     return classes, pairs
 
 
+def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, class_id, n_links``: each document's class, and to how many others the class is near."""
+    classes, pairs = near_duplicates(docs, threshold)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    keys = classes.select("key", "class_id").distinct().join(ends, "key", "left")
+    keys = keys.select("key", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return spread_join(classes, keys, ["key"], F.col("doc_id")).select("doc_id", "class_id", "n_links")
+
+
 def op4_spotsigs(spark, sf_dir):
     return edited(tx.read_documents(spark, sf_dir))
+
+
+def spotsigs_near_duplicates(spark, sf_dir):
+    return linked(tx.read_documents(spark, sf_dir))
