@@ -75,3 +75,34 @@ def test_query(spark, odd, empty, as_table):
     want = sorted(str((r.doc_id, *base_by_hand(r.text))) for r in odd.collect())
     assert sorted(str((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in got) == want
     assert notices.search(empty).count() == 0
+
+
+def whole_by_hand(text):
+    """Labels and score by bounded-error matching over the whole text, without seeds or windows."""
+    line = " ".join(WORD.findall(re.sub("[A-Z]", lambda c: c[0].lower(), text or "")))
+    _, n, _, _, base = base_by_hand(text)
+    labels, score = set(filter(None, base.split(","))), 0.0
+    for notice in notices.NOTICES:
+        if m := notices.pattern(notice).search(line):
+            labels.add(notice.label)
+            score = max(score, 1 - sum(m.fuzzy_counts) / len(notice.text))
+    return ",".join(sorted(labels)), 1.0 if n else score
+
+
+def test_labels_and_scores_by_brute_force(docs):
+    """On documents as they are, and with notices put in that hold up to a few more edits than are allowed."""
+    draw = random.Random(8)
+    texts = [r.text for r in docs.collect() if r.text and len(r.text) < 2500][:120]
+    for notice in notices.NOTICES:
+        for _ in range(6):
+            said = edit(notice.text.strip(), draw.randint(0, notice.errors + 3), draw)
+            if draw.random() < 0.4:  # characters of four bytes put in
+                for _ in range(draw.randint(1, notice.errors)):
+                    at = draw.randrange(len(said))
+                    said = said[:at] + "😀" + said[at:]
+            text = draw.choice(texts)[: draw.randint(0, 600)]
+            texts.append(f"{text} {said} {notice.tail} {draw.choice(texts)[:300]}")
+    got = notices.scan(pa.array(texts))
+    want = [whole_by_hand(t) for t in texts]
+    assert [(g["labels"], round(g["score"], 9)) for g in got] == [(labels, round(score, 9)) for labels, score in want]
+    assert sum(bool(labels) for labels, _ in want) > 40

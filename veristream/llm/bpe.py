@@ -42,6 +42,7 @@ REMEMBERED = 6 << 20
 
 _BASE = 0x01000193
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+_WHOLE = pa.schema([*_DIGEST, ("text", pa.string()), ("ids", pa.list_(pa.int32()))])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -226,21 +227,27 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def _digests(batches, path):
+def _digests(batches, path, whole):
     code = codec(path)
-    for ids, texts in _texts(batches):
-        n, of_ids, of_text = [], [], []
-        for text in texts:
-            tokens = code.encode(text)
+    for part in tx.slices(batches):
+        n, of_ids, of_text, every = [], [], [], []
+        for text in part.column("text").to_pylist():
+            tokens = code.encode(text or "")
             n.append(len(tokens))
             of_ids.append(hashlib.sha256(",".join(map(code.digits_of.__getitem__, tokens)).encode()).hexdigest())
             of_text.append(hashlib.sha256(code.decode(tokens).encode()).hexdigest())
-        yield tx.batch_of(_DIGEST, ids, n, of_ids, of_text)
-
-
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens`` and digests of the ids and of the text that they decode to, in one pass."""
-    return docs.select("doc_id", "text").mapInArrow(partial(_digests, path=path or public_tokenizers.path(VOCABULARY)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            if whole:
+                every.append(np.array(tokens, np.int32))
+        found = [part.column("doc_id").cast(pa.int64()), n, of_ids, of_text]
+        yield tx.batch_of(_WHOLE, *found, part.column("text").cast(pa.string()), every) if whole else tx.batch_of(_DIGEST, *found)
+
+
+def round_trip(docs: DataFrame, path: str | None = None, whole: bool = False) -> DataFrame:
+    """``doc_id, n_tokens`` and digests of the ids and of the text that they decode to, in one pass; ``text`` and ``ids`` too if
+    ``whole``."""
+    run = partial(_digests, path=path or public_tokenizers.path(VOCABULARY), whole=whole)
+    columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", text string, ids array<int>" if whole else "")
+    return docs.select("doc_id", "text").mapInArrow(run, columns)
 
 
 def op1_bpe_round_trip(spark, sf_dir):

@@ -41,6 +41,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the folder of a :func:`stored` table that isn't read any more."""
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent() if table.inputFiles() else None
+    if folder is not None and folder.getName().startswith("table-"):
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: Column | None = None) -> DataFrame:
     """Inner join with a side that has one row a key, where many rows of the other side may share a key: these are dealt
     over ``SALTS`` tasks (by ``by``, or by their place in a checkpointed table), to each of which the one row goes."""
