@@ -21,6 +21,7 @@ def test_stream_equals_batch(spark, sf_dir):
     run = lambda name: catalog.QUERIES[name](spark, sf_dir)
     same = lambda a, b: oracle.rows(a.toPandas()) == oracle.rows(b.toPandas())
     assert same(run("streaming_guard"), run("guard_decisions"))
+    assert same(run("streaming_guard_null_norms"), run("guard_null_norms"))
     assert same(run("streaming_keep_window"), run("keep_window_extend").where("kept").drop("kept"))
     assert same(run("streaming_chain"), evidence.chain(spark, sf_dir))
     assert evidence.V.chain_breaks(run("streaming_chain")).where("first_break IS NOT NULL").count() == 0

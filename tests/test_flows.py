@@ -27,13 +27,49 @@ def test_graph(spark, capsules):
     want = {(a, c) for line in lines.splitlines() for a, c in json.loads(line)["action_distribution"].items()}
     said = {tuple(json.loads(o).values()) for _, p, o in claims if p == "considered_action"}
     assert want <= said
-    source = hashlib.sha256(b"mission-0").hexdigest()
+    source = hashlib.sha256(lines).hexdigest()
     spans = tables["spans"].where(F.col("source_hash") == source).collect()
     assert spans and all(lines[r.byte_start : r.byte_end].decode() == r.text for r in spans)
     proven = tables["provenance"].join(tables["spans"], "span_id").join(tables["claims"], "claim_id")
     assert proven.count() == tables["provenance"].count() and tables["claims"].join(tables["provenance"], "claim_id", "left_anti").count() == 0
 
 
+def test_graph_tables_are_whole(spark, tmp_path):
+    (tmp_path / "c" / "run").mkdir(parents=True)
+    base = {"frame_id": 0, "robot_id": "r1", "stream_refs": {"latents": {"file": "cam_latents.bin", "offset": 4, "length": 269}}}
+    log = [{**base, "evt": "wheel_slip", "surface": "ice"}, {**base, "frame_id": 1, "evt": "envelope_breach", "action": "a", "l_inf": "inf", "bound": "none", "envelope_shard_id": "sh1_law"}]
+    (tmp_path / "c" / "run" / "events.jsonl").write_text("".join(json.dumps(e) + "\n" for e in log))
+    tables = flows.graph_tables(spark, str(tmp_path / "c"))
+    claims = {r.claim_id: r for r in tables["claims"].collect()}
+    assert {(r.label, r.namespace, r.type) for r in tables["entities"].collect()} == {(x, flows.NAMESPACE, "entity") for x in ("r1", "wheel_slip")}
+    cited = tables["references"].collect()
+    assert [(claims[r.claim_id].predicate, r.dst_shard_id, r.relation_type, r.dst_object_type) for r in cited] == [("breached_envelope", "sh1_law", "cites", "shard")]
+    assert {(r.frame_id, r.status) for r in tables["streams"].collect()} == {(0, "EOF"), (1, "OFFSET_MISMATCH")}
+    for name in ("one", "two"):
+        flows.write_tables(tables, str(tmp_path / name))
+    read = lambda name, t: spark.read.parquet(str(tmp_path / name / t)).collect()
+    assert all(read("one", t) == read("two", t) for t in tables) and len(read("one", "claims")) == len(claims)
+    with pytest.raises(Exception, match="no claims"):
+        flows.write_tables({"claims": tables["claims"].where("false")}, str(tmp_path / "none"))
+
+
+def test_nothing_to_learn_from_is_refused(spark):
+    from veristream.operators import envelope as E
+    from veristream.operators import govern as G
+
+    none = spark.createDataFrame([("a", float("nan"))], "action string, norm double")
+    with pytest.raises(Exception, match="no frames"):
+        E.require_rows(E.learn(none), "frames").collect()
+    some = spark.createDataFrame([("a", float(k)) for k in range(5)], "action string, norm double")
+    assert [tuple(r) for r in E.require_rows(E.learn(some, 0.5, 1.0), "frames").collect()] == [("a", 5, 2.0)]
+    shards = spark.createDataFrame([("s", "key", True, True, None), ("t", "key", None, True, 0), ("u", "key", True, None, 0), ("v", "key", True, True, 1)], "shard_id string, publisher string, has_key boolean, verified boolean, tier int")
+    store = spark.createDataFrame([("key",)], "fingerprint string")
+    policy = lambda *rows: G.policy_tier(spark.createDataFrame(list(rows), "max_actuation_tier int"))
+    assert (policy(), policy((None,)), policy((1,))) == (0, 0, 1)
+    got = {r.shard_id: r.reason for r in G.authorise(shards, store, policy((1,))).collect()}
+    assert got == {"s": "no claims", "t": "no publisher key", "u": "verification failed", "v": "granted"}
+
+
 def test_index_and_tampering(spark, capsules, tmp_path):
     import shutil
 

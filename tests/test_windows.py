@@ -49,11 +49,57 @@ def test_trigger_after_the_last_frame_keeps_history(spark):
 
 def test_guard_fails_closed(spark):
     nan, inf = float("nan"), float("inf")
-    cases = [(1, "a", 1.0), (2, "a", 1.0000001), (3, "a", nan), (4, "a", inf), (5, "z", 0.1), (6, "a", None)]
+    cases = [(1, "a", 1.0), (2, "a", 1.0000001), (3, "a", nan), (4, "a", inf), (5, "z", 0.1), (6, "a", None), (7, "a", -inf), (8, None, 0.1), (9, "b", 0.1), (10, "c", 0.1)]
     frames = spark.createDataFrame([(s, 0, a, n) for s, a, n in cases], "session long, frame_id long, action string, norm double")
-    envelope = spark.createDataFrame([("a", 1.0)], "action string, bound double")
-    got = {r.session: (r.verdict, r.reason) for r in G.decide(frames.where("norm IS NOT NULL"), envelope).collect()}
-    assert got == {1: ("PERMIT", "within envelope"), 2: ("ESTOP", "norm exceeds bound"), 3: ("ESTOP", "non-finite norm"), 4: ("ESTOP", "non-finite norm"), 5: ("ESTOP", "no bound")}
+    envelope = spark.createDataFrame([("a", 1.0), ("b", nan), ("c", inf)], "action string, bound double")
+    got = {r.session: (r.verdict, r.reason) for r in G.decide(frames, envelope).collect()}
+    odd = ("ESTOP", "non-finite norm")
+    none = ("ESTOP", "no bound")
+    assert got == {1: ("PERMIT", "within envelope"), 2: ("ESTOP", "norm exceeds bound"), 3: odd, 4: odd, 5: none, 6: odd, 7: odd, 8: none, 9: none, 10: none}
+
+
+def test_touching_windows_by_triggers(spark):
+    """Two windows that touch are one run of frames, and still two windows by their triggers."""
+    frames = spark.createDataFrame([(1, f) for f in range(40)], "session long, frame_id long")
+    triggers = spark.createDataFrame([(1, 10), (1, 15)], "session long, trigger long")
+    runs = W.brackets(W.keep_by_triggers(frames, triggers, 0, 5)).collect()
+    assert [(r.first_frame, r.last_frame) for r in runs] == [(10, 19)]
+    windows = W.trigger_windows(frames, triggers, 0, 5).orderBy("first_frame").collect()
+    assert [(r.trigger, r.first_frame, r.last_frame, r.frames) for r in windows] == [(10, 10, 14, 5), (15, 15, 19, 5)]
+    assert [r.frames for r in W.trigger_windows(frames, triggers, 12, 40).orderBy("trigger").collect()] == [40, 37]
+
+
+def run_batches(spark, folder, batches, make):
+    """A stream of one micro-batch after the other; all rows that it gives."""
+    import os
+
+    out = []
+    for k, rows in enumerate(batches):
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        from veristream.streaming.guard import write_once
+
+        write_once(make(stream), f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        assert os.path.exists(f"{folder}/out/batch={k}")
+        out.append(spark.read.parquet(f"{folder}/out/batch={k}").drop("batch").orderBy("session", "frame_id").collect())
+    return out
+
+
+def test_guard_over_batches(spark, tmp_path):
+    """The latch lasts from batch to batch, late frames are a breach, an ended session's state goes."""
+    from veristream.streaming import guard as S
+
+    frame = "session long, frame_id long, action string, norm double, ended boolean"
+    batches = [
+        [(1, 0, "a", 0.5, False), (2, 0, "a", 9.0, False), (3, 5, "a", 0.5, False), (4, 0, "a", None, True)],
+        [(1, 1, "a", 0.5, False), (2, 1, "a", 0.5, False), (3, 4, "a", 0.5, False), (4, 0, "a", 0.5, False)],
+    ]
+    made = [spark.createDataFrame(b, frame) for b in batches]
+    got = run_batches(spark, str(tmp_path), made, lambda s: S.guard(s, {"a": 1.0}))
+    assert [[(r.session, r.reason) for r in b] for b in got] == [
+        [(1, "within envelope"), (2, "norm exceeds bound"), (3, "within envelope"), (4, "non-finite norm")],
+        [(1, "within envelope"), (2, "prior breach"), (3, "out of order"), (4, "within envelope")],
+    ]
 
 
 def test_latch(spark):

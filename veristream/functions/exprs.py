@@ -27,7 +27,8 @@ def linf_distance(a: Column, b: Column) -> Column:
 
 
 def is_finite(x: Column) -> Column:
-    return ~F.isnan(x) & (F.abs(x) < float("inf"))
+    """Whether there is a number and it is finite: never null."""
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
 
 
 def fixed6(x: Column) -> Column:

@@ -6,14 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veristream.functions import exprs as X
+from veristream.operators.shared import placed
 
 PERCENTILE, MARGIN = 0.99, 1.1
 
 
 def learn(frames: DataFrame, percentile: float = PERCENTILE, margin: float = MARGIN) -> DataFrame:
-    """``action, sample_count, bound`` from ``action, norm``.  Non-finite norms don't count."""
-    exact = F.percentile("norm", F.lit(percentile))
-    return frames.where(X.is_finite(F.col("norm"))).groupBy("action").agg(F.count("*").alias("sample_count"), F.round(exact * margin, 6).alias("bound"))
+    """``action, sample_count, bound`` from ``action, norm``: the exact percentile, between the two neighbouring ranks.  Non-finite
+    norms don't count.
+
+    No task holds an action's norms: they are sorted by ranges, numbered within their action, and the rows at the two ranks are
+    looked up."""
+    ranked = placed(frames.where(X.is_finite(F.col("norm"))).select("action", "norm"), "action", [F.col("norm")], "place")
+    sizes = ranked.groupBy("action").agg(F.count("*").alias("sample_count")).withColumn("rank", (F.col("sample_count") - 1) * percentile)
+    sizes = sizes.withColumnRenamed("action", "name")
+    near = ranked.join(sizes, F.col("action").eqNullSafe(F.col("name")) & F.col("place").isin(F.floor("rank"), F.ceil("rank")))
+    low, high = F.min("norm"), F.max("norm")
+    part = F.first("rank") - F.floor(F.first("rank"))
+    return near.groupBy("action").agg(F.first("sample_count").alias("sample_count"), F.round((low + (high - low) * part) * margin, 6).alias("bound"))
+
+
+def require_rows(rows: DataFrame, what: str) -> DataFrame:
+    """The rows; the job fails if there are none, for what must not be granted by default (no deltas, no bounds, no claims)."""
+    found = rows.limit(1).agg(F.count("*").alias("_some"))
+    checked = found.where(F.when(F.col("_some") > 0, F.lit(True)).otherwise(F.raise_error(F.lit(f"no {what}")).cast("boolean")))
+    # One row: the check runs with the job that reads the rows, even if they are none.
+    return checked.join(rows, F.lit(True), "left").drop("_some")
 
 
 def finite_counts(frames: DataFrame) -> DataFrame:

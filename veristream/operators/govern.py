@@ -11,15 +11,23 @@ def enrol(store: DataFrame, new: DataFrame) -> DataFrame:
     return store.select("fingerprint").union(new.select("fingerprint")).dropDuplicates(["fingerprint"])
 
 
+def policy_tier(policy: DataFrame) -> int:
+    """The most tier that a policy table of one row allows: 0 where it is empty or doesn't say."""
+    row = policy.select("max_actuation_tier").first()
+    return int(row[0]) if row and row[0] is not None else 0
+
+
 def authorise(shards: DataFrame, store: DataFrame, max_tier: int = 0) -> DataFrame:
-    """``shard_id, decision, reason`` of ``shard_id, publisher, has_key, verified, tier``.  The first check that fails is the reason."""
+    """``shard_id, decision, reason`` of ``shard_id, publisher, has_key, verified, tier``.  The first check that fails is the reason; a
+    null is a check that fails.  A shard without tier has no claims, so it is refused."""
     trusted = store.select(F.col("fingerprint").alias("publisher")).distinct().withColumn("trusted", F.lit(True))
     # "No anchors at all" is one row, not a scan: limit(1).
     some = store.limit(1).select(F.lit(True).alias("some_anchor"))
     rows = shards.join(trusted, "publisher", "left").join(F.broadcast(some), F.lit(True), "left")
+    said = lambda c: F.coalesce(F.col(c), F.lit(False))
     why = (
-        F.when(~F.col("has_key"), "no publisher key").when(F.col("some_anchor").isNull(), "no trust anchors").when(F.col("trusted").isNull(), "publisher not enrolled")
-        .when(~F.col("verified"), "verification failed").when(F.coalesce("tier", F.lit(0)) > max_tier, "tier above policy")
+        F.when(~said("has_key"), "no publisher key").when(F.col("some_anchor").isNull(), "no trust anchors").when(F.col("trusted").isNull(), "publisher not enrolled")
+        .when(~said("verified"), "verification failed").when(F.col("tier").isNull(), "no claims").when(F.col("tier") > max_tier, "tier above policy")
     )
     return rows.select("shard_id", F.when(why.isNull(), "AUTHORISED").otherwise("REFUSED").alias("decision"), F.coalesce(why, F.lit("granted")).alias("reason"))
 

@@ -31,9 +31,16 @@ def described(claims: DataFrame, entities: DataFrame, proof: DataFrame, predicat
     return rows.select("claim_id", F.coalesce("subject_label", "subject").alias("subject_label"), "predicate", F.coalesce("object_label", "object").alias("object_label"), "tier", X.shortened(F.col("evidence")).alias("evidence"))
 
 
-def first_claims(claims: DataFrame, n: int = 25) -> tuple[DataFrame, int]:
-    """The first n claims by id, and how many more there are."""
-    return claims.orderBy("claim_id").limit(n), max(0, claims.count() - n)
+def first_claims(claims: DataFrame, n: int = 25) -> tuple[DataFrame, DataFrame]:
+    """The first n claims by id, and one row ``remaining``: how many more there are.  Either runs only when it is read."""
+    remaining = F.greatest(F.lit(0), F.count("*") - n)
+    return claims.orderBy("claim_id").limit(n), claims.agg(remaining.cast("long").alias("remaining"))
+
+
+def entities(claims: DataFrame, namespace: str) -> DataFrame:
+    """``entity_id, namespace, label, type`` of all subjects, and of objects that are entities."""
+    named = claims.select(F.col("subject").alias("label")).union(claims.where("object_type = 'entity'").select("object")).distinct()
+    return named.select(X.deterministic_id("e_", F.lit(namespace), F.col("label")).alias("entity_id"), F.lit(namespace).alias("namespace"), "label", F.lit("entity").alias("type"))
 
 
 def mounted_law(claims: DataFrame, tier: int = 1) -> DataFrame:

@@ -12,8 +12,9 @@ SMALL = 100_000
 
 
 def breach_reason(norm: Column, bound: Column) -> Column:
-    """The first check that fails, or null: a bound exists, the norm is finite, the norm is not above the bound."""
-    return F.when(bound.isNull(), "no bound").when(~X.is_finite(norm), "non-finite norm").when(norm > bound, "norm exceeds bound")
+    """The first check that fails, or null: a finite bound exists, the norm is a finite number, the norm is not above the bound.  What
+    can't be judged is a breach."""
+    return F.when(~X.is_finite(bound), "no bound").when(~X.is_finite(norm), "non-finite norm").when(norm > bound, "norm exceeds bound")
 
 
 def with_bounds(frames: DataFrame, envelope: DataFrame) -> DataFrame:
@@ -38,6 +39,17 @@ def decide(frames: DataFrame, envelope: DataFrame) -> DataFrame:
     )
 
 
+def breach_events(frames: DataFrame, decisions: DataFrame, shard_id: str) -> DataFrame:
+    """One event for each session with a breach, as the log takes it: ``session, frame_id, evt, action, l_inf, bound,
+    envelope_shard_id, reason``; a norm that isn't finite is "inf", an absent bound "none"."""
+    text = lambda c, otherwise: F.when(X.is_finite(c), X.fixed6(c)).otherwise(otherwise)
+    rows = decisions.where("breach").join(frames.select("session", "frame_id", "action"), ["session", "frame_id"])
+    return rows.select(
+        "session", "frame_id", F.lit("envelope_breach").alias("evt"), "action", text(F.col("norm"), "inf").alias("l_inf"), text(F.col("bound"), "none").alias("bound"),
+        F.lit(shard_id).alias("envelope_shard_id"), "reason",
+    )
+
+
 def first_breach(decisions: DataFrame) -> DataFrame:
     """``session, breach_frame``, null for a clean session."""
     return decisions.groupBy("session").agg(F.min(F.when(F.col("breach"), F.col("frame_id"))).alias("breach_frame"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veristream.functions import exprs as X
+from veristream.operators.shared import placed
 
 #: The record layout (bytes).
 FILE_HEADER, RECORD_HEADER, PAYLOAD = 4, 13, 256
@@ -54,18 +58,25 @@ def running_offsets(records: DataFrame, session: str, order: str, size: Column,
 
 def chained(records: DataFrame, session: str, number: str, payload_sha256: Column) -> DataFrame:
     """``session, frame_id, payload_sha256, chain``: the chain written record by record.  A chain is sequential by definition, so a
-    session is folded in one row; sessions are spread over tasks."""
-    entry = F.struct(F.col(number).cast("long").alias("frame_id"), payload_sha256.alias("payload_sha256"))
-    folded = records.groupBy(F.col(session).alias("session")).agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    start = F.struct(X.chain_start(F.col("session")).alias("chain"), F.array().cast("array<string>").alias("links"))
-
-    def step(acc, e):
-        link = X.chain_next(acc["chain"], e["payload_sha256"], e["frame_id"])
-        return F.struct(link.alias("chain"), F.concat(acc["links"], F.array(link)).alias("links"))
-
-    links = F.aggregate("all", start, step, lambda acc: acc["links"])
-    rows = folded.select("session", F.explode(F.arrays_zip("all", links.alias("link"))).alias("x"))
-    return rows.select("session", "x.all.frame_id", "x.all.payload_sha256", F.col("x.link").alias("chain"))
+    session's records go through one task in order, batch after batch; only the last link is carried on."""
+    rows = records.select(F.col(session).cast("string").alias("name"), F.col(session).alias("session"), F.col(number).cast("long").alias("frame_id"), payload_sha256.alias("payload_sha256"))
+    start = F.lower(F.hex(F.unhex(X.chain_start(F.col("session")))))
+    rows = rows.withColumn("start", start).repartition("session").sortWithinPartitions("session", "frame_id")
+    kind = dict(rows.dtypes)["session"]
+    return rows.mapInArrow(_links, f"session {kind}, frame_id long, payload_sha256 string, chain string")
+
+
+def _links(batches):
+    session, link = object(), b""
+    for batch in batches:
+        names, starts, frames, payloads = (batch.column(c).to_pylist() for c in ("name", "start", "frame_id", "payload_sha256"))
+        out = []
+        for name, start, frame, payload in zip(names, starts, frames, payloads, strict=True):
+            if name != session:
+                session, link = name, bytes.fromhex(start)
+            link = hashlib.sha256(link + bytes.fromhex(payload) + frame.to_bytes(4, "little")).digest()
+            out.append(link.hex())
+        yield pa.RecordBatch.from_arrays([batch.column("session"), batch.column("frame_id"), batch.column("payload_sha256"), pa.array(out, pa.string())], names=["session", "frame_id", "payload_sha256", "chain"])
 
 
 def last_links(chain: DataFrame) -> DataFrame:
@@ -88,10 +99,25 @@ def cross_check(log: DataFrame, disk: DataFrame) -> DataFrame:
     return a.join(b, "frame_id", "full_outer").select("frame_id", finding.alias("finding"))
 
 
+def span_matches(spans: DataFrame, content: Column, start: Column, end: Column, claimed: Column) -> DataFrame:
+    """Add ``matches``: whether the claimed text is, byte for byte, what the content holds from ``start`` to ``end``.  A span
+    that isn't inside the content, or a null, doesn't match."""
+    inside = (start >= 0) & (end >= start) & (end <= F.octet_length(content))
+    same = F.substring(content, start.cast("int") + 1, (end - start).cast("int")) == claimed.cast("binary")
+    return spans.withColumn("matches", F.coalesce(inside & same, F.lit(False)))
+
+
+def missing_by_block(ids: DataFrame, present: DataFrame, key: str, block: int = 1000) -> DataFrame:
+    """``block, missing, n_missing``: the ids that aren't present, as one text for each block of ids; a block's list is bounded."""
+    gone = ids.select(key).join(present.select(key), key, "left_anti").distinct()
+    listed = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(key)).cast("array<string>"), ", "), F.lit("]"))
+    return gone.groupBy(F.floor(F.col(key) / block).alias("block")).agg(listed.alias("missing"), F.count("*").alias("n_missing"))
+
+
 def merkle_roots(leaves: DataFrame, group: str, path: str, content_sha256: str) -> DataFrame:
     """``group, leaves, root`` with SHA-256: leaf = H(00 | path | 00 | content hash), node = H(01 | left | right), an odd leaf goes
-    up.  Each level is one grouped aggregation, so a group may be larger than a task."""
-    nodes = leaves.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(path)) - 1)
+    up.  Leaves are numbered by ranges and each level is one grouped aggregation, so a group may be larger than a task."""
+    nodes = placed(leaves, group, [F.col(path)], "place")
     leaf = F.sha2(F.concat(F.unhex(F.lit("00")), F.col(path).cast("string").cast("binary"), F.unhex(F.lit("00")), F.unhex(content_sha256)), 256)
     nodes = nodes.select(F.col(group).alias("g"), "place", leaf.alias("node"))
     sizes = leaves.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("leaves"))

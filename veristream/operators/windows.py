@@ -39,6 +39,13 @@ def keep_by_triggers(frames: DataFrame, triggers: DataFrame, pre: int, post: int
     return frames.join(inside, ["session", "frame_id"], "left_semi")
 
 
+def trigger_windows(frames: DataFrame, triggers: DataFrame, pre: int, post: int) -> DataFrame:
+    """``session, trigger, first_frame, last_frame, frames`` of each trigger's window, whether or not it touches another."""
+    inside = triggers.select("session", "trigger", F.explode(F.sequence(F.col("trigger") - pre, F.col("trigger") + post - 1)).alias("frame_id"))
+    met = frames.select("session", "frame_id").join(inside, ["session", "frame_id"])
+    return met.groupBy("session", "trigger").agg(F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"), F.count("*").alias("frames"))
+
+
 def brackets(kept: DataFrame) -> DataFrame:
     """``session, first_frame, last_frame, frames`` of each run of kept frames."""
     w = Window.partitionBy("session").orderBy("frame_id")

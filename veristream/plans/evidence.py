@@ -7,6 +7,7 @@ from veristream.operators import attest as T
 from veristream.operators import extract as C
 from veristream.operators import govern as G
 from veristream.operators import verify as V
+from veristream.sources import framed
 
 from .catalog import query, table
 
@@ -89,16 +90,16 @@ def unclaimed_frames(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
 
 
-@query("missing_ids", "SELECT list(doc_id ORDER BY doc_id)::varchar AS missing, count(*) AS n_missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("missing_ids", """SELECT floor(doc_id / 1000)::bigint AS block, list(doc_id ORDER BY doc_id)::varchar AS missing, count(*) AS n_missing
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) GROUP BY 1""")
 def missing_ids(spark, d):
-    ids = F.array_sort(F.collect_set("doc_id"))
-    return unclaimed_frames(spark, d).agg(F.concat(F.lit("["), F.array_join(ids.cast("array<string>"), ", "), F.lit("]")).alias("missing"), F.count("*").alias("n_missing"))
+    return V.missing_by_block(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
 
 
-@query("discovery_semi", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query("discovery_semi", "SELECT doc_id::varchar AS session FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def discovery_semi(spark, d):
-    labels = table(spark, d, "labels")
-    return table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left_semi").join(labels.where("quality = 1"), "doc_id", "left_semi")
+    session = F.col("doc_id").cast("string").alias("session")
+    return framed.discover(table(spark, d, "documents").select(session), table(spark, d, "labels").where("quality = 1").select(session))
 
 
 def verdict_input(spark, d):
@@ -120,10 +121,10 @@ def record_verdicts(spark, d):
     return verdict_input(spark, d).select("frame_id", "line", V.record_verdict(c("offset"), c("length"), c("frame_id"), c("header"), c("magic_ok"), c("version"), c("found_id"), c("found_size"), c("payload")).alias("status"))
 
 
-@query("scan_stats", f"SELECT count(*) AS records, count(*) FILTER (status = 'VERIFIED') AS verified, count(*) FILTER (status = 'BAD_MAGIC') AS corrupt_headers, (269 * count(*) FILTER (status = 'BAD_MAGIC'))::bigint AS garbage_bytes FROM ({VERDICT})")
+@query("scan_stats", f"SELECT count(*) FILTER (status = 'VERIFIED') AS records, count(*) FILTER (status = 'BAD_MAGIC') AS corrupt_headers, 0 AS resyncs, (269 * count(*) FILTER (status = 'BAD_MAGIC'))::bigint AS garbage_bytes FROM ({VERDICT})")
 def scan_stats(spark, d):
-    bad = F.col("status") == "BAD_MAGIC"
-    return record_verdicts(spark, d).agg(F.count("*").alias("records"), F.count_if(F.col("status") == "VERIFIED").alias("verified"), F.count_if(bad).alias("corrupt_headers"), (F.count_if(bad) * 269).alias("garbage_bytes"))
+    garbage = F.when(F.col("status") == "BAD_MAGIC", V.RECORD).otherwise(0).cast("long")
+    return framed.scan_stats(record_verdicts(spark, d).withColumn("garbage", garbage))
 
 
 @query("claimed_offset_join", """WITH disk AS (SELECT DISTINCT 4 + l_orderkey * 269 AS "offset", l_orderkey AS found_id FROM lineitem WHERE l_orderkey % 10 <> 0),
@@ -134,35 +135,53 @@ def claimed_offset_join(spark, d):
     return log.join(disk, "offset").select("frame_id", "offset", "found_id")
 
 
-@query("streams_index", """SELECT doc_id AS frame_id, 'latents' AS stream, 'cam_latents.bin' AS file, 4 + doc_id * 269 AS "offset", 269::bigint AS length, 'VERIFIED' AS status, sha256(text) AS content_hash FROM documents
+DAMAGE = """CASE WHEN doc_id % 23 = 0 THEN 'OFFSET_MISMATCH' WHEN doc_id % 13 = 0 THEN 'EOF' WHEN doc_id % 17 = 0 THEN 'DRIFT' WHEN doc_id % 19 = 0 THEN 'TORN_WRITE' ELSE 'VERIFIED' END"""
+
+
+def streams_on_disk(docs):
+    """Records as they are found: every thirteenth is cut out, others hold another frame's id or lack the end of their payload."""
+    n = F.col("doc_id")
+    return docs.where(n % 13 != 0).select(
+        V.record_offset(n).alias("offset"), (n + F.when(n % 17 == 0, 1).otherwise(0)).alias("found_id"), F.when(n % 19 == 0, 100).otherwise(V.PAYLOAD).alias("present"),
+        F.sha2("text", 256).alias("found_hash"),
+    )
+
+
+@query("streams_index", f"""SELECT doc_id AS frame_id, 'latents' AS stream, 'cam_latents.bin' AS file, 4 + doc_id * 269 + CASE WHEN doc_id % 23 = 0 THEN 1 ELSE 0 END AS "offset", 269::bigint AS length, {DAMAGE} AS status,
+ CASE WHEN {DAMAGE} = 'VERIFIED' THEN sha256(text) END AS content_hash FROM documents
 UNION ALL SELECT doc_id, 'residuals', 'cam_residuals.bin', doc_id * 13, 13 + n_chars, 'VERIFIED', sha256(text) FROM documents JOIN labels USING (doc_id)""")
 def streams_index(spark, d):
-    docs = table(spark, d, "documents").withColumn("content_hash", F.sha2("text", 256)).withColumn("status", F.lit("VERIFIED")).withColumnRenamed("doc_id", "frame_id")
-    cols = ["frame_id", "stream", "file", "offset", "length", "status", "content_hash"]
-    hot = docs.withColumns({"stream": F.lit("latents"), "file": F.lit("cam_latents.bin"), "offset": V.record_offset(F.col("frame_id")), "length": F.lit(V.RECORD).cast("long")}).select(cols)
-    indexed = docs.join(table(spark, d, "labels").select(F.col("doc_id").alias("frame_id")), "frame_id", "left_semi")
-    cold = indexed.withColumns({"stream": F.lit("residuals"), "file": F.lit("cam_residuals.bin"), "offset": F.col("frame_id") * 13, "length": F.col("n_chars") + 13}).select(cols)
-    return hot.unionByName(cold).orderBy("stream", "frame_id", "offset")
+    """What a log claims of the hot stream, judged against the records found at the claimed places, and cold records of logged frames."""
+    docs, n = table(spark, d, "documents"), F.col("frame_id")
+    claimed = docs.select(F.col("doc_id").alias("frame_id"), (V.record_offset(F.col("doc_id")) + F.when(F.col("doc_id") % 23 == 0, 1).otherwise(0)).alias("offset"), F.lit(V.RECORD).cast("long").alias("length"))
+    met = claimed.join(streams_on_disk(docs), "offset", "left")
+    header = F.when(F.col("found_id").isNull(), 0).otherwise(V.RECORD_HEADER)
+    status = V.record_verdict(F.col("offset"), F.col("length"), n, header, F.lit(True), F.lit(V.VERSION), F.col("found_id"), F.lit(V.PAYLOAD), F.col("present"))
+    hot = met.withColumn("status", status).select("frame_id", F.lit("latents").alias("stream"), F.lit("cam_latents.bin").alias("file"), "offset", "length", "status", F.when(F.col("status") == "VERIFIED", F.col("found_hash")).alias("content_hash"))
+    found = docs.select(F.col("doc_id").alias("frame_id"), F.lit("residuals").alias("stream"), F.lit("cam_residuals.bin").alias("file"), (F.col("doc_id") * 13).alias("offset"), (F.col("n_chars") + 13).alias("length"), F.sha2("text", 256).alias("content_hash"))
+    verdict = V.cross_check(table(spark, d, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("frame_id"), F.sha2("text", 256).alias("content_sha256")), found.select("frame_id", F.col("content_hash").alias("content_sha256")))
+    cold = found.join(verdict.where("finding = 'VERIFIED'").withColumnRenamed("finding", "status"), "frame_id")
+    return hot.unionByName(cold.select(hot.columns))
 
 
 def span_matches(docs):
-    """Whether a claimed text is the bytes of its span.  The spans of a document are three that together hold every byte of its
-    text, empty ones for an empty text; one of them in every sixth document is tampered with."""
+    """Whether the claimed texts of a document are the bytes of their spans.  The spans are three that together hold every byte
+    of its text, empty ones for an empty text; one of them in every sixth document is tampered with."""
     n = F.col("doc_id")
     content = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("content"))
-    edge = lambda k: (F.octet_length("content").cast("long") * k / 3).cast("int")
-    spans = content.withColumn("spans", F.array(*(F.struct(edge(k).alias("start"), edge(k + 1).alias("end")) for k in range(3))))
-    bytes_of = lambda s: F.substring(F.col("content"), s["start"] + 1, s["end"] - s["start"])
-    here = F.when(n % 6 == 0, F.pmod(F.xxhash64("doc_id"), F.lit(3)))
+    edge = lambda k: (F.octet_length("content").cast("long") * k / 3).cast("long")
+    spans = content.select("doc_id", "content", F.posexplode(F.array(*(F.struct(edge(k).alias("start"), edge(k + 1).alias("end")) for k in range(3)))).alias("k", "span")).select("*", "span.*")
+    said = F.substring(F.col("content"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    here = (n % 6 == 0) & (F.col("k") == F.pmod(F.xxhash64("doc_id"), F.lit(3)))
     # A claim that is tampered with is a byte longer: it never equals the span.
-    claim = lambda s, k: F.when(here == k, F.concat(bytes_of(s), F.lit("!").cast("binary"))).otherwise(bytes_of(s))
-    claimed = spans.withColumn("said", F.transform("spans", claim))
-    return claimed.select("doc_id", F.forall(F.arrays_zip("spans", "said"), lambda x: bytes_of(x["spans"]) == x["said"]).alias("matches"))
+    claimed = spans.withColumn("said", F.when(here, F.concat(said, F.lit("!").cast("binary"))).otherwise(said))
+    judged = V.span_matches(claimed, F.col("content"), F.col("start"), F.col("end"), F.col("said"))
+    return judged.groupBy("doc_id").agg(F.bool_and("matches").alias("matches"))
 
 
-@query("span_text_matches", "SELECT doc_id, doc_id % 6 <> 0 AS matches FROM documents WHERE n_chars >= 30")
+@query("span_text_matches", "SELECT doc_id, doc_id % 6 <> 0 AS matches FROM documents")
 def span_text_matches(spark, d):
-    return span_matches(table(spark, d, "documents").where("n_chars >= 30"))
+    return span_matches(table(spark, d, "documents"))
 
 
 @query("tsq_encode", f"SELECT doc_id, lower('{X.QUERY_HEAD}' || sha256(text) || '{X.QUERY_TAIL}') AS query FROM documents")
@@ -263,7 +282,16 @@ def namespace_tier_guard(spark, d):
     return guarded(spark, d).groupBy("finding").agg(F.count("*").alias("n"))
 
 
-@query("merkle_root_sha256")
+# Levels of the tree by recursion: a level's nodes are pairs of the level below, until one is left.
+MERKLE = """WITH RECURSIVE leaf AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS leaves,
+ sha256(unhex('00') || encode(doc_id::varchar) || unhex('00') || unhex(sha256(text))) AS node FROM documents),
+t AS (SELECT source, leaves, leaves AS width, place, node FROM leaf
+ UNION ALL SELECT source, leaves, (width + 1) // 2, place // 2, CASE WHEN count(*) = 1 THEN max(node) ELSE sha256(unhex('01') || unhex(max(node) FILTER (place % 2 = 0)) || unhex(max(node) FILTER (place % 2 = 1))) END
+ FROM t WHERE width > 1 GROUP BY source, leaves, width, place // 2)
+SELECT source, leaves, node AS root FROM t WHERE width = 1"""
+
+
+@query("merkle_root_sha256", MERKLE)
 def merkle_root_sha256(spark, d):
     leaves = table(spark, d, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
     return V.merkle_roots(leaves, "source", "doc_id", "h")

@@ -12,6 +12,7 @@ from veristream.functions import exprs as X
 from veristream.operators import envelope as E
 from veristream.operators import extract as C
 from veristream.operators import govern as G
+from veristream.operators import graph as H
 from veristream.operators import guard as D
 from veristream.operators import verify as V
 from veristream.operators import windows as W
@@ -20,7 +21,7 @@ from veristream.sources import framed, generate
 #: The declared superset of an event's keys.
 EVENT = (
     "frame_id long, robot_id string, evt string, surface string, action string, value string, selected_action string, action_distribution map<string,double>, "
-    "reason string, source string, sensor_id string, first_kept_frame_id long, content_sha256 string, stream_refs struct<latents: struct<file: string, offset: long, length: long>>"
+    "envelope_shard_id string, reason string, source string, sensor_id string, first_kept_frame_id long, content_sha256 string, stream_refs struct<latents: struct<file: string, offset: long, length: long>>"
 )
 
 
@@ -39,11 +40,12 @@ def record(spark, folder: str, missions: DataFrame, pre: int = 20, post: int = 2
 
 
 def event_lines(spark, folder: str) -> DataFrame:
-    """``session, position, line, byte_start, byte_end``: the lines of all event logs, with their bytes' places.
+    """``session, source_hash, position, line, byte_start, byte_end``: the lines of all event logs, with their bytes' places and
+    the hash of the log's bytes.
 
     A capsule's log is read whole by one task, as its lines are numbered; capsules are spread over tasks."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "events.jsonl").text(folder)
-    lines = whole.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("session"), F.posexplode(F.split("value", "\n")).alias("position", "line"))
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "events.jsonl").text(folder, wholetext=True)
+    lines = whole.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("session"), F.sha2("value", 256).alias("source_hash"), F.posexplode(F.split("value", "\n")).alias("position", "line"))
     placed = V.running_offsets(lines, "session", "position", F.octet_length("line") + 1).withColumnRenamed("offset", "byte_start")
     return placed.where("line <> ''").withColumn("byte_end", F.col("byte_start") + F.octet_length("line"))
 
@@ -57,28 +59,57 @@ def _number(key: str):
 
 def events(lines: DataFrame) -> DataFrame:
     parsed = lines.withColumn("e", F.from_json("line", EVENT)).withColumn("l_inf", _number("l_inf")).withColumn("bound", _number("bound"))
-    e = parsed.select("session", "position", "line", "byte_start", "byte_end", "l_inf", "bound", "e.*")
+    e = parsed.select("session", "source_hash", "position", "line", "byte_start", "byte_end", "l_inf", "bound", "e.*")
     return e.withColumn("robot", F.col("robot_id")).withColumn("has_distribution", F.col("action_distribution").isNotNull())
 
 
+NAMESPACE = "embodied"
+
+
 def graph_tables(spark, folder: str) -> dict[str, DataFrame]:
-    """``claims``, ``spans`` and ``provenance`` of all capsules below a folder."""
+    """``claims``, ``entities``, ``spans``, ``provenance``, ``references`` and ``streams`` of all capsules below a folder.  A source is known by the hash of
+    its log's bytes, so a log that is changed has other spans."""
     log = events(event_lines(spark, folder))
-    where = ["session", "line", "byte_start", "byte_end"]
-    plain = C.event_claims(log, *where)
+    where = ["session", "source_hash", "line", "byte_start", "byte_end"]
+    plain = C.event_claims(log, *where, "envelope_shard_id")
     literal = X.decision_literal(F.col("action"), F.col("confidence"))
-    weighed = C.considered(log.where("selected_action IS NOT NULL"), F.col("action_distribution"), *where, "robot").select(*where, F.coalesce("robot", F.lit("robot-001")).alias("subject"), F.lit("considered_action").alias("predicate"), literal.alias("object"), F.lit(C.TEXT).alias("object_type"), F.lit(2).alias("tier"))
+    weighed = C.considered(log.where("selected_action IS NOT NULL"), F.col("action_distribution"), *where, "robot")
+    weighed = weighed.select(
+        *where, F.lit(None).cast("string").alias("envelope_shard_id"), F.coalesce("robot", F.lit("robot-001")).alias("subject"), F.lit("considered_action").alias("predicate"),
+        literal.alias("object"), F.lit(C.TEXT).alias("object_type"), F.lit(2).alias("tier"),
+    )
     every = C.distinct_claims(plain.unionByName(weighed).withColumn("evidence", F.concat("session", F.lit("\0"), "line")))
-    source = F.sha2("session", 256)
-    every = every.withColumn("source_hash", source).withColumn("claim_id", X.deterministic_id("c_", F.col("subject"), F.col("predicate"), F.col("object"), F.col("object_type")))
+    every = every.withColumn("claim_id", X.deterministic_id("c_", F.col("subject"), F.col("predicate"), F.col("object"), F.col("object_type")))
     every = every.withColumn("span_id", X.deterministic_id("s_", F.col("source_hash"), F.col("byte_start").cast("string"), F.col("byte_end").cast("string"), F.col("line")))
+    claims = every.select("claim_id", "subject", "predicate", "object", "object_type", "tier").dropDuplicates(["claim_id"])
+    # A breach cites the envelope that was in force.
+    cites = every.where("predicate = 'breached_envelope' AND envelope_shard_id IS NOT NULL")
     return {
-        "claims": every.select("claim_id", "subject", "predicate", "object", "object_type", "tier").dropDuplicates(["claim_id"]),
+        "claims": claims,
+        "entities": H.entities(claims, NAMESPACE),
         "spans": every.select("span_id", "source_hash", "byte_start", "byte_end", F.col("line").alias("text")).distinct(),
         "provenance": every.select(X.deterministic_id("p_", F.col("claim_id"), F.col("span_id")).alias("provenance_id"), "claim_id", "span_id", "source_hash", "byte_start", "byte_end").distinct(),
+        "references": cites.select("claim_id", *citation(F.col("envelope_shard_id"), "cites", "safety envelope in force at the moment of the breach")).distinct(),
+        "streams": stream_index(spark, folder),
     }
 
 
+def citation(shard, relation: str, note: str) -> list:
+    """The columns of a reference to a whole shard."""
+    return [
+        shard.alias("dst_shard_id"), F.lit(relation).alias("relation_type"), F.lit("shard").alias("dst_object_type"), F.lit("").alias("dst_object_id"),
+        F.lit("1.0").alias("confidence"), F.lit(note).alias("note"),
+    ]
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write the tables of a graph as Parquet, sorted by all of their columns, so that equal graphs give equal rows in equal order.  Without
+    claims nothing is written: the job fails."""
+    for name in ["claims", *(n for n in tables if n != "claims")]:
+        rows = E.require_rows(tables[name], "claims") if name == "claims" else tables[name]
+        rows.orderBy(*rows.columns).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 def stream_index(spark, folder: str, strict: bool = False) -> DataFrame:
     """``session, frame_id, stream, file, offset, length, status, content_hash``: what each event claims of the hot stream, judged, and the cold
     records of frames that have an event.  ``strict`` fails on the first claim that isn't verified."""
@@ -95,7 +126,7 @@ def stream_index(spark, folder: str, strict: bool = False) -> DataFrame:
     cold = scan("cold").where("status = 'VERIFIED'").withColumn("n", F.row_number().over(last)).where("n = 1")
     cold = cold.join(claimed.select("session", "frame_id").distinct(), ["session", "frame_id"], "left_semi")
     cold = cold.select("session", "frame_id", F.lit("residuals").alias("stream"), F.lit("cam_residuals.bin").alias("file"), "offset", (F.col("dlen") + framed.HEADER_BYTES).alias("length"), "status", F.col("payload_sha256").alias("content_hash"))
-    return hot.unionByName(cold).orderBy("session", "stream", "frame_id", "offset")
+    return hot.unionByName(cold)
 
 
 def capsule_frames(spark, folder: str) -> DataFrame:
@@ -107,8 +138,8 @@ def capsule_frames(spark, folder: str) -> DataFrame:
 
 
 def train(spark, folder: str) -> DataFrame:
-    """The envelope of all training capsules below a folder."""
-    return E.learn(capsule_frames(spark, folder))
+    """The envelope of all training capsules below a folder; the job fails if no frame gives a norm."""
+    return E.require_rows(E.learn(capsule_frames(spark, folder)), "frames to learn from")
 
 
 def fly(frames: DataFrame, envelope: DataFrame, shard: DataFrame, store: DataFrame, max_tier: int = 0) -> tuple[DataFrame, DataFrame]:

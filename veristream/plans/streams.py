@@ -1,6 +1,5 @@
-"""Queries that SQL can't express: generated missions, binary files and back, a stream."""
+"""Generated missions, binary files and back, and streams that give the rows of their batch queries."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -8,10 +7,12 @@ from pyspark.sql import functions as F
 from veristream.functions import exprs as X
 from veristream.operators import envelope as E
 from veristream.operators import verify as V
+from veristream.operators import windows as W
+from veristream.operators.shared import shared_folder
 from veristream.sources import framed, generate
 from veristream.streaming import guard as S
 
-from . import telemetry
+from . import evidence, telemetry
 from .catalog import query, table
 
 
@@ -34,30 +35,31 @@ def mission_envelope(spark, d):
     return E.learn(frames.select("action", X.linf(F.col("vector")).alias("norm")))
 
 
-@query("framed_roundtrip")
+@query("framed_roundtrip", """WITH f AS (SELECT label::varchar AS session, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_id, embedding[1:64] AS v FROM embeddings)
+SELECT session, frame_id, 4 + frame_id * 269 AS "offset", 'VERIFIED' AS status, true AS in_place, list_max(list_transform(v, lambda x: abs(x::double))) AS norm FROM f""")
 def framed_roundtrip(spark, d):
-    """Missions written as hot files and read again through the data source.  The files go to the session's shared folder."""
+    """All embeddings written as hot files, a session for each label, and read again through the data source.  The files go to the
+    session's shared folder."""
     framed.register(spark)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '').removeprefix('file://') or tempfile.mkdtemp()}/framed-{uuid.uuid4().hex}"
-    missions = generate.missions(spark, 3, 50, fault_at=25).select("session", "frame_id", F.col("latents").alias("payload"))
-    framed.write_hot(missions, folder).collect()  # one row for each session: the write has to be over before the scan
-    records = spark.read.format("framed").option("kind", "hot").load(folder)
-    found = records.select("session", "frame_id", "offset", "status", F.col("payload_sha256").alias("content_sha256"))
-    return found.withColumn("in_place", F.col("offset") == V.record_offset(F.col("frame_id")))
+    folder = f"{shared_folder(spark).removeprefix('file://')}/framed-{uuid.uuid4().hex}"
+    frames = W.numbered(table(spark, d, "embeddings").withColumn("name", F.col("label").cast("string")), "name", "vec_id")
+    framed.write_hot(generate.payloads(frames, "embedding").select("session", "frame_id", "payload"), folder).collect()  # one row for each session: the write has to be over before the scan
+    records = generate.vectors(spark.read.format("framed").option("kind", "hot").load(folder))
+    in_place = F.col("offset") == V.record_offset(F.col("frame_id"))
+    return records.select("session", "frame_id", "offset", "status", in_place.alias("in_place"), X.linf(F.col("vector")).alias("norm"))
 
 
 def ended_stream(spark, rows, make):
     """``make(stream)`` over rows as a stream that ends; its output is a table in the session's
     shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{at}/frames")
     stream = spark.readStream.schema(rows.schema).parquet(f"{at}/frames")
     make(stream).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out")
 
 
-@query("streaming_guard")
+@query("streaming_guard", f"{telemetry.D} SELECT * FROM decided")
 def streaming_guard(spark, d):
     """The guard over events as a stream; the same rows as ``guard_decisions``."""
     envelope, flown = telemetry.flight(spark, d)
@@ -65,14 +67,22 @@ def streaming_guard(spark, d):
     return ended_stream(spark, flown, lambda s: S.guard(s, bounds))
 
 
-@query("streaming_keep_window")
+@query("streaming_guard_null_norms", telemetry.NULL_NORMS)
+def streaming_guard_null_norms(spark, d):
+    """The same rows as ``guard_null_norms``: a stream fails closed as a batch does."""
+    envelope, flown = telemetry.odd_flight(spark, d)
+    bounds = {r.action: r.bound for r in envelope.collect()}  # one number for each action
+    return ended_stream(spark, flown, lambda s: S.guard(s, bounds)).drop("norm")
+
+
+@query("streaming_keep_window", f"{telemetry.KEPT} SELECT session, frame_id FROM k WHERE kept")
 def streaming_keep_window(spark, d):
     """The kept frames of ``keep_window_extend``, from a stream."""
     frames = telemetry.frames(spark, d).select("session", "frame_id", (F.col("action") == "error").alias("trigger"))
     return ended_stream(spark, frames, lambda s: S.keep_extending(s, telemetry.PRE, telemetry.POST))
 
 
-@query("streaming_chain")
+@query("streaming_chain", f"WITH RECURSIVE {evidence.CHAIN} SELECT session, frame_id, h AS payload_sha256, chain FROM c")
 def streaming_chain(spark, d):
     """All links of the chains that ``hash_chain_fold`` ends, from a stream."""
     frames = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("frame_id"), F.sha2("text", 256).alias("payload_sha256"))

@@ -13,7 +13,7 @@ PRE, POST = 2, 3
 
 FRAMES = "frames AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_id, event_type AS action, value AS norm, event_id, props FROM events)"
 ENV = "env AS (SELECT action, count(*) AS sample_count, round(quantile_cont(norm, 0.99) * 1.1, 6) AS bound FROM frames WHERE session % 2 = 0 AND isfinite(norm) GROUP BY action)"
-DECIDED = """j AS (SELECT f.session, f.frame_id, f.action, f.norm, e.bound, CASE WHEN e.bound IS NULL THEN 'no bound' WHEN NOT isfinite(f.norm) THEN 'non-finite norm' WHEN f.norm > e.bound THEN 'norm exceeds bound' END AS why
+DECIDED = """j AS (SELECT f.session, f.frame_id, f.action, f.norm, e.bound, CASE WHEN e.bound IS NULL THEN 'no bound' WHEN f.norm IS NULL OR NOT isfinite(f.norm) THEN 'non-finite norm' WHEN f.norm > e.bound THEN 'norm exceeds bound' END AS why
   FROM frames f LEFT JOIN {env} e ON e.action = f.action WHERE f.session % 2 = 1),
 l AS (SELECT *, coalesce(bool_or(why IS NOT NULL) OVER (PARTITION BY session ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS prior FROM j),
 decided AS (SELECT session, frame_id, CASE WHEN prior OR why IS NOT NULL THEN 'ESTOP' ELSE 'PERMIT' END AS verdict, CASE WHEN prior OR why IS NOT NULL THEN 'emergency_stop' ELSE action END AS acted,
@@ -97,6 +97,35 @@ def guard_uncovered_action(spark, d):
     return G.decide(flown, envelope.where("action <> 'purchase'")).select("session", "frame_id", "verdict", "reason")
 
 
+#: Norms as a sensor may fail to give them.
+ODD = "odd AS (SELECT session, frame_id, action, event_id, props, CASE event_id % 20 WHEN 0 THEN 'nan'::double WHEN 5 THEN 'inf'::double WHEN 10 THEN NULL WHEN 15 THEN '-inf'::double ELSE norm END AS norm FROM frames)"
+
+
+def odd_flight(spark, d):
+    envelope, _ = flight(spark, d)
+    n = F.col("event_id") % 20
+    norm = F.when(n == 0, float("nan")).when(n == 5, float("inf")).when(n == 15, float("-inf")).when(n != 10, F.col("norm"))
+    return envelope, frames(spark, d).where("session % 2 = 1").select("session", "frame_id", "action", norm.alias("norm"))
+
+
+NULL_NORMS = f"WITH {FRAMES}, {ENV}, {ODD}, " + DECIDED.format(env="env").replace("FROM frames f", "FROM odd f") + " SELECT session, frame_id, verdict, acted, bound, reason, breach FROM decided"
+
+
+@query("guard_null_norms", NULL_NORMS)
+def guard_null_norms(spark, d):
+    """What can't be judged is a breach: null, NaN and infinite norms."""
+    envelope, flown = odd_flight(spark, d)
+    return G.decide(flown, envelope).drop("norm")
+
+
+@query("breach_events", f"""WITH {FRAMES}, {ENV}, {ODD}, part AS (SELECT * FROM env WHERE action <> 'purchase'), {DECIDED.format(env="part").replace("FROM frames f", "FROM odd f")}
+SELECT b.session, b.frame_id, 'envelope_breach' AS evt, o.action, CASE WHEN b.norm IS NULL OR NOT isfinite(b.norm) THEN 'inf' ELSE printf('%.6f', round(b.norm, 6)) END AS l_inf,
+ CASE WHEN b.bound IS NULL THEN 'none' ELSE printf('%.6f', b.bound) END AS bound, 'sh1_law' AS envelope_shard_id, b.reason FROM decided b JOIN odd o USING (session, frame_id) WHERE b.breach""")
+def breach_events(spark, d):
+    envelope, flown = odd_flight(spark, d)
+    return G.breach_events(flown, G.decide(flown, envelope.where("action <> 'purchase'")), "sh1_law")
+
+
 @query("first_breach", f"{D} SELECT session, min(CASE WHEN breach THEN frame_id END) AS breach_frame FROM decided GROUP BY session")
 def first_breach(spark, d):
     return G.first_breach(guard_decisions(spark, d))

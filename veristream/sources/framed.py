@@ -11,13 +11,18 @@ rows are.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import itertools
 import json
 import os
 import struct
+import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 #: The wire format.
@@ -90,6 +95,8 @@ class FramedReader(DataSourceReader):
         return out
 
     def read(self, split):
+        if split is None:  # no file at all
+            return
         with open(split.path, "rb") as f:
             if f.read(len(self.file_magic)) != self.file_magic:
                 yield _row(_session(split.path), 0, status="BAD_FILE_HEADER")
@@ -178,27 +185,47 @@ def json_table(spark, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def _write(df: DataFrame, folder: str, kind: str, record) -> DataFrame:
-    """One file for each session; gives ``session, records, bytes``."""
-
-    def one(key, table):
-        session = key[0].as_py()
-        os.makedirs(os.path.join(folder, session), exist_ok=True)
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("frame_id", "payload")), strict=True))
-        with open(os.path.join(folder, session, KINDS[kind][0]), "wb") as f:
-            f.write(KINDS[kind][1])
-            state = None
-            for frame_id, payload in rows:
-                blob, state = record(session, frame_id, payload, state)
-                f.write(blob)
+@contextlib.contextmanager
+def _committed(path: str):
+    """A file that is there whole or not at all: it is written beside its place and moved there at the end, so a lost executor leaves
+    none, and a repeated task replaces it."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    beside = f"{path}.{uuid.uuid4().hex}"
+    try:
+        with open(beside, "wb") as f:
+            yield f
             f.flush()
             os.fsync(f.fileno())
-            size = f.tell()
-        import pyarrow as pa
+        os.replace(beside, path)
+    finally:
+        if os.path.exists(beside):
+            os.remove(beside)
+
 
-        return pa.table({"session": [session], "records": pa.array([len(rows)], pa.int64()), "bytes": pa.array([size], pa.int64())})
+def _sessions(rows: DataFrame, columns: list[str], name: str, head: bytes, record, folder: str) -> DataFrame:
+    """One file for each session, its rows in order of frame_id: a partition's rows come sorted, and only one batch of them is held.
+    Gives ``session, records, bytes``."""
 
-    return df.select("session", "frame_id", "payload").groupBy("session").applyInArrow(lambda k, t: one(k, t), "session string, records long, bytes long")
+    def write(batches):
+        rows = ((s, *r) for b in batches for s, *r in zip(*(b.column(c).to_pylist() for c in ("session", *columns)), strict=True))
+        for session, mine in itertools.groupby(rows, key=lambda r: r[0]):
+            with _committed(os.path.join(folder, session, name)) as f:
+                f.write(head)
+                state, n = None, 0
+                for _, *row in mine:
+                    blob, state = record(session, *row, state)
+                    f.write(blob)
+                    n += 1
+                size = f.tell()
+            yield pa.RecordBatch.from_arrays([pa.array([session]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["session", "records", "bytes"])
+
+    dealt = rows.select("session", *columns).repartition("session").sortWithinPartitions("session", "frame_id")
+    return dealt.mapInArrow(write, "session string, records long, bytes long")
+
+
+def _write(df: DataFrame, folder: str, kind: str, record) -> DataFrame:
+    name, head = KINDS[kind][:2]
+    return _sessions(df, ["frame_id", "payload"], name, head, record, folder)
 
 
 def write_hot(df: DataFrame, folder: str) -> DataFrame:
@@ -227,20 +254,19 @@ def write_frames(df: DataFrame, folder: str, domain: str = "frames@1:") -> DataF
 def write_event_log(events: DataFrame, folder: str) -> DataFrame:
     """One JSON-lines file for each ``session`` of ``frame_id, base, extra`` (maps as JSON text): extra keys win over base keys."""
 
-    def one(key, table):
-        import pyarrow as pa
+    def line(_, frame_id, base, extra, state):
+        return json.dumps(json.loads(base) | json.loads(extra or "{}")).encode() + b"\n", state
+
+    written = _sessions(events, ["frame_id", "base", "extra"], "events.jsonl", b"", line, folder)
+    return written.selectExpr("session", "records AS lines")
 
-        session = key[0].as_py()
-        os.makedirs(os.path.join(folder, session), exist_ok=True)
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("frame_id", "base", "extra")), strict=True), key=lambda r: r[0])
-        with open(os.path.join(folder, session, "events.jsonl"), "wb") as f:
-            for _, base, extra in rows:
-                f.write(json.dumps(json.loads(base) | json.loads(extra or "{}")).encode() + b"\n")
-        return pa.table({"session": [session], "lines": pa.array([len(rows)], pa.int64())})
 
-    return events.select("session", "frame_id", "base", "extra").groupBy("session").applyInArrow(lambda k, t: one(k, t), "session string, lines long")
+def listed(spark, folder: str, name: str) -> DataFrame:
+    """``session`` of each file of a name below a folder, by listing: no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder)
+    return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("session"))
 
 
 def discover(records: DataFrame, logs: DataFrame) -> DataFrame:
-    """Sessions that have both a stream and an event log."""
-    return records.select("session").distinct().join(logs.select("session").distinct(), "session", "left_semi").orderBy("session")
+    """Sessions that have both a stream and an event log, from :func:`listed` rows."""
+    return records.select("session").distinct().join(logs.select("session").distinct(), "session", "left_semi")

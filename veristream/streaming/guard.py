@@ -1,6 +1,7 @@
 """The guard, the keep window and the hash chain on a stream of frames, one state for each session.
 
-Frames of a session must arrive in order of frame_id from batch to batch; within a batch they are sorted.
+Frames of a session must arrive in order of frame_id from batch to batch; within a batch they are sorted.  The keep window and
+the chain raise on a frame that comes too late, as what they have written can't be taken back.
 """
 
 from __future__ import annotations
@@ -18,23 +19,48 @@ KEPT = "session long, frame_id long"
 
 
 def guard(frames: DataFrame, bounds: dict[str, float]) -> DataFrame:
-    """Decisions for a stream of ``session, frame_id, action, norm``; ``bounds`` has a number for each action of the envelope."""
+    """Decisions for a stream of ``session, frame_id, action, norm``; ``bounds`` has a number for each action of the envelope.
+
+    A frame that isn't behind all frames of the batches before is a breach, "out of order".  Where the stream has a column
+    ``ended``, a true one ends the session: its state goes, and what comes later under its name is a new session."""
+    ends = "ended" in frames.columns
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stopped = state.get[0] if state.exists else False
-        rows = pd.concat(batches).sort_values("frame_id")
-        bound = rows["action"].map(bounds).astype(float)
-        why = pd.Series(np.select([bound.isna(), ~np.isfinite(rows["norm"]), rows["norm"] > bound], ["no bound", "non-finite norm", "norm exceeds bound"], ""), index=rows.index)
+        stopped, last = state.get if state.exists else (False, -1)
+        rows = pd.concat(batches).sort_values("frame_id", kind="stable")
+        bound, norm = rows["action"].map(bounds).astype(float), rows["norm"].astype(float)
+        late = rows["frame_id"] <= last
+        why = pd.Series(np.select([late, ~np.isfinite(bound), ~np.isfinite(norm), norm > bound], ["out of order", "no bound", "non-finite norm", "norm exceeds bound"], ""), index=rows.index)
         prior = (why != "").cumsum().shift(fill_value=0).gt(0) | stopped
         stop = prior | (why != "")
-        state.update((bool(stopped or (why != "").any()),))
+        if ends and rows["ended"].any():
+            state.remove()
+        else:
+            state.update((bool(stopped or (why != "").any()), max(last, int(rows["frame_id"].max()))))
         yield pd.DataFrame({
             "session": key[0], "frame_id": rows["frame_id"], "verdict": np.where(stop, "ESTOP", "PERMIT"), "acted": np.where(stop, "emergency_stop", rows["action"]), "norm": rows["norm"], "bound": bound,
             "reason": np.where(prior, "prior breach", np.where(why != "", why, "within envelope")), "breach": ~prior & (why != ""),
         })
 
-    keyed = frames.select("session", "frame_id", "action", "norm").groupBy("session")
-    return keyed.applyInPandasWithState(step, DECISIONS, "stopped boolean", "append", GroupStateTimeout.NoTimeout)
+    keyed = frames.select("session", "frame_id", "action", "norm", *(["ended"] if ends else [])).groupBy("session")
+    return keyed.applyInPandasWithState(step, DECISIONS, "stopped boolean, last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def write_once(stream: DataFrame, path: str, checkpoint: str):
+    """Write a stream's batches to a Parquet table, each once: a batch that is repeated after a failure replaces what it wrote.
+    Gives the writer; its ``start()`` runs it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def _in_order(key, batches: Iterator[pd.DataFrame], last: int) -> pd.DataFrame:
+    rows = pd.concat(batches).sort_values("frame_id", kind="stable")
+    if rows["frame_id"].min() <= last:
+        raise ValueError(f"session {key[0]}: frame {rows['frame_id'].min()} comes after frame {last}")
+    return rows
 
 
 def keep_extending(frames: DataFrame, pre: int, post: int) -> DataFrame:
@@ -42,9 +68,9 @@ def keep_extending(frames: DataFrame, pre: int, post: int) -> DataFrame:
     frames the open window takes."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer, left = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        buffer, left, last = (list(state.get[0]), *state.get[1:]) if state.exists else ([], 0, -1)
         kept = []
-        rows = pd.concat(batches).sort_values("frame_id")
+        rows = _in_order(key, batches, last)
         for frame, trigger in zip(rows["frame_id"].tolist(), rows["trigger"].tolist(), strict=True):
             if trigger:
                 kept += buffer
@@ -54,24 +80,24 @@ def keep_extending(frames: DataFrame, pre: int, post: int) -> DataFrame:
                 left -= 1
             else:
                 buffer = [*buffer, frame][-pre:] if pre else []
-        state.update((buffer, left))
+        state.update((buffer, left, int(rows["frame_id"].max())))
         yield pd.DataFrame({"session": pd.Series([key[0]] * len(kept), dtype="int64"), "frame_id": pd.Series(kept, dtype="int64")})
 
     keyed = frames.select("session", "frame_id", "trigger").groupBy("session")
-    return keyed.applyInPandasWithState(step, KEPT, "buffer array<long>, left int", "append", GroupStateTimeout.NoTimeout)
+    return keyed.applyInPandasWithState(step, KEPT, "buffer array<long>, left int, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def chain(frames: DataFrame, domain: str = "frames@1:") -> DataFrame:
     """Links for a stream of ``session, frame_id, payload_sha256``.  State: the last link."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        link = state.get[0] if state.exists else hashlib.sha256(f"{domain}{key[0]}".encode()).hexdigest()
-        rows, links = pd.concat(batches).sort_values("frame_id"), []
+        link, last = state.get if state.exists else (hashlib.sha256(f"{domain}{key[0]}".encode()).hexdigest(), -1)
+        rows, links = _in_order(key, batches, last), []
         for frame, payload in zip(rows["frame_id"].tolist(), rows["payload_sha256"].tolist(), strict=True):
             link = hashlib.sha256(bytes.fromhex(link) + bytes.fromhex(payload) + frame.to_bytes(4, "little")).hexdigest()
             links.append(link)
-        state.update((link,))
+        state.update((link, int(rows["frame_id"].max())))
         yield pd.DataFrame({"session": key[0], "frame_id": rows["frame_id"], "payload_sha256": rows["payload_sha256"], "chain": links})
 
     keyed = frames.select("session", "frame_id", "payload_sha256").groupBy("session")
-    return keyed.applyInPandasWithState(step, "session long, frame_id long, payload_sha256 string, chain string", "link string", "append", GroupStateTimeout.NoTimeout)
+    return keyed.applyInPandasWithState(step, "session long, frame_id long, payload_sha256 string, chain string", "link string, last long", "append", GroupStateTimeout.NoTimeout)
