@@ -27,7 +27,7 @@ steps = substrings.Steps(20, 12, True)
 docs = pa.table({"doc": pa.array(table.to_pylist(), pa.struct([("doc_id", pa.int64()), ("text", pa.string())]))})
 del table
 assert steps.probe([pa.scalar(0)], docs).num_rows
-none = pa.table({"hash": pa.array([], pa.binary())})
+none = pa.table({"keys": pa.array([], pa.binary())})
 assert steps.cut([pa.scalar(0)], docs, none)["n_words"][0].as_py() > 8e6
 """,
 }

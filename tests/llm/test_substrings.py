@@ -34,8 +34,9 @@ def result(df):
     return sorted((str(r.doc_id), r.n_words, r.n_removed, r.sha) for r in rows)
 
 
-@pytest.mark.parametrize("group_bytes, bucket_keys", [(8 << 20, 1 << 20), (600, 50)])
-def test_against_brute_force(spark, group_bytes, bucket_keys):
+@pytest.mark.parametrize("group_bytes, bucket_keys, fan", [(8 << 20, 1 << 20, None), (600, 50, None), (300, 20, 4)])
+def test_against_brute_force(spark, group_bytes, bucket_keys, fan):
+    """In one group and bucket, in many, and in more buckets than a group sends rows to."""
     draw = random.Random(group_bytes)
     passages = [[draw.choice("abcdefgh") for _ in range(draw.randint(8, 30))] for _ in range(6)]
     rows = []
@@ -45,7 +46,7 @@ def test_against_brute_force(spark, group_bytes, bucket_keys):
             words += draw.choice(passages) if draw.random() < 0.5 else draw.choices("abcdefghijklmnop", k=draw.randint(1, 12))
         rows.append((k * 3 % 61, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert result(substrings.deduplicate(df, window=6, group_bytes=group_bytes, bucket_keys=bucket_keys)) == by_hand(rows, 6)
+    assert result(substrings.deduplicate(df, window=6, group_bytes=group_bytes, bucket_keys=bucket_keys, fan=fan)) == by_hand(rows, 6)
 
 
 def test_odd_rows(odd, empty):

@@ -75,13 +75,13 @@ def test_base(docs, odd, empty):
     assert st.score(empty).count() == 0
 
 
-@pytest.mark.parametrize("group_bytes, bucket_keys", [(8 << 20, 2 << 20), (1000, 300)])
-def test_scores_by_brute_force(docs, odd, group_bytes, bucket_keys):
-    """In one group, and in many groups and buckets with long texts in pieces."""
+@pytest.mark.parametrize("group_bytes, bucket_keys, fan", [(8 << 20, 2 << 20, None), (1000, 300, None), (30000, 1000, 5)])
+def test_scores_by_brute_force(docs, odd, group_bytes, bucket_keys, fan):
+    """In one group, in many groups and buckets with long texts in pieces, and in more buckets than a group sends rows to."""
     for df in (docs, odd):
         rows = df.select("doc_id", "text").collect()
         model, want = scores_by_hand(rows)
-        found = st.score(df, group_bytes=group_bytes, bucket_keys=bucket_keys).collect()
+        found = st.score(df, group_bytes=group_bytes, bucket_keys=bucket_keys, fan=fan).collect()
         assert len(model.states) > 20
         got = sorted((str(r.doc_id), round(r.score, 6)) for r in found)
         assert [g[0] for g in got] == [w[0] for w in want]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
-from .packed import by_bucket, ddl, pack, pack_sorted, table_of, unpack, unpack_sorted
+from .packed import Route, Rows, ddl, table_of, unpack_sorted
 
 WINDOW = 20
 GROUP_BYTES = 8 << 20
@@ -110,95 +110,72 @@ class Group:
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
-def _key(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket above, 32 bits of hash below."""
-    return (((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (h & _MASK)
-
-
-_PROBES = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()), ("flags", pa.binary())])
-_HITS = pa.schema([("g", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary())])
-_CANDIDATES = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("hash", pa.binary()), ("check", pa.binary()), ("ids", pa.binary())])
-_LOST = pa.schema([("g", pa.int64()), ("hash", pa.binary())])
-
-
 class Steps:
     """The functions that run inside tasks."""
 
-    def __init__(self, window: int, buckets: int, spliced: bool):
-        self.window, self.block, self.buckets, self.spliced = window, window // 2, buckets, spliced
+    def __init__(self, window: int, buckets: int, spliced: bool, fan: int | None = None):
+        self.window, self.block, self.spliced = window, window // 2, spliced
+        # A block's key is 32 bits long within its bucket.
+        self.key_bits = min(64, 32 + buckets.bit_length())
+        self.blocks = Route(buckets, [self.key_bits], [("flags", np.uint8, 1)], [], fan)
+        self.windows = Route(buckets, [64], [("checks", np.uint32, 1), ("ids", np.int64, 1)], [], fan)
+
+    def _key(self, h: np.ndarray) -> np.ndarray:
+        return h >> np.uint64(64 - self.key_bits)
 
     def probe(self, key, table):
         group = Group(table)
         at, h = group.windows(self.block)
-        k = _key(h, self.buckets)
+        k = self._key(h)
         order = np.argsort(k)
         k, aligned = k[order], (group.place[at] % self.block == 0)[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         if not len(first):
-            return table_of(_PROBES, [])
+            return table_of(self.blocks.there, [])
         flags = np.logical_or.reduceat(aligned, first).astype(np.uint8) | (np.diff(first, append=len(k)) > 1).astype(np.uint8) << 1
-        k = k[first]
-        g = key[0].as_py()
-        return table_of(_PROBES, [(b, g, pack_sorted((k[i:j] & _MASK).astype(np.uint32)), pack(flags[i:j])) for b, i, j in by_bucket((k >> np.uint64(32)).astype(np.int64))])
+        return table_of(self.blocks.there, self.blocks.sent(key[0].as_py(), 0, k[first], [flags]))
 
     def hits(self, key, table):
-        gs, bucket = table.column("g").to_pylist(), key[0].as_py()
-        keys = [unpack_sorted(b, np.uint32) for b in table.column("keys").to_pylist()]
-        flags = np.concatenate([unpack(b, np.uint8) for b in table.column("flags").to_pylist()])
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        ranked = every[order]
+        rows = Rows(table, self.blocks.payload)
+        (flags,) = rows.values[0]
+        order = np.argsort(rows.keys, kind="stable")
+        ranked = rows.keys[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         indexed = np.logical_or.reduceat((flags & 1)[order] > 0, first)
         found = np.add.reduceat(1 + (flags[order] >> 1).astype(np.int64), first)
-        hit = np.empty(len(every), bool)
-        hit[order] = np.repeat(indexed & (found > 1), np.diff(first, append=len(every)))
-        at, rows = 0, []
-        for g, k in zip(gs, keys, strict=True):
-            mine = k[hit[at : at + len(k)]]
-            at += len(k)
-            if len(mine):
-                rows.append((g, bucket, pack_sorted(mine)))
-        return table_of(_HITS, rows)
+        hit = np.empty(len(ranked), bool)
+        hit[order] = np.repeat(indexed & (found > 1), np.diff(first, append=len(ranked)))
+        return table_of(self.blocks.back, self.blocks.answers(key[0].as_py(), table, rows, [], hit))
 
     def candidates(self, key, left, right):
         group = Group(left)
         at, h = group.windows(self.block)
         rows = sorted(zip(right.column("bucket").to_pylist(), right.column("keys").to_pylist(), strict=True))
         if not rows:
-            return table_of(_CANDIDATES, [])
-        known = np.concatenate([unpack_sorted(b, np.uint32).astype(np.uint64) | np.uint64(bucket << 32) for bucket, b in rows])
+            return table_of(self.windows.there, [])
+        known = np.concatenate([unpack_sorted(b, np.uint64) for _, b in rows])
         hit = np.zeros(group.size + 1, np.int32)
-        k = _key(h, self.buckets)
+        k = self._key(h)
         hit[1:][at[known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k]] = 1
         hit = np.cumsum(hit, dtype=np.int32)
         at, h, check = group.windows(self.window, 2)
         some = hit[at + self.window - self.block + 1] > hit[at]
         at, h, check = at[some], h[some], (check[some] & _MASK).astype(np.uint32)
-        bucket = ((h >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((at, check, h, bucket))
-        at, h, check, bucket = at[order], h[order], check[order], bucket[order]
+        order = np.lexsort((at, check, h))
+        at, h, check = at[order], h[order], check[order]
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
-        at, h, check, bucket = at[first], h[first], check[first], bucket[first]
-        ids, g = group.ids[group.row[at]], key[0].as_py()
-        return table_of(_CANDIDATES, [(b, g, pack_sorted(h[i:j]), pack(check[i:j]), pack(ids[i:j])) for b, i, j in by_bucket(bucket)])
+        at, h, check = at[first], h[first], check[first]
+        return table_of(self.windows.there, self.windows.sent(key[0].as_py(), 0, h, [check, group.ids[group.row[at]]]))
 
     def lost(self, key, table):
-        h = [unpack_sorted(b, np.uint64) for b in table.column("hash").to_pylist()]
-        check = np.concatenate([unpack(b, np.uint32) for b in table.column("check").to_pylist()])
-        ids = np.concatenate([unpack(b, np.int64) for b in table.column("ids").to_pylist()])
-        every = np.concatenate(h)
-        order = np.lexsort((ids, check, every))
-        later = np.zeros(len(every), bool)
-        later[order[1:]] = (every[order[1:]] == every[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
-        at, rows = 0, []
-        for g, k in zip(table.column("g").to_pylist(), h, strict=True):
-            mine = k[later[at : at + len(k)]]
-            at += len(k)
-            if len(mine):
-                rows.append((g, pack_sorted(mine)))
-        return table_of(_LOST, rows)
+        rows = Rows(table, self.windows.payload)
+        (check,), (ids,) = rows.values
+        order = np.lexsort((ids, check, rows.keys))
+        later = np.zeros(len(order), bool)
+        ranked, check = rows.keys[order], check[order]
+        later[order[1:]] = (ranked[1:] == ranked[:-1]) & (check[1:] == check[:-1])
+        return table_of(self.windows.back, self.windows.answers(key[0].as_py(), table, rows, [], later))
 
     def removed(self, group: Group, right) -> np.ndarray:
         """Which words of the group lie in a window that starts earlier."""
@@ -206,7 +183,7 @@ class Steps:
         gone = np.zeros(group.size, bool)
         if not len(at):
             return gone
-        lost = [unpack_sorted(b, np.uint64) for b in right.column("hash").to_pylist()]
+        lost = [unpack_sorted(b, np.uint64) for b in right.column("keys").to_pylist()]
         lost = np.sort(np.concatenate(lost)) if lost else np.zeros(0, np.uint64)
         later = lost[np.minimum(np.searchsorted(lost, h), len(lost) - 1)] == h if len(lost) else np.zeros(len(h), bool)
         _, rank = np.unique(group.ids, return_inverse=True)
@@ -234,23 +211,25 @@ class Steps:
 
 
 def deduplicate(
-    docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, bucket_keys: int = BUCKET_KEYS, spliced: bool = False
+    docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, bucket_keys: int = BUCKET_KEYS, spliced: bool = False, fan: int | None = None
 ) -> DataFrame:
     """For each document: ``doc`` (its row), ``n_words``, ``n_removed``, ``kept`` (the words left, joined by one space; or, if
     ``spliced``, the text with the repeats cut out and all else as it was) and ``removed_from``, ``removed_to``: the maximal
     repeats that were cut, as ranges of words."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    steps = Steps(window, 1 + total // (WORD_BYTES * bucket_keys), spliced)
-    n_groups = F.lit(1 + total // group_bytes)
+    steps = Steps(window, 1 + total // (WORD_BYTES * bucket_keys), spliced, fan)
+    n = 1 + total // group_bytes
+    n_groups = F.lit(n)
     # What is too short to hold a window may lie in any group: no text or id that many such rows share makes a hot one.
     short = F.coalesce(F.octet_length("text"), F.lit(0)) < 2 * window - 1
     g = F.when(short, F.pmod(F.monotonically_increasing_id(), n_groups)).otherwise(F.pmod(F.xxhash64("doc_id", "text"), n_groups))
     dealt = docs.select(g.cast("long").alias("g"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
     by_group = dealt.groupBy("g")
-    probes = by_group.applyInArrow(lambda k, t: steps.probe(k, t), ddl(_PROBES))
-    hits = probes.groupBy("bucket").applyInArrow(lambda k, t: steps.hits(k, t), ddl(_HITS))
-    candidates = by_group.cogroup(hits.groupBy("g")).applyInArrow(lambda k, a, b: steps.candidates(k, a, b), ddl(_CANDIDATES))
-    lost = candidates.groupBy("bucket").applyInArrow(lambda k, t: steps.lost(k, t), ddl(_LOST))
+    blocks, windows = steps.blocks, steps.windows
+    probes = by_group.applyInArrow(lambda k, t: steps.probe(k, t), ddl(blocks.there))
+    hits = blocks.returned(blocks.dealt(probes, n).applyInArrow(lambda k, t: steps.hits(k, t), ddl(blocks.back)))
+    candidates = by_group.cogroup(hits.groupBy("g")).applyInArrow(lambda k, a, b: steps.candidates(k, a, b), ddl(windows.there))
+    lost = windows.returned(windows.dealt(candidates, n).applyInArrow(lambda k, t: steps.lost(k, t), ddl(windows.back)))
     numbers = T.ArrayType(T.IntegerType())
     out = T.StructType().add("doc", dealt.schema["doc"].dataType).add("n_words", "long").add("n_removed", "long")
     out = out.add("kept", "string").add("removed_from", numbers).add("removed_to", numbers)

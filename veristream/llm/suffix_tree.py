@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import textops as tx
 from .cluster import stored
-from .packed import by_bucket, ddl, pack, pack_sorted, table_of, unpack, unpack_sorted
+from .packed import Route, Rows, ddl, table_of, unpack
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 2
@@ -63,10 +63,6 @@ END_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 _GROUPS = pa.schema([("g", pa.int64()), ("docs", pa.binary())])
 _DOCS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lead", pa.int64()), ("last", pa.bool_()), ("text", pa.large_string())])
-_ASKED = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-_TOTALS = pa.schema([("g", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary()), ("mine", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
-_SUMS = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()), ("sums", pa.binary())])
-_STATES = pa.schema([("g", pa.int64()), ("bucket", pa.int64()), ("seen", pa.binary()), ("kinds", pa.binary())])
 _SCORES = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 _SPACE = re.compile(rb"[ \t-\r]")
 
@@ -165,57 +161,53 @@ def stays(n, seen, kinds, gain, share) -> np.ndarray:
 class Steps:
     """The functions that run inside tasks."""
 
-    def __init__(self, buckets: int, bits: int, n_tokens: int = 0, n_kinds: int = 0):
-        self.buckets, self.bits, self.n_tokens, self.n_kinds = buckets, bits, n_tokens, n_kinds
-
-    def _asked(self, number: int, length: int, words: int, keys: np.ndarray):
-        """Sorted keys by bucket: buckets are ranges of hashes."""
-        high = keys >> np.uint64((self.bits if words > 1 else 64) - 32)
-        bucket = (high * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64) + length * self.buckets
-        for b, i, j in by_bucket(bucket):
-            yield b, number, pack_sorted(keys[i:j]), slice(i, j)
+    def __init__(self, buckets: int, bits: int, n_tokens: int = 0, n_kinds: int = 0, fan: int | None = None):
+        self.bits, self.n_tokens, self.n_kinds = bits, n_tokens, n_kinds
+        #: Grams by their number of words less one, and contexts by their number of words.
+        lengths = [64, *[bits] * DEPTH]
+        self.grams = Route(buckets, lengths, [("counts", np.uint32, 1)], [("totals", np.uint64, 1), ("mine", np.uint8, 1)], fan)
+        self.contexts = Route(buckets, [64, *lengths[:-1]], [("sums", np.int64, 5)], [("seen", np.int64, 1), ("kinds", np.int64, 1)], fan)
+        self.counted = pa.schema([*self.grams.back, ("tokens", pa.int64()), ("words", pa.int64())])
 
     def ask(self, key, table):
         group, rows = Group(table, self.bits), []
         for length, (grams, counts) in enumerate(zip(group.grams, group.counts, strict=True)):
-            for *row, part in self._asked(key[0].as_py(), length, length + 1, grams):
-                rows.append((*row, pack(counts[part].astype(np.uint32))))
-        return table_of(_ASKED, rows)
+            rows += self.grams.sent(key[0].as_py(), length, grams, [counts.astype(np.uint32)])
+        return table_of(self.grams.there, rows)
 
     def count(self, key, table):
-        """The totals of a bucket's grams, told to each group in the order of its own; the first group that sent a gram owns it."""
-        keys = [unpack_sorted(b, np.uint64) for b in table.column("keys").to_pylist()]
-        counts = np.concatenate([unpack(b, np.uint32) for b in table.column("counts").to_pylist()])
-        gs, bucket = table.column("g").to_pylist(), key[0].as_py()
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        ranked = every[order]
+        """The totals of a bucket's grams, told to each group in the order of its own; the first group that sent a gram owns it.
+        One row more has the bucket's tokens and distinct words."""
+        rows, bucket = Rows(table, self.grams.payload), key[0].as_py()
+        (counts,) = rows.values[0]
+        order = np.argsort(rows.keys, kind="stable")
+        ranked = rows.keys[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         sums = np.add.reduceat(counts[order].astype(np.uint64), first)
-        least = 1 if bucket < self.buckets else LEAST
-        total = np.empty(len(every), np.uint64)
-        total[order] = np.repeat(np.where(sums >= least, sums, 0), np.diff(first, append=len(every)))
-        mine = np.zeros(len(every), bool)
-        mine[order[first]] = True
-        rows, at = [], 0
-        for g, k in zip(gs, keys, strict=True):
-            part = slice(at, at + len(k))
-            at += len(k)
-            rows.append((g, bucket, pack(total[part]), pack(np.packbits(mine[part])), None, None))
-        if bucket < self.buckets:
-            rows.append((-1, bucket, None, None, int(sums.sum()), int(np.count_nonzero(sums))))
-        return table_of(_TOTALS, rows)
-
-    def _told(self, group: Group, table) -> tuple[list, list]:
+        single = self.grams.level_of(bucket) == 0
+        total = np.empty(len(ranked), np.uint64)
+        total[order] = np.repeat(np.where(sums >= (1 if single else LEAST), sums, 0), np.diff(first, append=len(ranked)))
+        mine = np.zeros(len(ranked), np.uint8)
+        mine[order[first]] = 1
+        out = [(*row, None, None) for row in self.grams.answers(bucket, table, rows, [total, mine])]
+        if single:
+            out.append((None, bucket, *[None] * 5, int(sums.sum()), int(np.count_nonzero(sums))))
+        return table_of(self.counted, out)
+
+    def _told(self, route: Route, size: int, table) -> list[list[np.ndarray]]:
+        """The answers of a route by level, each in the order of the group's keys; empty where nothing was asked."""
+        names = [n for n, _, _ in route.answer]
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", *names)), strict=True))
+        out = [[[] for _ in names] for _ in range(size)]
+        for bucket, *values in rows:
+            for held, value, (_, dtype, _) in zip(out[route.level_told(bucket)], values, route.answer, strict=True):
+                held.append(unpack(value, dtype).astype(np.int64))
+        return [[np.concatenate(v) if v else np.zeros(0, np.int64) for v in level] for level in out]
+
+    def _totals(self, table) -> tuple[list, list]:
         """The totals of the group's grams of each length, and which of them it owns."""
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "totals", "mine")), strict=True))
-        totals, mine = ([[] for _ in group.grams] for _ in range(2))
-        for bucket, total, own in rows:
-            found = unpack(total, np.uint64).astype(np.int64)
-            totals[bucket // self.buckets].append(found)
-            mine[bucket // self.buckets].append(np.unpackbits(unpack(own, np.uint8), count=len(found)).astype(bool))
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return [join(t, np.int64) for t in totals], [join(m, bool) for m in mine]
+        told = self._told(self.grams, DEPTH + 1, table)
+        return [t[0] for t in told], [t[1] > 0 for t in told]
 
     def _contexts(self, group: Group, totals, mine, length: int):
         """What a group knows of its contexts of ``length`` words: a function for the figures of given grams (context, words,
@@ -244,9 +236,9 @@ class Steps:
 
     def test(self, key, left, right):
         if not left.num_rows:
-            return table_of(_SUMS, [])
+            return table_of(self.contexts.there, [])
         group, rows = Group(left, self.bits), []
-        totals, mine = self._told(group, right)
+        totals, mine = self._totals(right)
         for length in range(1, DEPTH + 1):
             figures, owned, asked, _ = self._contexts(group, totals, mine, length)
             at, words, gain, share = figures(owned)
@@ -256,39 +248,32 @@ class Steps:
             n = np.where(kinds > 0, totals[length - 1], 0)
             sums = [n, *(np.bincount(at, v, size) for v in (words, None, gain, share))]
             values = np.stack([v[asked].astype(np.int64) for v in sums])
-            for *row, part in self._asked(key[0].as_py(), length, length, group.grams[length - 1][asked]):
-                rows.append((*row, pack(values[:, part])))
-        return table_of(_SUMS, rows)
+            rows += self.contexts.sent(key[0].as_py(), length, group.grams[length - 1][asked], [values])
+        return table_of(self.contexts.there, rows)
 
     def decide(self, key, table):
         """The states among a bucket's contexts, told to each group in the order of its own: the occurrences that counted words
         follow, and the number of these words; zero for no state."""
-        keys = [unpack_sorted(b, np.uint64) for b in table.column("keys").to_pylist()]
-        n, *sums = np.concatenate([unpack(b, np.int64).reshape(5, -1) for b in table.column("sums").to_pylist()], axis=1)
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        ranked = every[order]
+        rows = Rows(table, self.contexts.payload)
+        n, *sums = rows.values[0]
+        order = np.argsort(rows.keys, kind="stable")
+        ranked = rows.keys[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         seen, kinds, gain, share = (np.add.reduceat(s[order], first) for s in sums)
         kept = stays(np.maximum.reduceat(n[order], first), seen, kinds, gain, share)
-        sizes = np.diff(first, append=len(every))
-        out = np.zeros((2, len(every)), np.int64)
+        sizes = np.diff(first, append=len(ranked))
+        out = np.zeros((2, len(ranked)), np.int64)
         for k, values in enumerate((seen, kinds)):
             out[k, order] = np.repeat(np.where(kept, values, 0), sizes)
-        rows, at = [], 0
-        for g, k in zip(table.column("g").to_pylist(), keys, strict=True):
-            rows.append((g, key[0].as_py(), pack(out[0, at : at + len(k)]), pack(out[1, at : at + len(k)])))
-            at += len(k)
-        return table_of(_STATES, rows)
+        return table_of(self.contexts.back, self.contexts.answers(key[0].as_py(), table, rows, list(out)))
 
     def score(self, key, left, right):
         if not left.num_rows:
             return table_of(_SCORES, [])
         group = Group(left, self.bits)
         is_total = pc.is_valid(right.column("totals"))
-        totals, mine = self._told(group, right.filter(is_total))
-        told = right.filter(pc.invert(is_total))
-        told = sorted(zip(*(told.column(c).to_pylist() for c in ("bucket", "seen", "kinds")), strict=True))
+        totals, mine = self._totals(right.filter(is_total))
+        states = self._told(self.contexts, DEPTH + 1, right.filter(pc.invert(is_total)))
         c = totals[0][group.at[0]]
         all_ = self.n_tokens + self.n_kinds + 1
         p = (c + 1) / all_
@@ -296,10 +281,8 @@ class Steps:
             _, _, asked, alone = self._contexts(group, totals, mine, length)
             n = totals[length - 1]
             seen, kinds = np.where(alone, n, 0), alone.astype(np.int64)
-            for at, values in ((1, seen), (2, kinds)):
-                parts = [unpack(row[at], np.int64) for row in told if row[0] // self.buckets == length]
-                if parts:
-                    values[asked] = np.concatenate(parts)
+            if len(asked):
+                seen[asked], kinds[asked] = states[length]
             at = np.flatnonzero(group.place >= length)
             context = group.at[length - 1][at - 1]
             state = seen[context] > 0
@@ -320,20 +303,21 @@ def packed_groups(docs: DataFrame, size: int) -> DataFrame:
     return stored(named.mapInArrow(lambda batches: _pack_groups(batches, size), ddl(_GROUPS)))
 
 
-def score(docs: DataFrame, group_bytes: int = GROUP_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+def score(docs: DataFrame, group_bytes: int = GROUP_BYTES, bucket_keys: int = BUCKET_KEYS, fan: int | None = None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of all documents."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 + total // (WORD_BYTES * bucket_keys)
-    groups = packed_groups(docs, group_bytes).groupBy("g")
+    buckets, n_groups = 1 + total // (WORD_BYTES * bucket_keys), 1 + total // group_bytes
     bits = min(64, SPARE_BITS + max(24, (total // WORD_BYTES).bit_length()))
-    steps = Steps(buckets, bits)
-    asked = groups.applyInArrow(lambda k, t: steps.ask(k, t), ddl(_ASKED))
-    totals = stored(asked.groupBy("bucket").applyInArrow(lambda k, t: steps.count(k, t), ddl(_TOTALS)))
-    n, v = (x or 0 for x in totals.agg(F.sum("tokens"), F.sum("kinds")).first())
-    known = Steps(buckets, bits, n, v)
-    totals = totals.where("g >= 0").select("g", "bucket", "totals", "mine")
-    sums = groups.cogroup(totals.groupBy("g")).applyInArrow(lambda k, a, b: known.test(k, a, b), ddl(_SUMS))
-    states = sums.groupBy("bucket").applyInArrow(lambda k, t: known.decide(k, t), ddl(_STATES))
+    groups = packed_groups(docs, group_bytes).groupBy("g")
+    steps = Steps(buckets, bits, fan=fan)
+    asked = groups.applyInArrow(lambda k, t: steps.ask(k, t), ddl(steps.grams.there))
+    counted = stored(steps.grams.dealt(asked, n_groups).applyInArrow(lambda k, t: steps.count(k, t), ddl(steps.counted)))
+    n, v = (x or 0 for x in counted.agg(F.sum("tokens"), F.sum("words")).first())
+    known = Steps(buckets, bits, n, v, fan)
+    totals = known.grams.returned(counted.where("home IS NOT NULL").select(known.grams.back.names)).drop("keys")
+    sums = groups.cogroup(totals.groupBy("g")).applyInArrow(lambda k, a, b: known.test(k, a, b), ddl(known.contexts.there))
+    states = known.contexts.dealt(sums, n_groups).applyInArrow(lambda k, t: known.decide(k, t), ddl(known.contexts.back))
+    states = known.contexts.returned(states).drop("keys")
     none = F.lit(None).cast("binary")
     told = totals.withColumns({"seen": none, "kinds": none}).unionByName(states.withColumns({"totals": none, "mine": none}))
     parts = groups.cogroup(told.groupBy("g")).applyInArrow(lambda k, a, b: known.score(k, a, b), ddl(_SCORES))
