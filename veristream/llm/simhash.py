@@ -3,10 +3,11 @@
 Equal fingerprints are one node from the start, so copies cost nothing.  Nodes meet in buckets of equal keys.  For
 :data:`EXACT` (the groups of op9: 64 bits, 3-word shingles, at most 3 differing bits) two nodes within the radius agree in at
 least three of six bit blocks, so the 20 choices of three blocks are keys that lose no link; they are some 32 bits long, which
-spreads random fingerprints over 2^32 buckets for each choice.  For :data:`SIMILAR` (near-duplicates: 128 bits, 5-word
-shingles, at most 20 differing bits, which is where a shingle similarity of 0.8 lies) no such choice exists; keys are samples of
-bits there, as long as the logarithm of the number of nodes, and as many of them as find a pair at the very radius with
-probability ``RECALL`` (closer pairs more surely).
+spreads random fingerprints over 2^32 buckets for each choice.  For :data:`SIMILAR` (near-duplicates: 256 bits, 5-word
+shingles, at most 46 differing bits) no such choice exists; keys are samples of bits there, as long as the logarithm of the
+number of nodes, and as many of them as find a pair that differs in 39 bits with probability ``RECALL`` (closer pairs more
+surely).  Two texts with a shingle similarity of 0.8 differ in 39 bits on average and in 46 or fewer nine times in ten; with one of
+0.7, three times in ten, with 0.5, once in a thousand.
 
 Within a bucket, rows come sorted by the distance to the first of ``N_PIVOTS`` reference fingerprints; the distance
 table to all of them is computed once per row, a pair is discarded when any coordinate differs by more than the radius
@@ -40,7 +41,7 @@ from .cluster import checkpointed, components, spread_join
 SEED = 42
 N_PIVOTS = 16
 LEADERS = 8
-RECALL = 0.95
+RECALL = 0.9
 #: Pairs compared, and shingles hashed, at once, to bound memory.
 PAIRS, SHINGLES = 1 << 20, 1 << 18
 #: (lowest bit, number of bits) of six blocks; two fingerprints within three bits agree in three of them.
@@ -48,11 +49,13 @@ BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 
 
 class Space(NamedTuple):
-    """What is fingerprinted, in how many 64-bit lanes, and how many differing bits link."""
+    """What is fingerprinted, in how many 64-bit lanes, how many differing bits link, and how many a pair has that the sampled
+    keys are made to find."""
 
     shingle: int
     lanes: int
     radius: int
+    typical: int = 0
 
     @property
     def columns(self) -> list[str]:
@@ -64,17 +67,18 @@ class Space(NamedTuple):
 
 
 EXACT = Space(shingle=3, lanes=1, radius=3)
-SIMILAR = Space(shingle=5, lanes=2, radius=20)
+SIMILAR = Space(shingle=5, lanes=4, radius=46, typical=39)
 
 
 def shingle_hashes(buffer: bytes, begin: np.ndarray, end: np.ndarray, lanes: int) -> np.ndarray:
-    """Little-endian bytes of the hash of each span: XXH64, or the 128 bits of XXH3 for two lanes."""
+    """Bytes of the hash of each span: XXH64, or for four lanes the 128 bits of XXH3 and these mixed once more."""
     spans = zip(begin.tolist(), end.tolist(), strict=True)
     if lanes == 1:
         digest = xxhash.xxh64_intdigest
         return np.fromiter((digest(buffer[a:b], SEED) for a, b in spans), "<u8", len(begin)).view(np.uint8).reshape(-1, 8)
     digest = xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join(digest(buffer[a:b], SEED) for a, b in spans), np.uint8).reshape(-1, 16)
+    h = np.frombuffer(b"".join([digest(buffer[a:b], SEED) for a, b in spans]), "<u8").reshape(-1, 2)
+    return np.concatenate([h, tx.mix(h)], axis=1).view(np.uint8)
 
 
 def simhashes(texts: pa.Array, space: Space = EXACT) -> np.ndarray:
@@ -230,10 +234,10 @@ def _block_keys(space: Space) -> Column:
 
 
 def samples(n: int, space: Space) -> np.ndarray:
-    """Bits of each key: as many as spread n nodes, in as many keys as find pairs at the radius with ``RECALL``."""
+    """Bits of each key: as many as spread n nodes, in as many keys as find typical pairs with ``RECALL``."""
     width = 64 * space.lanes
     bits = max(12, ceil(log2(max(n, 2))))
-    keys = ceil(log(1 - RECALL) / log(1 - (1 - space.radius / width) ** bits))
+    keys = ceil(log(1 - RECALL) / log(1 - (1 - space.typical / width) ** bits))
     draw = np.random.default_rng(20240301)
     return np.array([draw.choice(width, min(bits, width), replace=False) for _ in range(keys)])
 
