@@ -63,10 +63,13 @@ def events(lines: DataFrame) -> DataFrame:
     return e.withColumn("robot", F.col("robot_id")).withColumn("has_distribution", F.col("action_distribution").isNotNull())
 
 
-NAMESPACE = "embodied"
+#: Namespace of a graph's entities, unless another is given.
+NAMESPACE = "telemetry"
+#: Fixed value: what a breach's reference says.
+IN_FORCE = "safety envelope in force at the moment of the breach"
 
 
-def graph_tables(spark, folder: str) -> dict[str, DataFrame]:
+def graph_tables(spark, folder: str, namespace: str = NAMESPACE) -> dict[str, DataFrame]:
     """``claims``, ``entities``, ``spans``, ``provenance``, ``references`` and ``streams`` of all capsules below a folder.  A source is known by the hash of
     its log's bytes, so a log that is changed has other spans."""
     log = events(event_lines(spark, folder))
@@ -86,10 +89,10 @@ def graph_tables(spark, folder: str) -> dict[str, DataFrame]:
     cites = every.where("predicate = 'breached_envelope' AND envelope_shard_id IS NOT NULL")
     return {
         "claims": claims,
-        "entities": H.entities(claims, NAMESPACE),
+        "entities": H.entities(claims, namespace),
         "spans": every.select("span_id", "source_hash", "byte_start", "byte_end", F.col("line").alias("text")).distinct(),
         "provenance": every.select(X.deterministic_id("p_", F.col("claim_id"), F.col("span_id")).alias("provenance_id"), "claim_id", "span_id", "source_hash", "byte_start", "byte_end").distinct(),
-        "references": cites.select("claim_id", *citation(F.col("envelope_shard_id"), "cites", "safety envelope in force at the moment of the breach")).distinct(),
+        "references": cites.select("claim_id", *citation(F.col("envelope_shard_id"), "cites", IN_FORCE)).distinct(),
         "streams": stream_index(spark, folder),
     }
 
