@@ -12,13 +12,20 @@ _KINDS = {pa.binary(): "binary", pa.int64(): "long", pa.float64(): "double", pa.
 
 def pack(a: np.ndarray) -> bytes:
     """Byte planes, compressed: constant and slowly varying bytes cost nearly nothing."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+    cells = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize)
+    planes = np.empty(cells.shape[::-1], np.uint8)
+    for k in range(a.itemsize):
+        planes[k] = cells[:, k]
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpack(b: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1)
+    cells = np.empty(planes.shape[::-1], np.uint8)
+    for k in range(size):
+        cells[:, k] = planes[k]
+    return cells.view(dtype).ravel()
 
 
 def pack_sorted(a: np.ndarray) -> bytes:
