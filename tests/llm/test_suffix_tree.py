@@ -4,9 +4,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from veristream.llm import suffix_tree as st
+from veristream.llm import textops as tx
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -139,3 +141,18 @@ def test_tree_beats_the_base_on_held_out_texts(spark):
     rows = [r for r in st.op5_suffix_tree_scores(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     per_token = lambda name: sum(r[name] for r in rows) / sum(r.n_tokens for r in rows)
     assert per_token("score") > per_token("base_score") + 0.2
+
+
+def test_word_hashes_tell_words_apart():
+    draw = random.Random(3)
+    words = {bytes(draw.choices(b"ab\x00", k=n)) for n in range(1, 40) for _ in range(200)}
+    words |= {b"a" * n for n in (7, 8, 9, 15, 16, 17, 24, 1000)}
+    once = sorted(words)
+    spans = once + once[::-1]
+    ends = np.cumsum([len(w) for w in spans])
+    starts = ends - [len(w) for w in spans]
+    hashes = tx.word_hashes(np.frombuffer(b"".join(spans), np.uint8), starts, ends)
+    assert len(set(hashes.tolist())) == len(once)
+    assert (hashes[: len(once)] == hashes[len(once) :][::-1]).all()
+    none = np.zeros(0, np.int32)
+    assert len(tx.word_hashes(np.zeros(0, np.uint8), none, none)) == 0

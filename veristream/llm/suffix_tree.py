@@ -114,15 +114,15 @@ class Group:
         raw = zstandard.ZstdDecompressor().decompress(table.column("docs")[0].as_py())
         self.docs = pa.ipc.open_stream(raw).read_all().combine_chunks()
         data, offsets = tx.utf8(self.docs.column("text"))
-        words = tx.Words(tx.LOWER[data], offsets)
+        data = tx.LOWER[data]
+        words = tx.Words(data, offsets)
         lead, last, held = (self.docs.column(n).to_numpy() for n in ("lead", "last", "held_out"))
         counts = words.counts + last
         self.row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         first = np.cumsum(counts) - counts
         self.place = (np.arange(len(self.row)) - first[self.row]).astype(np.int32)
-        codes, distinct = words.codes()
         token = np.full(len(self.row), END_HASH)
-        token[first[words.row] + np.arange(len(words)) - words.bounds[words.row]] = tx.span_hashes(distinct)[codes]
+        token[first[words.row] + np.arange(len(words)) - words.bounds[words.row]] = tx.word_hashes(data, words.starts, words.ends)
         #: Tokens of the piece itself, and those of them that are learned from.
         self.own = self.place >= lead[self.row]
         learned = self.own & ~held[self.row]
