@@ -110,7 +110,7 @@ def _pack_groups(batches, size):
 class Group:
     """The tokens of a group's documents and its distinct grams."""
 
-    def __init__(self, table: pa.Table, bits: int):
+    def __init__(self, table: pa.Table | pa.RecordBatch, bits: int):
         raw = zstandard.ZstdDecompressor().decompress(table.column("docs")[0].as_py())
         self.docs = pa.ipc.open_stream(raw).read_all().combine_chunks()
         data, offsets = tx.utf8(self.docs.column("text"))
@@ -169,11 +169,13 @@ class Steps:
         self.contexts = Route(buckets, [64, *lengths[:-1]], [("sums", np.int64, 5)], [("seen", np.int64, 1), ("kinds", np.int64, 1)], fan)
         self.counted = pa.schema([*self.grams.back, ("tokens", pa.int64()), ("words", pa.int64())])
 
-    def ask(self, key, table):
-        group, rows = Group(table, self.bits), []
-        for length, (grams, counts) in enumerate(zip(group.grams, group.counts, strict=True)):
-            rows += self.grams.sent(key[0].as_py(), length, grams, [counts.astype(np.uint32)])
-        return table_of(self.grams.there, rows)
+    def ask(self, batches):
+        for batch in batches:
+            for row in (batch.slice(i, 1) for i in range(batch.num_rows)):
+                group, rows = Group(row, self.bits), []
+                for length, (grams, counts) in enumerate(zip(group.grams, group.counts, strict=True)):
+                    rows += self.grams.sent(row.column("g")[0].as_py(), length, grams, [counts.astype(np.uint32)])
+                yield from table_of(self.grams.there, rows).to_batches()
 
     def count(self, key, table):
         """The totals of a bucket's grams, told to each group in the order of its own; the first group that sent a gram owns it.
@@ -308,9 +310,10 @@ def score(docs: DataFrame, group_bytes: int = GROUP_BYTES, bucket_keys: int = BU
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, n_groups = 1 + total // (WORD_BYTES * bucket_keys), 1 + total // group_bytes
     bits = min(64, SPARE_BITS + max(24, (total // WORD_BYTES).bit_length()))
-    groups = packed_groups(docs, group_bytes).groupBy("g")
+    packed = packed_groups(docs, group_bytes)
+    groups = packed.groupBy("g")
     steps = Steps(buckets, bits, fan=fan)
-    asked = groups.applyInArrow(lambda k, t: steps.ask(k, t), ddl(steps.grams.there))
+    asked = packed.mapInArrow(lambda batches: steps.ask(batches), ddl(steps.grams.there))
     counted = stored(steps.grams.dealt(asked, n_groups).applyInArrow(lambda k, t: steps.count(k, t), ddl(steps.counted)))
     n, v = (x or 0 for x in counted.agg(F.sum("tokens"), F.sum("words")).first())
     known = Steps(buckets, bits, n, v, fan)
