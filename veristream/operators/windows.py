@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +20,23 @@ def keep_extending(frames: DataFrame, trigger: Column, pre: int, post: int) -> D
 
 
 def accepted(triggers: DataFrame, post: int) -> DataFrame:
-    """Triggers ``session, frame_id`` that a latched window accepts: those inside an open window are ignored.  Only a session's
-    triggers, not its frames, are folded."""
-    start = F.array().cast("array<bigint>")
-    take = lambda a, t: F.when((F.size(a) == 0) | (t >= F.element_at(a, -1) + post), F.concat(a, F.array(t))).otherwise(a)
-    return triggers.groupBy("session").agg(F.array_sort(F.collect_list("frame_id")).alias("all")).select("session", F.explode(F.aggregate("all", start, take)).alias("trigger"))
+    """Triggers ``session, trigger`` that a latched window accepts, of ``session, frame_id``: those inside an open window are
+    ignored.  Which are depends on all before, so a session's triggers (not its frames) go through one task in order, batch after
+    batch; only the last accepted one is carried on."""
+
+    def fold(batches):
+        session, last = object(), None
+        for batch in batches:
+            taken = []
+            for name, frame in zip(batch.column("session").to_pylist(), batch.column("frame_id").to_pylist(), strict=True):
+                taken.append(name != session or frame >= last + post)
+                if taken[-1]:
+                    session, last = name, frame
+            yield pa.RecordBatch.from_arrays([batch.column("session"), batch.column("frame_id")], names=["session", "trigger"]).filter(pa.array(taken, pa.bool_()))
+
+    rows = triggers.select("session", F.col("frame_id").cast("long").alias("frame_id"))
+    dealt = rows.repartition("session").sortWithinPartitions("session", "frame_id")
+    return dealt.mapInArrow(fold, f"session {dict(rows.dtypes)['session']}, trigger long")
 
 
 def keep_latched(frames: DataFrame, trigger: Column, pre: int, post: int) -> DataFrame:
