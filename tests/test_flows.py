@@ -105,3 +105,41 @@ def test_trusted_keys(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"one")
     store = spark.createDataFrame([(hashlib.sha256(b"one").hexdigest(),)], "fingerprint string")
     assert [r.path.rsplit("/", 1)[1] for r in flows.trusted_keys(spark, str(tmp_path), store).collect()] == ["a.pub"]
+
+
+def test_captures_are_judged_with_their_log(spark, tmp_path):
+    frames = spark.createDataFrame([(s, k, f"{s} frame {k}".encode(), k in (15, 18)) for s in ("a", "b") for k in range(30)], "session string, frame_id long, payload binary, trigger boolean")
+    summary = flows.capture(spark, str(tmp_path), frames, pre=5, post=5).collect()
+    assert {(r.session, r.observed, r.kept, r.triggers) for r in summary} == {("a", 30, 13, 2), ("b", 30, 13, 2)}
+
+    def found():
+        return {(r.session, r.frame_id, r.finding) for r in flows.capture_findings(spark, str(tmp_path)).where("finding <> 'VERIFIED'").collect()}
+
+    assert found() == set() and flows.capture_findings(spark, str(tmp_path)).count() == 26
+    disk, log = tmp_path / "a" / "frames.bin", tmp_path / "a" / "events.jsonl"
+    data, lines = disk.read_bytes(), log.read_text().splitlines()
+    # A payload's byte.
+    at = data.index(b"a frame 12")
+    disk.write_bytes(data[:at] + b"A" + data[at + 1 :])
+    assert ("a", 12, "HASH_MISMATCH") in found()
+    # A record cut out.
+    first = data.index(b"AXFR", data.index(b"a frame 11"))
+    after = data.index(b"AXFR", first + 4)
+    disk.write_bytes(data[:first] + data[after:])
+    bad = found()
+    assert {("a", 13, "CHAIN_BROKEN"), ("a", 12, "claimed, not on disk"), ("a", 14, "reference mismatch")} <= bad
+    # A record twice.
+    disk.write_bytes(data[:after] + data[first:])
+    assert ("a", 12, "NOT_INCREASING") in found()
+    disk.write_bytes(data)
+    # A log that lies, and one that is silent.
+    event = json.loads(lines[3])
+    for change, finding in (({"content_sha256": "0" * 64}, "hash mismatch"), ({"chain": "0" * 64}, "chain mismatch"), ({"stream_refs": {"frames": {"offset": 4, "length": 9}}}, "reference mismatch")):
+        log.write_text("\n".join([*lines[:3], json.dumps(event | change), *lines[4:]]) + "\n")
+        assert found() == {("a", 13, finding)}
+    log.write_text("\n".join(lines[1:]) + "\n")
+    assert found() == {("a", 10, "on disk, not claimed")}
+    with pytest.raises(Exception, match="on disk, not claimed"):
+        from veristream.operators import verify as V
+
+        V.require(flows.capture_findings(spark, str(tmp_path)), "finding").collect()

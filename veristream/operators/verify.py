@@ -14,6 +14,8 @@ from veristream.operators.shared import placed
 #: The record layout (bytes).
 FILE_HEADER, RECORD_HEADER, PAYLOAD = 4, 13, 256
 RECORD = RECORD_HEADER + PAYLOAD
+#: Bytes of a frame record before its payload: the header and two hashes.
+FRAME_FIXED = RECORD_HEADER + 64
 VERSION = 1
 
 
@@ -92,11 +94,31 @@ def chain_breaks(chain: DataFrame) -> DataFrame:
     return rows.groupBy("session").agg(F.count("*").alias("records"), F.min(F.when(~F.col("ok"), F.col("frame_id"))).alias("first_break"))
 
 
-def cross_check(log: DataFrame, disk: DataFrame) -> DataFrame:
-    """``frame_id, finding`` for ``frame_id, content_sha256`` of a log and a disk."""
-    a, b = log.select("frame_id", F.col("content_sha256").alias("claimed"), F.lit(True).alias("in_log")), disk.select("frame_id", F.col("content_sha256").alias("found"), F.lit(True).alias("on_disk"))
-    finding = F.when(F.col("on_disk").isNull(), "claimed, not on disk").when(F.col("in_log").isNull(), "on disk, not claimed").when(~F.col("claimed").eqNullSafe(F.col("found")), "hash mismatch").otherwise("VERIFIED")
-    return a.join(b, "frame_id", "full_outer").select("frame_id", finding.alias("finding"))
+def judge_frames(records: DataFrame, domain: str = "frames@1:") -> DataFrame:
+    """``session, frame_id, offset, length, status, content_sha256, chain`` of scanned frame records: a record that the scan found whole
+    is judged for its order and its link too.  Every link is recomputed from the claimed link before it, all rows at once; the first of
+    a session that isn't VERIFIED is where a sequential reader would stop."""
+    w = Window.partitionBy("session").orderBy("offset")
+    rows = records.select("session", "frame_id", "offset", "dlen", F.col("status").alias("found"), F.col("payload_sha256").alias("content_sha256"), "chain")
+    rows = rows.withColumns({"prior": F.lag("frame_id").over(w), "link": F.coalesce(F.lag("chain").over(w), X.chain_start(F.col("session"), domain))})
+    expected = X.chain_next(F.col("link"), F.col("content_sha256"), F.col("frame_id"))
+    status = F.when(F.col("found") != "VERIFIED", F.col("found")).when(F.col("frame_id") <= F.col("prior"), "NOT_INCREASING").when(F.col("chain").eqNullSafe(expected), "VERIFIED").otherwise("CHAIN_BROKEN")
+    return rows.select("session", "frame_id", "offset", (F.col("dlen") + FRAME_FIXED).alias("length"), status.alias("status"), "content_sha256", "chain")
+
+
+#: What a log says of a record, in the order in which it is compared with the disk, and the finding where they differ.
+COMPARED = {"offset": "reference mismatch", "length": "reference mismatch", "content_sha256": "hash mismatch", "chain": "chain mismatch"}
+
+
+def cross_check(log: DataFrame, disk: DataFrame, keys: tuple[str, ...] = ("frame_id",)) -> DataFrame:
+    """``keys, finding`` for a log and a disk: the first of those columns of ``COMPARED`` that both have which differs."""
+    both = [c for c in COMPARED if c in log.columns and c in disk.columns]
+    a = log.select(*keys, *(F.col(c).alias(f"claimed_{c}") for c in both), F.lit(True).alias("in_log"))
+    b = disk.select(*keys, *(F.col(c).alias(f"found_{c}") for c in both), F.lit(True).alias("on_disk"))
+    finding = F.when(F.col("on_disk").isNull(), "claimed, not on disk").when(F.col("in_log").isNull(), "on disk, not claimed")
+    for c in both:
+        finding = finding.when(~F.col(f"claimed_{c}").eqNullSafe(F.col(f"found_{c}")), COMPARED[c])
+    return a.join(b, list(keys), "full_outer").select(*keys, finding.otherwise("VERIFIED").alias("finding"))
 
 
 def span_matches(spans: DataFrame, content: Column, start: Column, end: Column, claimed: Column) -> DataFrame:

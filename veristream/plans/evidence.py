@@ -69,6 +69,48 @@ def hash_chain_excised(spark, d):
     return V.chain_breaks(chain(spark, d).where("NOT (session % 3 = 0 AND frame_id = 1)"))
 
 
+@query("frame_judge", f"""WITH RECURSIVE {CHAIN},
+f AS (SELECT session, frame_id, 4 + sum(77 + strlen(t.text)) OVER (PARTITION BY session ORDER BY frame_id) - 77 - strlen(t.text) AS "offset", 77 + strlen(t.text) AS length, h, chain FROM c JOIN conversations t ON t.conv_id = session AND t.turn = frame_id),
+g AS (SELECT session, CASE WHEN session % 5 = 2 AND frame_id = 2 THEN 1 ELSE frame_id END AS frame_id, "offset", length, h, CASE WHEN session % 7 = 4 AND frame_id = 0 THEN h ELSE chain END AS chain FROM f WHERE NOT (session % 3 = 0 AND frame_id = 1)),
+w AS (SELECT *, lag(frame_id) OVER o AS prior, coalesce(lag(chain) OVER o, sha256('frames@1:' || session)) AS link FROM g WINDOW o AS (PARTITION BY session ORDER BY "offset"))
+SELECT session, frame_id, "offset"::bigint AS "offset", length::bigint AS length, h AS content_sha256, chain,
+CASE WHEN frame_id <= prior THEN 'NOT_INCREASING' WHEN chain = sha256(unhex(link) || unhex(h) || {LE32.format(n="frame_id")}) THEN 'VERIFIED' ELSE 'CHAIN_BROKEN' END AS status FROM w""")
+def frame_judge(spark, d):
+    """Records of which some are cut out, numbered again or linked wrongly."""
+    session, turn = F.col("session"), F.col("frame_id")
+    kept = frame_records(spark, d).where("NOT (session % 3 = 0 AND frame_id = 1)")
+    wrong = F.when((session % 7 == 4) & (turn == 0), F.col("payload_sha256")).otherwise(F.col("chain"))
+    again = F.when((session % 5 == 2) & (turn == 2), 1).otherwise(turn).cast("long")
+    return V.judge_frames(kept.withColumns({"chain": wrong, "frame_id": again}))
+
+
+def frame_records(spark, d):
+    """Conversations as whole frame records, one after the other on disk."""
+    size = F.octet_length("text")
+    rows = V.running_offsets(table(spark, d, "conversations"), "conv_id", "turn", size + V.FRAME_FIXED, 4)
+    rows = rows.select(F.col("conv_id").alias("session"), F.col("turn").alias("frame_id"), "offset", size.cast("long").alias("dlen"), F.lit("VERIFIED").alias("status"))
+    return rows.join(chain(spark, d), ["session", "frame_id"])
+
+
+@query("frame_log_crosscheck", f"""WITH RECURSIVE {CHAIN},
+f AS (SELECT session, frame_id, 4 + sum(77 + strlen(t.text)) OVER (PARTITION BY session ORDER BY frame_id) - 77 - strlen(t.text) AS "offset", h, chain FROM c JOIN conversations t ON t.conv_id = session AND t.turn = frame_id),
+l AS (SELECT session, frame_id, CASE WHEN frame_id % 7 = 3 THEN "offset" + 1 ELSE "offset" END AS "offset", CASE WHEN frame_id % 5 = 2 THEN chain ELSE h END AS h, CASE WHEN session % 4 = 1 THEN h ELSE chain END AS chain FROM f WHERE session % 6 <> 5 OR frame_id > 0),
+k AS (SELECT * FROM f WHERE session % 9 <> 0 OR frame_id <> 1)
+SELECT session, frame_id, CASE WHEN k.h IS NULL THEN 'claimed, not on disk' WHEN l.h IS NULL THEN 'on disk, not claimed' WHEN l."offset" <> k."offset" THEN 'reference mismatch' WHEN l.h <> k.h THEN 'hash mismatch' WHEN l.chain <> k.chain THEN 'chain mismatch' ELSE 'VERIFIED' END AS finding
+FROM l FULL JOIN k USING (session, frame_id)""")
+def frame_log_crosscheck(spark, d):
+    """A log whose references, hashes and links lie here and there, against the judged records."""
+    disk = V.judge_frames(frame_records(spark, d))
+    turn, session = F.col("frame_id"), F.col("session")
+    lies = {
+        "offset": F.when(turn % 7 == 3, F.col("offset") + 1).otherwise(F.col("offset")),
+        "content_sha256": F.when(turn % 5 == 2, F.col("chain")).otherwise(F.col("content_sha256")),
+        "chain": F.when(session % 4 == 1, F.col("content_sha256")).otherwise(F.col("chain")),
+    }
+    log = disk.withColumns(lies).where("session % 6 <> 5 OR frame_id > 0")
+    return V.cross_check(log, disk.where("session % 9 <> 0 OR frame_id <> 1"), ("session", "frame_id"))
+
+
 LOG = "log AS (SELECT doc_id AS frame_id, sha256(CASE WHEN toxic = 1 THEN text || '!' ELSE text END) AS content_sha256 FROM labels JOIN documents USING (doc_id))"
 
 

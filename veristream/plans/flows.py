@@ -21,7 +21,8 @@ from veristream.sources import framed, generate
 #: The declared superset of an event's keys.
 EVENT = (
     "frame_id long, robot_id string, evt string, surface string, action string, value string, selected_action string, action_distribution map<string,double>, "
-    "envelope_shard_id string, reason string, source string, sensor_id string, first_kept_frame_id long, content_sha256 string, stream_refs struct<latents: struct<file: string, offset: long, length: long>>"
+    "envelope_shard_id string, reason string, source string, sensor_id string, first_kept_frame_id long, content_sha256 string, chain string, "
+    "stream_refs struct<latents: struct<file: string, offset: long, length: long>, frames: struct<file: string, offset: long, length: long>>"
 )
 
 
@@ -39,6 +40,33 @@ def record(spark, folder: str, missions: DataFrame, pre: int = 20, post: int = 2
     return W.summary(kept, trigger)
 
 
+def capture(spark, folder: str, frames: DataFrame, pre: int = 10, post: int = 10) -> DataFrame:
+    """Write the frames ``session, frame_id, payload, trigger`` that the windows around triggers keep, and a log that claims each by its
+    place, hash and link.  Gives ``session, observed, kept, triggers, triggered``."""
+    judged = W.keep_extending(frames, F.col("trigger"), pre, post)
+    kept = judged.where("kept")
+    framed.write_frames(kept.select("session", "frame_id", "payload"), folder).collect()  # one row a session
+    size = F.octet_length("payload") + V.FRAME_FIXED
+    placed = V.running_offsets(kept, "session", "frame_id", size, V.FILE_HEADER).select("session", "frame_id", "offset", size.cast("long").alias("length"))
+    rows = placed.join(V.chained(kept, "session", "frame_id", F.sha2("payload", 256)), ["session", "frame_id"])
+    ref = F.struct(F.struct(F.lit("frames.bin").alias("file"), "offset", "length").alias("frames"))
+    line = F.to_json(F.struct("frame_id", F.lit("frame_kept").alias("evt"), ref.alias("stream_refs"), F.col("payload_sha256").alias("content_sha256"), "chain"))
+    framed.write_event_log(rows.select("session", "frame_id", line.alias("base"), F.lit(None).cast("string").alias("extra")), folder).collect()
+    return W.summary(judged, F.col("trigger"))
+
+
+def capture_findings(spark, folder: str) -> DataFrame:
+    """``session, frame_id, finding`` of captures: records that the scan or the judge refuses, and where log and disk disagree.  With
+    :func:`veristream.operators.verify.require` on ``finding`` the first is fatal."""
+    framed.register(spark)
+    records = V.judge_frames(spark.read.format("framed").option("kind", "frames").load(folder))
+    ref = F.col("stream_refs.frames")
+    kept = events(event_lines(spark, folder)).where("evt = 'frame_kept'")
+    log = kept.select("session", "frame_id", ref["offset"].alias("offset"), ref["length"].alias("length"), "content_sha256", "chain")
+    damaged = records.where("status <> 'VERIFIED'").select("session", "frame_id", F.col("status").alias("finding"))
+    return V.cross_check(log, records.where("status = 'VERIFIED'"), ("session", "frame_id")).unionByName(damaged)
+
+
 def event_lines(spark, folder: str) -> DataFrame:
     """``session, source_hash, position, line, byte_start, byte_end``: the lines of all event logs, with their bytes' places and
     the hash of the log's bytes.
