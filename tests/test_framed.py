@@ -92,6 +92,29 @@ def test_frames_chain(spark, tmp_path):
     assert [r.status for r in read(spark, path, "frames").orderBy("offset").collect()] == ["VERIFIED", "VERIFIED", "HASH_MISMATCH"]
 
 
+def test_writes_as_a_data_source(spark, tmp_path):
+    framed.register(spark)
+    rows = [(f"s{k % 3}", k // 3, f"payload {k}".encode()) for k in range(12)]
+    df = spark.createDataFrame(rows, "session string, frame_id long, payload binary")
+    sorted_ = df.repartition("session").sortWithinPartitions("session", "frame_id")
+    save = lambda rows, mode, kind="frames", **options: rows.write.format("framed").option("kind", kind).options(**options).mode(mode).save(str(tmp_path / "one"))
+    save(sorted_, "append")
+    framed.write_frames(df, str(tmp_path / "two")).collect()
+    for k in range(3):
+        assert (tmp_path / "one" / f"s{k}" / "frames.bin").read_bytes() == (tmp_path / "two" / f"s{k}" / "frames.bin").read_bytes()
+    assert {r.status for r in V.judge_frames(read(spark, tmp_path / "one", "frames")).collect()} == {"VERIFIED"}
+    with pytest.raises(Exception, match="sessions that have a file"):
+        save(sorted_, "append")
+    with pytest.raises(Exception, match="stand apart"):
+        save(df.repartition(4).sortWithinPartitions("session", "frame_id"), "overwrite", "cold")
+    # A record that can't be written: the whole job leaves nothing.
+    with pytest.raises(Exception, match="hot records"):
+        save(sorted_, "append", "hot")
+    assert sorted(p.name for p in (tmp_path / "one").rglob("*") if p.is_file()) == ["frames.bin"] * 3
+    save(sorted_, "overwrite", domain="other@1:")
+    assert {r.status for r in V.judge_frames(read(spark, tmp_path / "one", "frames"), "other@1:").collect()} == {"VERIFIED"}
+
+
 def test_logs_and_tables(spark, tmp_path):
     events = spark.createDataFrame([("s", 1, '{"frame_id": 1, "a": 1}', '{"a": 2}'), ("s", 0, '{"frame_id": 0}', None)], "session string, frame_id long, base string, extra string")
     framed.write_event_log(events, str(tmp_path)).collect()

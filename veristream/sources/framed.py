@@ -6,7 +6,9 @@ records of one length, so they are split by frame ranges and a ``frame_id`` filt
 can only be walked, one task a file.  Cold files resynchronise on damage; frame files stop.
 
 Writers: :func:`write_hot`, :func:`write_cold` and :func:`write_frames`, one file for each session, written where the session's
-rows are.
+rows are.  ``df.write.format("framed").option("kind", ...).save(path)`` writes ``session, frame_id, payload`` as they lie: a session's rows in one
+partition, in order of frame_id.  All its files appear when the whole job has succeeded, or none; "append" adds sessions, and refuses one
+that has a file.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, InputPartition, WriterCommitMessage
 
 #: The wire format.
 HEADER, HEADER_BYTES = "<4sBII", 13
@@ -161,6 +163,51 @@ class FramedSource(DataSource):
     def reader(self, schema):
         return FramedReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return FramedWriter(self.options, overwrite)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """Files beside their places, and the places."""
+
+    files: list[tuple[str, str]]
+
+
+class FramedWriter(DataSourceArrowWriter):
+    def __init__(self, options, overwrite):
+        self.kind, self.folder, self.overwrite = options.get("kind", "hot"), options["path"], overwrite
+        self.record = _frame_record(options["domain"]) if "domain" in options else RECORDS[self.kind]
+
+    def write(self, iterator):
+        name, head = KINDS[self.kind][:2]
+        files = []
+        try:
+            for session, mine in _by_session(iterator, ["frame_id", "payload"]):
+                path = os.path.join(self.folder, session, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                files.append((f"{path}.{uuid.uuid4().hex}", path))
+                with open(files[-1][0], "wb") as f:
+                    _put(f, head, self.record, session, mine)
+        except BaseException:
+            _remove(files)
+            raise
+        return Written(files)
+
+    def commit(self, messages):
+        files = [pair for m in messages if m is not None for pair in m.files]
+        places = sorted(path for _, path in files)
+        twice = [p for p, q in itertools.pairwise(places) if p == q]
+        there = [] if self.overwrite else [p for p in places if os.path.exists(p)]
+        if twice or there:
+            _remove(files)
+            raise ValueError(f"a session's rows stand apart: {twice[:3]}" if twice else f"sessions that have a file: {there[:3]}")
+        for beside, path in files:
+            os.replace(beside, path)
+
+    def abort(self, messages):
+        _remove(pair for m in messages if m is not None for pair in m.files)
+
 
 def register(spark) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -194,28 +241,45 @@ def _committed(path: str):
     try:
         with open(beside, "wb") as f:
             yield f
-            f.flush()
-            os.fsync(f.fileno())
         os.replace(beside, path)
     finally:
         if os.path.exists(beside):
             os.remove(beside)
 
 
+def _remove(files) -> None:
+    for beside, _ in files:
+        if os.path.exists(beside):
+            os.remove(beside)
+
+
+def _by_session(batches, columns: list[str]):
+    """Each run of rows of one session, as it comes."""
+    rows = ((s, *r) for b in batches for s, *r in zip(*(b.column(c).to_pylist() for c in ("session", *columns)), strict=True))
+    return itertools.groupby(rows, key=lambda r: r[0])
+
+
+def _put(f, head: bytes, record, session: str, rows) -> int:
+    """Write a session's rows, of ``session`` and a record's values; gives their number."""
+    f.write(head)
+    state, n = None, 0
+    for _, *row in rows:
+        blob, state = record(session, *row, state)
+        f.write(blob)
+        n += 1
+    f.flush()
+    os.fsync(f.fileno())
+    return n
+
+
 def _sessions(rows: DataFrame, columns: list[str], name: str, head: bytes, record, folder: str) -> DataFrame:
     """One file for each session, its rows in order of frame_id: a partition's rows come sorted, and only one batch of them is held.
     Gives ``session, records, bytes``."""
 
     def write(batches):
-        rows = ((s, *r) for b in batches for s, *r in zip(*(b.column(c).to_pylist() for c in ("session", *columns)), strict=True))
-        for session, mine in itertools.groupby(rows, key=lambda r: r[0]):
+        for session, mine in _by_session(batches, columns):
             with _committed(os.path.join(folder, session, name)) as f:
-                f.write(head)
-                state, n = None, 0
-                for _, *row in mine:
-                    blob, state = record(session, *row, state)
-                    f.write(blob)
-                    n += 1
+                n = _put(f, head, record, session, mine)
                 size = f.tell()
             yield pa.RecordBatch.from_arrays([pa.array([session]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["session", "records", "bytes"])
 
@@ -223,32 +287,48 @@ def _sessions(rows: DataFrame, columns: list[str], name: str, head: bytes, recor
     return dealt.mapInArrow(write, "session string, records long, bytes long")
 
 
-def _write(df: DataFrame, folder: str, kind: str, record) -> DataFrame:
-    name, head = KINDS[kind][:2]
-    return _sessions(df, ["frame_id", "payload"], name, head, record, folder)
-
+def _header(kind: str, frame_id: int, payload: bytes) -> bytes:
+    return struct.pack(HEADER, KINDS[kind][2], VERSION, frame_id, len(payload))
 
-def write_hot(df: DataFrame, folder: str) -> DataFrame:
-    def record(session, frame_id, payload, at):
-        if len(payload) != HOT_PAYLOAD or frame_id != (at or 0):
-            raise ValueError(f"hot records are {HOT_PAYLOAD} bytes each, without gaps from frame 0")
-        return struct.pack(HEADER, KINDS["hot"][2], VERSION, frame_id, len(payload)) + payload, frame_id + 1
 
-    return _write(df, folder, "hot", record)
+def _hot_record(session, frame_id, payload, at):
+    if len(payload) != HOT_PAYLOAD or frame_id != (at or 0):
+        raise ValueError(f"hot records are {HOT_PAYLOAD} bytes each, without gaps from frame 0")
+    return _header("hot", frame_id, payload) + payload, frame_id + 1
 
 
-def write_cold(df: DataFrame, folder: str) -> DataFrame:
-    return _write(df, folder, "cold", lambda s, n, p, _: (struct.pack(HEADER, KINDS["cold"][2], VERSION, n, len(p)) + p, None))
+def _cold_record(session, frame_id, payload, _):
+    return _header("cold", frame_id, payload) + payload, None
 
 
-def write_frames(df: DataFrame, folder: str, domain: str = "frames@1:") -> DataFrame:
+def _frame_record(domain: str = "frames@1:"):
     def record(session, frame_id, payload, chain):
         chain = chain or hashlib.sha256(f"{domain}{session}".encode()).digest()
         digest = hashlib.sha256(payload).digest()
         chain = hashlib.sha256(chain + digest + struct.pack("<I", frame_id)).digest()
-        return struct.pack(HEADER, KINDS["frames"][2], VERSION, frame_id, len(payload)) + digest + chain + payload, chain
+        return _header("frames", frame_id, payload) + digest + chain + payload, chain
+
+    return record
+
+
+RECORDS = {"hot": _hot_record, "cold": _cold_record, "frames": _frame_record()}
+
+
+def _write(df: DataFrame, folder: str, kind: str, record=None) -> DataFrame:
+    name, head = KINDS[kind][:2]
+    return _sessions(df, ["frame_id", "payload"], name, head, record or RECORDS[kind], folder)
+
 
-    return _write(df, folder, "frames", record)
+def write_hot(df: DataFrame, folder: str) -> DataFrame:
+    return _write(df, folder, "hot")
+
+
+def write_cold(df: DataFrame, folder: str) -> DataFrame:
+    return _write(df, folder, "cold")
+
+
+def write_frames(df: DataFrame, folder: str, domain: str = "frames@1:") -> DataFrame:
+    return _write(df, folder, "frames", _frame_record(domain))
 
 
 def write_event_log(events: DataFrame, folder: str) -> DataFrame:
