@@ -49,13 +49,13 @@ def discard(table: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: Column | None = None) -> DataFrame:
-    """Inner join with a side that has one row a key, where many rows of the other side may share a key: these are dealt
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: Column | None = None, how: str = "inner") -> DataFrame:
+    """Inner (or left) join with a side that has one row a key, where many rows of the other side may share a key: these are dealt
     over ``SALTS`` tasks (by ``by``, or by their place in a checkpointed table), to each of which the one row goes."""
     by = F.monotonically_increasing_id() if by is None else F.xxhash64(by)
     many = many.withColumn("_salt", F.pmod(by, F.lit(SALTS)).cast("int"))
     one = one.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return many.join(one, [*on, "_salt"]).drop("_salt")
+    return many.join(one, [*on, "_salt"], how).drop("_salt")
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:

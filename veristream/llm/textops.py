@@ -64,11 +64,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a slice: byte positions, the row of each, and the range of words of each row."""
+    """The words of a slice: byte positions, the row of each, and the range of words of each row.  Words end at the bytes of
+    ``is_break``, or, where byte values don't tell, lie where ``inside`` is true."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_break: np.ndarray = SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_break: np.ndarray = SPACE, inside: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
-        self.inside = inside = ~is_break[data]
+        self.inside = inside = ~is_break[data] if inside is None else inside
         # A word begins, or ends, where its row or a run of break bytes does.
         edge = np.empty(len(data) + 1, bool)
         edge[:-1], edge[-1:] = inside, False
