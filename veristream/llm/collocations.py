@@ -173,17 +173,20 @@ g AS (
   SELECT lang, 1 AS size, ws[i] AS phrase FROM i UNION ALL SELECT lang, 2, ws[i] || ' ' || ws[i + 1] FROM i WHERE i + 1 <= len(ws)
   UNION ALL SELECT lang, 3, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FROM i WHERE i + 2 <= len(ws)
 ),
-c AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+c AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
 n AS (SELECT lang, sum(f)::bigint AS n FROM c WHERE size = 1 GROUP BY lang),
 a AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, f AS a FROM c WHERE size > 1 AND f >= 10),
-k AS (SELECT *, unnest(range(1, size)) AS k FROM a),
+u AS (SELECT *, unnest(range(1, size)) AS k FROM a),
+k AS (SELECT lang, size, phrase, a, k, array_to_string(ws[1:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest FROM u),
+q AS (SELECT lang, phrase, f FROM c WHERE f >= 10),
 s AS (
   SELECT k.lang, k.size, k.phrase, k.a, k.k, l.f AS l, r.f AS r, (1000000::hugeint * k.a * k.a) // (l.f::hugeint * r.f) AS score
-  FROM k JOIN c AS l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[1:k.k], ' ') JOIN c AS r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[k.k + 1:], ' ')
+  FROM k JOIN q AS l ON l.lang = k.lang AND l.phrase = k.first JOIN q AS r ON r.lang = k.lang AND r.phrase = k.rest
 ),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
-x AS (SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM a WHERE size = 3 UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM a WHERE size = 3),
-o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.lang = b.lang AND x.phrase = b.phrase AND 100 * x.a >= 50 * b.a)),
+x AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM a WHERE size = 3),
+m AS (SELECT lang, phrase, max(a) AS longer FROM x GROUP BY ALL),
+o AS (SELECT b.* FROM b LEFT JOIN m USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
 t AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::bigint AS score FROM o JOIN n USING (lang))
 SELECT * FROM t WHERE rank <= 2000
 """

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express.  The pipeline is at the repository's top."""
 
-from . import bpe, collocations, compression, mixing, notices, quality, simhash, spotsigs, substrings, suffix_tree, unigram
+from . import bpe, collocations, compression, mixing, notices, quality, simhash, spotsigs, substrings, suffix_tree, unigram, variants
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -15,10 +15,12 @@ QUERIES = {
     "op9_simhash_groups": simhash.op9_simhash_groups,
     "op10_unigram_counts": unigram.op10_unigram_counts,
     "op11_collocations": collocations.op11_collocations,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
 
 ORACLE_SQL = {
     "op2_quality_repetition": quality.ORACLE_SQL,
     "op3_substring_dedup": substrings.ORACLE_SQL,
     "op11_collocations": collocations.ORACLE_SQL,
+    "op13_spelling_variants": variants.ORACLE_SQL,
 }
