@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express.  The pipeline is at the repository's top."""
 
-from . import bpe, collocations, compression, mixing, notices, quality, simhash, spotsigs, substrings, suffix_tree, unigram, variants
+from . import bpe, collocations, compression, languages, mixing, notices, quality, simhash, spotsigs, substrings, suffix_tree, unigram, variants
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_simhash_groups": simhash.op9_simhash_groups,
     "op10_unigram_counts": unigram.op10_unigram_counts,
     "op11_collocations": collocations.op11_collocations,
+    "op12_language_families": languages.op12_language_families,
     "op13_spelling_variants": variants.op13_spelling_variants,
 }
 
