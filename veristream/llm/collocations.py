@@ -42,7 +42,7 @@ WORD_END = PIECE_END.copy()
 WORD_END[[0x20, 0x09]] = True
 
 #: Text of a bucket, on average, and words that a task counts at once.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 STRETCH = 1 << 20
 
 _PACKED = pa.schema([("bucket", pa.int64()), ("rows", pa.binary())])
