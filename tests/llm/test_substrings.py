@@ -94,3 +94,15 @@ def test_many_rows_without_id_or_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = result(substrings.deduplicate(df, group_bytes=500, bucket_keys=50))
     assert got == by_hand(rows, 20)
+
+
+@pytest.mark.parametrize("group_bytes, fan", [(16, None), (16, 3), (400, None), (8 << 20, None)])
+def test_result_does_not_depend_on_groups(spark, group_bytes, fan):
+    """Null, repeated and identical ids, at equal and unequal starts."""
+    passage, other = (" ".join(f"{c}{k}" for k in range(20)) for c in "pq")
+    rows = [(None, f"{passage} {k}") for k in range(3)] + [(None, f"z {passage}")]
+    rows += [(1, f"{other} a"), (1, f"b b b b b b {other}"), (1, f"{other} c"), (2, f"{other}"), (0, "short")]
+    rows += [(7, f"{passage} {other}")] * 40 + [(7, None), (9, f"{other} {passage} {other}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
+    run = lambda: result(substrings.deduplicate(df, group_bytes=group_bytes, bucket_keys=9, fan=fan))
+    assert run() == run() == by_hand(rows, 20)

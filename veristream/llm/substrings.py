@@ -7,8 +7,8 @@ starts.  So:
    all rolling blocks of its documents, each once, with two flags: found at an aligned position (indexed), found more
    than once.  They are dealt into buckets by hash as sorted, delta-coded, compressed arrays: two to three bytes a
    word.  A bucket reports to each group those of its hashes that are indexed somewhere and occur twice or more.
-2. *Extend.*  In a group, every window that holds an anchor hit is a candidate.  Its 96-bit hash and the smallest
-   doc_id of the group that has it go to a bucket; the bucket tells every group but the earliest which windows start
+2. *Extend.*  In a group, every window that holds an anchor hit is a candidate.  Its 96-bit hash and its earliest place in
+   the group (doc_id and start) go to a bucket; the bucket tells every group whose place is later than another's which windows start
    earlier elsewhere.
 3. *Remove.*  Windows that start earlier elsewhere, or earlier in the group, are united to maximal repeats and cut.
 
@@ -18,8 +18,9 @@ passes one shuffle, which all three steps share.  A passage found in many docume
 key is hot; no pair of documents is ever formed.
 
 Defined results: a null text has no words; a null doc_id counts as larger than any other; rows repeated under one
-doc_id at equal starts are not earlier than each other, so they don't remove each other; texts shorter than a
-window stay; an empty table gives an empty result; other columns are carried unchanged.
+doc_id at equal starts are not earlier than each other, so they don't remove each other, in whatever groups they lie; texts
+shorter than a window stay; an empty table gives an empty result; other columns are carried unchanged.  Rows are dealt by their
+place in the input, which must be read alike each time (a table, not a shuffle's rows in any order).
 """
 
 from __future__ import annotations
@@ -52,6 +53,7 @@ class Group:
         ids = pc.fill_null(self.docs.field("doc_id").cast(pa.int64()), _NO_ID).to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
         self.docs, self.ids = self.docs.take(pa.array(order)), ids[order]
+        _, self.rank = np.unique(self.ids, return_inverse=True)
         texts = self.docs.field("text")
         parts = [tx.Words(*tx.utf8(p.column("text"))) for p in tx.slices([pa.record_batch([texts], ["text"])])]
         join = lambda of: np.concatenate(of) if of else np.zeros(0, np.int64)
@@ -71,6 +73,10 @@ class Group:
         at = np.flatnonzero(self.left >= width)
         return [at, *(tx.windows(half, width)[at] for half in self.halves[:halves])]
 
+    def start(self, at: np.ndarray) -> np.ndarray:
+        """Numbers of words in the order of doc_id and place; equal for equal places of one doc_id."""
+        return (self.rank[self.row[at]].astype(np.int64) << 32) + self.place[at]
+
     def joined(self, keep: np.ndarray) -> pa.Array:
         """For each document its kept words, joined by one space."""
         out, word = [], 0
@@ -118,7 +124,7 @@ class Steps:
         # A block's key is 32 bits long within its bucket.
         self.key_bits = min(64, 32 + buckets.bit_length())
         self.blocks = Route(buckets, [self.key_bits], [("flags", np.uint8, 1)], [], fan)
-        self.windows = Route(buckets, [64], [("checks", np.uint32, 1), ("ids", np.int64, 1)], [], fan)
+        self.windows = Route(buckets, [64], [("checks", np.uint32, 1), ("ids", np.int64, 1), ("places", np.int32, 1)], [], fan)
 
     def _key(self, h: np.ndarray) -> np.ndarray:
         return h >> np.uint64(64 - self.key_bits)
@@ -161,20 +167,24 @@ class Steps:
         at, h, check = group.windows(self.window, 2)
         some = hit[at + self.window - self.block + 1] > hit[at]
         at, h, check = at[some], h[some], (check[some] & _MASK).astype(np.uint32)
-        order = np.lexsort((at, check, h))
+        order = np.lexsort((group.start(at), check, h))
         at, h, check = at[order], h[order], check[order]
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
         at, h, check = at[first], h[first], check[first]
-        return table_of(self.windows.there, self.windows.sent(key[0].as_py(), 0, h, [check, group.ids[group.row[at]]]))
+        return table_of(self.windows.there, self.windows.sent(key[0].as_py(), 0, h, [check, group.ids[group.row[at]], group.place[at]]))
 
     def lost(self, key, table):
         rows = Rows(table, self.windows.payload)
-        (check,), (ids,) = rows.values
-        order = np.lexsort((ids, check, rows.keys))
+        (check,), (ids,), (places,) = rows.values
+        order = np.lexsort((places, ids, check, rows.keys))
+        ranked, check, ids, places = rows.keys[order], check[order], ids[order], places[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (ranked[1:] != ranked[:-1]) | (check[1:] != check[:-1])
+        # The first of each run is the earliest; equal places are not later.
+        least = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
         later = np.zeros(len(order), bool)
-        ranked, check = rows.keys[order], check[order]
-        later[order[1:]] = (ranked[1:] == ranked[:-1]) & (check[1:] == check[:-1])
+        later[order] = (ids > ids[least]) | (places > places[least])
         return table_of(self.windows.back, self.windows.answers(key[0].as_py(), table, rows, [], later))
 
     def removed(self, group: Group, right) -> np.ndarray:
@@ -186,8 +196,7 @@ class Steps:
         lost = [unpack_sorted(b, np.uint64) for b in right.column("keys").to_pylist()]
         lost = np.sort(np.concatenate(lost)) if lost else np.zeros(0, np.uint64)
         later = lost[np.minimum(np.searchsorted(lost, h), len(lost) - 1)] == h if len(lost) else np.zeros(len(h), bool)
-        _, rank = np.unique(group.ids, return_inverse=True)
-        start = (rank[group.row[at]].astype(np.int64) << 32) + group.place[at]
+        start = group.start(at)
         order = np.argsort(h)
         ranked = h[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
@@ -219,10 +228,8 @@ def deduplicate(
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     steps = Steps(window, 1 + total // (WORD_BYTES * bucket_keys), spliced, fan)
     n = 1 + total // group_bytes
-    n_groups = F.lit(n)
-    # What is too short to hold a window may lie in any group: no text or id that many such rows share makes a hot one.
-    short = F.coalesce(F.octet_length("text"), F.lit(0)) < 2 * window - 1
-    g = F.when(short, F.pmod(F.monotonically_increasing_id(), n_groups)).otherwise(F.pmod(F.xxhash64("doc_id", "text"), n_groups))
+    # Results don't depend on what lies where, so no text or id that many rows share makes a hot group.
+    g = F.pmod(F.monotonically_increasing_id(), F.lit(n))
     dealt = docs.select(g.cast("long").alias("g"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
     by_group = dealt.groupBy("g")
     blocks, windows = steps.blocks, steps.windows
