@@ -4,9 +4,10 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 import zstandard
 
-from veristream.llm import compression
+from veristream.llm import compression, textops
 
 
 def test_held_out_accuracy(spark):
@@ -52,27 +53,53 @@ def test_scores_by_brute_force(spark, docs):
         assert rows[r.doc_id] == pytest.approx(by_hand(model, r.text))
 
 
+def sample_by_hand(rows, quality, size):
+    """The texts that either dictionary learns from: the first by hash of all different labelled ones."""
+    h = lambda raw, seed: xxhash.xxh64_intdigest(raw, seed)
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    ranked = {0: [], 1: []}
+    for d, text in set(rows):
+        if d in quality and zlib.crc32(str(d).encode()) % 5:
+            own = h(text.encode(), 42)
+            rank = signed(h(own.to_bytes(8, "little"), h(d.to_bytes(8, "little"), 42)))
+            ranked[quality[d]].append((rank, d, textops.drawn(text, rank, compression.PARTS, compression.PART)))
+    return {q: [t for _, _, t in sorted(some)[: 2 * size]][::2] for q, some in ranked.items()}
+
+
 def test_sample_is_bounded_and_whole(spark, monkeypatch):
-    """Long texts aren't drawn but don't empty the sample; repeated rows neither widen it nor move the shares."""
-    monkeypatch.setattr(compression, "SAMPLE", 5)
+    """Long texts are drawn as short ones are, in blocks; repeated rows neither widen the sample nor move the shares."""
+    monkeypatch.setattr(compression, "SAMPLE", 20)
     draw = random.Random(3)
     words = {0: [f"bad{k}" for k in range(50)], 1: [f"good{k}" for k in range(50)]}
     rows, labels = [], []
     for d in range(200):
         q = int(d % 5 > 0)
         text = " ".join(draw.choices(words[q], k=60))
-        rows += [(d, text)] * (3 if d % 7 == 0 else 1) + ([(d, "long " * 10000)] if d % 3 == 0 else [])
+        rows += [(d, text)] * (3 if d % 7 == 0 else 1) + ([(d, " ".join(draw.choices(words[q], k=6000)))] if d % 3 == 0 else [])
         labels.append((d, q))
     df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
     seen = []
     monkeypatch.setattr(compression, "dictionary", lambda texts: seen.append(texts) or b"".join(t.encode() for t in texts))
     model = compression.train(df, known)
-    assert [len(t) for t in seen] == [5, 5] and all(len(set(t)) == 5 and "long" not in "".join(t) for t in seen)
-    scores = [(r.score, r.predicted, int(r.doc_id % 5 > 0)) for r in compression.classify(df.where("text not like 'long%'").dropDuplicates(), model).collect()]
-    assert np.mean([p == q for _, p, q in scores]) > 0.95
+    want = sample_by_hand(rows, dict(labels), 20)
+    assert seen == [want[1], want[0]] and [len(t) for t in seen] == [20, 20]
+    assert max(map(len, seen[0])) == compression.PARTS * (compression.PART + 1) - 1
+    scores = [(r.score, r.predicted, int(r.doc_id % 5 > 0)) for r in compression.classify(df.dropDuplicates(), model).collect()]
+    assert np.mean([p == q for _, p, q in scores]) > 0.85 > np.mean([q for _, _, q in scores])
     assert abs(np.mean([s for s, _, _ in scores]) - 0.8) < 0.1
 
 
+def test_only_long_texts(spark):
+    draw = random.Random(4)
+    make = lambda q: " ".join(f"{'good' if q else 'bad'}{draw.randrange(500)}" for _ in range(6000))
+    rows = [(d, make(d % 2)) for d in range(60)]
+    known = spark.createDataFrame([(d, d % 2) for d, _ in rows], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = compression.train(df, known)
+    assert model.share is None and min(len(t) for _, t in rows) > 32768
+    assert all((r.score > 0.5) == r.doc_id % 2 for r in compression.classify(df, model).collect())
+
+
 def test_scores_are_calibrated_at_any_sample(spark, monkeypatch):
     """The mean held-out score stays near the true share of good labels however few are sampled."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))

@@ -5,8 +5,9 @@ blocks of ``BLOCK`` bytes, each compressed with either dictionary (in whole text
 dictionary's part).  ``(bad - good) / (bad + good)`` of the summed sizes, and their mean against the text's size (repetition
 shrinks both alike), go through a logistic fit, which gives the score.
 
-Training sees a bounded sample: of the labelled documents whose text has at most ``SAMPLE_BYTES``, in order of a hash, the
-first ``SAMPLE`` for each label and purpose (dictionary, calibration), that is at most 4 * SAMPLE * SAMPLE_BYTES on the driver.
+Training sees a bounded sample: of the labelled documents, in order of a hash, the first ``SAMPLE`` for each label and purpose
+(dictionary, calibration).  Of a text of over ``PARTS * PART`` characters it sees ``PARTS`` blocks at places drawn by that hash from
+the whole of it, so at most 4 * SAMPLE * PARTS * PART characters reach the driver.
 Rows whose crc32(doc_id as text) mod ``FOLDS`` is 0 are never in it.  The fit's intercept is moved from the sample's shares of
 labels to those of all labelled documents outside that fold, which are counted.  Every document is scored whole, in one
 pass without shuffle.
@@ -33,7 +34,7 @@ from .cluster import checkpointed
 
 FOLDS = 5
 THRESHOLD = 0.3
-SAMPLE, SAMPLE_BYTES = 1000, 1 << 15
+SAMPLE, PARTS, PART = 1000, 8, 2048
 DICTIONARY_BYTES, BLOCK, LEVEL = 112 << 10, 512, 3
 #: Bytes of a segment and of a fragment that the dictionary builder weighs.
 SEGMENT, FRAGMENT = 200, 8
@@ -109,13 +110,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the bounded sample of labelled documents outside the held-out fold, for the shares of all their labels."""
     known = labels.where((fold(F.col("doc_id")) != 0) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", F.xxhash64("text").alias("text_hash"))
-    drawn = checkpointed(short.distinct().join(known, "doc_id").withColumn("rank", F.xxhash64("doc_id", "text_hash")))
+    texts = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"))
+    drawn = checkpointed(texts.distinct().join(known, "doc_id").withColumn("rank", F.xxhash64("doc_id", "text_hash")))
     order = ["rank", "doc_id", "text_hash"]
     sample = reduce(DataFrame.union, (drawn.where(F.col("quality") == q).orderBy(*order).limit(2 * SAMPLE) for q in (0, 1)))
     # At most 4 * SAMPLE rows of numbers: small enough to broadcast at any size of the tables.
     named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    texts = named.join(F.broadcast(sample), ["doc_id", "text_hash"]).dropDuplicates(order)
+    texts = named.join(F.broadcast(sample), ["doc_id", "text_hash"]).select("quality", "rank", "doc_id", "text_hash", "text")
+    texts = texts.mapInArrow(partial(tx.draw_blocks, blocks=PARTS, block=PART), texts.schema).dropDuplicates(order)
     rows = sorted((r.quality, r.rank, r.doc_id, r.text) for r in texts.collect())
     n = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     split = {(q, half): [t for k, t in enumerate(r[3] for r in rows if r[0] == q) if k % 2 == half] for q in (0, 1) for half in (0, 1)}

@@ -179,6 +179,22 @@ def put(buffer: np.ndarray, begin: np.ndarray, lengths: np.ndarray, data: np.nda
         at = upto
 
 
+def drawn(text: str, seed: int, blocks: int, block: int) -> str:
+    """Of a text of over ``blocks * block`` characters, so many blocks of it at places drawn from its whole length; a shorter
+    one as it is."""
+    if len(text) <= blocks * block:
+        return text
+    places = np.random.default_rng(seed & 0xFFFFFFFF).integers(0, len(text) - block + 1, blocks)
+    return " ".join(text[p : p + block] for p in sorted(places.tolist()))
+
+
+def draw_blocks(batches, blocks: int, block: int):
+    """Batches whose ``text`` is :func:`drawn` by their ``rank``."""
+    for batch in batches:
+        texts = [drawn(t, r, blocks, block) for t, r in zip(batch.column("text").to_pylist(), batch.column("rank").to_pylist(), strict=True)]
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+
 def row_sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many bytes of each row the mask holds."""
     out, filled = np.zeros(len(offsets) - 1, np.int64), offsets[1:] > offsets[:-1]
