@@ -85,8 +85,9 @@ def test_vector_machine_and_blocks():
     y = np.repeat([1.0, -1.0], 40)
     assert (np.sign(x @ lang.vector_machine(x, y)) == y).all()
     text = "".join(f"{k:05d}" for k in range(20000))
-    assert lang.drawn("short", 1) == "short" and lang.drawn(text, 7) == lang.drawn(text, 7)
-    blocks = lang.drawn(text, 7).split(" ")
+    drawn = lambda t, seed: lang.tx.drawn(t, seed, lang.BLOCKS, lang.BLOCK)
+    assert drawn("short", 1) == "short" and drawn(text, 7) == drawn(text, 7)
+    blocks = drawn(text, 7).split(" ")
     assert len(blocks) == lang.BLOCKS and all(b in text for b in blocks) and text.index(blocks[-1]) > len(text) // 2
 
 

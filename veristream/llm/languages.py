@@ -55,7 +55,7 @@ FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lang
 BREAK = np.ones(256, bool)
 BREAK[0x61:0x7B] = BREAK[0x80:] = False
 #: Words, and rows, that are counted at once.
-STRETCH, ROWS = 1 << 17, 512
+STRETCH, ROWS = 1 << 15, 128
 
 _FIT = pa.schema([("duel", pa.int64()), ("weights", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("level", pa.float64())])
 _PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -169,9 +169,12 @@ def fit(table: pa.Table) -> pa.Table:
     fits = np.concatenate([np.arange((y == side).sum()) % 2 == 0 for side in (-1, 1)])
     both = all((~fits & (y == side)).any() for side in (-1, 1))
     texts = table["text"].combine_chunks()
-    share = np.concatenate([(c := tally(texts.slice(k, ROWS))) / np.maximum(1, c.sum(axis=1))[:, None] for k in range(0, len(texts), ROWS)])
+    share = np.empty((len(texts), DIM), np.float32)
+    for k in range(0, len(texts), ROWS):
+        counts = tally(texts.slice(k, ROWS))
+        share[k : k + ROWS] = counts / np.maximum(1, counts.sum(axis=1))[:, None]
     # Rare features weigh more, and one more stands for the bias.
-    scale = 1 / np.sqrt(share[fits].mean(axis=0) + 1e-5)
+    scale = 1 / np.sqrt(share[fits].mean(axis=0, dtype=float) + 1e-5)
     x = np.concatenate([share[fits] * scale, np.ones((fits.sum(), 1))], axis=1)
     w = vector_machine(x, y[fits])
     weights, bias = np.round(w[:-1] * scale * UNIT) / UNIT, w[-1]
@@ -181,20 +184,6 @@ def fit(table: pa.Table) -> pa.Table:
     return pa.table([table["duel"][:1], pa.array([weights.tobytes()], pa.binary()), [bias], [slope], [level]], schema=_FIT)
 
 
-def drawn(text: str, seed: int) -> str:
-    """A long text's blocks, at places drawn from the whole of it; a short one as it is."""
-    if len(text) <= BLOCKS * BLOCK:
-        return text
-    places = np.random.default_rng(seed & 0xFFFFFFFF).integers(0, len(text) - BLOCK + 1, BLOCKS)
-    return " ".join(text[p : p + BLOCK] for p in sorted(places.tolist()))
-
-
-def _drawn(batches):
-    for batch in batches:
-        texts = [drawn(t, r) for t, r in zip(batch.column("text").to_pylist(), batch.column("rank").to_pylist(), strict=True)]
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-
-
 def fold(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(FOLDS))
 
@@ -224,7 +213,7 @@ def train(docs: DataFrame, family_of: dict[str, str] | None = None) -> Model:
     pick = F.broadcast(sample.withColumnsRenamed({"doc_id": "_id", "lang": "_lang", "text_hash": "_hash"}))
     texts = named.join(pick, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("text_hash") == F.col("_hash")))
     texts = texts.dropDuplicates(["lang", "text_hash"]).select("doc_id", "lang", "text_hash", "rank", "text")
-    texts = checkpointed(texts.mapInArrow(_drawn, texts.schema).withColumn("family", F.col("lang")).replace(family_of, subset="family"))
+    texts = checkpointed(texts.mapInArrow(partial(tx.draw_blocks, blocks=BLOCKS, block=BLOCK), texts.schema).withColumn("family", F.col("lang")).replace(family_of, subset="family"))
     sides = [(k, d.first, 1, d.family is None) for k, d in enumerate(planned)] + [(k, d.second, -1, d.family is None) for k, d in enumerate(planned)]
     sides = F.broadcast(spark.createDataFrame(sides, "duel long, side string, y int, of_families boolean"))
     by_lang = texts.join(sides.where("NOT of_families"), F.col("lang") == F.col("side"))
@@ -236,7 +225,7 @@ def train(docs: DataFrame, family_of: dict[str, str] | None = None) -> Model:
 
 def _apply(batches, shared):
     model = shared.value
-    for part in tx.slices(batches, limit=1 << 20):
+    for part in tx.slices(batches, limit=1 << 19):
         for k in range(0, part.num_rows, ROWS):
             some = part.slice(k, ROWS)
             langs, score = model.predict(some.column("text"))

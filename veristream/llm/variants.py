@@ -39,7 +39,7 @@ MISSPELT = 199
 #: Bytes of words in a shard (and one word at most beyond), and of tries in a round.
 SHARD_BYTES, ROUND_BYTES = 4 << 20, 32 << 20
 #: Bytes of words whose automata run at once.
-BLOCK = 1 << 15
+BLOCK = 1 << 14
 
 #: Lead byte of U+00C0 to U+00FF, each of which has two bytes.
 _LEAD = 0xC3
