@@ -62,6 +62,8 @@ def test_nothing_to_learn_from_is_refused(spark):
         E.require_rows(E.learn(none), "frames").collect()
     some = spark.createDataFrame([("a", float(k)) for k in range(5)], "action string, norm double")
     assert [tuple(r) for r in E.require_rows(E.learn(some, 0.5, 1.0), "frames").collect()] == [("a", 5, 2.0)]
+    plan = E.require_rows(spark.range(10).repartition(3), "rows")._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and E.require_rows(spark.range(10), "rows").count() == 10
     shards = spark.createDataFrame([("s", "key", True, True, None), ("t", "key", None, True, 0), ("u", "key", True, None, 0), ("v", "key", True, True, 1)], "shard_id string, publisher string, has_key boolean, verified boolean, tier int")
     store = spark.createDataFrame([("key",)], "fingerprint string")
     policy = lambda *rows: G.policy_tier(spark.createDataFrame(list(rows), "max_actuation_tier int"))
@@ -85,6 +87,23 @@ def test_index_and_tampering(spark, capsules, tmp_path):
         flows.stream_index(spark, str(tmp_path / "c"), strict=True).collect()
 
 
+@pytest.mark.parametrize("at, value, status", [(4, b"\x02", "BAD_VERSION"), (9, b"\xff\xff\xff\x7f", "TOO_LARGE"), (0, b"X", None)])
+def test_fatal_cold_records(spark, capsules, tmp_path, at, value, status):
+    """Strict mode fails on a wrong version or size in the cold stream, not on damage that the scan passes over."""
+    import shutil
+
+    shutil.copytree(capsules, tmp_path / "c")
+    path = tmp_path / "c" / "mission-1" / "cam_residuals.bin"
+    data = path.read_bytes()
+    path.write_bytes(data[:at] + value + data[at + len(value) :])
+    assert flows.stream_index(spark, str(tmp_path / "c")).where("stream = 'residuals'").count() < 22
+    if status:
+        with pytest.raises(Exception, match=f"verification failed: {status}"):
+            flows.stream_index(spark, str(tmp_path / "c"), strict=True).collect()
+    else:
+        assert flows.stream_index(spark, str(tmp_path / "c"), strict=True).count() > 120
+
+
 def test_train_and_fly(spark, capsules, tmp_path):
     flows.record(spark, str(tmp_path), generate.missions(spark, 3, 80, seed=100, residual_bytes=16))
     envelope = flows.train(spark, str(tmp_path))

@@ -113,6 +113,10 @@ def test_writes_as_a_data_source(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "one").rglob("*") if p.is_file()) == ["frames.bin"] * 3
     save(sorted_, "overwrite", domain="other@1:")
     assert {r.status for r in V.judge_frames(read(spark, tmp_path / "one", "frames"), "other@1:").collect()} == {"VERIFIED"}
+    # Other sessions' files go; other kinds stay.
+    save(sorted_, "append", "cold")
+    save(sorted_.where("session = 's1'").withColumn("session", F.lit("new")), "overwrite")
+    assert {r.session for r in read(spark, tmp_path / "one", "frames").collect()} == {"new"} and read(spark, tmp_path / "one", "cold").count() == 12
 
 
 def test_logs_and_tables(spark, tmp_path):
@@ -134,8 +138,8 @@ def test_expressions(spark):
     for row, got in zip(ids, df.coalesce(1).select(X.deterministic_id("s_", *map(F.col, "abcd"))).collect(), strict=True):
         assert got[0] == "s_" + base64.b32encode(hashlib.sha256("\0".join(row).encode()).digest()[:15]).decode().lower().rstrip("=")
     nan, inf = float("nan"), float("inf")
-    v = spark.createDataFrame([([],), ([1.0, -3.0],), ([nan, 1.0],), ([-inf],)], "v array<float>")
-    assert [r[0] for r in v.coalesce(1).select(X.linf(F.col("v"))).collect()] == [inf, 3.0, inf, inf]
+    v = spark.createDataFrame([([],), ([1.0, -3.0],), ([nan, 1.0],), ([-inf],), ([0.1, None],), (None,)], "v array<float>")
+    assert [r[0] for r in v.coalesce(1).select(X.linf(F.col("v"))).collect()] == [inf, 3.0, inf, inf, inf, inf]
     n = spark.range(1).select(X.le32(F.lit(258)).alias("b"))
     assert n.first().b == b"\x02\x01\0\0" and n.select(X.from_le32(F.col("b")).alias("n")).first().n == 258
     assert len(spark.range(1).select(X.timestamp_query(F.lit("ab" * 32)).alias("q")).first().q) == 59

@@ -86,20 +86,23 @@ def run_batches(spark, folder, batches, make):
 
 
 def test_guard_over_batches(spark, tmp_path):
-    """The latch lasts from batch to batch, late frames are a breach, an ended session's state goes."""
+    """The latch lasts from batch to batch, late frames are a breach, an ended session stays ended."""
     from veristream.streaming import guard as S
 
     frame = "session long, frame_id long, action string, norm double, ended boolean"
     batches = [
         [(1, 0, "a", 0.5, False), (2, 0, "a", 9.0, False), (3, 5, "a", 0.5, False), (4, 0, "a", None, True)],
-        [(1, 1, "a", 0.5, False), (2, 1, "a", 0.5, False), (3, 4, "a", 0.5, False), (4, 0, "a", 0.5, False)],
+        [(1, 1, "a", 0.5, False), (2, 1, "a", 0.5, False), (3, 4, "a", 0.5, False), (4, 1, "a", 0.5, False)],
+        [(1, 2, "a", 0.5, True), (1, 3, "a", 9.0, None), (4, 1, "a", 0.5, None)],
     ]
     made = [spark.createDataFrame(b, frame) for b in batches]
     got = run_batches(spark, str(tmp_path), made, lambda s: S.guard(s, {"a": 1.0}))
     assert [[(r.session, r.reason) for r in b] for b in got] == [
         [(1, "within envelope"), (2, "norm exceeds bound"), (3, "within envelope"), (4, "non-finite norm")],
-        [(1, "within envelope"), (2, "prior breach"), (3, "out of order"), (4, "within envelope")],
+        [(1, "within envelope"), (2, "prior breach"), (3, "out of order"), (4, "session ended")],
+        [(1, "within envelope"), (1, "session ended"), (4, "session ended")],
     ]
+    assert [r.verdict for r in got[2]] == ["PERMIT", "ESTOP", "ESTOP"] and not any(r.breach for r in got[2])
 
 
 def test_latch(spark):
@@ -108,3 +111,54 @@ def test_latch(spark):
     assert [r.verdict for r in rows] == ["PERMIT"] * 3 + ["ESTOP"] * 3
     assert [r.breach for r in rows] == [False, False, False, True, False, False]
     assert G.first_breach(spark.createDataFrame(rows)).first().breach_frame == 3
+
+
+def test_windows_without_frames(spark):
+    """With pre and post 0 a window keeps nothing; with post 0 only what is before the trigger."""
+    frames = spark.createDataFrame([(1, f, f == 5) for f in range(10)], "session long, frame_id long, hit boolean")
+    triggers = spark.createDataFrame([(1, 5)], "session long, trigger long")
+    for pre, post, want in ((0, 0, []), (2, 0, [3, 4]), (0, 1, [5])):
+        kept = [lambda df: df.where("kept"), lambda df: df]
+        got = [kept[0](W.keep_extending(frames, F.col("hit"), pre, post)), kept[0](W.keep_latched(frames, F.col("hit"), pre, post)), W.keep_by_triggers(frames, triggers, pre, post)]
+        assert [sorted(r.frame_id for r in df.collect()) for df in got] == [want] * 3, (pre, post)
+        assert sum(r.frames for r in W.trigger_windows(frames, triggers, pre, post).collect()) == len(want)
+
+
+def test_a_record_without_hash_breaks_the_chain(spark):
+    from veristream.operators import verify as V
+
+    rows = spark.createDataFrame([(1, k, None if k == 2 else "ab" * 32) for k in range(4)] + [(2, 0, "cd" * 32)], "session long, n long, h string")
+    chain = V.chained(rows, "session", "n", F.col("h"))
+    assert {(r.session, r.records, r.first_break) for r in V.chain_breaks(chain).collect()} == {(1, 4, 2), (2, 1, None)}
+
+
+def test_sessions_are_sealed_and_stay_sealed(spark, tmp_path):
+    """An end marker or silence seals a session once; a tombstone stops what comes later, until it is buried."""
+    from datetime import datetime, timedelta
+
+    from veristream.plans import streams
+    from veristream.streaming import incidents as I
+
+    start = datetime(2024, 1, 1)
+    frame = lambda s, f, norm, minutes, ended=None, event=None: (s, f, "a", norm, start + timedelta(minutes=minutes), ended, event)
+    batches = [
+        [frame(1, 0, 0.5, 0), frame(1, 1, 0.5, 0), frame(1, 2, 9.0, 0, event={"surface": "ice", "evt": "own"}), frame(2, 0, 0.5, 1), frame(3, 0, 0.5, 1, ended=True)],
+        [frame(1, 3, 0.5, 2, ended=True), frame(1, 4, 0.5, 2), frame(2, 1, None, 3), frame(3, 1, 0.5, 3)],
+        [frame(9, 0, 0.5, 30)],  # the watermark passes the silence of session 2
+        [frame(2, 2, 0.5, 31), frame(9, 1, 0.5, 31)],
+        [frame(9, 2, 0.5, 31 + 7 * 1440)],  # and the burial of all others
+        [frame(1, 0, 0.5, 32 + 7 * 1440)],
+    ]
+    schema = "session long, frame_id long, action string, norm double, at timestamp, ended boolean, event map<string,string>"
+    make = lambda s: I.sessions(s.withWatermark("at", "1 minute"), {"a": 1.0}, "sh1", 2, 3, 10 * 60_000, 86_400_000)
+    with I.rocksdb(spark):
+        rows = streams.batched_stream(spark, [spark.createDataFrame(b, schema) for b in batches], make).collect()
+    said = sorted((r.session, r.frame_id, r.reason, r.verdict) for r in rows if r.kind == "decision" and r.session < 9)
+    assert said == [
+        (1, 0, "within envelope", "PERMIT"), (1, 0, "within envelope", "PERMIT"), (1, 1, "within envelope", "PERMIT"), (1, 2, "norm exceeds bound", "ESTOP"), (1, 3, "prior breach", "ESTOP"), (1, 4, "session ended", "ESTOP"),
+        (2, 0, "within envelope", "PERMIT"), (2, 1, "non-finite norm", "ESTOP"), (2, 2, "session ended", "ESTOP"), (3, 0, "within envelope", "PERMIT"), (3, 1, "session ended", "ESTOP"),
+    ]
+    incidents = {r.session: r for r in rows if r.kind == "incident"}
+    assert {s: (r.frame_id, r.kept_from, r.kept_to, r.frames, r.closed_by) for s, r in incidents.items()} == {1: (2, 0, 4, 4, "end"), 2: (1, 0, 3, 2, "silence")}
+    assert incidents[1].event == {"surface": "ice", "evt": "envelope_breach", "action": "a", "l_inf": "9.000000", "bound": "1.000000", "envelope_shard_id": "sh1", "reason": "norm exceeds bound"}
+    assert incidents[2].event["l_inf"] == "inf" and len([r for r in rows if r.kind == "incident"]) == 2

@@ -15,8 +15,8 @@ QUERY_HEAD, QUERY_TAIL = "30390201013031300d060960864801650304020105000420", "01
 
 
 def linf(vector: Column) -> Column:
-    """Largest absolute lane; infinite for an empty vector and where a lane is not a number."""
-    n = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    """Largest absolute lane; infinite for an empty or null vector and where a lane is null or not a number."""
+    n = F.array_max(F.transform(vector, lambda x: F.coalesce(F.abs(x.cast("double")), F.lit(float("inf")))))
     return F.when(n.isNull() | F.isnan(n), F.lit(float("inf"))).otherwise(n)
 
 

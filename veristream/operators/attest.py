@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veristream.functions import exprs as X
+from veristream.operators.graph import citation
 
 DEFAULT_AUTHORITY = "https://authority.invalid/tsr"
 
@@ -37,6 +38,15 @@ def with_anchor(entries: DataFrame) -> DataFrame:
     return entries.withColumn("authority", F.coalesce(first["tsa"], F.lit(DEFAULT_AUTHORITY))).withColumn("anchored_at", F.coalesce(F.col("gen_time"), first["anchored_at_local_clock"], F.lit("")))
 
 
+#: Fixed value: what an attestation's reference says.
+ATTESTS = "external timestamp over the target's manifest"
+
+
+def references(entries: DataFrame) -> DataFrame:
+    """For each entry the reference of its first claim to the shard that is attested: ``subject, predicate`` and a citation's columns."""
+    return entries.select(F.concat(F.lit("anchor/"), "shard_id").alias("subject"), F.lit("target_shard_id").alias("predicate"), *citation(F.col("shard_id"), "attests", ATTESTS))
+
+
 def claims(entries: DataFrame) -> DataFrame:
     """Five claims of tier 1 for each ``shard_id, digest, authority, anchored_at``; the first cites the shard."""
     rows = [("target_shard_id", "shard_id", True), ("digest_sha256", "digest", False), ("anchor_kind", None, False), ("anchor_authority", "authority", False), ("anchored_at", "anchored_at", False)]

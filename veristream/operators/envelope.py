@@ -29,9 +29,9 @@ def learn(frames: DataFrame, percentile: float = PERCENTILE, margin: float = MAR
 def require_rows(rows: DataFrame, what: str) -> DataFrame:
     """The rows; the job fails if there are none, for what must not be granted by default (no deltas, no bounds, no claims)."""
     found = rows.limit(1).agg(F.count("*").alias("_some"))
-    checked = found.where(F.when(F.col("_some") > 0, F.lit(True)).otherwise(F.raise_error(F.lit(f"no {what}")).cast("boolean")))
-    # One row: the check runs with the job that reads the rows, even if they are none.
-    return checked.join(rows, F.lit(True), "left").drop("_some")
+    none = found.where(F.when(F.col("_some") > 0, F.lit(False)).otherwise(F.raise_error(F.lit(f"no {what}")).cast("boolean")))
+    # A branch that never gives a row: it runs with the job that reads all rows, even if they are none.
+    return rows.union(none.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields)))
 
 
 def finite_counts(frames: DataFrame) -> DataFrame:

@@ -41,13 +41,17 @@ def decide(frames: DataFrame, envelope: DataFrame) -> DataFrame:
 
 def breach_events(frames: DataFrame, decisions: DataFrame, shard_id: str) -> DataFrame:
     """One event for each session with a breach, as the log takes it: ``session, frame_id, evt, action, l_inf, bound,
-    envelope_shard_id, reason``; a norm that isn't finite is "inf", an absent bound "none"."""
+    envelope_shard_id, reason``; a norm that isn't finite is "inf", an absent bound "none".  Where frames have a map ``event``, their own
+    keys stay under the breach's: ``event`` holds both."""
     text = lambda c, otherwise: F.when(X.is_finite(c), X.fixed6(c)).otherwise(otherwise)
-    rows = decisions.where("breach").join(frames.select("session", "frame_id", "action"), ["session", "frame_id"])
-    return rows.select(
+    own = ["event"] if "event" in frames.columns else []
+    rows = decisions.where("breach").join(frames.select("session", "frame_id", "action", *own), ["session", "frame_id"])
+    events = rows.select(
         "session", "frame_id", F.lit("envelope_breach").alias("evt"), "action", text(F.col("norm"), "inf").alias("l_inf"), text(F.col("bound"), "none").alias("bound"),
-        F.lit(shard_id).alias("envelope_shard_id"), "reason",
+        F.lit(shard_id).alias("envelope_shard_id"), "reason", *own,
     )
+    said = [c for c in events.columns if c not in ("session", "frame_id", "event")]
+    return events.withColumn("event", X.merged(F.coalesce("event", F.create_map().cast("map<string,string>")), F.create_map(*(x for c in said for x in (F.lit(c), F.col(c)))))) if own else events
 
 
 def first_breach(decisions: DataFrame) -> DataFrame:

@@ -60,7 +60,8 @@ def running_offsets(records: DataFrame, session: str, order: str, size: Column,
 
 def chained(records: DataFrame, session: str, number: str, payload_sha256: Column) -> DataFrame:
     """``session, frame_id, payload_sha256, chain``: the chain written record by record.  A chain is sequential by definition, so a
-    session's records go through one task in order, batch after batch; only the last link is carried on."""
+    session's records go through one task in order, batch after batch; only the last link is carried on.  A record without
+    a hash has no link, which breaks the chain there."""
     rows = records.select(F.col(session).cast("string").alias("name"), F.col(session).alias("session"), F.col(number).cast("long").alias("frame_id"), payload_sha256.alias("payload_sha256"))
     start = F.lower(F.hex(F.unhex(X.chain_start(F.col("session")))))
     rows = rows.withColumn("start", start).repartition("session").sortWithinPartitions("session", "frame_id")
@@ -76,8 +77,8 @@ def _links(batches):
         for name, start, frame, payload in zip(names, starts, frames, payloads, strict=True):
             if name != session:
                 session, link = name, bytes.fromhex(start)
-            link = hashlib.sha256(link + bytes.fromhex(payload) + frame.to_bytes(4, "little")).digest()
-            out.append(link.hex())
+            link = hashlib.sha256(link + bytes.fromhex(payload or "") + frame.to_bytes(4, "little")).digest()
+            out.append(link.hex() if payload is not None else None)
         yield pa.RecordBatch.from_arrays([batch.column("session"), batch.column("frame_id"), batch.column("payload_sha256"), pa.array(out, pa.string())], names=["session", "frame_id", "payload_sha256", "chain"])
 
 
@@ -90,7 +91,7 @@ def chain_breaks(chain: DataFrame) -> DataFrame:
     the whole chain holds, by induction; else the first that differs is where a sequential reader would stop."""
     w = Window.partitionBy("session").orderBy("frame_id")
     again = X.chain_next(F.coalesce(F.lag("chain").over(w), X.chain_start(F.col("session"))), F.col("payload_sha256"), F.col("frame_id"))
-    rows = chain.withColumn("ok", again == F.col("chain"))
+    rows = chain.withColumn("ok", F.coalesce(again == F.col("chain"), F.lit(False)))
     return rows.groupBy("session").agg(F.count("*").alias("records"), F.min(F.when(~F.col("ok"), F.col("frame_id"))).alias("first_break"))
 
 

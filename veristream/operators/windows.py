@@ -15,10 +15,19 @@ def numbered(events: DataFrame, session: str, *order: str) -> DataFrame:
 
 def keep_extending(frames: DataFrame, trigger: Column, pre: int, post: int) -> DataFrame:
     """Frames that a window keeps, where a trigger inside an open window extends it."""
+    if pre + post <= 0:
+        return frames.withColumn("kept", F.lit(False))
     around = Window.partitionBy("session").orderBy("frame_id").rowsBetween(1 - post, pre)
     return frames.withColumn("kept", F.coalesce(F.max(trigger).over(around), F.lit(False)))
 
 
+def window_frames(pre: int, post: int) -> Column:
+    """The frames around ``trigger``, from ``pre`` before it to the last of ``post`` from it on; none if both are 0."""
+    if pre + post <= 0:
+        return F.array().cast("array<bigint>")
+    return F.sequence(F.col("trigger") - pre, F.col("trigger") + post - 1)
+
+
 def accepted(triggers: DataFrame, post: int) -> DataFrame:
     """Triggers ``session, trigger`` that a latched window accepts, of ``session, frame_id``: those inside an open window are
     ignored.  Which are depends on all before, so a session's triggers (not its frames) go through one task in order, batch after
@@ -42,19 +51,19 @@ def accepted(triggers: DataFrame, post: int) -> DataFrame:
 def keep_latched(frames: DataFrame, trigger: Column, pre: int, post: int) -> DataFrame:
     """Frames that a window keeps, where a trigger inside an open window is ignored."""
     taken = accepted(frames.where(trigger).select("session", "frame_id"), post)
-    inside = taken.select("session", F.explode(F.sequence(F.col("trigger") - pre, F.col("trigger") + post - 1)).alias("frame_id")).distinct()
+    inside = taken.select("session", F.explode(window_frames(pre, post)).alias("frame_id")).distinct()
     return frames.join(inside.withColumn("kept", F.lit(True)), ["session", "frame_id"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def keep_by_triggers(frames: DataFrame, triggers: DataFrame, pre: int, post: int) -> DataFrame:
     """Frames that some trigger ``session, trigger`` of a table keeps.  Triggers beyond the last frame count."""
-    inside = triggers.select("session", F.explode(F.sequence(F.col("trigger") - pre, F.col("trigger") + post - 1)).alias("frame_id")).distinct()
+    inside = triggers.select("session", F.explode(window_frames(pre, post)).alias("frame_id")).distinct()
     return frames.join(inside, ["session", "frame_id"], "left_semi")
 
 
 def trigger_windows(frames: DataFrame, triggers: DataFrame, pre: int, post: int) -> DataFrame:
     """``session, trigger, first_frame, last_frame, frames`` of each trigger's window, whether or not it touches another."""
-    inside = triggers.select("session", "trigger", F.explode(F.sequence(F.col("trigger") - pre, F.col("trigger") + post - 1)).alias("frame_id"))
+    inside = triggers.select("session", "trigger", F.explode(window_frames(pre, post)).alias("frame_id"))
     met = frames.select("session", "frame_id").join(inside, ["session", "frame_id"])
     return met.groupBy("session", "trigger").agg(F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"), F.count("*").alias("frames"))
 

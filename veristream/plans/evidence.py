@@ -298,6 +298,12 @@ def attestation_rows(spark, d):
     return T.claims(anchored(spark, d))
 
 
+@query("attestation_references", f"""WITH {ANCHORED} SELECT 'anchor/' || shard_id AS subject, 'target_shard_id' AS predicate, shard_id AS dst_shard_id, 'attests' AS relation_type, 'shard' AS dst_object_type,
+ '' AS dst_object_id, '1.0' AS confidence, '{T.ATTESTS.replace("'", "''")}' AS note FROM anchored""")
+def attestation_references(spark, d):
+    return T.references(anchored(spark, d))
+
+
 @query("trigger_validation", "SELECT event_id, event_id % 4 NOT IN (1, 2) AND event_id % 9 <> 0 AS valid FROM events")
 def trigger_validation(spark, d):
     n = F.col("event_id")

@@ -120,19 +120,11 @@ def graph_tables(spark, folder: str, namespace: str = NAMESPACE) -> dict[str, Da
         "entities": H.entities(claims, namespace),
         "spans": every.select("span_id", "source_hash", "byte_start", "byte_end", F.col("line").alias("text")).distinct(),
         "provenance": every.select(X.deterministic_id("p_", F.col("claim_id"), F.col("span_id")).alias("provenance_id"), "claim_id", "span_id", "source_hash", "byte_start", "byte_end").distinct(),
-        "references": cites.select("claim_id", *citation(F.col("envelope_shard_id"), "cites", IN_FORCE)).distinct(),
+        "references": cites.select("claim_id", *H.citation(F.col("envelope_shard_id"), "cites", IN_FORCE)).distinct(),
         "streams": stream_index(spark, folder),
     }
 
 
-def citation(shard, relation: str, note: str) -> list:
-    """The columns of a reference to a whole shard."""
-    return [
-        shard.alias("dst_shard_id"), F.lit(relation).alias("relation_type"), F.lit("shard").alias("dst_object_type"), F.lit("").alias("dst_object_id"),
-        F.lit("1.0").alias("confidence"), F.lit(note).alias("note"),
-    ]
-
-
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     """Write the tables of a graph as Parquet, sorted by all of their columns, so that equal graphs give equal rows in equal order.  Without
     claims nothing is written: the job fails."""
@@ -143,7 +135,8 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
 
 def stream_index(spark, folder: str, strict: bool = False) -> DataFrame:
     """``session, frame_id, stream, file, offset, length, status, content_hash``: what each event claims of the hot stream, judged, and the cold
-    records of frames that have an event.  ``strict`` fails on the first claim that isn't verified."""
+    records of frames that have an event.  ``strict`` fails on the first claim that isn't verified, and on a cold record of
+    another version or over the size limit; damage that a cold scan can pass over is none."""
     framed.register(spark)
     claimed = events(event_lines(spark, folder)).select("session", "frame_id", F.col("stream_refs.latents.offset").alias("claimed"), F.col("stream_refs.latents.length").alias("length"))
     scan = lambda kind: spark.read.format("framed").option("kind", kind).load(folder)
@@ -154,7 +147,12 @@ def stream_index(spark, folder: str, strict: bool = False) -> DataFrame:
     if strict:
         hot = V.require(hot)
     last = Window.partitionBy("session", "frame_id").orderBy(F.col("offset").desc())
-    cold = scan("cold").where("status = 'VERIFIED'").withColumn("n", F.row_number().over(last)).where("n = 1")
+    whole = F.col("status") == "VERIFIED"
+    if strict:
+        # One condition: as two filters the second could see only what the first leaves.
+        fatal = F.raise_error(F.concat(F.lit("verification failed: "), "status")).cast("boolean")
+        whole = F.when(F.col("status").isin("BAD_VERSION", "TOO_LARGE"), fatal).otherwise(whole)
+    cold = scan("cold").where(whole).withColumn("n", F.row_number().over(last)).where("n = 1")
     cold = cold.join(claimed.select("session", "frame_id").distinct(), ["session", "frame_id"], "left_semi")
     cold = cold.select("session", "frame_id", F.lit("residuals").alias("stream"), F.lit("cam_residuals.bin").alias("file"), "offset", (F.col("dlen") + framed.HEADER_BYTES).alias("length"), "status", F.col("payload_sha256").alias("content_hash"))
     return hot.unionByName(cold)

@@ -1,6 +1,8 @@
 """Generated missions, binary files and back, and streams that give the rows of their batch queries."""
 
 import uuid
+from datetime import timedelta
+from itertools import pairwise
 
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from veristream.operators import windows as W
 from veristream.operators.shared import shared_folder
 from veristream.sources import framed, generate
 from veristream.streaming import guard as S
+from veristream.streaming import incidents as I
 
 from . import evidence, telemetry
 from .catalog import query, table
@@ -49,6 +52,10 @@ def framed_roundtrip(spark, d):
     return records.select("session", "frame_id", "offset", "status", in_place.alias("in_place"), X.linf(F.col("vector")).alias("norm"))
 
 
+#: Milliseconds.
+DAY = 86_400_000
+
+
 def ended_stream(spark, rows, make):
     """``make(stream)`` over rows as a stream that ends; its output is a table in the session's
     shared folder."""
@@ -75,6 +82,53 @@ def streaming_guard_null_norms(spark, d):
     return ended_stream(spark, flown, lambda s: S.guard(s, bounds)).drop("norm")
 
 
+def batched_stream(spark, batches, make):
+    """``make(stream)`` over several DataFrames, each a batch of its own: after each the stream stops, and goes on from its checkpoint."""
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for rows in batches:
+        rows.write.mode("append").parquet(f"{at}/frames")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/frames")
+        make(stream).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+#: Frames of odd sessions: the last one ends its session, but for every fifth session, which falls silent; every third session
+#: sends one more frame a day after all others.
+SEALED = f"""WITH {telemetry.FRAMES}, {telemetry.ENV}, {telemetry.ODD}, {telemetry.DECIDED.format(env="env").replace("FROM frames f", "FROM odd f")},
+z AS (SELECT session, count(*) AS frames, max(frame_id) AS last, session % 5 <> 0 AS marked, session % 3 = 1 AS more FROM decided GROUP BY session),
+b AS (SELECT session, min(frame_id) AS breach FROM decided WHERE breach GROUP BY session),
+e AS (SELECT d.session, d.frame_id, d.reason, d.norm, d.bound, o.props, z.frames, marked, more FROM decided d JOIN odd o USING (session, frame_id) JOIN z USING (session) WHERE breach),
+r AS (SELECT session, 'decision' AS kind, frame_id, verdict, reason, breach FROM decided
+  UNION ALL SELECT session, 'decision', last + 1, CASE WHEN marked OR breach IS NOT NULL THEN 'ESTOP' ELSE 'PERMIT' END, CASE WHEN marked THEN 'session ended' WHEN breach IS NOT NULL THEN 'prior breach' ELSE 'within envelope' END, false FROM z LEFT JOIN b USING (session) WHERE more)
+SELECT kind, session, frame_id, verdict, reason, breach, NULL AS l_inf, NULL AS limit_, NULL AS k, NULL AS cites, NULL AS kept_from, NULL AS kept_to, NULL AS frames, NULL AS closed_by FROM r
+UNION ALL SELECT 'incident', session, frame_id, 'ESTOP', reason, true, CASE WHEN norm IS NULL OR NOT isfinite(norm) THEN 'inf' ELSE printf('%.6f', round(norm, 6)) END, CASE WHEN bound IS NULL THEN 'none' ELSE printf('%.6f', bound) END,
+ props->>'$.k', 'sh1_law', greatest(frame_id - {telemetry.PRE}, 0), frame_id + {telemetry.POST - 1}, frames + CASE WHEN more AND NOT marked THEN 1 ELSE 0 END, CASE WHEN marked THEN 'end' ELSE 'silence' END FROM e"""
+
+
+@query("streaming_incidents", SEALED)
+def streaming_incidents(spark, d):
+    """Decisions and sealed incidents over six batches, each started anew from the checkpoint; late frames stay stopped."""
+    envelope, _ = telemetry.flight(spark, d)
+    bounds = {r.action: r.bound for r in envelope.collect()}  # one number for each action
+    flown = telemetry.odd_flight(spark, d, "props", F.col("ts").cast("timestamp").alias("at"))[1]
+    own = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("reason"), F.lit("the frame's own"))
+    last = flown.groupBy("session").agg(F.max("frame_id").alias("last"))
+    ends = (F.col("frame_id") == F.col("last")) & (F.col("session") % 5 != 0)
+    flown = flown.join(last, "session").select("session", "frame_id", "action", "norm", "at", own.alias("event"), ends.alias("ended"))
+    begin, end = flown.agg(F.min("at"), F.max("at")).first()
+    cuts = [begin + (end - begin) * k / 4 for k in range(4)] + [end + timedelta(seconds=1)]
+    batches = [flown.where((F.col("at") >= a) & (F.col("at") < b)) for a, b in pairwise(cuts)]
+    sent = lambda rows, frame, at: rows.select("session", frame.alias("frame_id"), F.lit("view").alias("action"), F.lit(0.0).alias("norm"), F.lit(at).alias("at"), F.lit(None).cast("map<string,string>").alias("event"), F.lit(None).cast("boolean").alias("ended"))
+    batches.append(sent(last.where("session % 3 = 1"), F.col("last") + 1, end + timedelta(days=1)))
+    # One frame of another session, two years later, moves the watermark behind all silence.
+    batches.append(sent(spark.range(1).select(F.lit(-1).cast("long").alias("session")), F.lit(0).cast("long"), end + timedelta(days=730)))
+    make = lambda s: I.sessions(s.withWatermark("at", "1 hour"), bounds, "sh1_law", telemetry.PRE, telemetry.POST, 365 * DAY, 3650 * DAY)
+    with I.rocksdb(spark):
+        rows = batched_stream(spark, batches, make).where("session >= 0")
+    event = lambda key: F.col("event")[key]
+    return rows.select("kind", "session", "frame_id", "verdict", "reason", "breach", event("l_inf").alias("l_inf"), event("bound").alias("limit_"), event("k").alias("k"), event("envelope_shard_id").alias("cites"), "kept_from", "kept_to", "frames", "closed_by")
+
+
 @query("streaming_keep_window", f"{telemetry.KEPT} SELECT session, frame_id FROM k WHERE kept")
 def streaming_keep_window(spark, d):
     """The kept frames of ``keep_window_extend``, from a stream."""

@@ -101,11 +101,11 @@ def guard_uncovered_action(spark, d):
 ODD = "odd AS (SELECT session, frame_id, action, event_id, props, CASE event_id % 20 WHEN 0 THEN 'nan'::double WHEN 5 THEN 'inf'::double WHEN 10 THEN NULL WHEN 15 THEN '-inf'::double ELSE norm END AS norm FROM frames)"
 
 
-def odd_flight(spark, d):
+def odd_flight(spark, d, *more):
     envelope, _ = flight(spark, d)
     n = F.col("event_id") % 20
     norm = F.when(n == 0, float("nan")).when(n == 5, float("inf")).when(n == 15, float("-inf")).when(n != 10, F.col("norm"))
-    return envelope, frames(spark, d).where("session % 2 = 1").select("session", "frame_id", "action", norm.alias("norm"))
+    return envelope, frames(spark, d).where("session % 2 = 1").select("session", "frame_id", "action", norm.alias("norm"), *more)
 
 
 NULL_NORMS = f"WITH {FRAMES}, {ENV}, {ODD}, " + DECIDED.format(env="env").replace("FROM frames f", "FROM odd f") + " SELECT session, frame_id, verdict, acted, bound, reason, breach FROM decided"
@@ -126,6 +126,17 @@ def breach_events(spark, d):
     return G.breach_events(flown, G.decide(flown, envelope.where("action <> 'purchase'")), "sh1_law")
 
 
+@query("breach_event_keys", f"""WITH {FRAMES}, {ENV}, {ODD}, {DECIDED.format(env="env").replace("FROM frames f", "FROM odd f")}
+SELECT b.session, b.frame_id, o.props->>'$.k' AS k, b.reason, 8 AS n_keys FROM decided b JOIN odd o USING (session, frame_id) WHERE b.breach""")
+def breach_event_keys(spark, d):
+    """A breach's event keeps the frame's own keys, under those of the breach."""
+    envelope, flown = odd_flight(spark, d, "props")
+    own = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("reason"), F.lit("the frame's own"), F.lit("surface"), F.lit("ice"))
+    flown = flown.withColumn("event", own)
+    e = G.breach_events(flown, G.decide(flown, envelope), "sh1_law")
+    return e.select("session", "frame_id", F.col("event")["k"].alias("k"), F.col("event")["reason"].alias("reason"), F.size("event").alias("n_keys"))
+
+
 @query("first_breach", f"{D} SELECT session, min(CASE WHEN breach THEN frame_id END) AS breach_frame FROM decided GROUP BY session")
 def first_breach(spark, d):
     return G.first_breach(guard_decisions(spark, d))

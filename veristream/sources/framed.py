@@ -7,8 +7,8 @@ can only be walked, one task a file.  Cold files resynchronise on damage; frame
 
 Writers: :func:`write_hot`, :func:`write_cold` and :func:`write_frames`, one file for each session, written where the session's
 rows are.  ``df.write.format("framed").option("kind", ...).save(path)`` writes ``session, frame_id, payload`` as they lie: a session's rows in one
-partition, in order of frame_id.  All its files appear when the whole job has succeeded, or none; "append" adds sessions, and refuses one
-that has a file.
+partition, in order of frame_id.  Its files are moved to their places one by one when the whole job has succeeded; a driver that dies
+meanwhile leaves some of them.  "append" adds sessions, and refuses one that has a file; "overwrite" leaves only what it wrote.
 """
 
 from __future__ import annotations
@@ -204,6 +204,12 @@ class FramedWriter(DataSourceArrowWriter):
             raise ValueError(f"a session's rows stand apart: {twice[:3]}" if twice else f"sessions that have a file: {there[:3]}")
         for beside, path in files:
             os.replace(beside, path)
+        if self.overwrite:
+            # What stood there before goes last: other sessions' files of this kind.
+            name = KINDS[self.kind][0]
+            for old in [os.path.join(d, name) for d, _, names in os.walk(self.folder) if name in names]:
+                if old not in places:
+                    os.remove(old)
 
     def abort(self, messages):
         _remove(pair for m in messages if m is not None for pair in m.files)

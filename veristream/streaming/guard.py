@@ -18,32 +18,42 @@ DECISIONS = "session long, frame_id long, verdict string, acted string, norm dou
 KEPT = "session long, frame_id long"
 
 
+def judge(rows: pd.DataFrame, bounds: dict[str, float], stopped: bool, last: int, ended: bool) -> pd.DataFrame:
+    """Decisions on a session's rows, in order of frame_id, after what came before: whether it was stopped, its last frame, and whether
+    it has ended.  What can't be judged is a breach; what comes after the end is stopped, and no breach of its own."""
+    bound, norm = rows["action"].map(bounds).astype(float), rows["norm"].astype(float)
+    late = rows["frame_id"] <= last
+    marked = rows["ended"].eq(True) if "ended" in rows.columns else pd.Series(False, index=rows.index)
+    over = marked.cumsum().shift(fill_value=0).gt(0) | ended
+    why = pd.Series(np.select([late, ~np.isfinite(bound), ~np.isfinite(norm), norm > bound], ["out of order", "no bound", "non-finite norm", "norm exceeds bound"], ""), index=rows.index)
+    why[over] = ""
+    prior = (why != "").cumsum().shift(fill_value=0).gt(0) | stopped
+    stop = over | prior | (why != "")
+    reason = np.select([over, prior, why != ""], ["session ended", "prior breach", why], "within envelope")
+    return pd.DataFrame({
+        "frame_id": rows["frame_id"], "verdict": np.where(stop, "ESTOP", "PERMIT"), "acted": np.where(stop, "emergency_stop", rows["action"]), "norm": rows["norm"], "bound": bound,
+        "reason": reason, "breach": ~over & ~prior & (why != ""),
+    })
+
+
 def guard(frames: DataFrame, bounds: dict[str, float]) -> DataFrame:
     """Decisions for a stream of ``session, frame_id, action, norm``; ``bounds`` has a number for each action of the envelope.
 
     A frame that isn't behind all frames of the batches before is a breach, "out of order".  Where the stream has a column
-    ``ended``, a true one ends the session: its state goes, and what comes later under its name is a new session."""
+    ``ended``, a true one ends the session: frames that come later under its name are stopped, "session ended".  That is remembered for
+    ever; :func:`veristream.streaming.incidents.sessions` has timers, and seals sessions too."""
     ends = "ended" in frames.columns
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stopped, last = state.get if state.exists else (False, -1)
+        stopped, last, ended = state.get if state.exists else (False, -1, False)
         rows = pd.concat(batches).sort_values("frame_id", kind="stable")
-        bound, norm = rows["action"].map(bounds).astype(float), rows["norm"].astype(float)
-        late = rows["frame_id"] <= last
-        why = pd.Series(np.select([late, ~np.isfinite(bound), ~np.isfinite(norm), norm > bound], ["out of order", "no bound", "non-finite norm", "norm exceeds bound"], ""), index=rows.index)
-        prior = (why != "").cumsum().shift(fill_value=0).gt(0) | stopped
-        stop = prior | (why != "")
-        if ends and rows["ended"].any():
-            state.remove()
-        else:
-            state.update((bool(stopped or (why != "").any()), max(last, int(rows["frame_id"].max()))))
-        yield pd.DataFrame({
-            "session": key[0], "frame_id": rows["frame_id"], "verdict": np.where(stop, "ESTOP", "PERMIT"), "acted": np.where(stop, "emergency_stop", rows["action"]), "norm": rows["norm"], "bound": bound,
-            "reason": np.where(prior, "prior breach", np.where(why != "", why, "within envelope")), "breach": ~prior & (why != ""),
-        })
+        decided = judge(rows, bounds, stopped, last, ended)
+        ended = bool(ended or (ends and rows["ended"].eq(True).any()))
+        state.update((bool(stopped or decided["breach"].any()), max(last, int(rows["frame_id"].max())), ended))
+        yield decided.assign(session=key[0])[["session", *decided.columns]]
 
     keyed = frames.select("session", "frame_id", "action", "norm", *(["ended"] if ends else [])).groupBy("session")
-    return keyed.applyInPandasWithState(step, DECISIONS, "stopped boolean, last long", "append", GroupStateTimeout.NoTimeout)
+    return keyed.applyInPandasWithState(step, DECISIONS, "stopped boolean, last long, ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def write_once(stream: DataFrame, path: str, checkpoint: str):
@@ -94,8 +104,9 @@ def chain(frames: DataFrame, domain: str = "frames@1:") -> DataFrame:
         link, last = state.get if state.exists else (hashlib.sha256(f"{domain}{key[0]}".encode()).hexdigest(), -1)
         rows, links = _in_order(key, batches, last), []
         for frame, payload in zip(rows["frame_id"].tolist(), rows["payload_sha256"].tolist(), strict=True):
-            link = hashlib.sha256(bytes.fromhex(link) + bytes.fromhex(payload) + frame.to_bytes(4, "little")).hexdigest()
-            links.append(link)
+            # A record without a hash has no link, which breaks the chain there.
+            link = hashlib.sha256(bytes.fromhex(link) + bytes.fromhex(payload or "") + frame.to_bytes(4, "little")).hexdigest()
+            links.append(link if payload is not None else None)
         state.update((link, int(rows["frame_id"].max())))
         yield pd.DataFrame({"session": key[0], "frame_id": rows["frame_id"], "payload_sha256": rows["payload_sha256"], "chain": links})
 
