@@ -66,10 +66,35 @@ def test_tails_tell_versions_apart():
 def test_pieces_hold_the_pigeonhole():
     for notice in notices.NOTICES:
         pieces = notices.pieces(notice)
-        assert len(pieces) == notice.errors + 1 and "".join(p for _, p in pieces) == notice.text
+        assert len(pieces) == notice.errors + notices.needed(notice) and "".join(p for _, p in pieces) == notice.text
         assert all(len(p) >= 4 for _, p in pieces)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", min_size=1, max_size=9), st.integers(0, 4), st.text("abcd", max_size=25))
+def test_distance_of_a_part(pattern, errors, text):
+    # The least distance of any part of the text, by the plain table.
+    row = list(range(len(pattern) + 1))
+    least = row[-1]
+    for c in text:
+        new = [0]
+        for k, x in enumerate(pattern):
+            new.append(min(row[k] + (x != c), row[k + 1] + 1, new[k] + 1))
+        row, least = new, min(least, new[-1])
+    # An empty part is as far as the pattern is long, and isn't looked for.
+    assert notices.near(pattern, errors, text) == (bool(text) and least <= errors)
+
+
+def test_licence_like_text_is_cheap():
+    """Text that holds pieces of many notices, over and over: a few seconds for a megabyte."""
+    import time
+
+    text = "under this license permission is granted free of charge the software with or without " * 3000
+    began = time.process_time()
+    got = notices.scan(pa.array([text]))[0]
+    assert time.process_time() - began < 900 * len(text) / 1e9 * 20 and got["labels"] == whole_by_hand(text[:2000])[0]
+
+
 def test_query(spark, odd, empty, as_table):
     got = notices.op8_license_notices(spark, as_table(odd)).collect()
     want = sorted(str((r.doc_id, *base_by_hand(r.text))) for r in odd.collect())

@@ -1,9 +1,10 @@
 """Fuzzy search for short licence notices.
 
-Texts are reduced to lower-case words joined by single spaces.  A notice that is allowed k errors is split into k + 1 pieces:
-a place within k errors of the notice must hold one piece unchanged (pigeonhole).  Pieces are sought exactly in the
-bytes of a whole slice of documents; around each hit a window of the notice's length and k more on either side is
-given to the regex library's bounded-error matching, which verifies the errors and reports the span.  What tells two
+Texts are reduced to lower-case words joined by single spaces.  A notice that is allowed k errors is split into k + m pieces:
+a place within k errors of the notice must hold m of them unchanged (pigeonhole), nearly where they stand in the notice.  Pieces are
+sought exactly in the bytes of a whole slice of documents; where m of them meet, a window of the notice's length and k more on either
+side is measured in one pass of the distance table, and if some part of it is near enough, given to the regex library's
+bounded-error matching, which verifies the errors and reports the span.  What tells two
 licences apart (a version, a letter) stands in an exact tail.  Everything is local to a document: no shuffle.
 
 Defined results: a null text is an empty one (no words, no labels, score 0); rows repeated under one doc_id are searched
@@ -59,12 +60,59 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base",
 FOUND = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,last_word:long,errors:long,score:double>>"
 
 
+def needed(notice: Notice) -> int:
+    """How many pieces a place must hold unchanged: up to four, of six characters or more each."""
+    return max(1, min(4, len(notice.text) // 6 - notice.errors))
+
+
 def pieces(notice: Notice) -> list[tuple[int, str]]:
-    """errors + 1 pieces of nearly equal length that make up the notice, with their places."""
-    edges = np.linspace(0, len(notice.text), notice.errors + 2).round().astype(int)
+    """errors + needed pieces of nearly equal length that make up the notice, with their places."""
+    edges = np.linspace(0, len(notice.text), notice.errors + needed(notice) + 1).round().astype(int)
     return [(int(a), notice.text[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+@lru_cache(maxsize=64)
+def _masks(pattern: str) -> dict[str, int]:
+    return {c: sum(1 << k for k, x in enumerate(pattern) if x == c) for c in set(pattern)}
+
+
+def near(pattern: str, errors: int, text: str) -> bool:
+    """Whether some part of the text is within so many errors of the pattern: one number holds a column of the distance table."""
+    masks, full, top = _masks(pattern), (1 << len(pattern)) - 1, 1 << len(pattern) - 1
+    up, down, score = full, 0, len(pattern)
+    for c in text:
+        same = masks.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same
+        plus, minus = down | (full & ~(diagonal | up)), up & diagonal
+        score += bool(plus & top) - bool(minus & top)
+        if score <= errors:
+            return True
+        plus, minus = plus << 1, minus << 1
+        up, down = (minus | ~(same | down | plus)) & full, plus & (same | down) & full
+    return False
+
+
+def candidates(notice: Notice, buffer: bytes, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, and places of the buffer near which the notice may begin: ``needed`` of its pieces stand where up to ``errors`` edits may
+    have moved them (a character put in has four bytes at most).  Of places that lie as close, the first."""
+    reach = 4 * notice.errors
+    begins = [np.array(places(buffer, piece.encode()), np.int64) - offset for offset, piece in pieces(notice)]
+    at = np.concatenate([b + offset for b, (offset, _) in zip(begins, pieces(notice), strict=True)])
+    begin, row = np.concatenate(begins), np.searchsorted(lines, at, "right") - 1
+    order = np.lexsort((begin, row))
+    begin, row = begin[order], row[order]
+    # Begins of one row lie within its line or up to a notice before it: rows set apart by more can be searched at once.
+    place = begin + row * np.int64(len(notice.text) + reach + 1)
+    enough = np.searchsorted(place, place + reach, "right") - np.arange(len(place)) >= needed(notice)
+    row, begin = row[enough], begin[enough]
+    keep, last = [], (-1, 0)
+    for k, (r, b) in enumerate(zip(row.tolist(), begin.tolist(), strict=True)):
+        if r != last[0] or b > last[1] + reach:
+            keep.append(k)
+            last = (r, b)
+    return row[keep], begin[keep]
+
+
 @lru_cache(maxsize=64)
 def pattern(notice: Notice):
     """The notice at the start of a word, within its errors, with the tail up to the end of a word."""
@@ -103,25 +151,24 @@ def scan(texts: pa.Array) -> list[dict]:
             base.setdefault(row, []).append((word_of(at + 1, row), label))
     spans: dict[int, dict] = {}
     for notice in NOTICES:
-        windows: dict[int, set] = {}
-        for offset, piece in pieces(notice):
-            for at in places(buffer, piece.encode()):
-                row = row_of(at)
-                windows.setdefault(row, set()).add(at - offset)
+        windows: dict[int, list] = {}
+        for row, begin in zip(*(x.tolist() for x in candidates(notice, buffer, lines)), strict=True):
+            windows.setdefault(row, []).append(begin)
+        reach = 4 * notice.errors + 4
         for row, begins in windows.items():
             line, at = buffer[lines[row] : lines[row + 1] - 1], -1
-            for begin in sorted(begins):
+            for begin in begins:
                 # Every character put in before the place may be of four bytes; the window ends at word ends.
                 begin -= int(lines[row])
-                a = max(0, begin - 4 * notice.errors - 4)
-                b = begin + len(notice.text) + 4 * notice.errors + len(notice.tail) + 4
+                a = max(0, begin - reach)
+                b = begin + len(notice.text) + len(notice.tail) + 2 * reach
                 if begin + len(notice.text) <= at:  # within the last match
                     continue
                 a = max(a, at)  # what follows a match begins at its end
                 a, b = line.rfind(b" ", 0, a + 1), line.find(b" ", max(b, 0))
                 a, b = max(a, 0), b if b >= 0 else len(line)
                 window = line[a : b + 1].decode("utf-8", "replace")
-                if not (m := pattern(notice).search(window)):
+                if not near(notice.text, notice.errors, window) or not (m := pattern(notice).search(window)):
                     continue
                 first = lines[row] + a + len(window[: m.start()].encode())
                 end = lines[row] + a + len(window[: m.end()].encode())
