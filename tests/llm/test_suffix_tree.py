@@ -156,3 +156,16 @@ def test_word_hashes_tell_words_apart():
     assert (hashes[: len(once)] == hashes[len(once) :][::-1]).all()
     none = np.zeros(0, np.int32)
     assert len(tx.word_hashes(np.zeros(0, np.uint8), none, none)) == 0
+
+
+def test_words_that_another_hash_confuses(spark):
+    """Two words of which only one is learned."""
+    a, b = "=fmpm+%:_:=^r1qb", "\";@'^!_1[}3h4j(x"
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    same = tx.word_hashes(data, np.array([0, 16]), np.array([16, 32]))
+    assert same[0] == same[1]
+    learned, unseen = next(d for d in range(100) if not held(d)), next(d for d in range(100) if held(d))
+    df = spark.createDataFrame([(learned, f"{a} x"), (unseen, f"{b} x")], "doc_id long, text string")
+    rows = st.score(df).collect()
+    check_base(rows, df.collect())
+    assert {r.doc_id: r.n_known for r in rows} == {learned: 3, unseen: 2}
