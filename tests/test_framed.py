@@ -1,6 +1,7 @@
 """Binary files written, damaged and read again."""
 
 import hashlib
+import json
 import struct
 
 import pytest
@@ -143,3 +144,80 @@ def test_expressions(spark):
     n = spark.range(1).select(X.le32(F.lit(258)).alias("b"))
     assert n.first().b == b"\x02\x01\0\0" and n.select(X.from_le32(F.col("b")).alias("n")).first().n == 258
     assert len(spark.range(1).select(X.timestamp_query(F.lit("ab" * 32)).alias("q")).first().q) == 59
+
+
+@pytest.mark.parametrize("kind", ["cold", "frames"])
+def test_split_scans_give_the_rows_of_the_walk(spark, tmp_path, kind):
+    """Files whole and damaged, with payloads that hold headers, at splits far smaller and larger than a record."""
+    import random
+    import struct
+
+    framed.register(spark)
+    draw = random.Random(5)
+    magic = framed.KINDS[kind][2]
+    false = struct.pack(framed.HEADER, magic, 1, 7, 5) + b"12345"
+    rows = [(f"s{s}", k, draw.choice([b"", false, false * 3, magic, draw.randbytes(draw.randrange(200))])) for s in range(6) for k in range(30)]
+    df = spark.createDataFrame(rows, "session string, frame_id long, payload binary")
+    (framed.write_cold if kind == "cold" else framed.write_frames)(df, str(tmp_path)).collect()
+    name = framed.KINDS[kind][0]
+    for s in range(1, 6):
+        path = tmp_path / f"s{s}" / name
+        data = bytearray(path.read_bytes())
+        at = draw.randrange(len(data) // 3, len(data) - 20)
+        damaged = {1: data[:at] + b"damage" + data[at + 9 :], 2: data[:at], 3: data[: data.index(magic, at)] + magic + b"\x09" + data[at:], 4: b"XX" + data[2:], 5: data[:7]}[s]
+        path.write_bytes(bytes(damaged))
+    key = lambda rows: sorted(map(str, rows))
+    want = key(read(spark, tmp_path, kind).collect())
+    assert len({r.status for r in read(spark, tmp_path, kind).collect()}) > 2
+    for size in (50, 333, 5000, 1 << 20):
+        got = framed.scan(spark, kind, str(tmp_path), size)
+        assert key(got.collect()) == want, size
+        assert size > 333 or got.rdd.getNumPartitions() > 12
+    assert framed.scan(spark, kind, str(tmp_path / "none")).count() == 0
+
+
+def test_queue_repeats_and_orders(spark, tmp_path):
+    """A repeated batch or flush changes nothing, nor does the order in which they are written; ANCHORED is for good."""
+    from veristream.streaming import queue as Q
+
+    def sealed(*names):
+        return Q.entries(spark.createDataFrame([(n, "key", None, None, None) for n in names], "manifest string, publisher_id string, created_at string, queued_at string, note string"))
+
+    def said(good, *names):
+        blob = b"\x18\x0f20240102030405Z" if good else b"\x18\x0fno"
+        return spark.createDataFrame([("sh1_" + hashlib.sha256(n.encode()).hexdigest(), "tsa", blob) for n in names], "shard_id string, authority string, response binary")
+
+    q = Q.Queue(spark, str(tmp_path / "q"))
+    assert q.listing().count() == 0 and q.flush(said(True, "a"), 0).count() == 0
+    q.put(sealed("a", "b", "a", None), 0)
+    state = lambda: {r.shard_id[4:8]: (r.state, r.attempts, r.anchored_at, r.error) for r in q.listing().collect()}
+    a, b, c = (hashlib.sha256(n).hexdigest()[:4] for n in (b"a", b"b", b"c"))
+    q.flush(said(True, "a"), 1)
+    assert state() == {a: ("ANCHORED", 1, "2024-01-02T03:04:05Z", None), b: ("PENDING", 1, None, "no response")}
+    before = state()
+    q.put(sealed("a", "b", "a", None), 0)
+    q.flush(said(True, "a"), 1)
+    q.put(sealed("a"), 1)
+    assert state() == before
+    q.put(sealed("c"), 2)
+    q.flush(said(False, "a", "b", "c"), 2)
+    assert state() == {a: before[a], b: ("PENDING", 2, None, "response without time"), c: ("PENDING", 1, None, "response without time")}
+    assert [len(r.query) for r in q.listing().collect()] == [59] * 3 and all(json.loads(r.record)["publisher_id"] == "key" for r in q.listing().collect())
+
+
+@pytest.mark.parametrize("kind", ["cold", "frames"])
+def test_points_are_read_where_they_are(spark, tmp_path, kind):
+    """Each record of a scan at its offset, whatever is damaged elsewhere; other places are judged by themselves."""
+    framed.register(spark)
+    rows = [(f"s{s}", k, bytes([k]) * (k * 7 % 50)) for s in range(3) for k in range(20)]
+    (framed.write_cold if kind == "cold" else framed.write_frames)(spark.createDataFrame(rows, "session string, frame_id long, payload binary"), str(tmp_path)).collect()
+    whole = framed.scan(spark, kind, str(tmp_path)).collect()
+    path = tmp_path / "s1" / framed.KINDS[kind][0]
+    data = path.read_bytes()
+    path.write_bytes(data[:5] + b"\xff" + data[6:-1])
+    wanted = spark.createDataFrame([(r.session, r.offset) for r in whole] * 2 + [("s0", 1), ("s0", 10**6), ("s2", len(data) - 3), ("none", 0), (None, 4), ("s0", -1)], "session string, offset long")
+    got = {(r.session, r.offset): r for r in framed.points(spark, kind, str(tmp_path), wanted, 200).collect()}
+    last = max(r.offset for r in whole if r.session == "s1")
+    assert all(got[r.session, r.offset] == r for r in whole if r.session != "s1" or 20 < r.offset < last)
+    assert {k: r.status for k, r in got.items() if k not in {(r.session, r.offset) for r in whole}} == {("s0", 1): "BAD_MAGIC", ("s0", 10**6): "EOF", ("s2", len(data) - 3): "TRUNCATED_HEADER", ("none", 0): "EOF"}
+    assert got["s1", last].status == "TORN_WRITE"

@@ -58,8 +58,7 @@ def capture(spark, folder: str, frames: DataFrame, pre: int = 10, post: int = 10
 def capture_findings(spark, folder: str) -> DataFrame:
     """``session, frame_id, finding`` of captures: records that the scan or the judge refuses, and where log and disk disagree.  With
     :func:`veristream.operators.verify.require` on ``finding`` the first is fatal."""
-    framed.register(spark)
-    records = V.judge_frames(spark.read.format("framed").option("kind", "frames").load(folder))
+    records = V.judge_frames(framed.scan(spark, "frames", folder))
     ref = F.col("stream_refs.frames")
     kept = events(event_lines(spark, folder)).where("evt = 'frame_kept'")
     log = kept.select("session", "frame_id", ref["offset"].alias("offset"), ref["length"].alias("length"), "content_sha256", "chain")
@@ -152,7 +151,7 @@ def stream_index(spark, folder: str, strict: bool = False) -> DataFrame:
         # One condition: as two filters the second could see only what the first leaves.
         fatal = F.raise_error(F.concat(F.lit("verification failed: "), "status")).cast("boolean")
         whole = F.when(F.col("status").isin("BAD_VERSION", "TOO_LARGE"), fatal).otherwise(whole)
-    cold = scan("cold").where(whole).withColumn("n", F.row_number().over(last)).where("n = 1")
+    cold = framed.scan(spark, "cold", folder).where(whole).withColumn("n", F.row_number().over(last)).where("n = 1")
     cold = cold.join(claimed.select("session", "frame_id").distinct(), ["session", "frame_id"], "left_semi")
     cold = cold.select("session", "frame_id", F.lit("residuals").alias("stream"), F.lit("cam_residuals.bin").alias("file"), "offset", (F.col("dlen") + framed.HEADER_BYTES).alias("length"), "status", F.col("payload_sha256").alias("content_hash"))
     return hot.unionByName(cold)

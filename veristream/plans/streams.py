@@ -14,6 +14,7 @@ from veristream.operators.shared import shared_folder
 from veristream.sources import framed, generate
 from veristream.streaming import guard as S
 from veristream.streaming import incidents as I
+from veristream.streaming import queue as Q
 
 from . import evidence, telemetry
 from .catalog import query, table
@@ -56,6 +57,31 @@ def framed_roundtrip(spark, d):
 DAY = 86_400_000
 
 
+@query("framed_split_scan", """WITH f AS (SELECT source AS session, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS frame_id, encode(coalesce(text, '')) AS p FROM documents WHERE source IS NOT NULL)
+SELECT session, frame_id, coalesce(sum(octet_length(p) + 13) OVER (PARTITION BY session ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS "offset", octet_length(p) AS dlen, sha256(p) AS payload_sha256, 'VERIFIED' AS status FROM f""")
+def framed_split_scan(spark, d):
+    """Documents as records of cold files, one file a source, scanned by several tasks a file."""
+    folder = f"{shared_folder(spark).removeprefix('file://')}/framed-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").where("source IS NOT NULL")
+    frames = W.numbered(docs, "source", "doc_id").select("session", "frame_id", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+    framed.write_cold(frames, folder).collect()  # one row for each session: the write has to be over before the scan
+    return framed.scan(spark, "cold", folder, 1 << 16).select("session", "frame_id", "offset", "dlen", "payload_sha256", "status")
+
+
+@query("residual_norms_by_offset", """WITH f AS (SELECT label::varchar AS session, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_id, 256 + vec_id % 4 AS n, embedding[1:64] AS v FROM embeddings)
+SELECT session, frame_id, coalesce(sum(n + 13) OVER (PARTITION BY session ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS "offset", n AS dlen, list_max(list_transform(v, lambda x: abs(x::double))) AS norm FROM f""")
+def residual_norms_by_offset(spark, d):
+    """Embeddings as residuals of uneven length: each read at the offset that its log claims, cut to whole lanes."""
+    folder = f"{shared_folder(spark).removeprefix('file://')}/framed-{uuid.uuid4().hex}"
+    named = W.numbered(table(spark, d, "embeddings").withColumn("name", F.col("label").cast("string")), "name", "vec_id")
+    odd = F.substring(F.unhex(F.lit("FFFFFF")), F.lit(1), (F.col("vec_id") % 4).cast("int"))
+    frames = generate.payloads(named, "embedding").withColumn("payload", F.concat("payload", odd))
+    framed.write_cold(frames.select("session", "frame_id", "payload"), folder).collect()  # one row for each session
+    claimed = V.running_offsets(frames, "session", "frame_id", F.octet_length("payload") + framed.HEADER_BYTES)
+    records = generate.vectors(framed.points(spark, "cold", folder, claimed.select("session", "offset")))
+    return records.select("session", "frame_id", "offset", "dlen", X.linf(F.col("vector")).alias("norm"))
+
+
 def ended_stream(spark, rows, make):
     """``make(stream)`` over rows as a stream that ends; its output is a table in the session's
     shared folder."""
@@ -141,3 +167,38 @@ def streaming_chain(spark, d):
     """All links of the chains that ``hash_chain_fold`` ends, from a stream."""
     frames = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("frame_id"), F.sha2("text", 256).alias("payload_sha256"))
     return ended_stream(spark, frames, S.chain)
+
+
+#: Of each shard: the first batch that puts it in, and the flush whose response is good, by the first digit of its digest.
+QUEUED = """WITH s AS (SELECT sha256(text) AS digest, min(doc_id % 2) AS batch FROM documents WHERE text IS NOT NULL GROUP BY 1),
+r AS (SELECT digest, batch, ('0x' || digest[1])::int % 4 AS good FROM s),
+o AS (SELECT *, good < 3 AND good >= batch AS anchored FROM r)
+SELECT 'sh1_' || digest AS shard_id, digest AS manifest_sha256, 59 AS query_bytes, CASE WHEN anchored THEN 'ANCHORED' ELSE 'PENDING' END AS state, CASE WHEN anchored THEN good - batch + 1 ELSE 3 - batch END AS attempts,
+ CASE WHEN anchored THEN 'tsa-' || good END AS authority, CASE WHEN anchored THEN '2024-01-0' || (good + 1) || 'T12:00:00Z' END AS anchored_at,
+ CASE WHEN NOT anchored THEN CASE WHEN good = 3 THEN 'response without time' ELSE 'no response' END END AS error FROM o"""
+
+
+@query("attestation_queue", QUEUED)
+def attestation_queue(spark, d):
+    """Documents as manifests, put in by a stream of two batches and tried by three flushes; the second batch holds all that the first
+    one did, a batch and a flush are repeated."""
+    at = f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}"
+    note = lambda text: F.lit(text).cast("string")
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("manifest"), F.col("source").alias("publisher_id"), note("2024-01-01T00:00:00Z").alias("created_at"), note(None).alias("queued_at"), note("breach").alias("note"))
+    q = Q.Queue(spark, f"{at}/queue")
+
+    def responses(flush):
+        digit = F.conv(F.substring("manifest_sha256", 1, 1), 16, 10).cast("int") % 4
+        time = F.unhex(F.concat(F.lit("180f"), F.hex(F.lit(f"2024010{flush + 1}120000Z"))))
+        given = F.when(digit == flush, time).when(digit == 3, F.unhex(F.lit("30030201")))
+        return q.listing().select("shard_id", F.lit(f"tsa-{flush}").alias("authority"), given.alias("response"))
+
+    for number, rows in enumerate((docs.where("doc_id % 2 = 0"), docs)):
+        Q.entries(rows).write.mode("append").parquet(f"{at}/sealed")
+        stream = spark.readStream.schema("shard_id string, manifest_sha256 string, query binary, record string").parquet(f"{at}/sealed")
+        q.fed_by(stream, f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+        q.flush(responses(number), number)
+    q.put(Q.entries(docs.where("doc_id % 2 = 0")), 0)
+    q.flush(responses(1), 1)
+    q.flush(responses(2), 2)
+    return q.listing().select("shard_id", "manifest_sha256", F.octet_length("query").alias("query_bytes"), "state", "attempts", "authority", "anchored_at", "error")

@@ -3,7 +3,8 @@
 ``spark.read.format("framed").option("kind", "hot" | "cold" | "frames").load(path)`` gives one row for each record that a scan
 finds, with a status; ``path`` is a file, or a folder whose sub-folders hold the kind's file.  Hot files have
 records of one length, so they are split by frame ranges and a ``frame_id`` filter seeks straight to its record; the others
-can only be walked, one task a file.  Cold files resynchronise on damage; frame files stop.
+are walked, one task a file.  Cold files resynchronise on damage; frame files stop.  :func:`scan` gives the rows of such a walk from many
+tasks a file.
 
 Writers: :func:`write_hot`, :func:`write_cold` and :func:`write_frames`, one file for each session, written where the session's
 rows are.  ``df.write.format("framed").option("kind", ...).save(path)`` writes ``session, frame_id, payload`` as they lie: a session's rows in one
@@ -37,7 +38,13 @@ RESYNC_CHUNK, RESYNC_MOST = 64 << 10, 64 << 20
 #: Records of a hot file that one task reads.
 HOT_SPLIT = 100_000
 
+#: Bytes of a cold or frame file that one task of :func:`scan` reads, and bytes between a record's header and its payload.
+SPLIT_BYTES = 64 << 20
+EXTRA = {"hot": 0, "cold": 0, "frames": 64}
+
 SCHEMA = "session string, offset long, magic binary, ver short, frame_id long, dlen long, payload_sha256 string, claimed_sha256 string, chain string, payload binary, status string, garbage long"
+_TYPES = {"string": pa.string(), "long": pa.int64(), "short": pa.int16(), "binary": pa.binary()}
+_ARROW = [_TYPES[f.split(" ")[1]] for f in SCHEMA.split(", ")]
 
 
 @dataclass
@@ -105,7 +112,7 @@ class FramedReader(DataSourceReader):
             elif self.kind == "hot":
                 yield from self._hot(f, split)
             else:
-                yield from self._walk(f, _session(split.path))
+                yield from _walk(f, self.kind, _session(split.path))
 
     def _hot(self, f, split):
         for number in range(split.first, split.first + split.count):
@@ -122,34 +129,189 @@ class FramedReader(DataSourceReader):
             status = "BAD_MAGIC" if magic != self.magic else "BAD_VERSION" if ver != VERSION else "DRIFT" if frame_id != number else "BAD_DIM" if dlen != HOT_PAYLOAD else "TORN_WRITE" if len(payload) < dlen else "VERIFIED"
             yield _row(_session(split.path), offset, magic, ver, frame_id, dlen, hashlib.sha256(payload).hexdigest(), payload=payload, status=status)
 
-    def _walk(self, f, session):
-        extra = 64 if self.kind == "frames" else 0
-        while True:
-            offset = f.tell()
-            head = f.read(HEADER_BYTES)
-            if not head:
-                return
-            if len(head) < HEADER_BYTES:
-                yield _row(session, offset, status="TRUNCATED_HEADER")
-                return
-            magic, ver, frame_id, dlen = struct.unpack(HEADER, head)
-            if magic != self.magic:
-                following = _next_magic(f, self.magic, offset + 1) if self.kind == "cold" else -1
-                yield _row(session, offset, magic, status="BAD_MAGIC" if following < 0 else "RESYNC", garbage=max(0, following - offset))
-                if following < 0:
-                    return
-                f.seek(following)
-                continue
-            if ver != VERSION or dlen > self.most:
-                yield _row(session, offset, magic, ver, frame_id, dlen, status="BAD_VERSION" if ver != VERSION else "TOO_LARGE")
-                return
-            claimed, payload = f.read(extra), f.read(dlen)
-            if len(claimed) < extra or len(payload) < dlen:
-                yield _row(session, offset, magic, ver, frame_id, dlen, status="TORN_WRITE")
+
+
+def _walk(f, kind, session, end=float("inf")):
+    """The records from where the file stands, of those that begin before ``end``."""
+    _, _, right, most = KINDS[kind]
+    extra = EXTRA[kind]
+    while (offset := f.tell()) < end:
+        head = f.read(HEADER_BYTES)
+        if not head:
+            return
+        if len(head) < HEADER_BYTES:
+            yield _row(session, offset, status="TRUNCATED_HEADER")
+            return
+        magic, ver, frame_id, dlen = struct.unpack(HEADER, head)
+        if magic != right:
+            following = _next_magic(f, right, offset + 1) if kind == "cold" else -1
+            yield _row(session, offset, magic, status="BAD_MAGIC" if following < 0 else "RESYNC", garbage=max(0, following - offset))
+            if following < 0:
                 return
-            digest = hashlib.sha256(payload).hexdigest()
-            status = "HASH_MISMATCH" if extra and claimed[:32].hex() != digest else "VERIFIED"
-            yield _row(session, offset, magic, ver, frame_id, dlen, digest, claimed[:32].hex() or None, claimed[32:].hex() or None, payload, status)
+            f.seek(following)
+            continue
+        if ver != VERSION or dlen > most:
+            yield _row(session, offset, magic, ver, frame_id, dlen, status="BAD_VERSION" if ver != VERSION else "TOO_LARGE")
+            return
+        claimed, payload = f.read(extra), f.read(dlen)
+        if len(claimed) < extra or len(payload) < dlen:
+            yield _row(session, offset, magic, ver, frame_id, dlen, status="TORN_WRITE")
+            return
+        digest = hashlib.sha256(payload).hexdigest()
+        status = "HASH_MISMATCH" if extra and claimed[:32].hex() != digest else "VERIFIED"
+        yield _row(session, offset, magic, ver, frame_id, dlen, digest, claimed[:32].hex() or None, claimed[32:].hex() or None, payload, status)
+
+
+def _skim(f, kind, size, end) -> int:
+    """Where the walk goes on from ``end``, or -1 if it stops before; payloads are passed over, not read."""
+    _, _, right, most = KINDS[kind]
+    while (offset := f.tell()) < end:
+        head = f.read(HEADER_BYTES)
+        if len(head) < HEADER_BYTES:
+            return -1
+        magic, ver, _, dlen = struct.unpack(HEADER, head)
+        if magic != right:
+            following = _next_magic(f, right, offset + 1) if kind == "cold" else -1
+            if following < 0:
+                return -1
+            f.seek(following)
+        elif ver != VERSION or dlen > most or (following := offset + HEADER_BYTES + EXTRA[kind] + dlen) > size:
+            return -1
+        else:
+            f.seek(following)
+    return offset
+
+
+def _guess(f, kind, begin, end) -> int:
+    """The first place in a range that looks like a record's header, or -1."""
+    _, _, right, most = KINDS[kind]
+    at = _next_magic(f, right, begin)
+    while 0 <= at < end:
+        f.seek(at)
+        head = f.read(HEADER_BYTES)
+        if len(head) == HEADER_BYTES and head[4] == VERSION and struct.unpack(HEADER, head)[3] <= most:
+            return at
+        at = _next_magic(f, right, at + 1)
+    return -1
+
+
+def _probe(batches, kind):
+    """Of each range: where its walk is taken to begin (given, or guessed where that is null), and where it goes on."""
+    for batch in batches:
+        entries, exits = [], []
+        for path, begin, end, entry in zip(*(batch.column(c).to_pylist() for c in ("path", "begin", "end", "entry")), strict=True):
+            with open(path, "rb") as f:
+                entries.append(_guess(f, kind, begin, end) if entry is None else entry)
+                exits.append(-1)
+                if entries[-1] >= 0:
+                    f.seek(entries[-1])
+                    exits[-1] = _skim(f, kind, os.path.getsize(path), end)
+        columns = [batch.column(c) for c in ("path", "begin", "end")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(entries, pa.int64()), pa.array(exits, pa.int64())], names=["path", "begin", "end", "entry", "exit"])
+
+
+def _read(batches, kind):
+    names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
+    for batch in batches:
+        for path, end, entry in zip(*(batch.column(c).to_pylist() for c in ("path", "end", "entry")), strict=True):
+            with open(path, "rb") as f:
+                if entry < 0:
+                    rows = iter([_row(_session(path), 0, status="BAD_FILE_HEADER")])
+                else:
+                    f.seek(entry)
+                    rows = _walk(f, kind, _session(path), end)
+                # Some records at a time: their payloads are what fills memory.
+                while some := list(itertools.islice(rows, 16)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _ARROW, strict=True)], names=names)
+
+
+def scan(spark, kind: str, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The rows of the walk of all cold or frame files below a folder, from a task for each ``split_bytes`` of a file.
+
+    A record's place is known only from the one before, so each range of a file is first skimmed from the first place in it that
+    looks like a header, all ranges at once.  Where the walk really enters a range follows from where it left the one before: a range whose
+    guess was wrong (a payload that holds a header, damage) is skimmed again from there.  Then all ranges are read from their true
+    entries.  The driver holds one row for each range."""
+    reader = FramedReader({"kind": kind, "path": folder})
+    shape = "path string, begin long, end long, entry long"
+    files = {}
+    for path in reader.files:
+        with open(path, "rb") as f:
+            whole = f.read(len(reader.file_magic)) == reader.file_magic
+        size = os.path.getsize(path)
+        # The first range begins where the records do.
+        head = len(reader.file_magic)
+        cuts = [head, *(c for c in range(split_bytes, size, split_bytes) if c > head)]
+        files[path] = list(zip(cuts, [*cuts[1:], size], strict=True)) if whole else []
+
+    def probed(ranges):
+        rows = spark.createDataFrame(ranges, shape).repartition(len(ranges)).mapInArrow(lambda b: _probe(b, kind), f"{shape}, exit long").collect()
+        return {(r.path, r.begin): (r.entry, r.exit) for r in rows}
+
+    todo = [(p, b, e, b if not k else None) for p, ranges in files.items() for k, (b, e) in enumerate(ranges)]
+    known, entries = {}, [(p, 0, 0, -1) for p, ranges in files.items() if not ranges]
+    while todo:
+        known |= probed(todo)
+        todo, true = [], []
+        for path, ranges in files.items():
+            at = ranges[0][0] if ranges else -1
+            for begin, end in ranges:
+                if at < 0:
+                    break
+                if at >= end:
+                    continue
+                if known[path, begin][0] != at:
+                    todo.append((path, begin, end, at))
+                    break
+                true.append((path, begin, end, at))
+                at = known[path, begin][1]
+    entries += true if known else []
+    if not entries:
+        return spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame(entries, shape).repartition(len(entries), "path", "begin").mapInArrow(lambda b: _read(b, kind), SCHEMA)
+
+
+def points(spark, kind: str, folder: str, wanted: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The records of ``session, offset`` rows, read at these places in order, without a scan: bytes read grow with the offsets.
+
+    A record is judged by itself (magic, version, length, a frame's hash); an offset behind the end, or of a session without a file, gives EOF.
+    Offsets of one range of a file go to one task, which seeks forward only."""
+    name, _, right, most = KINDS[kind]
+    extra, names = EXTRA[kind], [f.split(" ")[0] for f in SCHEMA.split(", ")]
+
+    def one(f, session, offset):
+        f.seek(offset)
+        head = f.read(HEADER_BYTES)
+        if len(head) < HEADER_BYTES:
+            return _row(session, offset, status="TRUNCATED_HEADER" if head else "EOF")
+        magic, ver, frame_id, dlen = struct.unpack(HEADER, head)
+        status = "BAD_MAGIC" if magic != right else "BAD_VERSION" if ver != VERSION else "TOO_LARGE" if dlen > most else "VERIFIED"
+        if status != "VERIFIED":
+            return _row(session, offset, magic, ver, frame_id, dlen, status=status)
+        claimed, payload = f.read(extra), f.read(dlen)
+        if len(claimed) < extra or len(payload) < dlen:
+            return _row(session, offset, magic, ver, frame_id, dlen, status="TORN_WRITE")
+        digest = hashlib.sha256(payload).hexdigest()
+        status = "HASH_MISMATCH" if extra and claimed[:32].hex() != digest else "VERIFIED"
+        return _row(session, offset, magic, ver, frame_id, dlen, digest, claimed[:32].hex() or None, claimed[32:].hex() or None, payload, status)
+
+    def rows(session, offsets):
+        path = os.path.join(folder, session, name)
+        if not os.path.exists(path):
+            yield from (_row(session, at, status="EOF") for at in offsets)
+            return
+        with open(path, "rb") as f:
+            yield from (one(f, session, at) for at in offsets)
+
+    def read(batches):
+        for session, mine in _by_session(batches, ["offset"]):
+            found = rows(session, (at for _, at in mine))
+            while some := list(itertools.islice(found, 16)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _ARROW, strict=True)], names=names)
+
+    places = wanted.where("session IS NOT NULL AND offset >= 0").select(F.col("session").cast("string").alias("session"), F.col("offset").cast("long").alias("offset")).distinct()
+    dealt = places.repartition("session", F.floor(F.col("offset") / split_bytes)).sortWithinPartitions("session", "offset")
+    return dealt.mapInArrow(read, SCHEMA)
 
 
 class FramedSource(DataSource):
