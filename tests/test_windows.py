@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from veristream.operators import guard as G
@@ -162,3 +163,43 @@ def test_sessions_are_sealed_and_stay_sealed(spark, tmp_path):
     assert {s: (r.frame_id, r.kept_from, r.kept_to, r.frames, r.closed_by) for s, r in incidents.items()} == {1: (2, 0, 4, 4, "end"), 2: (1, 0, 3, 2, "silence")}
     assert incidents[1].event == {"surface": "ice", "evt": "envelope_breach", "action": "a", "l_inf": "9.000000", "bound": "1.000000", "envelope_shard_id": "sh1", "reason": "norm exceeds bound"}
     assert incidents[2].event["l_inf"] == "inf" and len([r for r in rows if r.kind == "incident"]) == 2
+
+
+@pytest.mark.parametrize("sketch", [10_000, 20])
+def test_exact_percentiles(spark, monkeypatch, sketch):
+    """Few and many rows, ties, negative values, a null action; in a whole group and in a bracket."""
+    import random
+
+    import numpy as np
+
+    from veristream.operators import envelope as E
+
+    monkeypatch.setattr(E, "SKETCH", sketch)
+    draw = random.Random(1)
+    groups = {"one": [3.0], "two": [1.0, 2.0], None: [draw.gauss(0, 5) for _ in range(700)], "ties": draw.choices([1.0, 2.0, 7.5], k=500), "many": [draw.random() ** 9 for _ in range(3000)]}
+    rows = [(k, x) for k, values in groups.items() for x in values] + [("one", float("nan")), ("two", None), ("none", float("inf"))]
+    df = spark.createDataFrame(rows, "action string, norm double").repartition(5)
+    for p in (0.0, 0.5, 0.99, 1.0):
+        got = {r.action: (r.sample_count, r.bound) for r in E.learn(df, p, 1.1).collect()}
+        assert got.keys() == groups.keys()
+        for k, values in groups.items():
+            assert got[k][0] == len(values) and abs(got[k][1] - np.quantile(values, p) * 1.1) < 2e-6, (k, p)
+    plan = E.learn(df)._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "RDDScan" not in plan
+
+
+def test_lineage_over_cycles(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (6, 1), (1, 2), (4, 7)]
+    starts = [1, 5, 6, 8]
+    want = set()
+    for s in starts:
+        seen, frontier, hop = {s}, {s}, 0
+        while frontier:
+            want |= {(s, n, hop) for n in frontier}
+            frontier = {b for a, b in edges if a in frontier} - seen
+            seen |= frontier
+            hop += 1
+    from veristream.operators import graph as H
+
+    got = H.lineage_closure(spark.createDataFrame([(s,) for s in starts], "node long"), spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)

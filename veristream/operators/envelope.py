@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veristream.functions import exprs as X
-from veristream.operators.shared import placed
 
 PERCENTILE, MARGIN = 0.99, 1.1
 
 
+#: Ranks that a sketch of a group's norms tells apart.
+SKETCH = 10_000
+
+
 def learn(frames: DataFrame, percentile: float = PERCENTILE, margin: float = MARGIN) -> DataFrame:
     """``action, sample_count, bound`` from ``action, norm``: the exact percentile, between the two neighbouring ranks.  Non-finite
     norms don't count.
 
-    No task holds an action's norms: they are sorted by ranges, numbered within their action, and the rows at the two ranks are
-    looked up."""
-    ranked = placed(frames.where(X.is_finite(F.col("norm"))).select("action", "norm"), "action", [F.col("norm")], "place")
-    sizes = ranked.groupBy("action").agg(F.count("*").alias("sample_count")).withColumn("rank", (F.col("sample_count") - 1) * percentile)
-    sizes = sizes.withColumnRenamed("action", "name")
-    near = ranked.join(sizes, F.col("action").eqNullSafe(F.col("name")) & F.col("place").isin(F.floor("rank"), F.ceil("rank")))
-    low, high = F.min("norm"), F.max("norm")
-    part = F.first("rank") - F.floor(F.first("rank"))
-    return near.groupBy("action").agg(F.first("sample_count").alias("sample_count"), F.round((low + (high - low) * part) * margin, 6).alias("bound"))
+    A sketch of each action's norms brackets both ranks; a second pass counts the norms below the bracket and each value in it, before
+    anything is shuffled.  What one task sorts of an action is the values in its bracket, four parts in ``SKETCH`` of its rows.  The
+    job fails if a rank lay outside, which the sketch's bound excludes."""
+    norms = frames.where(X.is_finite(F.col("norm"))).select("action", "norm")
+    around = [max(0.0, percentile - 2 / SKETCH), min(1.0, percentile + 2 / SKETCH)]
+    # One rank more on either side: a group may have few rows.
+    bracket = norms.groupBy("action").agg(F.count("*").alias("sample_count"), F.percentile_approx("norm", around, SKETCH).alias("q"), F.min("norm").alias("least"), F.max("norm").alias("most"))
+    few = F.col("sample_count") <= SKETCH
+    low, high = F.when(few, F.col("least")).otherwise(F.col("q")[0]), F.when(few, F.col("most")).otherwise(F.col("q")[1])
+    bracket = bracket.select(F.col("action").alias("name"), "sample_count", ((F.col("sample_count") - 1) * percentile).alias("rank"), low.alias("low"), high.alias("high"))
+    met = norms.join(bracket, F.col("action").eqNullSafe(F.col("name")) & (F.col("norm") <= F.col("high")))
+    value = F.when(F.col("norm") >= F.col("low"), F.col("norm"))
+    counted = met.groupBy("action", "sample_count", "rank", value.alias("value")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("action").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("upto", F.sum("n").over(upto))
+    # The value at a rank is the first of which so many rows lie at or below it.
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.struct("upto", "value")))["value"]
+    found = counted.groupBy("action").agg(F.first("sample_count").alias("sample_count"), F.first("rank").alias("rank"), at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"))
+    part = F.col("rank") - F.floor("rank")
+    bound = F.round((F.col("a") + (F.col("b") - F.col("a")) * part) * margin, 6)
+    outside = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
+    return found.select("action", "sample_count", F.when(F.col("a").isNull() | F.col("b").isNull(), outside).otherwise(bound).alias("bound"))
 
 
 def require_rows(rows: DataFrame, what: str) -> DataFrame:

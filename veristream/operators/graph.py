@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veristream.operators.shared import checkpointed
+
 from veristream.functions import exprs as X
 
 
@@ -60,6 +62,22 @@ def lineage(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return every.groupBy("start", "node").agg(F.min("hop").alias("hop"))
 
 
+def lineage_closure(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``start, node, hop`` of all that is reached along ``src, dst`` edges, to any depth; cycles are safe.
+
+    Each round follows the edges of what the round before found first, and leaves out what was reached already; it ends when
+    nothing is new.  Rounds are cut off by checkpoints, and are as many as the longest of the shortest paths."""
+    step = edges.select("src", "dst").distinct()
+    frontier = checkpointed(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hop")).distinct())
+    reached, hop = frontier, 0
+    while frontier.head(1):
+        hop += 1
+        new = frontier.join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        frontier = checkpointed(new.join(reached, ["start", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        reached = reached.union(frontier)
+    return reached
+
+
 def lineage_recursive(spark, starts: DataFrame, edges: DataFrame, levels: int = 1000) -> DataFrame:
     """The same in SQL, to any depth within ``levels``; edges must not form a cycle."""
     return spark.sql(

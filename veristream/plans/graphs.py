@@ -168,6 +168,20 @@ def lineage_recursive(spark, d):
     return H.lineage_recursive(spark, starts, all_edges)
 
 
+#: Customers refer to the one with a third of their key, the last one is referred to by the first: a cycle.
+REFERRED = """WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey // 3 AS dst FROM customer UNION SELECT 0, max(c_custkey) FROM customer),
+r AS (SELECT c_custkey AS start, c_custkey AS node, 0 AS hop FROM customer UNION ALL SELECT start, dst, hop + 1 FROM r JOIN e ON e.src = r.node WHERE hop < 40)
+SELECT start, node, min(hop) AS hop FROM r GROUP BY start, node"""
+
+
+@query("lineage_closure", REFERRED)
+def lineage_closure(spark, d):
+    """All that each customer's reference leads to, over a cycle."""
+    c = table(spark, d, "customer")
+    edges = c.select(F.col("c_custkey").alias("src"), F.floor(F.col("c_custkey") / 3).alias("dst")).union(c.select(F.lit(0).cast("long"), F.max("c_custkey")))
+    return H.lineage_closure(c.select(F.col("c_custkey").alias("node")), edges)
+
+
 @query("last_wins_index", "SELECT user_id, event_type, arg_max(props, event_id) AS props FROM events GROUP BY user_id, event_type")
 def last_wins_index(spark, d):
     return H.last_wins(table(spark, d, "events"), ["user_id", "event_type"], "props", "event_id")
