@@ -203,3 +203,24 @@ def test_lineage_over_cycles(spark):
 
     got = H.lineage_closure(spark.createDataFrame([(s,) for s in starts], "node long"), spark.createDataFrame(edges, "src long, dst long")).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_training_document_and_its_citations(spark):
+    """Places by ranges are those of the text put together; every claim cites its line, and the bytes there are the claimed text."""
+    from veristream.operators import manifest as M
+    from veristream.operators import verify as V
+
+    capsules = spark.createDataFrame([(f"é{k % 7}-{k}", f"{k:064x}") for k in range(400)], "name string, sha256 string").repartition(5)
+    bounds = spark.createDataFrame([("steer", 9, 0.5, 0.55), ("größer", 3, 1e-7, 1.1e-7)], "action string, sample_count long, value double, bound double")
+    document = M.placed(M.lines(capsules, bounds, "2024-01-01T00:00:00Z"))
+    rows = sorted(document.collect(), key=lambda r: r.byte_start)
+    text = "".join(r.line + "\n" for r in rows).encode()
+    assert all(text[r.byte_start : r.byte_end].decode() == r.line for r in rows) and rows[-1].byte_end == len(text) - 1
+    assert [r.line for r in rows][:8] == ["BOUNDS COMPILER: TRAINING MANIFEST", "=" * 35, "Generated: 2024-01-01T00:00:00Z", "Capsules: 400", "Percentile: 99", "Safety margin: 1.1", "---", f"capsule: é0-0 sha256: {'0' * 64}"]
+    assert [r.key for r in rows if r.section == 7] == sorted((f"é{k % 7}-{k}" for k in range(400)), key=str.encode)
+    g = M.graph(document, bounds)
+    spans = g["provenance"].join(g["spans"].select("span_id", "text"), "span_id").withColumn("content", F.lit(text))
+    matched = V.span_matches(spans, F.col("content"), F.col("byte_start"), F.col("byte_end"), F.col("text"))
+    assert matched.where("matches").select("claim_id").distinct().count() == g["claims"].count() == 8
+    changed = M.placed(M.lines(capsules.where("name <> 'é1-1'"), bounds, "2024-01-01T00:00:00Z"))
+    assert M.source_hash(changed).first() != M.source_hash(document).first()

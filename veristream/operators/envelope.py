@@ -15,7 +15,12 @@ SKETCH = 10_000
 
 
 def learn(frames: DataFrame, percentile: float = PERCENTILE, margin: float = MARGIN) -> DataFrame:
-    """``action, sample_count, bound`` from ``action, norm``: the exact percentile, between the two neighbouring ranks.  Non-finite
+    """``action, sample_count, bound`` from ``action, norm``: the exact percentile and a margin."""
+    return percentiles(frames, percentile).select("action", "sample_count", F.round(F.col("value") * margin, 6).alias("bound"))
+
+
+def percentiles(frames: DataFrame, percentile: float = PERCENTILE) -> DataFrame:
+    """``action, sample_count, value`` from ``action, norm``: the exact percentile, between the two neighbouring ranks.  Non-finite
     norms don't count.
 
     A sketch of each action's norms brackets both ranks; a second pass counts the norms below the bracket and each value in it, before
@@ -37,9 +42,9 @@ def learn(frames: DataFrame, percentile: float = PERCENTILE, margin: float = MAR
     at = lambda rank: F.min(F.when(F.col("upto") > rank, F.struct("upto", "value")))["value"]
     found = counted.groupBy("action").agg(F.first("sample_count").alias("sample_count"), F.first("rank").alias("rank"), at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"))
     part = F.col("rank") - F.floor("rank")
-    bound = F.round((F.col("a") + (F.col("b") - F.col("a")) * part) * margin, 6)
+    between = F.col("a") + (F.col("b") - F.col("a")) * part
     outside = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
-    return found.select("action", "sample_count", F.when(F.col("a").isNull() | F.col("b").isNull(), outside).otherwise(bound).alias("bound"))
+    return found.select("action", "sample_count", F.when(F.col("a").isNull() | F.col("b").isNull(), outside).otherwise(between).alias("value"))
 
 
 def require_rows(rows: DataFrame, what: str) -> DataFrame:

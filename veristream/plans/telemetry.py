@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from veristream.functions import exprs as X
 from veristream.operators import envelope as E
 from veristream.operators import guard as G
+from veristream.operators import manifest as M
 from veristream.operators import windows as W
 
 from .catalog import query, table
@@ -72,6 +73,41 @@ def manifest_lines(spark, d):
     return E.manifest_lines(vector_envelope(spark, d))
 
 
+#: The training document of the embeddings' envelope, with documents as its capsules: lines, their bytes, and what is cited.
+DOCUMENT = """e99 AS (SELECT label::varchar AS action, count(*) AS n, quantile_cont(x, 0.99) AS p FROM (SELECT label, list_max(list_transform(embedding, lambda x: abs(x::double))) AS x FROM embeddings) WHERE isfinite(x) GROUP BY label),
+l AS (
+  SELECT 0 AS section, '' AS key, 'BOUNDS COMPILER: TRAINING MANIFEST' AS line UNION ALL SELECT 1, '', repeat('=', 35) UNION ALL SELECT 2, '', 'Generated: 2024-01-01T00:00:00Z' UNION ALL SELECT 3, '', 'Capsules: ' || count(*) FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 4, '', 'Percentile: 99' UNION ALL SELECT 5, '', 'Safety margin: 1.1' UNION ALL SELECT 6, '', '---' UNION ALL SELECT 8, '', '---'
+  UNION ALL SELECT 7, 'doc-' || doc_id, 'capsule: doc-' || doc_id || ' sha256: ' || sha256(text) FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 9, action, 'action: ' || action || ' frames: ' || n || ' p99_linf: ' || printf('%.6f', round(p, 6)) || ' bound: ' || printf('%.6f', round(p * 1.1, 6)) FROM e99
+),
+o AS (SELECT *, (sum(octet_length(encode(line)) + 1) OVER (ORDER BY section, key, line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::bigint - 1 AS byte_end FROM l),
+doc AS (SELECT section, key, line, byte_end - octet_length(encode(line)) AS byte_start, byte_end FROM o)"""
+
+
+def training(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("action"), X.linf(F.col("embedding")).alias("norm"))
+    bounds = E.percentiles(v).withColumn("bound", F.round(F.col("value") * E.MARGIN, 6))
+    capsules = table(spark, d, "documents").where("text IS NOT NULL").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.sha2("text", 256).alias("sha256"))
+    return M.placed(M.lines(capsules, bounds, "2024-01-01T00:00:00Z")), bounds
+
+
+@query("training_document", f"WITH {DOCUMENT} SELECT * FROM doc")
+def training_document(spark, d):
+    """All lines of the document with their bytes' places."""
+    return training(spark, d)[0]
+
+
+@query("envelope_evidence", f"""WITH {DOCUMENT}, {CLAIMS}
+SELECT c.subject, c.predicate, c.object, doc.byte_start, doc.byte_end, doc.line AS text FROM envelope_claims c JOIN doc ON doc.section = 9 AND c.subject = 'bounds/' || doc.key""")
+def envelope_evidence(spark, d):
+    """Each bound claim with the bytes of the document that it cites."""
+    document, bounds = training(spark, d)
+    g = M.graph(document, bounds)
+    rows = g["claims"].join(g["provenance"], "claim_id").join(g["spans"].select("span_id", "text"), "span_id")
+    return rows.select("subject", "predicate", "object", "byte_start", "byte_end", "text")
+
+
 @query("vector_linf_distance", """SELECT a.vec_id, list_max(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(p[1] - p[2])))::double AS distance
  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def vector_linf_distance(spark, d):
