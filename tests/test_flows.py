@@ -108,6 +108,8 @@ def test_train_and_fly(spark, capsules, tmp_path):
     flows.record(spark, str(tmp_path), generate.missions(spark, 3, 80, seed=100, residual_bytes=16))
     envelope = flows.train(spark, str(tmp_path))
     assert {r.action: r.sample_count for r in envelope.collect()} == dict.fromkeys(generate.SAFE, 60)
+    summaries = [json.loads(p.read_text()) for p in sorted(tmp_path.rglob("session.json"))]
+    assert [(s["session_id"], s["robot_id"], s["frames"], s["triggered"]) for s in summaries] == [(f"mission-{k}", "robot-001", 80, False) for k in range(3)]
     shard = spark.createDataFrame([("sh1", "key", True, True, 0)], "shard_id string, publisher string, has_key boolean, verified boolean, tier int")
     store = spark.createDataFrame([("key",)], "fingerprint string")
     flight = flows.capsule_frames(spark, capsules)
@@ -116,6 +118,9 @@ def test_train_and_fly(spark, capsules, tmp_path):
     assert decisions.where("verdict = 'PERMIT'").count() == 50
     refused, _ = flows.fly(flight, envelope, shard, store.where("false"))
     assert {r.reason for r in refused.where("frame_id = 0").collect()} == {"no bound"}
+    # A capsule without its stream isn't learned from.
+    (tmp_path / "mission-2" / "cam_latents.bin").unlink()
+    assert {r.sample_count for r in flows.train(spark, str(tmp_path)).collect()} == {40}
 
 
 def test_trusted_keys(spark, tmp_path):

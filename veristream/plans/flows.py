@@ -37,7 +37,9 @@ def record(spark, folder: str, missions: DataFrame, pre: int = 20, post: int = 2
     base = F.to_json(F.struct("frame_id", F.lit(robot).alias("robot_id"), F.col("action").alias("selected_action"), F.col("distribution").alias("action_distribution"), ref.alias("stream_refs")))
     extra = F.when(trigger, F.to_json(F.struct("evt", F.lit("ice").alias("surface"))))
     framed.write_event_log(missions.select("session", "frame_id", base.alias("base"), extra.alias("extra")), folder).collect()
-    return W.summary(kept, trigger)
+    summary = W.summary(kept, trigger)
+    framed.write_summaries(summary.select("session", F.struct(F.col("session").alias("session_id"), F.lit(robot).alias("robot_id"), F.col("observed").alias("frames"), "triggered").alias("summary")), folder).collect()
+    return summary
 
 
 def capture(spark, folder: str, frames: DataFrame, pre: int = 10, post: int = 10) -> DataFrame:
@@ -166,8 +168,10 @@ def capsule_frames(spark, folder: str) -> DataFrame:
 
 
 def train(spark, folder: str) -> DataFrame:
-    """The envelope of all training capsules below a folder; the job fails if no frame gives a norm."""
-    return E.require_rows(E.learn(capsule_frames(spark, folder)), "frames to learn from")
+    """The envelope of all training capsules below a folder, those that have both a log and a hot stream; the job fails if no frame gives a
+    norm."""
+    capsules = framed.discover(framed.listed(spark, folder, "cam_latents.bin"), framed.listed(spark, folder, "events.jsonl"))
+    return E.require_rows(E.learn(capsule_frames(spark, folder).join(capsules, "session", "left_semi")), "frames to learn from")
 
 
 def fly(frames: DataFrame, envelope: DataFrame, shard: DataFrame, store: DataFrame, max_tier: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -451,7 +451,7 @@ def _sessions(rows: DataFrame, columns: list[str], name: str, head: bytes, recor
                 size = f.tell()
             yield pa.RecordBatch.from_arrays([pa.array([session]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["session", "records", "bytes"])
 
-    dealt = rows.select("session", *columns).repartition("session").sortWithinPartitions("session", "frame_id")
+    dealt = rows.select("session", *dict.fromkeys(["frame_id", *columns])).repartition("session").sortWithinPartitions("session", "frame_id")
     return dealt.mapInArrow(write, "session string, records long, bytes long")
 
 
@@ -509,6 +509,16 @@ def write_event_log(events: DataFrame, folder: str) -> DataFrame:
     return written.selectExpr("session", "records AS lines")
 
 
+def write_summaries(rows: DataFrame, folder: str) -> DataFrame:
+    """One ``session.json`` for each ``session, summary`` (a struct, written as JSON)."""
+
+    def line(_, summary, state):
+        return summary.encode() + b"\n", state
+
+    made = rows.select("session", F.lit(0).alias("frame_id"), F.to_json("summary").alias("summary"))
+    return _sessions(made, ["summary"], "session.json", b"", line, folder).select("session")
+
+
 def listed(spark, folder: str, name: str) -> DataFrame:
     """``session`` of each file of a name below a folder, by listing: no file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder)
