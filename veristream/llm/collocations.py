@@ -43,7 +43,7 @@ WORD_END[[0x20, 0x09]] = True
 
 #: Text of a bucket, on average, and words that a task counts at once.
 BUCKET_BYTES = 4 << 20
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 
 _PACKED = pa.schema([("bucket", pa.int64()), ("rows", pa.binary())])
 _COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
@@ -105,7 +105,7 @@ def grams(langs: pa.Array, texts: pa.Array, max_n: int, buckets: int):
 
 
 def _explode(batches, max_n: int, buckets: int):
-    for part in tx.slices(batches, limit=2 * tx.SLICE_BYTES):
+    for part in tx.slices(batches):
         for bucket, table in grams(part.column("lang"), part.column("text"), max_n, buckets):
             order = np.argsort(bucket, kind="stable")
             table, bucket = table.take(pa.array(order)).combine_chunks(), bucket[order]
