@@ -167,3 +167,23 @@ def test_captures_are_judged_with_their_log(spark, tmp_path):
         from veristream.operators import verify as V
 
         V.require(flows.capture_findings(spark, str(tmp_path)), "finding").collect()
+
+
+def test_captures_become_graphs(spark, tmp_path):
+    """Claims cite the log's bytes; a damaged capture gives no graph."""
+    frames = spark.createDataFrame([(s, k, f"{s} frame {k}".encode(), k in (5, 18)) for s in ("a", "b") for k in range(30)], "session string, frame_id long, payload binary, trigger boolean")
+    flows.capture(spark, str(tmp_path), frames, pre=2, post=3)
+    tables = {name: t.collect() for name, t in flows.capture_tables(spark, str(tmp_path)).items()}
+    count = {p: sum(c.predicate == p for c in tables["claims"]) for p in {c.predicate for c in tables["claims"]}}
+    # The captures' sensors have no name, so their triggers and windows are the same claims, with two lines of evidence each.
+    assert count == {"content_sha256": 20, "declared_trigger": 1, "trigger_source": 2, "closed_capture_window": 2}
+    assert len(tables["streams"]) == 20 and {r.status for r in tables["streams"]} == {"VERIFIED"}
+    logs = {hashlib.sha256(p.read_bytes()).hexdigest(): p.read_bytes() for p in tmp_path.rglob("events.jsonl")}
+    assert len(logs) == 2 and all(logs[s.source_hash][s.byte_start : s.byte_end].decode() == s.text for s in tables["spans"])
+    spans, claims = {s.span_id for s in tables["spans"]}, {c.claim_id for c in tables["claims"]}
+    assert {p.span_id for p in tables["provenance"]} == spans and {p.claim_id for p in tables["provenance"]} == claims
+    path = tmp_path / "a" / "frames.bin"
+    data = path.read_bytes()
+    path.write_bytes(data.replace(b"a frame 6", b"A frame 6"))
+    with pytest.raises(Exception, match="verification failed"):
+        flows.capture_tables(spark, str(tmp_path))

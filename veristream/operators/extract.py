@@ -51,8 +51,8 @@ def capture_claims(events: DataFrame, *keep: str) -> DataFrame:
     return _exploded(events, list(keep), [
         _claim(e == "capture_trigger", sensor, "declared_trigger", F.col("reason"), TEXT, 1),
         _claim(e == "capture_trigger", at("trigger/frame", F.col("frame_id")), "trigger_source", F.col("source"), TEXT, 1),
-        _claim(e == "capture_window_opened", sensor, "opened_capture_window", at("frame", F.coalesce("first_kept", "frame_id")), ENTITY, 1),
-        _claim(e == "capture_window_closed", sensor, "closed_capture_window", own, ENTITY, 1),
+        _claim(e == "capture_window_opened", sensor, "opened_capture_window", at("frame", F.coalesce("first_kept", "frame_id")), TEXT, 1),
+        _claim(e == "capture_window_closed", sensor, "closed_capture_window", own, TEXT, 1),
         _claim(e == "frame_kept", own, "content_sha256", F.col("content_sha256"), TEXT, 1),
     ])
 

@@ -44,7 +44,7 @@ def record(spark, folder: str, missions: DataFrame, pre: int = 20, post: int = 2
 
 def capture(spark, folder: str, frames: DataFrame, pre: int = 10, post: int = 10) -> DataFrame:
     """Write the frames ``session, frame_id, payload, trigger`` that the windows around triggers keep, and a log that claims each by its
-    place, hash and link.  Gives ``session, observed, kept, triggers, triggered``."""
+    place, hash and link, and states triggers and windows' ends.  Gives ``session, observed, kept, triggers, triggered``."""
     judged = W.keep_extending(frames, F.col("trigger"), pre, post)
     kept = judged.where("kept")
     framed.write_frames(kept.select("session", "frame_id", "payload"), folder).collect()  # one row a session
@@ -53,7 +53,12 @@ def capture(spark, folder: str, frames: DataFrame, pre: int = 10, post: int = 10
     rows = placed.join(V.chained(kept, "session", "frame_id", F.sha2("payload", 256)), ["session", "frame_id"])
     ref = F.struct(F.struct(F.lit("frames.bin").alias("file"), "offset", "length").alias("frames"))
     line = F.to_json(F.struct("frame_id", F.lit("frame_kept").alias("evt"), ref.alias("stream_refs"), F.col("payload_sha256").alias("content_sha256"), "chain"))
-    framed.write_event_log(rows.select("session", "frame_id", line.alias("base"), F.lit(None).cast("string").alias("extra")), folder).collect()
+    lines = rows.select("session", "frame_id", line.alias("base"))
+    said = F.to_json(F.struct("frame_id", F.lit("capture_trigger").alias("evt"), F.lit("trigger").alias("reason"), F.lit("caller").alias("source")))
+    lines = lines.union(frames.where("trigger").select("session", "frame_id", said.alias("base")))
+    closed = F.to_json(F.struct(F.col("last_frame").alias("frame_id"), F.lit("capture_window_closed").alias("evt")))
+    lines = lines.union(W.brackets(kept.select("session", "frame_id")).select("session", F.col("last_frame").alias("frame_id"), closed.alias("base")))
+    framed.write_event_log(lines.withColumn("extra", F.lit(None).cast("string")), folder).collect()
     return W.summary(judged, F.col("trigger"))
 
 
@@ -110,19 +115,40 @@ def graph_tables(spark, folder: str, namespace: str = NAMESPACE) -> dict[str, Da
         *where, F.lit(None).cast("string").alias("envelope_shard_id"), F.coalesce("robot", F.lit("robot-001")).alias("subject"), F.lit("considered_action").alias("predicate"),
         literal.alias("object"), F.lit(C.TEXT).alias("object_type"), F.lit(2).alias("tier"),
     )
-    every = C.distinct_claims(plain.unionByName(weighed).withColumn("evidence", F.concat("session", F.lit("\0"), "line")))
-    every = every.withColumn("claim_id", X.deterministic_id("c_", F.col("subject"), F.col("predicate"), F.col("object"), F.col("object_type")))
-    every = every.withColumn("span_id", X.deterministic_id("s_", F.col("source_hash"), F.col("byte_start").cast("string"), F.col("byte_end").cast("string"), F.col("line")))
-    claims = every.select("claim_id", "subject", "predicate", "object", "object_type", "tier").dropDuplicates(["claim_id"])
+    every = _cited(plain.unionByName(weighed))
     # A breach cites the envelope that was in force.
     cites = every.where("predicate = 'breached_envelope' AND envelope_shard_id IS NOT NULL")
+    return _graph(every, namespace) | {
+        "references": cites.select("claim_id", *H.citation(F.col("envelope_shard_id"), "cites", IN_FORCE)).distinct(),
+        "streams": stream_index(spark, folder),
+    }
+
+
+def capture_tables(spark, folder: str, namespace: str = NAMESPACE) -> dict[str, DataFrame]:
+    """``claims``, ``entities``, ``spans``, ``provenance`` and ``streams`` of all captures below a folder.  Their records are judged first: a capture
+    that was tampered with, cut or reordered, or whose log and disk disagree, fails before anything is built."""
+    V.require(capture_findings(spark, folder), "finding").write.format("noop").mode("overwrite").save()
+    log = events(event_lines(spark, folder)).withColumnsRenamed({"sensor_id": "sensor", "first_kept_frame_id": "first_kept"})
+    every = _cited(C.capture_claims(log, "session", "source_hash", "line", "byte_start", "byte_end"))
+    records = V.judge_frames(framed.scan(spark, "frames", folder))
+    streams = records.select("session", "frame_id", F.lit("frames").alias("stream"), F.lit("frames.bin").alias("file"), "offset", "length", "status", F.col("content_sha256").alias("content_hash"))
+    return _graph(every, namespace) | {"streams": streams}
+
+
+def _cited(claims: DataFrame) -> DataFrame:
+    """Distinct claims with their ids and those of the lines that they cite."""
+    every = C.distinct_claims(claims.withColumn("evidence", F.concat("session", F.lit("\0"), "line")))
+    every = every.withColumn("claim_id", X.deterministic_id("c_", F.col("subject"), F.col("predicate"), F.col("object"), F.col("object_type")))
+    return every.withColumn("span_id", X.deterministic_id("s_", F.col("source_hash"), F.col("byte_start").cast("string"), F.col("byte_end").cast("string"), F.col("line")))
+
+
+def _graph(every: DataFrame, namespace: str) -> dict[str, DataFrame]:
+    claims = every.select("claim_id", "subject", "predicate", "object", "object_type", "tier").dropDuplicates(["claim_id"])
     return {
         "claims": claims,
         "entities": H.entities(claims, namespace),
         "spans": every.select("span_id", "source_hash", "byte_start", "byte_end", F.col("line").alias("text")).distinct(),
         "provenance": every.select(X.deterministic_id("p_", F.col("claim_id"), F.col("span_id")).alias("provenance_id"), "claim_id", "span_id", "source_hash", "byte_start", "byte_end").distinct(),
-        "references": cites.select("claim_id", *H.citation(F.col("envelope_shard_id"), "cites", IN_FORCE)).distinct(),
-        "streams": stream_index(spark, folder),
     }
 
 

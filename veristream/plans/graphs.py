@@ -71,7 +71,7 @@ CAPTURE_KINDS = {"error": "capture_trigger", "view": "capture_window_opened", "c
 CAPTURED = "captured AS (SELECT event_id, event_id AS frame_id, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CAPTURE_KINDS.items()) + " END AS evt, CASE WHEN event_id % 4 <> 0 THEN 'sensor-' || user_id ELSE 'sensor-unknown' END AS sensor, props AS reason, CASE WHEN event_id % 2 = 0 THEN event_id - 3 END AS first_kept, sha256(props) AS h FROM events)"
 CAPTURE_CLAIMS = f"WITH {CAPTURED} " + _branches([
     ("evt = 'capture_trigger'", "sensor", "declared_trigger", "reason", "literal:string", 1), ("evt = 'capture_trigger'", "'trigger/frame-' || frame_id", "trigger_source", "'bench'", "literal:string", 1),
-    ("evt = 'capture_window_opened'", "sensor", "opened_capture_window", "'frame-' || coalesce(first_kept, frame_id)", "entity", 1), ("evt = 'capture_window_closed'", "sensor", "closed_capture_window", "'frame-' || frame_id", "entity", 1),
+    ("evt = 'capture_window_opened'", "sensor", "opened_capture_window", "'frame-' || coalesce(first_kept, frame_id)", "literal:string", 1), ("evt = 'capture_window_closed'", "sensor", "closed_capture_window", "'frame-' || frame_id", "literal:string", 1),
     ("evt = 'frame_kept'", "'frame-' || frame_id", "content_sha256", "h", "literal:string", 1),
 ]).replace("FROM logged", "FROM captured")
 
