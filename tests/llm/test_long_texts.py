@@ -20,7 +20,7 @@ before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
 REPORT = "\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
 CASES = {
     "quality": "from veristream.llm import quality\nassert quality.assess(table['text'].combine_chunks())['n_words'][0] > 8e6",
-    "simhash": "from veristream.llm import simhash\nassert simhash.simhashes(table['text'].combine_chunks(), simhash.SIMILAR).any()",
+    "simhash": "from veristream.llm import similar, simhash\nassert simhash.simhashes(table['text'].combine_chunks(), similar.SPACE).any()",
     "substrings": """
 from veristream.llm import substrings
 steps = substrings.Steps(20, 12, True)

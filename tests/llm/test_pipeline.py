@@ -7,7 +7,7 @@ from collections import Counter
 import pyarrow as pa
 
 import corpus_pipeline
-from tests.llm import test_bpe, test_mixing, test_simhash, test_substrings
+from tests.llm import test_bpe, test_mixing, test_similar, test_substrings
 from veristream.llm import mixing, quality
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -32,7 +32,7 @@ def check_stages(spark, docs, folder, tmp_path):
             kept = [r for r in old if quality.assess(pa.array([r.text], pa.string()))["kept"][0]]
             assert sorted(map(str, new)) == sorted(map(str, kept)) and 0 < len(new) < len(old)
         elif name.startswith("op9"):
-            test_simhash.check_kept([(r.doc_id, r.text) for r in new], [(r.doc_id, r.text) for r in old])
+            test_similar.check_kept([(r.doc_id, r.text) for r in new], [(r.doc_id, r.text) for r in old])
             assert {str(r) for r in new} <= {str(r) for r in old}
         elif name.startswith("op3"):
             want = test_substrings.by_hand([(r.doc_id, r.text) for r in old], 20)

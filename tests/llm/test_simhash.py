@@ -7,7 +7,6 @@ import pyarrow as pa
 import xxhash
 
 from veristream.llm import simhash
-from veristream.llm import textops as tx
 from veristream.llm.cluster import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -23,15 +22,6 @@ def print_of(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def similar_print_of(text):
-    """256 bits as they are laid out: the digest's bytes in order, then both its halves mixed; bits count from their first byte."""
-    h = []
-    for s in shingles(text, 5):
-        digest = xxhash.xxh3_128_digest(s, 42)
-        h.append(int.from_bytes(digest + tx.mix(np.frombuffer(digest, "<u8")).tobytes(), "little"))
-    return sum(1 << b for b in range(256) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
-
-
 def classes(prints, radius=3):
     """For each fingerprint the smallest one reachable, by comparing all pairs."""
     prints = sorted(set(prints))
@@ -136,64 +126,3 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {n for a, b in edges if a != b for n in (a, b)}
     assert got == {n: find(n) for n in linked}
-
-
-def kept_by_hand(rows):
-    """The row kept of each group, (doc_id, text), by comparing all pairs of 256-bit prints."""
-    prints = {t: similar_print_of(t) for _, t in rows}
-    root = classes(prints.values(), simhash.SIMILAR.radius)
-    groups = {}
-    for d, t in rows:
-        groups.setdefault(root[prints[t]], []).append((d, t))
-    return groups
-
-
-def check_kept(kept, rows):
-    groups = kept_by_hand(rows)
-    assert len(kept) == len(groups)
-    left = {}
-    for d, t in kept:
-        left.setdefault(similar_print_of(t), []).append((d, t))
-    for group in groups.values():
-        mine = [r for r in kept if r in group]
-        assert len(mine) == 1
-        named = [d for d, _ in group if d is not None]
-        assert mine[0][0] == (min(named) if named else None)
-
-
-def test_near_dedup_keeps_one_row_of_each(odd, empty):
-    kept = simhash.near_dedup(odd)
-    assert kept.columns == odd.columns
-    rows = [(r.doc_id, r.text) for r in odd.collect()]
-    check_kept([(r.doc_id, r.text) for r in kept.collect()], rows)
-    assert simhash.near_dedup(empty).count() == 0
-
-
-def test_near_dedup_works_by_row(spark):
-    draw = random.Random(11)
-    text = lambda: " ".join(draw.choices([f"w{k}" for k in range(500)], k=80))
-    a, b, c = text(), text(), text()
-    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, a), (None, text()), (None, None), (None, "")]
-    got = [(r.doc_id, r.text) for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert sorted(map(str, got)) == sorted(map(str, [(1, a), (2, b), (3, c), rows[6], next(r for r in got if not r[1])]))
-
-
-def test_similar_texts_meet_and_others_dont(spark):
-    """Of pairs with a shingle similarity of 0.9 all are found, of pairs at 0.8 most, of unlike ones none."""
-    draw = random.Random(12)
-    words = [f"w{k}" for k in range(5000)]
-    rows, kinds = [], {}
-    for k in range(400):
-        text = draw.choices(words, k=400)
-        other = list(text)
-        edits, kind = (4, 0.9) if k % 2 else (9, 0.8)
-        for at in range(edits):
-            other[at * 40 + 5] = draw.choice(words)
-        a, b = set(shingles(" ".join(text), 5)), set(shingles(" ".join(other), 5))
-        assert len(a & b) / len(a | b) >= kind - 0.01
-        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
-        kinds[2 * k + 1] = kind
-    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {2 * k for k in range(400)} <= kept
-    gone = lambda kind: sum(d not in kept for d, x in kinds.items() if x == kind) / 200
-    assert gone(0.9) > 0.99 and gone(0.8) > 0.75

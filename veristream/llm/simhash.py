@@ -1,13 +1,8 @@
 """SimHash near-duplicate groups, searched with pivot distance tables.
 
-Equal fingerprints are one node from the start, so copies cost nothing.  Nodes meet in buckets of equal keys.  For
-:data:`EXACT` (the groups of op9: 64 bits, 3-word shingles, at most 3 differing bits) two nodes within the radius agree in at
-least three of six bit blocks, so the 20 choices of three blocks are keys that lose no link; they are some 32 bits long, which
-spreads random fingerprints over 2^32 buckets for each choice.  For :data:`SIMILAR` (near-duplicates: 256 bits, 5-word
-shingles, at most 46 differing bits) no such choice exists; keys are samples of bits there, as long as the logarithm of the
-number of nodes, and as many of them as find a pair that differs in 39 bits with probability ``RECALL`` (closer pairs more
-surely).  Two texts with a shingle similarity of 0.8 differ in 39 bits on average and in 46 or fewer nine times in ten; with one of
-0.7, three times in ten, with 0.5, once in a thousand.
+Equal fingerprints are one node from the start, so copies cost nothing.  Nodes meet in buckets of equal keys: two fingerprints of 64
+bits that differ in at most three agree in at least three of six bit blocks, so the 20 choices of three blocks are keys that lose no
+link; they are some 32 bits long, which spreads random fingerprints over 2^32 buckets for each choice.
 
 Within a bucket, rows come sorted by the distance to the first of ``N_PIVOTS`` reference fingerprints; the distance
 table to all of them is computed once per row, a pair is discarded when any coordinate differs by more than the radius
@@ -17,22 +12,20 @@ component doesn't hold meets all rows.  A family of near-copies costs about one
 returns a spanning forest of its links, never all pairs.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; rows repeated under one doc_id
-share a component; a null doc_id takes part but is never the id of a component unless no member has one.
-:func:`near_dedup` works by row: of each group it keeps one, the smallest by (doc_id, hash of the text), nulls last, and
-of equal rows one; an empty table gives an empty result; other columns are carried unchanged, whatever their names.
+share a component; a null doc_id takes part but is never the id of a component unless no member has one; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 from functools import partial
 from itertools import combinations
-from math import ceil, log, log2
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
@@ -41,7 +34,6 @@ from .cluster import checkpointed, components, spread_join
 SEED = 42
 N_PIVOTS = 16
 LEADERS = 8
-RECALL = 0.9
 #: Pairs compared, and shingles hashed, at once, to bound memory.
 PAIRS, SHINGLES = 1 << 20, 1 << 18
 #: (lowest bit, number of bits) of six blocks; two fingerprints within three bits agree in three of them.
@@ -49,13 +41,11 @@ BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 
 
 class Space(NamedTuple):
-    """What is fingerprinted, in how many 64-bit lanes, how many differing bits link, and how many a pair has that the sampled
-    keys are made to find."""
+    """What is fingerprinted, in how many 64-bit lanes, and how many differing bits link."""
 
     shingle: int
     lanes: int
     radius: int
-    typical: int = 0
 
     @property
     def columns(self) -> list[str]:
@@ -67,7 +57,6 @@ class Space(NamedTuple):
 
 
 EXACT = Space(shingle=3, lanes=1, radius=3)
-SIMILAR = Space(shingle=5, lanes=4, radius=46, typical=39)
 
 
 def shingle_hashes(buffer: bytes, begin: np.ndarray, end: np.ndarray, lanes: int) -> np.ndarray:
@@ -81,33 +70,62 @@ def shingle_hashes(buffer: bytes, begin: np.ndarray, end: np.ndarray, lanes: int
     return np.concatenate([h, tx.mix(h)], axis=1).view(np.uint8)
 
 
-def simhashes(texts: pa.Array, space: Space = EXACT) -> np.ndarray:
-    """Fingerprints of the texts of one slice, a row of lanes each."""
+class Spans(NamedTuple):
+    """Shingles of a slice's texts as byte spans of ``buffer``: rows that have words, and where each one's shingles end."""
+
+    buffer: bytes
+    begin: np.ndarray
+    end: np.ndarray
+    bounds: np.ndarray
+    rows: np.ndarray
+    n: np.ndarray
+    until: np.ndarray
+    size: int
+
+    def row(self, number: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.until, number, "right")
+
+    def of(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shingles of these numbers begin and end."""
+        row = self.row(number)
+        first = self.bounds[self.rows[row]] + number - (self.until - self.n)[row]
+        last = np.minimum(first + self.size, self.bounds[self.rows[row] + 1]) - 1
+        return self.begin[first], self.end[last]
+
+
+def shingle_spans(texts: pa.Array, size: int) -> Spans | None:
+    """The shingles of lower-cased words, joined by spaces; None where no text has a word."""
     data, offsets = tx.utf8(texts)
     words = tx.Words(data, offsets)
-    out = np.zeros((len(offsets) - 1, space.lanes), np.uint64)
     if not len(words):
-        return out
+        return None
     lengths = words.ends - words.starts
     end = np.cumsum(lengths + 1, dtype=np.int64) - 1
     begin = end - lengths
     joined = np.full(int(end[-1]) + 1, 0x20, np.uint8)
     tx.put(joined, begin, lengths, tx.LOWER[data[words.inside]])
     rows = np.flatnonzero(words.counts)
-    n = np.maximum(words.counts[rows] - space.shingle + 1, 1)
-    until = np.cumsum(n)
-    ones, buffer = np.zeros((len(rows), 64 * space.lanes), np.int64), joined.tobytes()
-    for at in range(0, int(until[-1]), SHINGLES):
-        number = np.arange(at, min(at + SHINGLES, int(until[-1])))
-        row = np.searchsorted(until, number, "right")
-        first = words.bounds[rows[row]] + number - (until - n)[row]
-        last = np.minimum(first + space.shingle, words.bounds[rows[row] + 1]) - 1
-        h = shingle_hashes(buffer, begin[first], end[last], space.lanes)
+    n = np.maximum(words.counts[rows] - size + 1, 1)
+    return Spans(joined.tobytes(), begin, end, words.bounds, rows, n, np.cumsum(n), size)
+
+
+def simhashes(texts: pa.Array, space: Space = EXACT) -> np.ndarray:
+    """Fingerprints of the texts of one slice, a row of lanes each."""
+    out = np.zeros((len(texts), space.lanes), np.uint64)
+    spans = shingle_spans(texts, space.shingle)
+    if spans is None:
+        return out
+    total = int(spans.until[-1])
+    ones = np.zeros((len(spans.rows), 64 * space.lanes), np.int64)
+    for at in range(0, total, SHINGLES):
+        number = np.arange(at, min(at + SHINGLES, total))
+        row = spans.row(number)
+        h = shingle_hashes(spans.buffer, *spans.of(number), space.lanes)
         fresh = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         for k in range(8 * space.lanes):
             bits = np.unpackbits(h[:, k : k + 1], axis=1, bitorder="little")
             ones[row[fresh], 8 * k : 8 * k + 8] += np.add.reduceat(bits, fresh, axis=0, dtype=np.int64)
-    out[rows] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8")
+    out[spans.rows] = np.packbits(2 * ones > spans.n[:, None], axis=1, bitorder="little").view("<u8")
     return out
 
 
@@ -233,38 +251,9 @@ def _block_keys(space: Space) -> Column:
     return F.array(*keys)
 
 
-def samples(n: int, space: Space) -> np.ndarray:
-    """Bits of each key: as many as spread n nodes, in as many keys as find typical pairs with ``RECALL``."""
-    width = 64 * space.lanes
-    bits = max(12, ceil(log2(max(n, 2))))
-    keys = ceil(log(1 - RECALL) / log(1 - (1 - space.typical / width) ** bits))
-    draw = np.random.default_rng(20240301)
-    return np.array([draw.choice(width, min(bits, width), replace=False) for _ in range(keys)])
-
-
-def _sampled(batches, space, chosen):
-    schema = pa.schema([(c, pa.int64()) for c in ("key", *space.columns)])
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            fp = np.stack([part.column(c).to_numpy() for c in space.columns], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
-            for number, sample in enumerate(chosen):
-                wide = np.zeros((len(fp), 64 * -(-len(sample) // 64)), np.uint8)
-                wide[:, : len(sample)] = bits[:, sample]
-                key = np.full(len(fp), number + 1, np.uint64)
-                for word in np.packbits(wide, axis=1, bitorder="little").view("<u8").T:
-                    key = tx.mix(key ^ word)
-                yield tx.batch_of(schema, key.view(np.int64), *(part.column(c) for c in space.columns))
-
-
 def links(nodes: DataFrame, space: Space = EXACT) -> DataFrame:
     """Spanning links ``a, b`` of pairs of distinct fingerprints within the radius; ``a`` and ``b`` are :func:`node` values."""
-    if space == EXACT:
-        dealt = nodes.select(F.explode(_block_keys(space)).alias("key"), *space.columns)
-    else:
-        chosen = samples(nodes.count(), space)
-        dealt = nodes.select(*space.columns).mapInArrow(partial(_sampled, space=space, chosen=chosen), _longs(["key", *space.columns]))
+    dealt = nodes.select(F.explode(_block_keys(space)).alias("key"), *space.columns)
     pivot = space.pivots[:1].view(np.int64)[0]
     first = sum(F.bit_count(F.col(c).bitwiseXOR(F.lit(int(p)))) for c, p in zip(space.columns, pivot, strict=True))
     sides = [f"{side}{k}" for side in "ab" for k in range(space.lanes)]
@@ -296,23 +285,6 @@ def groups(docs: DataFrame, space: Space = EXACT) -> DataFrame:
     return spread_join(prints.withColumn("fp", node(space.columns)), ids, ["fp"]).select("doc_id", *space.columns, "component_id")
 
 
-def near_dedup(docs: DataFrame, space: Space = SIMILAR) -> DataFrame:
-    """The documents with one row of each group of near-duplicates."""
-    prints = checkpointed(fingerprints(docs, space))
-    first = rooted(prints, space).groupBy("root").agg(F.min("least").alias("least"))
-    # Keys without nulls: rows of one doc_id and text fall together for the join and for the number alike.
-    named = lambda c: (F.coalesce(c, F.lit(0)), c.isNull())
-    key = ["_id", "_unnamed", "_hash"]
-    id_, unnamed = named(F.col("least.doc_id"))
-    first = first.select(id_.alias("_id"), unnamed.alias("_unnamed"), F.col("least.text_hash").alias("_hash"))
-    id_, unnamed = named(docs["doc_id"].cast("long"))
-    every = F.struct(*(docs[c] for c in docs.columns))
-    rows = docs.select(every.alias("_doc"), id_.alias("_id"), unnamed.alias("_unnamed"), F.xxhash64(docs["text"]).alias("_hash"), F.xxhash64(every).alias("_order"))
-    number = F.row_number().over(Window.partitionBy(*key).orderBy("_order"))
-    kept = rows.join(first, key).withColumn("_n", number).where("_n = 1")
-    return kept.select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
-
-
 def op9_simhash_groups(spark, sf_dir):
     found = groups(tx.read_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
