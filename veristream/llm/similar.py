@@ -11,8 +11,8 @@ bucket as random ones are 128 bits from everything and discard nothing at this r
 ``TIGHT`` bits of a leader meet only the leaders and the rows that no leader is near.  A bucket returns a minimum spanning forest of
 its links, the closest first, never all pairs.
 
-Links are candidates only.  First each node's closest link is verified on the texts; then, of the others, those between
-different components of what was found.  What is left is the links whose texts share 0.8 or more of their shingles.
+Links are candidates only.  First each node's closest link is verified on the texts; then the others, but for those between
+nodes that what was found joins within a few steps.  What is left is the links whose texts share 0.8 or more of their shingles.
 
 Defined results: texts without words are alike; one of fewer than five words is one shingle; a null text has no words.
 Rows repeated under one doc_id are judged one by one.  :func:`near_dedup` keeps one row of each group, the smallest by
@@ -214,6 +214,14 @@ def alike(links: DataFrame, texts: DataFrame) -> DataFrame:
     return links.select("a", "b", "a_text", "b_text").mapInArrow(_alike, f"a {node}, b {node}")
 
 
+def near_labels(found: DataFrame) -> DataFrame:
+    """``node, label``: the smallest node within two links.  Nodes of one label are connected."""
+    both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("label"))
+    beside = spread_join(both, one.withColumnRenamed("a", "b"), ["b"], F.col("a"))
+    return beside.groupBy("a").agg(F.min("label").alias("label")).withColumnRenamed("a", "node")
+
+
 def _named(column: Column) -> tuple[Column, Column]:
     """A key without nulls: rows of one doc_id and text fall together for a join and for a number alike."""
     return F.coalesce(column, F.lit(0)), column.isNull()
@@ -241,11 +249,12 @@ def rooted(docs: DataFrame) -> DataFrame:
     closest = both.groupBy("a").agg(F.min(F.struct("d", "b")).getField("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     closest = checkpointed(closest)
     found = checkpointed(alike(closest, texts))
-    roots = checkpointed(components(found))
+    labels = checkpointed(near_labels(found))
     rest = links.select("a", "b").join(closest, ["a", "b"], "left_anti")
-    for side in "ab":
-        rest = spread_join(rest, roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), [side], F.col("b" if side == "a" else "a"), "left")
-    rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    for side, other in ("ab", "ba"):
+        label = labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+        rest = spread_join(rest, label, [side], F.col(other), "left")
+    rest = rest.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
     found = checkpointed(found.union(alike(rest, texts)))
     roots = components(found)
     return nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
