@@ -169,3 +169,20 @@ def test_words_that_another_hash_confuses(spark):
     rows = st.score(df).collect()
     check_base(rows, df.collect())
     assert {r.doc_id: r.n_known for r in rows} == {learned: 3, unseen: 2}
+
+
+def test_a_gram_that_shares_its_hash_leaves_probabilities(spark):
+    """Two pairs of words of one hash: the sum of their counts is more than the context of one has."""
+    names = np.array([f"w{k}" for k in range(3000)])
+    data = np.frombuffer(" ".join(names).encode(), np.uint8)
+    digests = tx.Words(data, np.array([0, len(data)])).digests()[0]
+    pairs = tx.mix(digests[:, None] * np.uint64(0x9E3779B97F4A7C15) + digests).ravel() >> np.uint64(64 - st.SPARE_BITS - 24)
+    order = np.argsort(pairs)
+    same = np.flatnonzero(pairs[order[1:]] == pairs[order[:-1]])
+    (a, b), (c, d) = next((p, q) for p, q in ((names[list(divmod(order[k + e], 3000))] for e in (0, 1)) for k in same) if len({*p, *q}) == 4)
+    learned, unseen = next(k for k in range(100) if not held(k)), next(k for k in range(100) if held(k))
+    rest = " ".join(f"x{k}" for k in range(100))
+    df = spark.createDataFrame([(learned, f"{c} {d} {c} {d} {rest} {a} z {a} {b}"), (unseen, f"{a} y {c} y")], "doc_id long, text string")
+    rows = st.score(df).collect()
+    check_base(rows, df.collect())
+    assert all(math.isfinite(r.score) and r.score <= 0 and r.score > r.base_score - 1 for r in rows)

@@ -12,6 +12,8 @@ The tree is never in one place.  Documents are packed into groups of about ``GRO
 several pieces that overlap by ``DEPTH`` words, and the groups are written to the shared folder.  A *gram* is a run of words by
 its hash; its last word is the next word, those before are the context.  Words have 64 bits of hash, longer grams
 ``SPARE_BITS`` more than the corpus needs to number its words, so at any size a gram meets another's hash once in 2^SPARE_BITS.
+Its total is then that of both.  A gram that occurs more often than its own parts, and a context whose words occur more often than it,
+show that: they are left out, so a probability is always above 0 and at most 1.
 
 1. *Count.*  A group sends its distinct grams of each length with their counts, as sorted, delta-coded, compressed arrays, to
    buckets by hash.  A bucket adds up and tells each group the totals of its grams, and one group for each gram that it owns it.
@@ -155,7 +157,7 @@ def stays(n, seen, kinds, gain, share) -> np.ndarray:
     rest = n - seen
     other = np.maximum(1 - share / SHARE_PARTS, 1e-12)
     more = np.where(rest > 0, 2 * rest * np.log(np.maximum(rest, 1) / (np.maximum(n, 1) * other)), 0.0)
-    return (kinds > 0) & (gain / GAIN_PARTS + more > kinds + DEVIATIONS * np.sqrt(2.0 * kinds))
+    return (kinds > 0) & (rest >= 0) & (gain / GAIN_PARTS + more > kinds + DEVIATIONS * np.sqrt(2.0 * kinds))
 
 
 class Steps:
@@ -224,9 +226,11 @@ class Steps:
             return context[grams], words, np.rint(2 * words * np.log(words / (n * q)) * GAIN_PARTS), np.rint(q * SHARE_PARTS)
 
         size = len(group.grams[length - 1])
-        owned = np.flatnonzero((c >= LEAST) & mine[length])
+        # A gram that occurs more often than its parts shares its hash with another.
+        whole = (c >= LEAST) & (c <= of_context[context]) & (c <= of_context[suffix])
+        owned = np.flatnonzero(whole & mine[length])
         # A context that one word always follows: its sums are that word's.
-        sole = np.flatnonzero((c >= LEAST) & (c == of_context[context]))
+        sole = np.flatnonzero(whole & (c == of_context[context]))
         at, words, gain, share = figures(sole)
         known, alone, open_ = np.zeros((3, size), bool)
         known[at] = True
@@ -290,7 +294,8 @@ class Steps:
             state = seen[context] > 0
             at, context = at[state], context[state]
             types = (kinds + n - seen)[context]
-            p[at] = (totals[length][group.at[length][at]] + (types + (n - seen)[context]) * p[at]) / (n[context] + types)
+            words = np.minimum(totals[length][group.at[length][at]], seen[context])
+            p[at] = (words + (types + (n - seen)[context]) * p[at]) / (n[context] + types)
         rows = len(group.docs)
         total = lambda values: np.bincount(group.row[group.own], values[group.own], rows)
         ids = [group.docs.column(n) for n in ("uid", "doc_id", "held_out")]
