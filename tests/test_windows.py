@@ -224,3 +224,19 @@ def test_training_document_and_its_citations(spark):
     assert matched.where("matches").select("claim_id").distinct().count() == g["claims"].count() == 8
     changed = M.placed(M.lines(capsules.where("name <> 'é1-1'"), bounds, "2024-01-01T00:00:00Z"))
     assert M.source_hash(changed).first() != M.source_hash(document).first()
+
+
+def test_recursive_lineage_has_no_limit_of_rows(spark):
+    """More rows than Spark's limit for a recursion, which is a million unless set."""
+    from veristream.operators import graph as H
+
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "50")
+    try:
+        starts = spark.range(40).selectExpr("'a' || id AS node")
+        edges = starts.selectExpr("node AS src", "'b' AS dst").union(spark.createDataFrame([("b", "c"), ("c", "d")], "src string, dst string"))
+        got = H.lineage_recursive(spark, starts, edges).collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert sorted((r.start, r.node, r.hop) for r in got) == sorted((f"a{k}", n, h) for k in range(40) for h, n in enumerate([f"a{k}", "b", "c", "d"]))

@@ -78,12 +78,12 @@ def lineage_closure(starts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def lineage_recursive(spark, starts: DataFrame, edges: DataFrame, levels: int = 1000) -> DataFrame:
-    """The same in SQL, to any depth within ``levels``; edges must not form a cycle."""
+    """The same in SQL, to any depth within ``levels``; edges must not form a cycle.  LIMIT ALL lifts Spark's limit of a million rows."""
     return spark.sql(
         f"""WITH RECURSIVE reached(start, node, hop) MAX RECURSION LEVEL {int(levels)} AS (
               SELECT node, node, 0 FROM {{starts}}
               UNION ALL SELECT r.start, e.dst, r.hop + 1 FROM reached r JOIN {{edges}} e ON e.src = r.node)
-            SELECT start, node, min(hop) AS hop FROM reached GROUP BY start, node""",
+            SELECT start, node, min(hop) AS hop FROM (SELECT * FROM reached LIMIT ALL) GROUP BY start, node""",
         starts=starts, edges=edges,
     )
 
