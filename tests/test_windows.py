@@ -240,3 +240,16 @@ def test_recursive_lineage_has_no_limit_of_rows(spark):
     finally:
         spark.conf.set(limit, before)
     assert sorted((r.start, r.node, r.hop) for r in got) == sorted((f"a{k}", n, h) for k in range(40) for h, n in enumerate([f"a{k}", "b", "c", "d"]))
+
+
+def test_lineage_rounds_broadcast_nothing(spark):
+    """Whatever the driver would send to all executors it would do anew in each round."""
+    from veristream.operators import graph as H
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    edges = spark.range(1, 200).selectExpr("id AS src", "id DIV 3 AS dst")
+    assert H.lineage_closure(edges.select(edges.src.alias("node")), edges).count() > 500
+    runs = store.executionsList()
+    plans = [runs.apply(k).physicalPlanDescription() for k in range(runs.size())][before:]
+    assert plans and not any("BroadcastExchange" in p for p in plans)

@@ -65,14 +65,15 @@ def lineage_closure(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """``start, node, hop`` of all that is reached along ``src, dst`` edges, to any depth; cycles are safe.
 
     Each round follows the edges of what the round before found first, and leaves out what was reached already; it ends when
-    nothing is new.  Rounds are cut off by checkpoints, and are as many as the longest of the shortest paths."""
-    step = edges.select("src", "dst").distinct()
+    nothing is new.  Rounds are cut off by checkpoints, and are as many as the longest of the shortest paths.  Both joins are merges:
+    broadcasts would go through the driver anew in each round, while either side is small enough."""
+    step = checkpointed(edges.select("src", "dst").distinct()).hint("merge")
     frontier = checkpointed(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hop")).distinct())
     reached, hop = frontier, 0
     while frontier.head(1):
         hop += 1
         new = frontier.join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(new.join(reached, ["start", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        frontier = checkpointed(new.join(reached.hint("merge"), ["start", "node"], "left_anti").withColumn("hop", F.lit(hop)))
         reached = reached.union(frontier)
     return reached
 
