@@ -178,3 +178,37 @@ def test_many_links_of_one_text(spark):
     rows = [(k, " ".join(edited(draw, text, words, 1))) for k in range(500)] + [(900, " ".join(text))]
     kept = similar.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")))
     assert [r.doc_id for r in kept.collect()] == [0]
+
+
+def families(draw, n, members):
+    """Texts in families of which some members are alike and some are just not."""
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for k in range(n):
+        text = draw.choices(words, k=150)
+        for m in range(members):
+            other = list(text)
+            for at in draw.sample(range(8), draw.randint(1, 3)):
+                other[5 + 18 * at] = draw.choice(words)
+            rows.append((k * members + m, " ".join(other)))
+    return rows
+
+
+def test_no_link_is_lost_where_a_forest_holds_links_of_unlike_texts(spark, monkeypatch):
+    """All nodes in one bucket, so that only what a bucket leaves out can be missing."""
+    monkeypatch.setattr(similar, "samples", lambda n: np.zeros((1, 0), np.int64))
+    rows = families(random.Random(15), 60, 12)
+    check_kept(pairs(similar.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))), rows)
+
+
+def test_all_links_between_different_labels():
+    draw = np.random.default_rng(7)
+    key, label = np.repeat(np.arange(5), [1, 60, 3, 200, 40]), np.zeros((304, 2), np.int64)
+    fp = np.concatenate([prints(draw, n, n, 40) for n in (1, 60, 3, 200, 40)])
+    label[:, 1] = draw.integers(0, 6, len(key))
+    order = np.lexsort((label[:, 1], key))
+    label = label[order]
+    i, j = (np.concatenate(c) for c in zip(*similar.bucket_links(key, fp, label), strict=True))
+    a, b = np.triu_indices(len(key), 1)
+    want = (key[a] == key[b]) & (label[a] != label[b]).any(axis=1) & (simhash.distances(fp[a], fp[b]) <= similar.SPACE.radius)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(a[want].tolist(), b[want].tolist(), strict=True))

@@ -8,11 +8,13 @@ together with probability ``RECALL`` (closer pairs more surely).
 In a bucket the distances to ``LEADERS`` of its rows are a pivot table: a pair is discarded when a coordinate differs by more
 than the radius (triangle inequality, so no link is lost), and survivors are verified by their Hamming distance.  Pivots are taken from the
 bucket as random ones are 128 bits from everything and discard nothing at this radius.  In a bucket of over ``SMALL`` rows, those within
-``TIGHT`` bits of a leader meet only the leaders and the rows that no leader is near.  A bucket returns a minimum spanning forest of
-its links, the closest first, never all pairs.
+``TIGHT`` bits of a leader meet only the leaders and the rows that no leader is near.  A bucket first returns a minimum spanning forest of
+its links, the closest first.
 
 Links are candidates only.  First each node's closest link is verified on the texts; then the others, but for those between
-nodes that what was found joins within a few steps.  What is left is the links whose texts share 0.8 or more of their shingles.
+nodes that what was found joins within a few steps.  A forest that verification thins out no longer joins all that is alike, so the nodes
+with candidates meet in their buckets once more: every link within the radius between nodes that nothing verified joins yet
+is verified too.  What is left is the links whose texts share 0.8 or more of their shingles.
 
 Defined results: texts without words are alike; one of fewer than five words is one shingle; a null text has no words.
 Rows repeated under one doc_id are judged one by one.  :func:`near_dedup` keeps one row of each group, the smallest by
@@ -57,8 +59,8 @@ def samples(n: int) -> np.ndarray:
     return np.array([draw.choice(width, bits, replace=False) for _ in range(keys)])
 
 
-def _dealt(batches, chosen):
-    schema = pa.schema([(c, pa.int64()) for c in ("key", *SPACE.columns, "text_hash")])
+def _dealt(batches, chosen, columns):
+    schema = pa.schema([(c, pa.int64()) for c in columns])
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
@@ -92,7 +94,8 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def bucket_pairs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A minimum spanning forest of the links of rows sorted by key, and the links' lengths."""
+    """A minimum spanning forest of the links of rows sorted by key, and the links' lengths.  Rows that two different leaders hold don't
+    meet here, but in :func:`bucket_links`."""
     n, here = len(fp), np.arange(len(fp))
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(first, append=n)
@@ -129,6 +132,35 @@ def bucket_pairs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _least(n, found)
 
 
+def bucket_links(key: np.ndarray, fp: np.ndarray, label: np.ndarray):
+    """All links within the radius of rows sorted by key and label, between rows of one key and different labels; some at a time."""
+    n = len(fp)
+    starts = lambda *columns: np.flatnonzero(np.concatenate([[True], *[np.any([c[1:] != c[:-1] for c in columns], axis=0)]]))
+    ends = lambda first: np.repeat(np.append(first[1:], n), np.diff(first, append=n))
+    first = starts(key)
+    size = np.diff(first, append=n)
+    bucket = np.repeat(np.arange(len(first)), size)
+    table = np.stack([distances(fp, fp[(first + k * size // LEADERS)[bucket]]) for k in range(LEADERS)], axis=1)
+    # A row meets what comes after its own label in its bucket.
+    at, end = ends(starts(key, *label.T)), ends(first)
+    todo = np.flatnonzero(at < end)
+    at, end = at[todo], end[todo]
+    while len(todo):
+        step = np.minimum(end - at, max(1, PAIRS // len(todo)))
+        for part in range(0, len(todo), PAIRS):
+            some = slice(part, part + PAIRS)
+            i, j = np.repeat(todo[some], step[some]), tx.ranges(at[some], step[some])
+            for p in range(LEADERS):
+                near = np.abs(table[i, p] - table[j, p]) <= SPACE.radius
+                i, j = i[near], j[near]
+            near = distances(fp[i], fp[j]) <= SPACE.radius
+            if near.any():
+                yield i[near], j[near]
+        at = at + step
+        more = at < end
+        todo, at, end = todo[more], at[more], end[more]
+
+
 def _least(n, found):
     i, j, d = (np.concatenate(c) for c in zip(*found, strict=True))
     kept = spanning(n, i, j, d)
@@ -161,18 +193,44 @@ def _candidates(batches):
         yield tx.batch_of(schema, rows[i, 1], rows[i, -1], rows[j, 1], rows[j, -1], d.astype(np.int64))
 
 
+def _links(batches):
+    schema = pa.schema([(c, pa.int64()) for c in ("a_fp", "a_hash", "b_fp", "b_hash")])
+    lanes = SPACE.lanes
+    for rows in _buckets(batches):
+        rows = rows[np.lexsort((rows[:, -1], rows[:, -2], rows[:, 0]))]
+        for i, j in bucket_links(rows[:, 0], np.ascontiguousarray(rows[:, 1 : 1 + lanes]).view(np.uint64), rows[:, -2:]):
+            yield tx.batch_of(schema, rows[i, 1], rows[i, 1 + lanes], rows[j, 1], rows[j, 1 + lanes])
+
+
 def _node(fp: str, text_hash: str) -> Column:
     """A text is known by its hash and a quarter of its fingerprint, which is made of other hashes."""
     return F.struct(F.col(fp).alias("fp"), F.col(text_hash).alias("hash"))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """``a, b, d``: distinct pairs of nodes, a < b, that a bucket's forest holds."""
-    columns = ["key", *SPACE.columns, "text_hash"]
-    dealt = nodes.select(*columns[1:]).mapInArrow(partial(_dealt, chosen=samples(nodes.count())), ", ".join(f"{c} long" for c in columns))
-    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a_fp long, a_hash long, b_fp long, b_hash long, d long")
+def _pair() -> list[Column]:
     a, b = _node("a_fp", "a_hash"), _node("b_fp", "b_hash")
-    return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "d").distinct()
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _in_buckets(nodes: DataFrame, columns: list[str], chosen: np.ndarray) -> DataFrame:
+    """``key`` and the columns of all nodes, once for each key, whole buckets together."""
+    columns = ["key", *columns]
+    dealt = nodes.select(*columns[1:]).mapInArrow(partial(_dealt, chosen=chosen, columns=columns), ", ".join(f"{c} long" for c in columns))
+    return dealt.repartition("key").sortWithinPartitions("key")
+
+
+def candidates(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``a, b, d``: distinct pairs of nodes, a < b, that a bucket's forest holds."""
+    dealt = _in_buckets(nodes, [*SPACE.columns, "text_hash"], chosen)
+    found = dealt.mapInArrow(_candidates, "a_fp long, a_hash long, b_fp long, b_hash long, d long")
+    return found.select(*_pair(), "d").distinct()
+
+
+def missed(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``a, b``: distinct pairs of nodes, a < b, that meet in a bucket within the radius and whose ``root`` differs."""
+    named = nodes.select(*SPACE.columns, "text_hash", F.col("root.fp").alias("root_fp"), F.col("root.hash").alias("root_hash"))
+    found = _in_buckets(named, named.columns, chosen).mapInArrow(_links, "a_fp long, a_hash long, b_fp long, b_hash long")
+    return found.select(*_pair()).distinct()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -240,7 +298,8 @@ def rooted(docs: DataFrame) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     prints = fingerprints(docs, SPACE)
     nodes = checkpointed(prints.groupBy(*SPACE.columns, "text_hash").agg(F.min(row).alias("least")).withColumn("node", _node("fp0", "text_hash")))
-    links = checkpointed(candidates(nodes))
+    chosen = samples(nodes.count())
+    links = checkpointed(candidates(nodes, chosen))
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     linked = both.select(F.col("a").alias("node")).distinct().join(nodes.select("node", "least"), "node").select("node", *_keyed("least"))
     id_, unnamed = _named(docs["doc_id"].cast("long"))
@@ -256,7 +315,11 @@ def rooted(docs: DataFrame) -> DataFrame:
         rest = spread_join(rest, label, [side], F.col(other), "left")
     rest = rest.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
     found = checkpointed(found.union(alike(rest, texts)))
-    roots = components(found)
+    roots = checkpointed(components(found))
+    grouped = both.select(F.col("a").alias("node")).distinct().join(nodes, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = checkpointed(alike(missed(grouped, chosen).join(links, ["a", "b"], "left_anti"), texts))
+    if more.head(1):
+        roots = components(more.union(roots.where("node <> root").select("node", "root")))
     return nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
 
 
