@@ -221,3 +221,14 @@ def test_points_are_read_where_they_are(spark, tmp_path, kind):
     assert all(got[r.session, r.offset] == r for r in whole if r.session != "s1" or 20 < r.offset < last)
     assert {k: r.status for k, r in got.items() if k not in {(r.session, r.offset) for r in whole}} == {("s0", 1): "BAD_MAGIC", ("s0", 10**6): "EOF", ("s2", len(data) - 3): "TRUNCATED_HEADER", ("none", 0): "EOF"}
     assert got["s1", last].status == "TORN_WRITE"
+
+
+def test_a_scan_of_many_bytes_has_no_more_tasks(spark, tmp_path):
+    """Ranges grow with the files, so tasks and driver rows don't; the rows are those of the walk."""
+    framed.register(spark)
+    rows = [(f"s{k % 3}", k // 3, bytes([k % 256]) * (k % 50)) for k in range(6000)]
+    framed.write_cold(spark.createDataFrame(rows, "session string, frame_id long, payload binary"), str(tmp_path)).collect()
+    columns = ["session", "offset", "frame_id", "dlen", "payload_sha256", "status"]
+    found = framed.scan(spark, "cold", str(tmp_path), 200)
+    assert found.rdd.getNumPartitions() <= framed.MOST_RANGES + 3
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, read(spark, tmp_path, "cold").select(*columns).collect()))

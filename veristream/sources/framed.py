@@ -38,8 +38,9 @@ RESYNC_CHUNK, RESYNC_MOST = 64 << 10, 64 << 20
 #: Records of a hot file that one task reads.
 HOT_SPLIT = 100_000
 
-#: Bytes of a cold or frame file that one task of :func:`scan` reads, and bytes between a record's header and its payload.
+#: Bytes of a cold or frame file that one task of :func:`scan` reads, its most tasks, and bytes between a record's header and its payload.
 SPLIT_BYTES = 64 << 20
+MOST_RANGES = 256
 EXTRA = {"hot": 0, "cold": 0, "frames": 64}
 
 SCHEMA = "session string, offset long, magic binary, ver short, frame_id long, dlen long, payload_sha256 string, claimed_sha256 string, chain string, payload binary, status string, garbage long"
@@ -231,9 +232,10 @@ def scan(spark, kind: str, folder: str, split_bytes: int = SPLIT_BYTES) -> DataF
     A record's place is known only from the one before, so each range of a file is first skimmed from the first place in it that
     looks like a header, all ranges at once.  Where the walk really enters a range follows from where it left the one before: a range whose
     guess was wrong (a payload that holds a header, damage) is skimmed again from there.  Then all ranges are read from their true
-    entries.  The driver holds one row for each range."""
+    entries.  The driver holds one row for each range; where there are more than ``MOST_RANGES``, ranges are longer than asked for."""
     reader = FramedReader({"kind": kind, "path": folder})
     shape = "path string, begin long, end long, entry long"
+    split_bytes = max(split_bytes, sum(map(os.path.getsize, reader.files)) // MOST_RANGES)
     files = {}
     for path in reader.files:
         with open(path, "rb") as f:
