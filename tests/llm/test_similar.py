@@ -212,3 +212,50 @@ def test_all_links_between_different_labels():
     a, b = np.triu_indices(len(key), 1)
     want = (key[a] == key[b]) & (label[a] != label[b]).any(axis=1) & (simhash.distances(fp[a], fp[b]) <= similar.SPACE.radius)
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(a[want].tolist(), b[want].tolist(), strict=True))
+
+
+def test_profiles_lose_no_pair_that_is_alike():
+    """Sizes from none to more than a byte counts in a class; of near pairs that are not alike most are told."""
+    draw = np.random.default_rng(8)
+    sets = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    for size, members in ((1, 3), (7, 20), (150, 60), (900, 40), (200_000, 3)):
+        base = draw.integers(0, 2**63, size, dtype=np.uint64)
+        for share in np.linspace(0, 0.25, members):
+            changed = draw.random(size) < share
+            sets.append(np.unique(np.where(changed, draw.integers(0, 2**63, size, dtype=np.uint64), base)))
+    unit, counts = (np.array(c) for c in zip(*map(similar.profile, sets), strict=True))
+    size = np.array([len(s) for s in sets])
+    assert unit.max() > 1
+    i, j = np.triu_indices(len(sets), 1)
+    may = similar.may_be_alike(i, j, size, unit, counts)
+    alike = np.array([similar.similarity(sets[a], sets[b]) >= similar.SIMILARITY for a, b in zip(i, j, strict=True)])
+    assert alike.sum() > 300 and may[alike].all()
+    middle = (size[i] > 100) & (size[i] < 200) & (size[j] > 100) & (size[j] < 200) & ~alike
+    assert middle.sum() > 300 and may[middle].mean() < 0.5
+
+
+def test_a_large_family_that_is_not_alike_is_not_verified_pair_by_pair(spark, monkeypatch):
+    """300 texts within the radius of each other but not alike, and two halves of 200 that are: pairs verified grow with the texts."""
+    monkeypatch.setattr(similar, "samples", lambda n: np.zeros((1, 0), np.int64))
+    asked, before = [], similar.alike
+
+    def alike(links, texts):
+        asked.append(links.count())
+        return before(links, texts)
+
+    monkeypatch.setattr(similar, "alike", alike)
+    draw = random.Random(16)
+    words = [f"w{k}" for k in range(3000)]
+    text, rows = draw.choices(words, k=200), []
+    for k in range(300):
+        other = list(text)
+        for at in draw.sample(range(25), 5):
+            other[8 * at + 3] = draw.choice(words)
+        rows.append((k, " ".join(other)))
+    for k in range(200):
+        other = list(text[::-1])
+        other[3 + 15 * (k % 12)] = draw.choice(words)
+        other[8 + 180 * (k % 2)] = draw.choice(words)
+        rows.append((1000 + k, " ".join(other)))
+    check_kept(pairs(similar.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))), rows)
+    assert sum(asked) < 10 * len(rows)

@@ -13,8 +13,11 @@ its links, the closest first.
 
 Links are candidates only.  First each node's closest link is verified on the texts; then the others, but for those between
 nodes that what was found joins within a few steps.  A forest that verification thins out no longer joins all that is alike, so the nodes
-with candidates meet in their buckets once more: every link within the radius between nodes that nothing verified joins yet
-is verified too.  What is left is the links whose texts share 0.8 or more of their shingles.
+with candidates meet in their buckets once more.  First a bucket only names its nodes that have a link within the radius to another group.
+These meet again with a profile of their shingles, how many fall into each of ``CLASSES`` classes: two texts share at most the sum of the
+smaller counts, so a pair whose similarity that bounds below 0.8 needs no verification and is none.  Of the other links a bucket
+gives a minimum spanning forest of its groups; when these are verified and the groups are joined, all links that are
+left between different groups are verified too.  What is left is the links whose texts share 0.8 or more of their shingles.
 
 Defined results: texts without words are alike; one of fewer than five words is one shingle; a null text has no words.
 Rows repeated under one doc_id are judged one by one.  :func:`near_dedup` keeps one row of each group, the smallest by
@@ -44,8 +47,11 @@ TYPICAL, RECALL = 46, 0.95
 OCCUPANCY = 16
 LEADERS = 8
 SMALL, TIGHT = 64, 24
-#: Pairs compared at once, to bound memory.
-PAIRS = 1 << 20
+#: Pairs compared at once, to bound memory; by their profiles.
+PAIRS, PROFILES = 1 << 20, 1 << 14
+#: Classes of shingles in a text's profile, a byte each.
+CLASSES = 256
+PROFILE = ["size", "unit", *(f"p{k}" for k in range(CLASSES // 8))]
 
 
 def samples(n: int) -> np.ndarray:
@@ -161,6 +167,27 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, label: np.ndarray):
         todo, at, end = todo[more], at[more], end[more]
 
 
+def profile(shingles: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many of the hashes fall into each class, in units that let a byte hold the most; rounded up."""
+    counts = np.bincount((shingles & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+    unit = max(1, -(-int(counts.max()) // 255))
+    return unit, (-(-counts // unit)).astype(np.uint8)
+
+
+def may_be_alike(i: np.ndarray, j: np.ndarray, size: np.ndarray, unit: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which pairs of rows can reach the similarity, by their profiles: true for all that do."""
+    out = np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j])
+    todo = np.flatnonzero(out)
+    for at in range(0, len(todo), PROFILES):
+        some = todo[at : at + PROFILES]
+        a, b = i[some], j[some]
+        both = np.minimum(counts[a] * unit[a, None], counts[b] * unit[b, None]).sum(axis=1)
+        both = np.minimum(both, np.minimum(size[a], size[b]))
+        every = size[a] + size[b] - both
+        out[some] = (every == 0) | (both / np.maximum(every, 1) >= SIMILARITY)
+    return out
+
+
 def _least(n, found):
     i, j, d = (np.concatenate(c) for c in zip(*found, strict=True))
     kept = spanning(n, i, j, d)
@@ -193,12 +220,53 @@ def _candidates(batches):
         yield tx.batch_of(schema, rows[i, 1], rows[i, -1], rows[j, 1], rows[j, -1], d.astype(np.int64))
 
 
-def _links(batches):
+def _by_label(rows):
+    """Buckets' rows sorted by key and group; keys, fingerprints and groups."""
+    lanes = SPACE.lanes
+    rows = rows[np.lexsort((rows[:, lanes + 3], rows[:, lanes + 2], rows[:, 0]))]
+    return rows, rows[:, 0], np.ascontiguousarray(rows[:, 1 : 1 + lanes]).view(np.uint64), rows[:, lanes + 2 : lanes + 4]
+
+
+def _crossing(batches):
+    schema = pa.schema([("fp", pa.int64()), ("hash", pa.int64())])
+    for rows in _buckets(batches):
+        rows, key, fp, label = _by_label(rows)
+        crosses = np.zeros(len(rows), bool)
+        for i, j in bucket_links(key, fp, label):
+            crosses[i] = crosses[j] = True
+        yield tx.batch_of(schema, rows[crosses, 1], rows[crosses, 1 + SPACE.lanes])
+
+
+def joining(group: np.ndarray, fp: np.ndarray, links) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of links i, j between rows of different groups (numbers from 0) those of a minimum spanning forest of the groups."""
+    n, found, held = int(group.max()) + 1, [], 0
+
+    def least():
+        i, j, d = (np.concatenate(c) for c in zip(*found, strict=True))
+        kept = spanning(n, group[i], group[j], d)
+        return [(i[kept], j[kept], d[kept])]
+
+    for i, j in links:
+        found.append((i, j, distances(fp[i], fp[j])))
+        held += len(i)
+        if held > max(4 * n, PAIRS):
+            found = least()
+            held = len(found[0][0])
+    return [(i, j) for i, j, _ in (least() if found else [])]
+
+
+def _links(batches, forest_only):
     schema = pa.schema([(c, pa.int64()) for c in ("a_fp", "a_hash", "b_fp", "b_hash")])
     lanes = SPACE.lanes
     for rows in _buckets(batches):
-        rows = rows[np.lexsort((rows[:, -1], rows[:, -2], rows[:, 0]))]
-        for i, j in bucket_links(rows[:, 0], np.ascontiguousarray(rows[:, 1 : 1 + lanes]).view(np.uint64), rows[:, -2:]):
+        rows, key, fp, label = _by_label(rows)
+        size, unit = rows[:, lanes + 4], rows[:, lanes + 5]
+        counts = np.ascontiguousarray(rows[:, lanes + 6 :]).view(np.uint8)
+        links = ((i[near], j[near]) for i, j in bucket_links(key, fp, label) if (near := may_be_alike(i, j, size, unit, counts)).any())
+        if forest_only:
+            group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (label[1:] != label[:-1]).any(axis=1)]))
+            links = joining(group, fp, links)
+        for i, j in links:
             yield tx.batch_of(schema, rows[i, 1], rows[i, 1 + lanes], rows[j, 1], rows[j, 1 + lanes])
 
 
@@ -226,10 +294,24 @@ def candidates(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
     return found.select(*_pair(), "d").distinct()
 
 
-def missed(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """``a, b``: distinct pairs of nodes, a < b, that meet in a bucket within the radius and whose ``root`` differs."""
-    named = nodes.select(*SPACE.columns, "text_hash", F.col("root.fp").alias("root_fp"), F.col("root.hash").alias("root_hash"))
-    found = _in_buckets(named, named.columns, chosen).mapInArrow(_links, "a_fp long, a_hash long, b_fp long, b_hash long")
+ROOT = ["root_fp", "root_hash"]
+
+
+def _with_root(nodes: DataFrame, *columns: str) -> DataFrame:
+    return nodes.select(*SPACE.columns, "text_hash", F.col("root.fp").alias("root_fp"), F.col("root.hash").alias("root_hash"), *columns)
+
+
+def crossing(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``node``: those that meet a node of another ``root`` in a bucket within the radius."""
+    named = _with_root(nodes)
+    return _in_buckets(named, named.columns, chosen).mapInArrow(_crossing, "fp long, hash long").distinct().select(F.struct("fp", "hash").alias("node"))
+
+
+def missed(nodes: DataFrame, chosen: np.ndarray, forest_only: bool) -> DataFrame:
+    """``a, b``: distinct pairs of nodes, a < b, that meet in a bucket within the radius, whose ``root`` differs and whose profiles let
+    them be alike: all, or those of a minimum spanning forest of each bucket's groups."""
+    named = _with_root(nodes, *PROFILE)
+    found = _in_buckets(named, named.columns, chosen).mapInArrow(partial(_links, forest_only=forest_only), "a_fp long, a_hash long, b_fp long, b_hash long")
     return found.select(*_pair()).distinct()
 
 
@@ -255,6 +337,16 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def _profiles(batches):
+    node = pa.struct([("fp", pa.int64()), ("hash", pa.int64())])
+    schema = pa.schema([("node", node), *((c, pa.int64()) for c in PROFILE)])
+    for part in tx.slices(batches):
+        sets = shingle_sets(part.column("text"))
+        unit, counts = zip(*map(profile, sets), strict=True)
+        size = np.array([len(s) for s in sets], np.int64)
+        yield tx.batch_of(schema, part.column("node").cast(node), size, np.array(unit, np.int64), *np.stack(counts).view(np.int64).T)
+
+
 def _alike(batches):
     node = pa.struct([("fp", pa.int64()), ("hash", pa.int64())])
     schema = pa.schema([("a", node), ("b", node)])
@@ -316,10 +408,18 @@ def rooted(docs: DataFrame) -> DataFrame:
     rest = rest.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
     found = checkpointed(found.union(alike(rest, texts)))
     roots = checkpointed(components(found))
-    grouped = both.select(F.col("a").alias("node")).distinct().join(nodes, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = checkpointed(alike(missed(grouped, chosen).join(links, ["a", "b"], "left_anti"), texts))
-    if more.head(1):
-        roots = components(more.union(roots.where("node <> root").select("node", "root")))
+    grouped = both.select(F.col("a").alias("node")).distinct().join(nodes.select("node", *SPACE.columns, "text_hash"), "node")
+    regrouped = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    profiles = texts.join(crossing(regrouped(grouped), chosen), "node").select("node", "text")
+    profiles = profiles.mapInArrow(_profiles, "node struct<fp: bigint, hash: bigint>, " + ", ".join(f"{c} long" for c in PROFILE))
+    grouped = stored(grouped.join(profiles, "node"))
+    asked = links.select("a", "b")
+    for forest_only in (True, False):
+        more = checkpointed(missed(regrouped(grouped), chosen, forest_only).join(asked, ["a", "b"], "left_anti"))
+        found = checkpointed(alike(more, texts))
+        if found.head(1):
+            roots = checkpointed(components(found.union(roots.where("node <> root").select("node", "root"))))
+        asked = asked.union(more)
     return nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
 
 
