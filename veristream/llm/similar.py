@@ -364,6 +364,18 @@ def alike(links: DataFrame, texts: DataFrame) -> DataFrame:
     return links.select("a", "b", "a_text", "b_text").mapInArrow(_alike, f"a {node}, b {node}")
 
 
+def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Components ``node, root`` after more links ``a, b``: those of the groups that the links join, which are far fewer than the nodes."""
+    edges = found
+    for side in "ab":
+        of = roots.select(F.col("node").alias(side), F.col("root").alias("_root"))
+        edges = edges.join(of, side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+    tops = stored(components(stored(edges)))
+    moved = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left")
+    moved = moved.select("node", F.coalesce("_top", "root").alias("root"))
+    return moved.union(tops.join(roots.select("node"), "node", "left_anti").select("node", "root"))
+
+
 def near_labels(found: DataFrame) -> DataFrame:
     """``node, label``: the smallest node within two links.  Nodes of one label are connected."""
     both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -407,7 +419,8 @@ def rooted(docs: DataFrame) -> DataFrame:
         rest = spread_join(rest, label, [side], F.col(other), "left")
     rest = rest.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
     found = checkpointed(found.union(alike(rest, texts)))
-    roots = checkpointed(components(found))
+    # Tables from here on: a checkpoint keeps what the planner inferred of its rows, which doubles from one to the next.
+    roots = stored(components(stored(found)))
     grouped = both.select(F.col("a").alias("node")).distinct().join(nodes.select("node", *SPACE.columns, "text_hash"), "node")
     regrouped = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     profiles = texts.join(crossing(regrouped(grouped), chosen), "node").select("node", "text")
@@ -415,10 +428,10 @@ def rooted(docs: DataFrame) -> DataFrame:
     grouped = stored(grouped.join(profiles, "node"))
     asked = links.select("a", "b")
     for forest_only in (True, False):
-        more = checkpointed(missed(regrouped(grouped), chosen, forest_only).join(asked, ["a", "b"], "left_anti"))
-        found = checkpointed(alike(more, texts))
+        more = stored(missed(regrouped(grouped), chosen, forest_only).join(asked, ["a", "b"], "left_anti"))
+        found = stored(alike(more, texts))
         if found.head(1):
-            roots = checkpointed(components(found.union(roots.where("node <> root").select("node", "root"))))
+            roots = stored(joined(roots, found))
         asked = asked.union(more)
     return nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
 
