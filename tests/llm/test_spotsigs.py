@@ -89,6 +89,39 @@ def test_near_duplicates(docs, odd, empty):
     assert spotsigs.linked(empty).count() == 0
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have written for exchanges."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jvm, none = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_signatures_travel_twice(spark, docs):
+    """To be counted, and to be joined with their counts; what no two sets share goes no further."""
+    texts = docs.select("doc_id", "text")
+    places = spotsigs.with_signatures(texts.withColumn("text", F.coalesce("text", F.lit(""))), "text", "sigs", spotsigs.anchors(docs)).select(F.sum(F.size("sigs"))).first()[0]
+    before, limit = shuffled_rows(spark), "spark.sql.autoBroadcastJoinThreshold"
+    small = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # as for tables that are too large for a broadcast
+    try:
+        assert len(spotsigs.linked(docs).collect()) == docs.count()
+    finally:
+        spark.conf.set(limit, small)
+    rows = shuffled_rows(spark) - before
+    assert 0 < rows < 4 * places, rows / places
+
+
+@pytest.mark.parametrize("often", [1, 10**9])
+def test_frequent_signatures_are_dealt_out(spark, monkeypatch, often):
+    """None and all of the shared signatures are broadcast: the same links.  Two sets at the threshold exactly, one below it."""
+    monkeypatch.setattr(spotsigs, "OFTEN", often)
+    words = [f"the word{k:02d} tail{k:02d}" for k in range(20)]
+    texts = [" ".join(words[:k]) for k in (10, 8, 7)] * 2 + ["the other text here"] + [None, ""]
+    got = spotsigs.linked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.8).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {0: (0, 1), 3: (0, 1), 1: (1, 2), 4: (1, 2), 2: (2, 1), 5: (2, 1), 6: (6, 0), 7: (7, 0), 8: (7, 0)}
+
+
 def test_only_dataframe_functions(docs):
     for df in (spotsigs.edited(docs), spotsigs.linked(docs)):
         assert not re.search("Python|Pandas|Arrow|InArrow", df._jdf.queryExecution().toString())

@@ -8,7 +8,7 @@ hexadecimal.  A text with no whole signature gets one of all its words.  Likenes
 :func:`near_duplicates` compares all documents: equal sets are one class first; a set is only met by sets of its
 own length partition and the next (lengths that a Jaccard index over the threshold allows), through the rarest signatures
 that one of them must share (prefix filter), and pairs whose lengths can't reach the threshold are pruned before the sets are
-intersected.
+intersected.  Signatures of one set only, most of them, are counted but never joined.
 
 Defined results: a null text is an empty one; rows repeated under one doc_id are separate documents, ordered by text where
 neighbours are sought; a null doc_id comes last there; a table with one row has that row for its next; an empty
@@ -24,13 +24,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .cluster import checkpointed, spread_join
+from .cluster import SALTS, checkpointed, spread_join, stored
 
 N_ANCHORS = 64
 ANCHOR_LETTERS = 4
 CHAIN = 2
 THRESHOLD = 0.8
 
+#: A signature that takes more than this part of all places in sets has its sets dealt over several tasks.
+OFTEN = 10_000
+
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[ \t-\r]+"), lambda w: w != "")
@@ -122,37 +125,59 @@ def edited(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Classes ``doc_id, key, class_id`` (documents with equal sets; the id is the smallest, null if no member has one), and pairs
-    ``a, b, likeness`` of class keys whose likeness reaches the threshold.  A key is 96 bits of hash of the set."""
+def _signed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents ``doc_id, key`` and the different sets ``key, class_id, sigs``, from one pass that signs the texts."""
     signed = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sigs", anchors(docs))
-    signed = signed.select("doc_id", F.struct(F.xxhash64("sigs").alias("h"), F.hash("sigs").alias("i")).alias("key"), "sigs")
-    sets = checkpointed(signed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")))
-    classes = spread_join(checkpointed(signed.select("doc_id", "key")), sets.select("key", "class_id"), ["key"])
-    each = sets.select("key", F.explode("sigs").alias("sig"))
-    ranked = spread_join(each, each.groupBy("sig").count(), ["sig"], F.col("key"))
-    ranked = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("ranked"))
-    n = F.size("ranked")
-    prefix = F.slice("ranked", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))
-    part = F.floor(F.log(n) / F.log(F.lit(1 / threshold)))
-    probes = ranked.select("key", n.alias("n"), part.alias("part"), F.explode(F.transform(prefix, lambda x: x["sig"])).alias("sig"))
+    signed = stored(signed.select("doc_id", F.struct(F.xxhash64("sigs").alias("h"), F.hash("sigs").alias("i")).alias("key"), "sigs"))
+    sets = stored(signed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")))
+    return signed.select("doc_id", "key"), sets
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """``key, n, sigs`` of the sets that have a signature in common with another one: the size of the whole set, and those signatures,
+    rarest first."""
+    each = sets.select("key", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    counts = stored(each.groupBy("sig").count().where("count > 1"))
+    often = F.col("count") * OFTEN > (sets.agg(F.sum(F.size("sigs"))).first()[0] or 0)
+    # At most OFTEN signatures are broadcast: those whose sets are dealt over several tasks.
+    salts = F.when(often, SALTS).otherwise(1)
+    dealt = each.join(F.broadcast(counts.where(often).select("sig", F.lit(SALTS).alias("salts"))), "sig", "left")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("key"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    # One row a signature and salt, so a task's part of them is small: hashed, as sorting all places costs more.
+    met = dealt.join(counts.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).hint("shuffle_hash"), ["sig", "salt"])
+    ranked = met.groupBy("key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("ranked"))
+    return ranked.select("key", "n", F.transform("ranked", lambda x: x["sig"]).alias("sigs"))
+
+
+def _pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    shared = stored(_shared(sets))
+    # A prefix starts with the signatures that no other set has, which meet nothing; neither do they count in an intersection.
+    alone = F.col("n") - F.size("sigs")
+    prefix = F.slice("sigs", F.lit(1), F.greatest(F.col("n") - F.ceil(F.col("n") * threshold) + 1 - alone, F.lit(0)).cast("int"))
+    part = F.floor(F.log("n") / F.log(F.lit(1 / threshold)))
+    probes = checkpointed(shared.select("key", "n", part.alias("part"), F.explode(prefix).alias("sig")))
     shorter = probes.select(F.col("key").alias("a"), F.col("n").alias("m"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
     longer = probes.withColumnRenamed("key", "b")
     met = shorter.join(longer, ["sig", "part"]).where("a <> b AND (m < n OR (m = n AND a < b))").where(F.col("m") >= threshold * F.col("n"))
-    met = met.select("a", "b").distinct()
-    side = lambda name, sigs: sets.select(F.col("key").alias(name), F.col("sigs").alias(sigs))
-    met = met.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    pairs = met.select("a", "b", likeness("x", "y").alias("likeness")).where(F.col("likeness") >= threshold)
-    return classes, pairs
+    met = met.select("a", "b", "m", "n").distinct()
+    side = lambda name, sigs: shared.select(F.col("key").alias(name), F.col("sigs").alias(sigs))
+    met = met.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    return met.select("a", "b", (F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).alias("likeness")).where(F.col("likeness") >= threshold)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Classes ``doc_id, key, class_id`` (documents with equal sets; the id is the smallest, null if no member has one), and pairs
+    ``a, b, likeness`` of class keys whose likeness reaches the threshold.  A key is 96 bits of hash of the set."""
+    signed, sets = _signed(docs)
+    return spread_join(signed, sets.select("key", "class_id"), ["key"]).select("doc_id", "key", "class_id"), _pairs(sets, threshold)
 
 
 def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id, n_links``: each document's class, and to how many others the class is near."""
-    classes, pairs = near_duplicates(docs, threshold)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    keys = classes.select("key", "class_id").distinct().join(ends, "key", "left")
-    keys = keys.select("key", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return spread_join(classes, keys, ["key"], F.col("doc_id")).select("doc_id", "class_id", "n_links")
+    signed, sets = _signed(docs)
+    ends = _pairs(sets, threshold).select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    keys = sets.select("key", "class_id").join(ends, "key", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return spread_join(signed, keys, ["key"]).select("doc_id", "class_id", "n_links")
 
 
 def op4_spotsigs(spark, sf_dir):
