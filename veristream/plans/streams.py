@@ -141,6 +141,11 @@ def streaming_incidents(spark, d):
     last = flown.groupBy("session").agg(F.max("frame_id").alias("last"))
     ends = (F.col("frame_id") == F.col("last")) & (F.col("session") % 5 != 0)
     flown = flown.join(last, "session").select("session", "frame_id", "action", "norm", "at", own.alias("event"), ends.alias("ended"))
+    # Numbered once, not anew for each batch.
+    at = f"{shared_folder(spark)}/flown-{uuid.uuid4().hex}"
+    flown.write.parquet(at)
+    flown = spark.read.schema(flown.schema).parquet(at)
+    last = flown.groupBy("session").agg(F.max("frame_id").alias("last"))
     begin, end = flown.agg(F.min("at"), F.max("at")).first()
     cuts = [begin + (end - begin) * k / 4 for k in range(4)] + [end + timedelta(seconds=1)]
     batches = [flown.where((F.col("at") >= a) & (F.col("at") < b)) for a, b in pairwise(cuts)]
