@@ -14,32 +14,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veristream.llm import bpe, mixing, quality, similar, substrings, textops
-from veristream.llm.cluster import discard, stored
+from veristream.llm.cluster import discard, small_batches, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.quality_filter(docs)
+    return quality.quality_filter(small_batches(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (5-word shingles, similarity 0.8) one row stays."""
-    return similar.near_dedup(docs)
+    return similar.near_dedup(small_batches(docs))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that start earlier are cut out of the texts; what is left keeps its lines."""
-    return substrings.without_repeats(docs)
+    return substrings.without_repeats(small_batches(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.mixed(docs)
+    return mixing.mixed(small_batches(docs))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts with their tokens, and digests of these and of the text they decode to."""
-    return bpe.round_trip(docs, whole=True)
+    return bpe.round_trip(small_batches(docs), whole=True)
 
 
 STAGES = [

@@ -74,3 +74,14 @@ def test_run(spark, sf_dir, odd, empty, as_table):
         key = lambda df: sorted(str((r.doc_id, r.text, list(r.ids))) for r in df.collect())
         assert key(corpus_pipeline.run(spark, folder)) == key(docs) and docs.count() > 0
     assert corpus_pipeline.run(spark, as_table(empty)).count() == 0
+
+
+def test_batches(spark, docs, sf_dir):
+    """Batches are bounded by their bytes in all stages, not only by 10,000 rows of any length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('abcdefgh', 256) AS text")
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(name)
+        stage(spark, docs, sf_dir)
+        sizes = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+        assert max(r.n for r in sizes) <= 2 << 20

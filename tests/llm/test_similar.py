@@ -1,6 +1,7 @@
 """The pipeline's near-duplicates against all pairs of shingle sets."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -259,3 +260,18 @@ def test_a_large_family_that_is_not_alike_is_not_verified_pair_by_pair(spark, mo
         rows.append((1000 + k, " ".join(other)))
     check_kept(pairs(similar.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))), rows)
     assert sum(asked) < 10 * len(rows)
+
+
+def test_memory_of_a_bucket():
+    """Pairs of a family are millions: what is held for all that are compared at once is their numbers, not their fingerprints or profiles."""
+    n, draw = 1200, np.random.default_rng(1)
+    fp = np.tile(draw.integers(0, 2**64, similar.SPACE.lanes, dtype=np.uint64), (n, 1))
+    fp[np.arange(n), draw.integers(0, similar.SPACE.lanes, n)] ^= np.uint64(1) << draw.integers(0, 64, n).astype(np.uint64)
+    label = np.stack([np.arange(n)] * 2, axis=1)
+    size, unit, counts = np.full(n, 256), np.ones(n, np.int64), np.ones((n, similar.CLASSES), np.uint8)
+    tracemalloc.start()
+    links = sum(int(similar.may_be_alike(i, j, size, unit, counts).sum()) for i, j in similar.bucket_links(np.zeros(n, np.int64), fp, label))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == n * (n - 1) // 2
+    assert peak < 64 << 20, f"{peak >> 20} MB"

@@ -1,7 +1,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +109,19 @@ def test_result_does_not_depend_on_groups(spark, group_bytes, fan):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
     run = lambda: result(substrings.deduplicate(df, group_bytes=group_bytes, bucket_keys=9, fan=fan))
     assert run() == run() == by_hand(rows, 20)
+
+
+def test_memory_of_a_group():
+    """A group of 8 MB: arrays that a step needs no longer don't wait for its end."""
+    draw = np.random.default_rng(1)
+    words = np.array([f"w{k}" for k in range(10000)])
+    texts = [" ".join(words[draw.integers(0, len(words), 4000)]) for _ in range(350)]
+    docs = pa.table({"doc": pa.array([{"doc_id": k, "text": t} for k, t in enumerate(texts)], pa.struct([("doc_id", pa.int64()), ("text", pa.string())]))})
+    none = pa.table({"keys": pa.array([], pa.binary())})
+    steps = substrings.Steps(20, 12, True)
+    for most, run in ((140 << 20, lambda: steps.probe([pa.scalar(0)], docs)), (155 << 20, lambda: steps.cut([pa.scalar(0)], docs, none))):
+        tracemalloc.start()
+        assert run().num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most, f"{peak >> 20} MB"

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Tasks over which the rows of one key are dealt in :func:`spread_join`.
 SALTS = 16
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 2 << 20
 
 
 def _shared_folder(spark) -> str:
@@ -24,6 +26,13 @@ def _shared_folder(spark) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table, in a session whose Arrow batches hold at most ``BATCH_BYTES``: a batch stands in the JVM and in its Python
+    worker, on the way there and on the way back, and by default holds 10,000 rows however long these are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there: lost executors cost no recomputation."""
     _shared_folder(df.sparkSession)

@@ -47,8 +47,8 @@ TYPICAL, RECALL = 46, 0.95
 OCCUPANCY = 16
 LEADERS = 8
 SMALL, TIGHT = 64, 24
-#: Pairs compared at once, to bound memory; by their profiles.
-PAIRS, PROFILES = 1 << 20, 1 << 14
+#: Pairs compared at once, to bound memory; by their fingerprints; by their profiles.
+PAIRS, PRINTS, PROFILES = 1 << 20, 1 << 15, 1 << 11
 #: Classes of shingles in a text's profile, a byte each.
 CLASSES = 256
 PROFILE = ["size", "unit", *(f"p{k}" for k in range(CLASSES // 8))]
@@ -99,6 +99,15 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
         root = forest(n, a[best], b[best])[root]
 
 
+def between(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The distances of pairs of rows, some at a time: only numbers of rows are held for all."""
+    out = np.empty(len(i), np.int16)
+    for at in range(0, len(i), PRINTS):
+        some = slice(at, at + PRINTS)
+        out[some] = distances(fp[i[some]], fp[j[some]])
+    return out
+
+
 def bucket_pairs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A minimum spanning forest of the links of rows sorted by key, and the links' lengths.  Rows that two different leaders hold don't
     meet here, but in :func:`bucket_links`."""
@@ -125,7 +134,7 @@ def bucket_pairs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
             for p in range(LEADERS):
                 near = np.abs(table[i, p] - table[j, p]) <= SPACE.radius
                 i, j = i[near], j[near]
-            d = distances(fp[i], fp[j])
+            d = between(fp, i, j)
             near = d <= SPACE.radius
             found.append((i[near], j[near], d[near]))
             links += int(near.sum())
@@ -159,7 +168,7 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, label: np.ndarray):
             for p in range(LEADERS):
                 near = np.abs(table[i, p] - table[j, p]) <= SPACE.radius
                 i, j = i[near], j[near]
-            near = distances(fp[i], fp[j]) <= SPACE.radius
+            near = between(fp, i, j) <= SPACE.radius
             if near.any():
                 yield i[near], j[near]
         at = at + step
@@ -247,7 +256,7 @@ def joining(group: np.ndarray, fp: np.ndarray, links) -> list[tuple[np.ndarray,
         return [(i[kept], j[kept], d[kept])]
 
     for i, j in links:
-        found.append((i, j, distances(fp[i], fp[j])))
+        found.append((i, j, between(fp, i, j)))
         held += len(i)
         if held > max(4 * n, PAIRS):
             found = least()

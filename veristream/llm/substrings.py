@@ -46,27 +46,33 @@ _MASK = np.uint64(0xFFFFFFFF)
 
 
 class Group:
-    """The words of a group's documents, ordered by doc_id."""
+    """The words of a group's documents, ordered by doc_id.  Without ``texts`` only what their windows need is kept."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, texts: bool = True):
         self.docs = pa.concat_arrays(table.column("doc").chunks)
         ids = pc.fill_null(self.docs.field("doc_id").cast(pa.int64()), _NO_ID).to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
         self.docs, self.ids = self.docs.take(pa.array(order)), ids[order]
         _, self.rank = np.unique(self.ids, return_inverse=True)
-        texts = self.docs.field("text")
-        parts = [tx.Words(*tx.utf8(p.column("text"))) for p in tx.slices([pa.record_batch([texts], ["text"])])]
-        join = lambda of: np.concatenate(of) if of else np.zeros(0, np.int64)
-        self.counts = join([p.counts for p in parts])
+        self.parts, counts, digests = [], [], []
+        for part in tx.slices([pa.record_batch([self.docs.field("text")], ["text"])]):
+            words = tx.Words(*tx.utf8(part.column("text")))
+            counts.append(words.counts)
+            digests.append(words.digests())
+            if texts:
+                self.parts.append(words)
+        if not texts:
+            del self.docs
+        join = lambda of, kind: np.concatenate(of) if of else np.zeros(0, kind)
+        self.counts = join(counts, np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
-        digests = [p.digests() for p in parts]
-        self.halves = [join([d[k] for d in digests]).astype(np.uint64) for k in range(2)]
+        self.halves = [join([d[k] for d in digests], np.uint64) for k in range(2)]
+        del digests
         self.size = len(self.halves[0])
         self.row = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         here = np.arange(self.size, dtype=np.int64)
         self.place = (here - np.repeat(self.bounds[:-1], self.counts)).astype(np.int32)
         self.left = (np.repeat(self.bounds[1:], self.counts) - here).astype(np.int32)
-        self.parts = parts
 
     def windows(self, width: int, halves: int = 1) -> list[np.ndarray]:
         """The first positions of all windows and their hashes, one array for each half of the words' digests."""
@@ -130,7 +136,7 @@ class Steps:
         return h >> np.uint64(64 - self.key_bits)
 
     def probe(self, key, table):
-        group = Group(table)
+        group = Group(table, texts=False)
         at, h = group.windows(self.block)
         k = self._key(h)
         order = np.argsort(k)
@@ -154,7 +160,7 @@ class Steps:
         return table_of(self.blocks.back, self.blocks.answers(key[0].as_py(), table, rows, [], hit))
 
     def candidates(self, key, left, right):
-        group = Group(left)
+        group = Group(left, texts=False)
         at, h = group.windows(self.block)
         rows = sorted(zip(right.column("bucket").to_pylist(), right.column("keys").to_pylist(), strict=True))
         if not rows:
@@ -196,14 +202,15 @@ class Steps:
         lost = [unpack_sorted(b, np.uint64) for b in right.column("keys").to_pylist()]
         lost = np.sort(np.concatenate(lost)) if lost else np.zeros(0, np.uint64)
         later = lost[np.minimum(np.searchsorted(lost, h), len(lost) - 1)] == h if len(lost) else np.zeros(len(h), bool)
-        start = group.start(at)
         order = np.argsort(h)
-        ranked = h[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        least = np.empty(len(h), np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(start[order], first), np.diff(first, append=len(h)))
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        del h
+        start = group.start(at[order])
+        later[order] |= start > np.repeat(np.minimum.reduceat(start, first), np.diff(first, append=len(start)))
         edge = np.zeros(len(gone) + 1, np.int32)
-        cut = at[later | (start > least)]
+        cut = at[later]
+        del order, start
         np.add.at(edge, cut, 1)
         np.add.at(edge, cut + self.window, -1)
         return np.cumsum(edge[:-1], dtype=np.int32) > 0
@@ -211,6 +218,7 @@ class Steps:
     def cut(self, key, left, right):
         group = Group(left)
         gone = self.removed(group, right)
+        del group.halves
         rows = len(group.counts)
         begins = gone & ((group.place == 0) | ~np.concatenate([[False], gone[:-1]])[: len(gone)])
         ends = gone & ((group.left == 1) | ~np.concatenate([gone[1:], [False]])[: len(gone)])
