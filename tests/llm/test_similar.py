@@ -275,3 +275,17 @@ def test_memory_of_a_bucket():
     tracemalloc.stop()
     assert links == n * (n - 1) // 2
     assert peak < 64 << 20, f"{peak >> 20} MB"
+
+
+def test_buckets_of_different_keys_stay_apart():
+    """A bucket holds rows of one sample of bits: none twice, and as many as the sample leaves, however many keys there are."""
+    draw = np.random.default_rng(9)
+    n = 20_000
+    fp = draw.integers(-(2**63), 2**63, (n, 4))
+    table = pa.table({**{f"fp{k}": fp[:, k] for k in range(4)}, "text_hash": np.arange(n)})
+    chosen = similar.samples(n)
+    rows = pa.Table.from_batches(list(similar._dealt(table.to_batches(), chosen, ["key", *table.column_names])))
+    key, size = np.unique(rows["key"].to_numpy(), return_counts=True)
+    assert len(rows) == n * len(chosen) and len(chosen) > 4
+    assert len(np.unique(np.stack([rows["key"].to_numpy(), rows["text_hash"].to_numpy()]), axis=1).T) == len(rows)
+    assert len(key) > 0.9 * len(chosen) * 2 ** chosen.shape[1] and size.mean() < 2 * n / 2 ** chosen.shape[1]

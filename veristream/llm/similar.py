@@ -75,7 +75,8 @@ def _dealt(batches, chosen, columns):
             for number, sample in enumerate(chosen):
                 wide = np.zeros((len(fp), 64 * -(-len(sample) // 64)), np.uint8)
                 wide[:, : len(sample)] = bits[:, sample]
-                key = np.full(len(fp), number + 1, np.uint64)
+                # Spread out before the bits go in: small numbers would only swap the buckets of one sample with those of another.
+                key = tx.mix(np.full(len(fp), number + 1, np.uint64))
                 for word in np.packbits(wide, axis=1, bitorder="little").view("<u8").T:
                     key = tx.mix(key ^ word)
                 yield tx.batch_of(schema, key.view(np.int64), *(part.column(c) for c in schema.names[1:]))
