@@ -289,3 +289,47 @@ def test_buckets_of_different_keys_stay_apart():
     assert len(rows) == n * len(chosen) and len(chosen) > 4
     assert len(np.unique(np.stack([rows["key"].to_numpy(), rows["text_hash"].to_numpy()]), axis=1).T) == len(rows)
     assert len(key) > 0.9 * len(chosen) * 2 ** chosen.shape[1] and size.mean() < 2 * n / 2 ** chosen.shape[1]
+
+
+def test_buckets_compared_together_or_apart(monkeypatch):
+    """However many rows are compared in one go, and however large a batch or a bucket is, the links are the same."""
+    draw = np.random.default_rng(10)
+    sizes = [1, 40, 3, 300, 1, 60, 2]
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    fp = np.concatenate([prints(draw, n, n, 40) for n in sizes]).view(np.int64)
+    table = pa.table({"key": key, **{f"fp{k}": fp[:, k] for k in range(4)}, "text_hash": np.arange(len(key))})
+    links = lambda size: sorted(tuple(r.values()) for t in similar._candidates(table.to_batches(size)) for r in t.to_pylist())
+    whole = links(None)
+    assert len(whole) == len(key) - len(sizes)
+    for held, block in ((0, 1), (100, 64), (5_000, 1 << 14), (1 << 22, 7)):
+        monkeypatch.setattr(similar, "HELD", held)
+        monkeypatch.setattr(similar, "BLOCK", block)
+        assert all(links(size) == whole for size in (1, 7, 130, None))
+
+
+def test_pairs_that_differ_by_a_fifth_meet_in_far_more_than_they_are_made_to():
+    """Of pairs that differ in TYPICAL bits 0.97 and more meet, by keys that grow slowly: rows in buckets are what a corpus pays for."""
+    draw = np.random.default_rng(11)
+    for n in (200_000, 3_000_000):
+        chosen = similar.samples(n)
+        differs = np.array([np.isin(np.arange(256), draw.choice(256, similar.TYPICAL, replace=False)) for _ in range(4000)])
+        assert np.any([~differs[:, bits].any(axis=1) for bits in chosen], axis=0).mean() > 0.97
+        assert len(chosen) < 100 and n / 2 ** chosen.shape[1] < 512
+
+
+def test_fingerprints_of_many_shingles(monkeypatch):
+    """More shingles than a byte counts and than are hashed at once: a text's fingerprint is that of the majority, alone or among others."""
+    draw = random.Random(17)
+    texts = ["", None, "a", "B c", *(" ".join(draw.choices(["x", "Yy", "a word of over 16 letters".replace(" ", "_"), "é"], k=draw.randint(1, 900))) for _ in range(40))]
+    alone = np.concatenate([simhash.simhashes(pa.array([t], pa.string()), similar.SPACE) for t in texts])
+    for size in (1, 7, 300, 1 << 18):
+        monkeypatch.setattr(simhash, "SHINGLES", size)
+        assert (simhash.simhashes(pa.array(texts), similar.SPACE) == alone).all()
+    spans = simhash.shingle_spans(pa.array(texts), similar.SPACE.shingle)
+    bits = np.unpackbits(simhash.window_hashes(spans, np.arange(spans.until[-1]), 4), axis=1, bitorder="little")
+    of = spans.row(np.arange(spans.until[-1]))
+    for number, row in enumerate(spans.rows.tolist()):
+        want = np.packbits(bits[of == number].mean(axis=0) > 0.5, bitorder="little").view("<u8")
+        assert (alone[row] == want).all()
+    words = lambda t: simhash.simhashes(pa.array([t]), similar.SPACE)[0]
+    assert (words("A b  c\td e") == words("a b c d E")).all() and (words("a b c d e") != words("a b c d f")).any() and (words("a") != words("b")).any()

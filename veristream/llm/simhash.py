@@ -38,6 +38,8 @@ LEADERS = 8
 PAIRS, SHINGLES = 1 << 20, 1 << 18
 #: (lowest bit, number of bits) of six blocks; two fingerprints within three bits agree in three of them.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+#: The bits of each byte as the bytes of one number: up to ``MOST`` of these add up without a carry from one to the next.
+BITS, MOST = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0], 255
 
 
 class Space(NamedTuple):
@@ -59,15 +61,10 @@ class Space(NamedTuple):
 EXACT = Space(shingle=3, lanes=1, radius=3)
 
 
-def shingle_hashes(buffer: bytes, begin: np.ndarray, end: np.ndarray, lanes: int) -> np.ndarray:
-    """Bytes of the hash of each span: XXH64, or for four lanes the 128 bits of XXH3 and these mixed once more."""
-    spans = zip(begin.tolist(), end.tolist(), strict=True)
-    if lanes == 1:
-        digest = xxhash.xxh64_intdigest
-        return np.fromiter((digest(buffer[a:b], SEED) for a, b in spans), "<u8", len(begin)).view(np.uint8).reshape(-1, 8)
-    digest = xxhash.xxh3_128_digest
-    h = np.frombuffer(b"".join([digest(buffer[a:b], SEED) for a, b in spans]), "<u8").reshape(-1, 2)
-    return np.concatenate([h, tx.mix(h)], axis=1).view(np.uint8)
+def shingle_hashes(buffer: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Bytes of the hash of each span: XXH64."""
+    digest, spans = xxhash.xxh64_intdigest, zip(begin.tolist(), end.tolist(), strict=True)
+    return np.fromiter((digest(buffer[a:b], SEED) for a, b in spans), "<u8", len(begin)).view(np.uint8).reshape(-1, 8)
 
 
 class Spans(NamedTuple):
@@ -85,11 +82,15 @@ class Spans(NamedTuple):
     def row(self, number: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.until, number, "right")
 
-    def of(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the shingles of these numbers begin and end."""
+    def words(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last word of the shingles of these numbers."""
         row = self.row(number)
         first = self.bounds[self.rows[row]] + number - (self.until - self.n)[row]
-        last = np.minimum(first + self.size, self.bounds[self.rows[row] + 1]) - 1
+        return first, np.minimum(first + self.size, self.bounds[self.rows[row] + 1]) - 1
+
+    def of(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shingles of these numbers begin and end."""
+        first, last = self.words(number)
         return self.begin[first], self.end[last]
 
 
@@ -109,6 +110,18 @@ def shingle_spans(texts: pa.Array, size: int) -> Spans | None:
     return Spans(joined.tobytes(), begin, end, words.bounds, rows, n, np.cumsum(n), size)
 
 
+def window_hashes(spans: Spans, number: np.ndarray, lanes: int) -> np.ndarray:
+    """Bytes of the hash of the shingles of consecutive numbers, made of their words' hashes: 64 bits, mixed anew for each lane."""
+    first, last = spans.words(number)
+    begin, end = (at[first[0] : last[-1] + 1] for at in (spans.begin, spans.end))
+    data = np.frombuffer(spans.buffer, np.uint8)[begin[0] : end[-1]]
+    words, length, h = tx.word_hashes(data, begin - begin[0], end - begin[0]), last - first + 1, np.empty(len(number), np.uint64)
+    for width in np.unique(length).tolist():
+        some = length == width
+        h[some] = tx.windows(words, width)[first[some] - first[0]]
+    return tx.mix(h[:, None] ^ tx.mix(np.arange(1, lanes + 1, dtype=np.uint64))).view(np.uint8)
+
+
 def simhashes(texts: pa.Array, space: Space = EXACT) -> np.ndarray:
     """Fingerprints of the texts of one slice, a row of lanes each."""
     out = np.zeros((len(texts), space.lanes), np.uint64)
@@ -120,11 +133,14 @@ def simhashes(texts: pa.Array, space: Space = EXACT) -> np.ndarray:
     for at in range(0, total, SHINGLES):
         number = np.arange(at, min(at + SHINGLES, total))
         row = spans.row(number)
-        h = shingle_hashes(spans.buffer, *spans.of(number), space.lanes)
+        h = shingle_hashes(spans.buffer, *spans.of(number)) if space.lanes == 1 else window_hashes(spans, number, space.lanes)
         fresh = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        for k in range(8 * space.lanes):
-            bits = np.unpackbits(h[:, k : k + 1], axis=1, bitorder="little")
-            ones[row[fresh], 8 * k : 8 * k + 8] += np.add.reduceat(bits, fresh, axis=0, dtype=np.int64)
+        runs = -(-np.diff(fresh, append=len(row)) // MOST)
+        part = np.repeat(fresh, runs) + MOST * tx.ranges(np.zeros_like(runs), runs)
+        of_row = np.cumsum(runs) - runs
+        for k, column in enumerate(np.ascontiguousarray(h.T)):
+            bits = np.add.reduceat(BITS[column], part).view(np.uint8).reshape(-1, 8)
+            ones[row[fresh], 8 * k : 8 * k + 8] += np.add.reduceat(bits, of_row, axis=0, dtype=np.int64)
     out[spans.rows] = np.packbits(2 * ones > spans.n[:, None], axis=1, bitorder="little").view("<u8")
     return out
 

@@ -5,9 +5,9 @@ Every distinct text is a node with a fingerprint of 256 bits over its 5-word shi
 as many as leave some ``OCCUPANCY`` nodes in a bucket, and there are as many keys as bring a pair that differs in ``TYPICAL`` bits
 together with probability ``RECALL`` (closer pairs more surely).
 
-In a bucket the distances to ``LEADERS`` of its rows are a pivot table: a pair is discarded when a coordinate differs by more
-than the radius (triangle inequality, so no link is lost), and survivors are verified by their Hamming distance.  Pivots are taken from the
-bucket as random ones are 128 bits from everything and discard nothing at this radius.  In a bucket of over ``SMALL`` rows, those within
+In a bucket a pair is discarded when some of its lanes differ by more than the radius, as nearly all do.  The distances to ``LEADERS`` of the
+bucket's rows are a pivot table: a pair is discarded when a coordinate differs by more than the radius (triangle inequality, so no
+link is lost), and survivors are verified by their Hamming distance.  Pivots are taken from the bucket as random ones are 128 bits from everything and discard nothing at this radius.  In a bucket of over ``SMALL`` rows, those within
 ``TIGHT`` bits of a leader meet only the leaders and the rows that no leader is near.  A bucket first returns a minimum spanning forest of
 its links, the closest first.
 
@@ -43,12 +43,15 @@ from .simhash import SEED, Space, distances, fingerprints, forest, shingle_spans
 SPACE = Space(shingle=5, lanes=4, radius=54)
 SIMILARITY = 0.8
 #: Differing bits of the pairs that keys are made to find, and how surely.
-TYPICAL, RECALL = 46, 0.95
-OCCUPANCY = 16
+TYPICAL, RECALL = 46, 0.99
+#: Rows in a bucket: comparing so many costs about as much as dealing out the keys that they spare.
+OCCUPANCY = 256
 LEADERS = 8
 SMALL, TIGHT = 64, 24
-#: Pairs compared at once, to bound memory; by their fingerprints; by their profiles.
-PAIRS, PRINTS, PROFILES = 1 << 20, 1 << 15, 1 << 11
+#: Pairs compared at once, to bound memory; by their fingerprints; by their profiles; of rows that lie side by side.
+PAIRS, PRINTS, PROFILES, BLOCK = 1 << 20, 1 << 15, 1 << 11, 1 << 14
+#: Bytes of buckets' rows that are compared in one go, but for a bucket that is larger.
+HELD = 4 << 20
 #: Classes of shingles in a text's profile, a byte each.
 CLASSES = 256
 PROFILE = ["size", "unit", *(f"p{k}" for k in range(CLASSES // 8))]
@@ -109,72 +112,117 @@ def between(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def lanes_of(fp: np.ndarray) -> np.ndarray:
+    """The fingerprints' lanes, each in one piece."""
+    return np.ascontiguousarray(fp.T)
+
+
+def apart(lanes: np.ndarray, i, j) -> np.ndarray:
+    """How many bits of these lanes rows i and j differ in."""
+    out = np.bitwise_count(lanes[0][i] ^ lanes[0][j])
+    if 64 * len(lanes) > 255:
+        out = out.astype(np.int16)
+    for lane in lanes[1:]:
+        out += np.bitwise_count(lane[i] ^ lane[j])
+    return out
+
+
+def near_pairs(lanes: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of rows those within the radius, and their distances: by half of the bits, by the pivot table, by all; some at a time."""
+    kept, half = [(i[:0], j[:0], np.zeros(0, np.int16))], lanes[: len(lanes) // 2]
+    for at in range(0, len(i), PRINTS):
+        a, b = i[at : at + PRINTS], j[at : at + PRINTS]
+        near = np.flatnonzero(apart(half, a, b) <= SPACE.radius)
+        if not len(near):
+            continue
+        a, b = a[near], b[near]
+        near = (np.abs(table[a] - table[b]) <= SPACE.radius).all(axis=1)
+        a, b = a[near], b[near]
+        d = apart(lanes, a, b)
+        near = d <= SPACE.radius
+        kept.append((a[near], b[near], d[near]))
+    return tuple(np.concatenate(c) for c in zip(*kept, strict=True))
+
+
 def bucket_pairs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A minimum spanning forest of the links of rows sorted by key, and the links' lengths.  Rows that two different leaders hold don't
     meet here, but in :func:`bucket_links`."""
-    n, here = len(fp), np.arange(len(fp))
+    n, here, lanes = len(fp), np.arange(len(fp)), lanes_of(fp)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(first, append=n)
     bucket = np.repeat(np.arange(len(first)), size)
     leaders = np.stack([first + k * size // LEADERS for k in range(LEADERS)])
-    table = np.stack([distances(fp, fp[lead[bucket]]) for lead in leaders], axis=1)
+    table = np.stack([apart(lanes, slice(None), lead[bucket]) for lead in leaders], axis=1)
     leads = np.zeros(n, bool)
     leads[leaders] = True
     nearest = table.argmin(axis=1)
     held = ~leads & (size[bucket] > SMALL) & (table[here, nearest] <= TIGHT)
-    found = [(here[held], leaders[nearest, bucket][held], table[here, nearest][held])]
-    todo = np.flatnonzero(~held & (size[bucket] > 1))
-    at, end, links = first[bucket[todo]], (first + size)[bucket[todo]], int(held.sum())
+    found, links = [(here[held], leaders[nearest, bucket][held], table[here, nearest][held])], int(held.sum())
+    for i, j in _meetings(lanes, bucket, np.flatnonzero(~held), np.flatnonzero(held)):
+        near = near_pairs(lanes, table, i, j)
+        if not len(near[0]):
+            continue
+        found.append(near)
+        links += len(near[0])
+        if links > max(4 * n, PAIRS):
+            found = [_least(n, found)]
+            links = len(found[0][0])
+    return _least(n, found)
+
+
+def _meetings(lanes: np.ndarray, bucket: np.ndarray, free: np.ndarray, held: np.ndarray):
+    """Pairs of rows of a bucket that may be within the radius, some at a time: each free row with all free ones after it, by all lanes but
+    the last, and with all that are held."""
+    own, of, found, some = lanes[:-1, free], bucket[free], [], 0
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+    for at, end in zip(first.tolist(), np.append(first[1:], len(of)).tolist(), strict=True):
+        while at < end - 1:
+            to = min(end, at + max(1, BLOCK // (end - at)))
+            i, j = np.divmod(np.flatnonzero(apart(own, np.s_[at:to, None], np.s_[None, at:end]) <= SPACE.radius), end - at)
+            once = i < j
+            if once.any():
+                found.append((free[at + i[once]], free[at + j[once]]))
+                some += len(found[-1][0])
+            if some > PRINTS:
+                yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
+                found, some = [], 0
+            at = to
+    if found:
+        yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    at, end = (np.searchsorted(bucket[held], of, side) for side in ("left", "right"))
+    todo = np.flatnonzero(at < end)
+    for i, j in _ranges_met(todo, at[todo], end[todo]):
+        yield free[i], held[j]
+
+
+def _ranges_met(todo: np.ndarray, at: np.ndarray, end: np.ndarray):
+    """Pairs of each row of ``todo`` and what lies from ``at`` to ``end``, some at a time."""
     while len(todo):
         step = np.minimum(end - at, max(1, PAIRS // len(todo)))
         for part in range(0, len(todo), PAIRS):
             some = slice(part, part + PAIRS)
-            i, j = np.repeat(todo[some], step[some]), tx.ranges(at[some], step[some])
-            once = (i < j) | held[j]
-            i, j = i[once], j[once]
-            for p in range(LEADERS):
-                near = np.abs(table[i, p] - table[j, p]) <= SPACE.radius
-                i, j = i[near], j[near]
-            d = between(fp, i, j)
-            near = d <= SPACE.radius
-            found.append((i[near], j[near], d[near]))
-            links += int(near.sum())
-        if links > max(4 * n, PAIRS):
-            found = [_least(n, found)]
-            links = len(found[0][0])
+            yield np.repeat(todo[some], step[some]), tx.ranges(at[some], step[some])
         at = at + step
         more = at < end
         todo, at, end = todo[more], at[more], end[more]
-    return _least(n, found)
 
 
 def bucket_links(key: np.ndarray, fp: np.ndarray, label: np.ndarray):
     """All links within the radius of rows sorted by key and label, between rows of one key and different labels; some at a time."""
-    n = len(fp)
+    n, lanes = len(fp), lanes_of(fp)
     starts = lambda *columns: np.flatnonzero(np.concatenate([[True], *[np.any([c[1:] != c[:-1] for c in columns], axis=0)]]))
     ends = lambda first: np.repeat(np.append(first[1:], n), np.diff(first, append=n))
     first = starts(key)
     size = np.diff(first, append=n)
     bucket = np.repeat(np.arange(len(first)), size)
-    table = np.stack([distances(fp, fp[(first + k * size // LEADERS)[bucket]]) for k in range(LEADERS)], axis=1)
+    table = np.stack([apart(lanes, slice(None), (first + k * size // LEADERS)[bucket]) for k in range(LEADERS)], axis=1)
     # A row meets what comes after its own label in its bucket.
     at, end = ends(starts(key, *label.T)), ends(first)
     todo = np.flatnonzero(at < end)
-    at, end = at[todo], end[todo]
-    while len(todo):
-        step = np.minimum(end - at, max(1, PAIRS // len(todo)))
-        for part in range(0, len(todo), PAIRS):
-            some = slice(part, part + PAIRS)
-            i, j = np.repeat(todo[some], step[some]), tx.ranges(at[some], step[some])
-            for p in range(LEADERS):
-                near = np.abs(table[i, p] - table[j, p]) <= SPACE.radius
-                i, j = i[near], j[near]
-            near = between(fp, i, j) <= SPACE.radius
-            if near.any():
-                yield i[near], j[near]
-        at = at + step
-        more = at < end
-        todo, at, end = todo[more], at[more], end[more]
+    for i, j in _ranges_met(todo, at[todo], end[todo]):
+        i, j, _ = near_pairs(lanes, table, i, j)
+        if len(i):
+            yield i, j
 
 
 def profile(shingles: np.ndarray) -> tuple[int, np.ndarray]:
@@ -207,18 +255,19 @@ def _least(n, found):
 def _buckets(batches):
     """Whole buckets, several at a time, from batches that come sorted by key: arrays of the columns."""
     held: list[np.ndarray] = []
+    size = 0
     for batch in batches:
         rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
         if not len(rows):
             continue
-        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-        if held and held[-1][-1, 0] != rows[0, 0]:
-            yield np.concatenate(held)
-            held = []
-        if cut:
-            yield np.concatenate([*held, rows[:cut]])
-            held = []
-        held.append(rows[cut:])
+        held.append(rows)
+        size += rows.nbytes
+        if size >= HELD and held[0][0, 0] != rows[-1, 0]:
+            rows = np.concatenate(held)
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            yield rows[:cut]
+            held = [rows[cut:].copy()]
+            size = held[0].nbytes
     if held:
         yield np.concatenate(held)
 
